@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pulsewide import schema as S
 
-from pulsewide.operators.ordering import running_totals, value_cuts
+from pulsewide.operators.ordering import name_at, running_totals, value_cuts
 from pulsewide.operators.profile import null_counts, zero_variance
 from pulsewide.session import materialise
 
@@ -97,8 +97,7 @@ def _pair_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _named(pairs: DataFrame, cols: Sequence[str]) -> DataFrame:
-    names = F.array(*[F.lit(c) for c in cols])
-    return pairs.withColumns({"col_a": F.get(names, F.col("i")), "col_b": F.get(names, F.col("j"))})
+    return pairs.withColumns({"col_a": name_at(cols, "i"), "col_b": name_at(cols, "j")})
 
 
 def _bounded(rho: Column) -> Column:
@@ -170,7 +169,7 @@ def _mask_classes(df: DataFrame, cols: Sequence[str]) -> _Masks:
 
 
 def _rank_table(df: DataFrame, cols: Sequence[str], masks: _Masks) -> DataFrame:
-    """Centred average ranks ``(column, value, n, r0..rM)`` of each distinct value.
+    """Centred average ranks ``(pos, value, n, r0..rM)`` of each distinct value of a column.
 
     ``rM`` is the rank among the rows where mask class M holds a value too,
     minus the mean rank. One aggregation counts every distinct value once per
@@ -180,41 +179,38 @@ def _rank_table(df: DataFrame, cols: Sequence[str], masks: _Masks) -> DataFrame:
                for rep in masks.representative]
     cells = F.array(*[
         F.struct(
-            F.lit(c).alias("column"),
+            F.lit(i).alias("pos"),
             F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value"),
         )
-        for c in cols
+        for i, c in enumerate(cols)
     ])
     long = df.select(
         *[p.cast("int").alias(f"m{m}") for m, p in enumerate(present)], F.inline(cells)
     ).where(F.col("value").isNotNull())
     measures = [f"m{m}" for m in range(len(present))]
-    counts = long.groupBy("column", "value").agg(
+    counts = long.groupBy("pos", "value").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in measures]
     )
-    cuts = value_cuts(long, "column", "value")
-    running = running_totals(counts, "column", "value", measures, cuts)
-    sizes = {
-        (c, m): masks.complete[i, rep]
-        for i, c in enumerate(cols)
-        for m, rep in enumerate(masks.representative)
-    }
+    cuts = value_cuts(long, "pos", "value")
+    running = running_totals(counts, "pos", "value", measures, cuts)
 
     def centred(m: int):
-        size = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(float(sizes[c, m])))])
+        # rows where the column and the class both hold a value
+        sizes = masks.complete[:, masks.representative[m]].tolist()
+        size = F.get(F.array(*[F.lit(x) for x in sizes]), F.col("pos"))
         upto, own = F.col(f"cum_m{m}"), F.col(f"m{m}")
         # average rank of the tied block minus the mean rank (n + 1) / 2
-        return (upto - (own - 1) / 2 - (size[F.col("column")] + 1) / 2).alias(f"r{m}")
+        return (upto - (own - 1) / 2 - (size + 1) / 2).alias(f"r{m}")
 
-    return running.select("column", "value", "n", *measures, *[centred(m) for m in range(len(present))])
+    return running.select("pos", "value", "n", *measures, *[centred(m) for m in range(len(present))])
 
 
 def _rank_sums_of_squares(table: DataFrame, n_masks: int) -> dict:
     """Sum of squared centred ranks per column and mask class, from the rank table alone."""
-    rows = table.groupBy("column").agg(*[
+    rows = table.groupBy("pos").agg(*[
         F.sum(F.col(f"m{m}") * F.col(f"r{m}") * F.col(f"r{m}")).alias(f"r{m}") for m in range(n_masks)
     ]).collect()
-    return {(r["column"], m): r[f"r{m}"] for r in rows for m in range(n_masks)}
+    return {(r["pos"], m): r[f"r{m}"] for r in rows for m in range(n_masks)}
 
 
 def _cross_products(ranks: list[np.ndarray], masks: _Masks) -> np.ndarray:
@@ -245,8 +241,8 @@ def _products_by_lookup(df: DataFrame, cols: Sequence[str], masks: _Masks, table
     n_masks = len(masks.representative)
     local = table.drop("n", *[f"m{m}" for m in range(n_masks)]).toPandas()
     lookup = []
-    for c in cols:
-        mine = local[local["column"] == c].sort_values("value")
+    for i in range(len(cols)):
+        mine = local[local["pos"] == i].sort_values("value")
         lookup.append((mine["value"].to_numpy(), mine[[f"r{m}" for m in range(n_masks)]].to_numpy()))
     shipped = df.sparkSession.sparkContext.broadcast(lookup)
 
@@ -284,28 +280,27 @@ def _products_by_join(
     """
     n_masks = len(masks.representative)
     rank_cols = [f"r{m}" for m in range(n_masks)]
-    packed = table.select("column", "value", "n", F.array(*rank_cols).alias("__r"))
+    packed = table.select("pos", "value", "n", F.array(*rank_cols).alias("__r"))
     n_cells = float(np.trace(masks.complete))
     hot_rows = packed.where(F.col("n") > n_cells * _HOT_SHARE)
-    position = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
     cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value"))
-        for c in cols
+        F.struct(F.lit(i).alias("pos"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value"))
+        for i, c in enumerate(cols)
     ])
     long = df.select(
         F.xxhash64(F.lit(1), *row_key).alias("__k1"), F.xxhash64(F.lit(2), *row_key).alias("__k2"),
         F.inline(cells),
     ).where(F.col("value").isNotNull())
-    met = long.join(F.broadcast(hot_rows.withColumnRenamed("__r", "__h").drop("n")), ["column", "value"], "left")
+    met = long.join(F.broadcast(hot_rows.withColumnRenamed("__r", "__h").drop("n")), ["pos", "value"], "left")
     hot = met.where(F.col("__h").isNotNull()).withColumnRenamed("__h", "__r")
     cold = met.where(F.col("__h").isNull()).drop("__h").join(
-        packed.where(F.col("n") <= n_cells * _HOT_SHARE).drop("n"), ["column", "value"]
+        packed.where(F.col("n") <= n_cells * _HOT_SHARE).drop("n"), ["pos", "value"]
     )
     rows = (
-        hot.select("__k1", "__k2", "column", "__r").unionByName(cold.select("__k1", "__k2", "column", "__r"))
+        hot.select("__k1", "__k2", "pos", "__r").unionByName(cold.select("__k1", "__k2", "pos", "__r"))
         .groupBy("__k1", "__k2")
         # at most one cell per column
-        .agg(F.collect_list(F.struct(position[F.col("column")].alias("i"), F.col("__r").alias("r"))).alias("cells"))
+        .agg(F.collect_list(F.struct(F.col("pos").alias("i"), F.col("__r").alias("r"))).alias("cells"))
         .select("cells")
     )
 
@@ -357,8 +352,8 @@ def spearman(
     else:
         products = _products_by_join(df, cols, masks, table, row_key)
     norms = [
-        (i, j, float(squares.get((cols[i], masks.of_column[j])) or 0.0),
-         float(squares.get((cols[j], masks.of_column[i])) or 0.0), int(masks.complete[i, j]))
+        (i, j, float(squares.get((i, masks.of_column[j])) or 0.0),
+         float(squares.get((j, masks.of_column[i])) or 0.0), int(masks.complete[i, j]))
         for i in range(len(cols)) for j in range(i + 1, len(cols))
     ]
     pairs = df.sparkSession.createDataFrame(norms, "i int, j int, saa double, sbb double, n bigint")

@@ -201,9 +201,26 @@ def long_values(df: DataFrame, cols: Sequence[str], name: str = "column") -> Dat
     return df.select(F.inline(cells)).where(F.col("value").isNotNull())
 
 
+def numbered_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Like :func:`long_values` with the column's position instead of its name.
+
+    A number is what should travel through the shuffles; names come back at the end.
+    """
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("pos"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value"))
+        for i, c in enumerate(cols)
+    ])
+    return df.select(F.inline(cells)).where(F.col("value").isNotNull())
+
+
+def name_at(cols: Sequence[str], pos: str = "pos") -> Column:
+    return F.get(F.array(*[F.lit(c) for c in cols]), F.col(pos))
+
+
 def column_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Exact percentiles of several columns in one pass: ``(column, prob, quantile)``."""
-    return percentiles(long_values(df, cols), "column", "value", probs)
+    found = percentiles(numbered_values(df, cols), "pos", "value", probs)
+    return found.select(name_at(cols).alias("column"), "prob", "quantile")
 
 
 def percentile_map(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict:
@@ -215,25 +232,47 @@ def percentile_map(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -
     return {c: [found.get((c, float(p))) for p in probs] for c in cols}
 
 
-def row_at_rank(df: DataFrame, keys: Sequence[str], rank: int) -> list:
-    """Key values of the row at a 0-based rank under ascending ``keys``.
+def rows_at_ranks(df: DataFrame, keys: Sequence[str], ranks: Sequence[int]) -> list[list]:
+    """Key values of the rows at 0-based ranks under ascending ``keys``, one list per rank.
 
-    Works key by key: find the value of the first key at that rank, keep the
-    rows that share it, go on with the next key. Keys must be numbers or dates
-    without nulls.
+    Works key by key for all ranks together: find the values of the first key
+    at the ranks, keep the rows that share one of them, go on with the next
+    key inside each. A list ends early where its values already single out a
+    row. Keys must be numbers or dates without nulls.
     """
-    picked = []
-    rest = df.select(F.lit(0).alias("__all"), *keys)
-    for key in keys:
-        hit = locate(rest, "__all", key, F.array(F.lit(rank).cast("bigint"))).first()
-        if hit is None:
-            raise ValueError(f"rank {rank} is outside the data")
-        picked.append(hit[key])
-        if hit["at"] == 1:
+    found: list[list] = [[] for _ in ranks]
+    # open work: (position in ``ranks``, rank left inside the rows that share the values so far)
+    open_ranks = {"": [(i, rank) for i, rank in enumerate(ranks)]}
+    rest = df.select(F.lit("").alias("__path"), *keys)
+    for depth, key in enumerate(keys):
+        wanted = F.create_map(*[
+            x
+            for path, todo in open_ranks.items()
+            for x in (F.lit(path), F.array(*[F.lit(rank).cast("bigint") for _, rank in todo]))
+        ])
+        hits = {
+            (h["__path"], h["rank"]): h
+            for h in locate(rest, "__path", key, F.element_at(wanted, F.col("__path"))).collect()
+        }
+        deeper: dict[str, list] = {}
+        for path, todo in open_ranks.items():
+            for i, rank in todo:
+                hit = hits.get((path, rank))
+                if hit is None:
+                    raise ValueError(f"rank {ranks[i]} is outside the data")
+                found[i].append(hit[key])
+                if hit["at"] > 1:
+                    deeper.setdefault(f"{path}/{hit[key]}", []).append((i, rank - hit["below"]))
+        open_ranks = deeper
+        if not open_ranks or depth == len(keys) - 1:
             break
-        rank -= hit["below"]
-        rest = rest.where(F.col(key) == F.lit(hit[key]))
-    return picked
+        kept = sorted({found[i][-1] for todo in open_ranks.values() for i, _ in todo})
+        rest = (
+            rest.where(F.col(key).isin(kept))
+            .withColumn("__path", F.concat("__path", F.lit("/"), F.col(key).cast("string")))
+            .where(F.col("__path").isin(list(open_ranks)))
+        )
+    return found
 
 
 def at_or_before(keys: Sequence[str], bound: Sequence) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsewide.operators.ordering import at_or_before, row_at_rank
+from pulsewide.operators.ordering import at_or_before, rows_at_ranks
 
 _DAY, _TIE, _ID = "__day", "__tie", "__id"
 # day number below every real date, because rows without a date sort first
@@ -44,11 +44,11 @@ def _check(df: DataFrame, date_col: str, test_size: float | None = None) -> None
         raise KeyError(f"date column '{date_col}' not found")
 
 
-def _first_rows(keyed: DataFrame, keys: Sequence[str], n: int) -> Column:
-    """Condition that holds for the first ``n`` rows in key order."""
-    if n <= 0:
-        return F.lit(False)
-    return at_or_before(keys, row_at_rank(keyed, keys, n - 1))
+def _first_rows(keyed: DataFrame, keys: Sequence[str], sizes: Sequence[int]) -> list[Column]:
+    """For each size n, the condition that holds for the first n rows in key order."""
+    some = [n for n in sizes if n > 0]
+    bounds = dict(zip(some, rows_at_ranks(keyed, keys, [n - 1 for n in some]))) if some else {}
+    return [at_or_before(keys, bounds[n]) if n > 0 else F.lit(False) for n in sizes]
 
 
 def oot_split(
@@ -59,7 +59,7 @@ def oot_split(
     keyed, keys = _order_keys(df, date_col, tie)
     n = df.count()
     # Python arithmetic on purpose: the row count depends on its rounding
-    is_train = _first_rows(keyed, keys, int(n * (1.0 - test_size)))
+    (is_train,) = _first_rows(keyed, keys, [int(n * (1.0 - test_size))])
     return keyed.where(is_train).drop(*keys), keyed.where(~is_train).drop(*keys)
 
 
@@ -77,9 +77,10 @@ def expanding_folds(
     if block == 0:
         raise ValueError(f"{n} rows are too few for {n_splits} folds")
     keyed, keys = _order_keys(df, date_col, tie)
+    before = _first_rows(keyed, keys, [n - (n_splits - k) * block for k in range(n_splits)])
     fold = F.lit(n_splits)
-    for k in range(n_splits - 1, -1, -1):
-        fold = F.when(_first_rows(keyed, keys, n - (n_splits - k) * block), F.lit(k)).otherwise(fold)
+    for k in reversed(range(n_splits)):
+        fold = F.when(before[k], F.lit(k)).otherwise(fold)
     return keyed.withColumn(name, fold.cast("int")).drop(*keys)
 
 
@@ -104,4 +105,5 @@ def sample_at_most(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) ->
         _TIE: F.xxhash64(F.lit(seed), *key),
         _ID: F.xxhash64(F.lit(seed + 1), *key),
     })
-    return keyed.where(_first_rows(keyed, [_TIE, _ID], n)).drop(_TIE, _ID)
+    (chosen,) = _first_rows(keyed, [_TIE, _ID], [n])
+    return keyed.where(chosen).drop(_TIE, _ID)

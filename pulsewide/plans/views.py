@@ -88,9 +88,10 @@ def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     days = F.greatest(F.datediff("shipped", "obs_date"), F.lit(0))
     n = F.sum("n")
-    per_order = (
-        lines.join(o.select("row_id", "obs_date"), "row_id")
-        .groupBy("row_id")
+    # the join already places the rows by order, so the aggregation moves nothing
+    joined = (
+        o.join(lines, "row_id", "left")
+        .groupBy(*o.columns)
         .agg(
             (F.sum(days * F.col("n")) / n).alias("delay_days"),
             F.sum("qty").alias("qty_sum"),
@@ -103,7 +104,7 @@ def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row_id") % 5 != 0, F.col("price_sum") * 2 + F.col("row_id") % 3
     )
     code = F.col("row_id") * 7919 % 4
-    return o.join(per_order, "row_id", "left").select(
+    return joined.select(
         "row_id", "cust_id", "obs_date", "priority", "status", "total_price",
         "delay_days", "qty_sum", "price_sum", "disc_avg", "n_lines",
         near_copy.alias("price_alias"),

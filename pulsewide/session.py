@@ -48,27 +48,28 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _scratch_path(spark: SparkSession) -> str:
+    """A new path below one folder per application, so one delete removes them all."""
+    return f"{shared_dir(spark)}/pulsewide-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from there.
+    """Write ``df`` as a table in the shared folder and continue from there.
 
-    Used where one intermediate result feeds several jobs: reading it back is
-    cheaper than computing it again, and a lost executor costs nothing.
+    For a result that feeds several jobs: it is computed once, a later job
+    reads only the columns it needs, and a lost executor costs nothing.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = _scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_landed: dict[tuple[str, str], str] = {}
+_landed: dict[tuple[str, str], DataFrame] = {}
 
 
 def landed(name: str, build: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
-    """A table written once per application to the shared folder, then read back.
-
-    For tables that several jobs pass over more than once.
-    """
+    """A materialised table that is built once per application and then shared."""
     key = (spark.sparkContext.applicationId, name)
     if key not in _landed:
-        path = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
-        build().write.parquet(path)
-        _landed[key] = path
-    return spark.read.parquet(_landed[key])
+        _landed[key] = materialise(build())
+    return _landed[key]

@@ -45,10 +45,18 @@ def read_csv(spark: SparkSession, path: str | list[str], with_ordinal: bool = Tr
     )
     if not with_ordinal:
         return raw
-    return raw.select("*", _file_position().alias(ORDINAL))
+    return raw.select("*", _position(len(raw.inputFiles())).alias(ORDINAL))
 
 
-def _file_position() -> Column:
+def _position(n_files: int) -> Column:
+    """Row order in the input.
+
+    The splits of one file are numbered in file order, so the generated id
+    alone ascends; it is a plain long, which keeps the pivot of numeric
+    drivers a hash aggregation. Several files also need the file and block.
+    """
+    if n_files == 1:
+        return F.monotonically_increasing_id()
     return F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
