@@ -238,8 +238,9 @@ def directional(
 ) -> DataFrame:
     """Contribution against value: per column and value range, the count and spread.
 
-    ``attributed`` must carry the columns. Ranges are quantiles of the column;
-    rows without a value form a range of their own (NULL).
+    ``attributed`` must carry the columns, and is read more than once, so pass
+    a materialised table. Ranges are quantiles of the column; rows without a
+    value form a range of their own (NULL).
     """
     at = {c: i for i, c in enumerate(explainer.columns)}
     grid = [k / buckets for k in range(1, buckets)]

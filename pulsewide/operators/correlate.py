@@ -239,11 +239,12 @@ def _emit(total: np.ndarray) -> pa.RecordBatch:
 def _products_by_lookup(df: DataFrame, cols: Sequence[str], masks: _Masks, table: DataFrame) -> DataFrame:
     """Rank products with the rank table held by each task: no row is shuffled."""
     n_masks = len(masks.representative)
-    local = table.drop("n", *[f"m{m}" for m in range(n_masks)]).toPandas()
-    lookup = []
-    for i in range(len(cols)):
-        mine = local[local["pos"] == i].sort_values("value")
-        lookup.append((mine["value"].to_numpy(), mine[[f"r{m}" for m in range(n_masks)]].to_numpy()))
+    local = table.drop("n", *[f"m{m}" for m in range(n_masks)]).toArrow()
+    pos, value = local["pos"].to_numpy(), local["value"].to_numpy()
+    ranks_of = np.column_stack([local[f"r{m}"].to_numpy() for m in range(n_masks)])
+    order = np.lexsort((value, pos))
+    bounds = np.searchsorted(pos[order], np.arange(len(cols) + 1))
+    lookup = [(value[order[a:b]], ranks_of[order[a:b]]) for a, b in zip(bounds, bounds[1:])]
     shipped = df.sparkSession.sparkContext.broadcast(lookup)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

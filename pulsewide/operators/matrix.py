@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from pulsewide import schema as S
 from pulsewide.functions import columns as C
+from pulsewide.operators.salting import join_distinct
 
 FEATURES = "features"
 LABEL = "label"
@@ -182,11 +183,7 @@ def align_categories(
         known = [r[0] for r in few]
         return df.withColumn(column, F.when(F.col(column).isin(known), F.col(column)))
     listed = domain.select(F.col(column), F.col(column).alias("__known"))
-    return (
-        df.join(listed, column, "left")
-        .withColumn(column, F.col("__known"))
-        .select(*df.columns)
-    )
+    return join_distinct(df, listed, column, "left").withColumn(column, F.col("__known")).select(*df.columns)
 
 
 def zero_out(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:

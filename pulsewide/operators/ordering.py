@@ -2,56 +2,80 @@
 
 Everything here starts from one row per distinct ``(group, value)``, so a value
 that holds a third of all rows arrives as one pre-aggregated row. The values of
-a group are then cut into at most ``BUCKETS`` ranges of similar size; windows
-run inside one range, and the range totals (at most ``BUCKETS`` rows per group)
-supply the offsets.
+a group are then cut into at most ``MAX_BUCKETS`` ranges of similar size;
+windows run inside one range, and the range totals (at most ``MAX_BUCKETS`` rows
+per group) supply the offsets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 256
+MAX_BUCKETS = 1024
+ROWS_PER_BUCKET = 50_000
+_CHUNK = 32
 _BUCKET = "__bucket"
 _CUTS = "__cuts"
 
 
-def value_cuts(values: DataFrame, group: str, value: str, buckets: int = BUCKETS) -> dict:
-    """Cut points per group, ``{group: [cut, ...]}`` with at most ``buckets - 1`` each.
+def value_cuts(values: DataFrame, group: str, value: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> dict:
+    """Cut points per group, ``{group: [cut, ...]}``, fewer than ``MAX_BUCKETS`` each.
 
     The cuts are approximate quantiles, which only decides how even the ranges
     are. They are fetched once, so that every later use sees the same ranges
-    even if a task is run again.
+    even if a task is run again. Small groups get few ranges.
     """
-    grid = [i / buckets for i in range(1, buckets)]
+    # as text: a thousand literals are slow to build one by one
+    grid = ", ".join(f"{i / MAX_BUCKETS!r}D" for i in range(1, MAX_BUCKETS))
+    quantiles = F.expr(f"percentile_approx(`{value}`, array({grid}), {10 * MAX_BUCKETS})")
     sketch = (
         values.where(F.col(value).isNotNull())
         .groupBy(group)
-        .agg(F.array_distinct(F.percentile_approx(value, grid, 10 * buckets)).alias(_CUTS))
+        .agg(quantiles.alias(_CUTS), F.count(F.lit(1)).alias("__n"))
     )
-    return {r[group]: r[_CUTS] for r in sketch.collect()}
+    cuts = {}
+    for r in sketch.collect():
+        step = max(1, MAX_BUCKETS // max(1, math.ceil(r["__n"] / rows_per_bucket)))
+        cuts[r[group]] = list(dict.fromkeys(r[_CUTS][step - 1 :: step]))
+    return cuts
 
 
 def with_buckets(counts: DataFrame, cuts: dict, group: str, value: str) -> DataFrame:
-    """Number each row's range; ranges ascend with ``value`` inside a group."""
-    kind = T.ArrayType(counts.schema[value].dataType)
+    """Number each row's range, which is the count of cuts below its value.
+
+    The cuts are searched in two steps, first the last cut of each chunk and
+    then the cuts of one chunk.
+    """
+    chunked = {
+        g: [c[i : i + _CHUNK] for i in range(0, len(c), _CHUNK)] + [[]] for g, c in cuts.items()
+    }
+    kind = T.ArrayType(T.ArrayType(counts.schema[value].dataType))
     if len(cuts) == 1:
-        (only,) = cuts.values()
-        held = counts.withColumn(_CUTS, F.lit(only).cast(kind) if only else F.array().cast(kind))
+        (only,) = chunked.values()
+        nested = F.array(*[F.lit(c) if c else F.array() for c in only])
+        held = counts.withColumn(_CUTS, nested.cast(kind))
     else:
         schema = T.StructType([
             T.StructField(group, counts.schema[group].dataType), T.StructField(_CUTS, kind)
         ])
-        listed = counts.sparkSession.createDataFrame(list(cuts.items()), schema)
-        # fixed bound: one row of at most BUCKETS numbers per group
+        listed = counts.sparkSession.createDataFrame(list(chunked.items()), schema)
+        # fixed bound: one row of fewer than MAX_BUCKETS numbers per group
         held = counts.join(F.broadcast(listed), group)
-    return held.withColumn(
-        _BUCKET, F.size(F.filter(_CUTS, lambda c: c < F.col(value)))
-    ).drop(_CUTS)
+    below = lambda c: c < F.col(value)
+    chunk = F.size(F.filter(_CUTS, lambda c: F.coalesce(below(F.get(c, F.size(c) - 1)), F.lit(False))))
+    return (
+        held.withColumn("__chunk", chunk)
+        .withColumn(
+            _BUCKET,
+            F.col("__chunk") * _CHUNK + F.size(F.filter(F.get(_CUTS, F.col("__chunk")), below)),
+        )
+        .drop(_CUTS, "__chunk")
+    )
 
 
 def running_totals(
@@ -88,7 +112,7 @@ def running_totals(
     )
     return (
         bucketed.select("*", *[F.sum(m).over(inside).alias(f"__in_{m}") for m in measures])
-        # at most BUCKETS rows per group
+        # at most MAX_BUCKETS rows per group
         .join(F.broadcast(offsets), [group, _BUCKET])
         .select(
             *counts.columns,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsewide import schema as S
 from pulsewide.functions import columns as C
+from pulsewide.operators.salting import join_distinct
 
 
 def index_columns(df: DataFrame, candidates: Sequence[str] | None = None) -> list[str]:
@@ -107,13 +108,12 @@ def active_history(
     """Full history of the entities that have a value for ``active_key``.
 
     Pass one reads the filtered attribute only and reduces it to distinct ids;
-    pass two is a left-semi join, so no row is multiplied. Adaptive execution
-    broadcasts the ids when they turn out small and splits a hot entity when
-    they are not.
+    pass two is a left-semi join, so no row is multiplied. The join is salted,
+    because one entity may hold a large share of all rows.
     """
     active = (
         eav.where((F.col(key) == active_key) & (F.col(value) != ""))
         .select(entity)
         .distinct()
     )
-    return eav.join(active, entity, "left_semi")
+    return join_distinct(eav, active, entity).select(*eav.columns)

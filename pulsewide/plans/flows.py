@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +64,8 @@ def train_flow(
     classifier = train(older, feature_columns(features), params, mode, rounds)
     threshold = None
     if mode == BINARY:
-        scored = classifier.score_positive(newer.select("*"))
+        # the curve reads the scores several times
+        scored = materialise(classifier.score_positive(newer).select(LABEL, "p"))
         threshold = optimal_threshold(scored, LABEL, "p", classifier.codes, beta)
     return Trained(classifier, older, newer, threshold)
 
@@ -96,6 +97,8 @@ def counterfactual_flow(
 ) -> tuple[Counterfactual, DataFrame, Explainer]:
     """Effect of zeroing the drivers over all given rows, and the lever that ranks next."""
     explainer = make_explainer(spark, classifier)
+    ready = materialise(ready)
     outcome = simulate(ready, classifier, explainer, intervention, keep)
+    outcome = replace(outcome, attributed=materialise(outcome.attributed))
     before = attribute(ready, classifier, explainer, keep)
     return outcome, new_lever(before, outcome.attributed, explainer, lever, intervention), explainer

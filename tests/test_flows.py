@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from pulsewide import schema as S
 from pulsewide.operators.profile import columns_with, cohorts, null_counts, split_by_activity
+from pulsewide.operators.pivot import active_history, load_wide
+from pulsewide.operators.salting import join_distinct
 from pulsewide.plans import flows
 from pulsewide.sources import eav as SRC
+from pulsewide.streaming.score import read_wide_stream, score_stream, write_scores
 
 DELAY = S.DELAY_COL
 BRACKET = "transactionalTravelTripDelayDurationBracketV0Last30d"
@@ -114,3 +117,46 @@ def test_counterfactual(spark, files, trained):
     assert s["n"] == 60 and s["ate"] > 0
     assert lever.first()["new_lever"] not in S.INTERVENTION_COLS
     assert outcome.attributed.count() == 60 and len(explainer.trees) == 8
+
+
+def test_stream_scores_like_the_batch(spark, files, trained, tmp_path):
+    features, t = trained
+    wide = load_wide(SRC.read_csv(spark, files[1]), TYPES).repartition(4)
+    wide.write.parquet(str(tmp_path / "in"))
+    wide = spark.read.parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = read_wide_stream(spark, str(tmp_path / "in"), wide.schema, files_per_batch=1)
+        scored = score_stream(stream, features.vocabulary, t.classifier)
+        query = write_scores(scored.select("sourceId", "p"), str(tmp_path / "out"), str(tmp_path / "state"))
+        assert query.awaitTermination(120)
+        return spark.read.parquet(str(tmp_path / "out"))
+
+    ready = flows.live_features(SRC.read_csv(spark, files[1]), TYPES, features.vocabulary)
+    want = flows.score_live(ready, t.classifier).select("sourceId", "p")
+    assert run().exceptAll(want).count() == 0
+    assert run().count() == want.count() == 60
+    # a second run takes only the files that came since
+    wide.limit(300).withColumn("sourceId", F.concat(F.lit("later-"), "sourceId")).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run().count() == 120
+
+
+def test_semi_join_spreads_a_hot_entity(spark):
+    rows = spark.range(9000).select(
+        F.when(F.col("id") < 3000, F.lit("hot")).otherwise(F.concat(F.lit("e"), F.col("id"))).alias("sourceId"),
+        F.lit("k").alias("driverKey"), F.lit("v").alias("value"), F.col("id").alias("ord"),
+    )
+    kept = active_history(rows, "k")
+    assert kept.count() == 9000 and kept.columns == rows.columns
+    # neither a broadcast nor the merging of small partitions may hide the placement
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        keys = rows.select("sourceId").distinct()
+        placed = join_distinct(rows, keys, "sourceId").groupBy(F.spark_partition_id().alias("p"), "sourceId").count()
+        assert placed.where("sourceId = 'hot'").count() > 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
