@@ -29,8 +29,9 @@ from pulsewide.operators.ordering import percentile_map
 from pulsewide.session import shared_dir
 
 SHAP = "shap"
-# patterns are tabulated up to this many columns on one path, beyond it per batch
-_TABLE_COLUMNS = 10
+# patterns are tabulated up to this many columns on one path; beyond it, those found in a batch
+_TABLE_COLUMNS = 8
+_KEEP_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -127,24 +128,28 @@ def _coalition_weights(d: int) -> np.ndarray:
     return np.array([1.0 / (d * math.comb(d - 1, k)) for k in range(d)])
 
 
-def leaf_contributions(passed: np.ndarray, cover: Sequence[float], value: float) -> np.ndarray:
-    """Contribution of each column of a leaf, per row of the 0/1 matrix ``passed``.
+def contributions(passed: np.ndarray, cover: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Contribution of each column of a path for many leaves and patterns at once.
 
-    Knowing a column multiplies the leaf's weight by ``passed``, not knowing it
-    by ``cover``. The coefficient of y^k in the product of (cover + passed y)
-    over the other columns is the total over coalitions of size k.
+    ``passed`` is (patterns x columns) of 0 and 1, ``cover`` (leaves x columns),
+    ``value`` (leaves); the result is (leaves x columns x patterns). Knowing a
+    column multiplies the leaf's weight by ``passed``, not knowing it by
+    ``cover``. The coefficient of y^k in the product of (cover + passed y) over
+    the other columns is the total over coalitions of size k.
     """
-    rows, d = passed.shape
+    patterns, d = passed.shape
+    leaves = len(value)
     weights = _coalition_weights(d)
-    result = np.empty((rows, d))
+    result = np.empty((leaves, d, patterns))
     for i in range(d):
-        poly = np.zeros((rows, d))
-        poly[:, 0] = 1.0
+        poly = np.zeros((d, leaves, patterns))
+        poly[0] = 1.0
         for size, j in enumerate(j for j in range(d) if j != i):
-            shifted = poly[:, : size + 1] * passed[:, j : j + 1]
-            poly[:, : size + 1] *= cover[j]
-            poly[:, 1 : size + 2] += shifted
-        result[:, i] = value * (passed[:, i] - cover[i]) * (poly @ weights)
+            shifted = poly[: size + 1] * passed[:, j]
+            poly[: size + 1] *= cover[:, j, None]
+            poly[1 : size + 2] += shifted
+        total = np.tensordot(weights, poly, axes=1)
+        result[:, i] = value[:, None] * (passed[:, i] - cover[:, i, None]) * total
     return result
 
 
@@ -153,36 +158,52 @@ def _patterns(d: int) -> np.ndarray:
     return ((codes[:, None] >> np.arange(d)) & 1).astype(float)
 
 
-def _tabulate(tree: Tree) -> list[np.ndarray | None]:
-    return [
-        leaf_contributions(_patterns(len(l.players)), l.cover, l.value)
-        if 0 < len(l.players) <= _TABLE_COLUMNS else None
-        for l in tree.leaves
-    ]
-
-
-def attribute_batch(x: np.ndarray, explainer: Explainer, tables: Sequence) -> np.ndarray:
-    """Contributions (rows x columns) of a batch of model inputs (rows x slots)."""
-    total = np.zeros((x.shape[0], len(explainer.columns)))
-    for tree, held in zip(explainer.trees, tables):
+def tabulate(tree: Tree) -> dict[int, np.ndarray]:
+    """Contributions per leaf number and pattern, for leaves with few columns on their path."""
+    tables = {}
+    by_size: dict[int, list[int]] = {}
+    for number, leaf in enumerate(tree.leaves):
+        if 0 < len(leaf.players) <= _TABLE_COLUMNS:
+            by_size.setdefault(len(leaf.players), []).append(number)
+    for d, numbers in by_size.items():
+        cover = np.array([tree.leaves[n].cover for n in numbers])
+        value = np.array([tree.leaves[n].value for n in numbers])
+        tables.update(zip(numbers, contributions(_patterns(d), cover, value)))
+    return tables
+
+
+def table_bytes(explainer: Explainer) -> int:
+    sizes = (len(l.players) for t in explainer.trees for l in t.leaves)
+    return sum(8 * d * (1 << d) for d in sizes if d <= _TABLE_COLUMNS)
+
+
+def attribute_batch(x: np.ndarray, explainer: Explainer, tables: Sequence[dict] | None = None) -> np.ndarray:
+    """Contributions (columns x rows) of a batch of model inputs (rows x slots)."""
+    rows = x.shape[0]
+    inputs = np.ascontiguousarray(x.T)
+    total = np.zeros((len(explainer.columns), rows))
+    for at, tree in enumerate(explainer.trees):
+        held = tables[at] if tables is not None else tabulate(tree)
         left = [
-            x[:, s.slot] <= s.threshold if s.left_levels is None
-            else np.isin(x[:, s.slot], s.left_levels)
+            inputs[s.slot] <= s.threshold if s.left_levels is None
+            else np.isin(inputs[s.slot], s.left_levels)
             for s in tree.splits
         ]
-        for leaf, table in zip(tree.leaves, held):
-            if not leaf.players:
-                continue
-            passed = np.empty((x.shape[0], len(leaf.players)), dtype=bool)
+        goes = {True: left, False: [~m for m in left]}
+        for number, leaf in enumerate(tree.leaves):
+            code = np.zeros(rows, dtype=np.int64)
             for p, tests in enumerate(leaf.tests):
-                passed[:, p] = np.logical_and.reduce([left[n] if goes else ~left[n] for n, goes in tests])
-            if table is not None:
-                code = passed @ (1 << np.arange(len(leaf.players)))
-                part = table[code]
-            else:
-                seen, back = np.unique(passed, axis=0, return_inverse=True)
-                part = leaf_contributions(seen.astype(float), leaf.cover, leaf.value)[back.ravel()]
-            total[:, list(leaf.players)] += part
+                passed = goes[tests[0][1]][tests[0][0]]
+                for n, side in tests[1:]:
+                    passed = passed & goes[side][n]
+                code += passed.astype(np.int64) << p
+            table = held.get(number)
+            if table is None and leaf.players:
+                seen, code = np.unique(code, return_inverse=True)
+                bits = ((seen[:, None] >> np.arange(len(leaf.players))) & 1).astype(float)
+                table = contributions(bits, np.array([leaf.cover]), np.array([leaf.value]))[0]
+            for p, player in enumerate(leaf.players):
+                total[player] += table[p].take(code)
     return total
 
 
@@ -195,12 +216,14 @@ def attribute(
     schema = ready.drop("__x").schema.add(name, T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [_tabulate(t) for t in shipped.value.trees]
+        model = shipped.value
+        # a small set of tables is kept for the task, a large one made again per tree and batch
+        tables = [tabulate(t) for t in model.trees] if table_bytes(model) <= _KEEP_BYTES else None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             x = batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            phi = attribute_batch(x, shipped.value, tables)
+            phi = attribute_batch(x, model, tables).T
             offsets = np.arange(0, phi.size + 1, phi.shape[1], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(phi.ravel()))
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]

@@ -216,19 +216,11 @@ def percentiles(values: DataFrame, group: str, value: str, probs: Sequence[float
     )
 
 
-def long_values(df: DataFrame, cols: Sequence[str], name: str = "column") -> DataFrame:
-    """Stack numeric columns into ``(column, value)``; NaN counts as missing."""
-    cells = F.array(*[
-        F.struct(F.lit(c).alias(name), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value"))
-        for c in cols
-    ])
-    return df.select(F.inline(cells)).where(F.col("value").isNotNull())
-
-
 def numbered_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Like :func:`long_values` with the column's position instead of its name.
+    """Stack numeric columns into ``(pos, value)``; NaN counts as missing.
 
-    A number is what should travel through the shuffles; names come back at the end.
+    The column's position and not its name travels through the shuffles; see
+    :func:`name_at`.
     """
     cells = F.array(*[
         F.struct(F.lit(i).alias("pos"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Mapping, Sequence
 
@@ -9,7 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsewide.functions import columns as C
-from pulsewide.operators.ordering import column_percentiles, long_values, percentile_map, percentiles
+from pulsewide.operators.ordering import (
+    column_percentiles,
+    name_at,
+    numbered_values,
+    percentile_map,
+    percentiles,
+)
 
 
 def _stack(one_row: DataFrame, cols: Sequence[str], fields: Mapping[str, str], name: str) -> DataFrame:
@@ -109,13 +116,14 @@ def categorical_profile(df: DataFrame, cols: Sequence[str], preview: int = 8) ->
 def level_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(column, level, n)`` over the non-null values of text columns."""
     cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in cols
+        F.struct(F.lit(i).alias("pos"), F.col(c).cast("string").alias("level")) for i, c in enumerate(cols)
     ])
     return (
         df.select(F.inline(cells))
         .where(F.col("level").isNotNull())
-        .groupBy("column", "level")
+        .groupBy("pos", "level")
         .agg(F.count(F.lit(1)).alias("n"))
+        .select(name_at(cols).alias("column"), "level", "n")
     )
 
 
@@ -208,10 +216,7 @@ def exposure(frames: Mapping[str, DataFrame], col: str, threshold: float = 10.0)
         )
         for name, frame in frames.items()
     ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def date_ranges(df: DataFrame, group: str, date_col: str) -> DataFrame:
@@ -244,63 +249,81 @@ def trim(df: DataFrame, col: str, lo: float = 0.01, hi: float = 0.99) -> DataFra
     return df.where(F.col(col).between(*bounds))
 
 
-def joint_bounds(frames: Sequence[DataFrame], col: str, lo: float = 0.01, hi: float = 0.99) -> tuple:
-    """Smallest lower and largest upper percentile over several populations."""
-    found = [percentile_map(f, [col], [lo, hi])[col] for f in frames]
-    return min(b[0] for b in found), max(b[1] for b in found)
+def _stacked_populations(frames: Sequence[DataFrame], cols: Sequence[str]) -> DataFrame:
+    """Values of several populations as ``(key, value)``, key = column * populations + population.
+
+    One number per column and population is what travels.
+    """
+    parts = [
+        numbered_values(f, cols).select((F.col("pos") * len(frames) + who).alias("key"), "value")
+        for who, f in enumerate(frames)
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def joint_bounds(
+    frames: Sequence[DataFrame], cols: Sequence[str], lo: float = 0.01, hi: float = 0.99
+) -> dict[str, tuple[float, float]]:
+    """Smallest lower and largest upper percentile over several populations, per column."""
+    found = percentiles(_stacked_populations(frames, cols), "key", "value", [lo, hi]).collect()
+    quantile = {(r["key"], r["prob"]): r["quantile"] for r in found}
+    bounds = {}
+    for pos, c in enumerate(cols):
+        keys = [pos * len(frames) + who for who in range(len(frames))]
+        lows = [quantile[k, lo] for k in keys if (k, lo) in quantile]
+        highs = [quantile[k, hi] for k in keys if (k, hi) in quantile]
+        bounds[c] = (min(lows, default=None), max(highs, default=None))
+    return bounds
 
 
 def joint_trim(frames: Sequence[DataFrame], col: str) -> list[DataFrame]:
-    bounds = joint_bounds(frames, col)
-    return [f.where(F.col(col).between(*bounds)) for f in frames]
+    lo, hi = joint_bounds(frames, [col])[col]
+    return [f.where(F.col(col).between(F.lit(lo), F.lit(hi))) for f in frames]
 
 
 def compare_populations(first: DataFrame, second: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean, median, population deviation and p95 of two populations, with their distance."""
-    tagged = _tagged(first, second, cols)
-    moments = tagged.groupBy("column", "population").agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")
-    )
-    both = F.concat_ws("|", "column", "population")
+    both = _stacked_populations([first, second], cols)
+    moments = both.groupBy("key").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     order = (
-        percentiles(tagged.select(both.alias("__key"), "value"), "__key", "value", [0.5, 0.95])
-        .groupBy("__key")
-        .pivot("prob", [0.5, 0.95])
-        .agg(F.first("quantile"))
-        .toDF("__key", "median", "p95")
+        percentiles(both, "key", "value", [0.5, 0.95])
+        .groupBy("key")
+        .agg(
+            F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("median"),
+            F.max(F.when(F.col("prob") == 0.95, F.col("quantile"))).alias("p95"),
+        )
     )
     # one row per column and population
-    stats = moments.withColumn("__key", both).join(F.broadcast(order), "__key")
-    long = stats.unpivot(
-        ["column", "population"], ["mean", "median", "std", "p95"], "stat", "value"
+    long = moments.join(F.broadcast(order), "key").unpivot(
+        ["key"], ["mean", "median", "std", "p95"], "stat", "value"
     )
-    one = lambda who: F.max(F.when(F.col("population") == who, F.col("value")))
-    return long.groupBy("column", "stat").agg(
-        one("first").alias("first"),
-        one("second").alias("second"),
-        F.abs(one("first") - one("second")).alias("abs_diff"),
-    )
-
-
-def _tagged(first: DataFrame, second: DataFrame, cols: Sequence[str]) -> DataFrame:
+    one = lambda who: F.max(F.when(F.col("key") % 2 == who, F.col("value")))
     return (
-        long_values(first, cols)
-        .withColumn("population", F.lit("first"))
-        .unionByName(long_values(second, cols).withColumn("population", F.lit("second")))
+        long.groupBy(F.floor(F.col("key") / 2).cast("int").alias("pos"), "stat")
+        .agg(one(0).alias("first"), one(1).alias("second"))
+        .select(
+            name_at(cols).alias("column"), "stat", "first", "second",
+            F.abs(F.col("first") - F.col("second")).alias("abs_diff"),
+        )
     )
 
 
-def mean_shift(first: DataFrame, second: DataFrame, col: str) -> DataFrame:
+def mean_shift(first: DataFrame, second: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Difference of means after the joint trim, absolute and relative to the second."""
-    a, b = joint_trim([first, second], col)
-    both = _tagged(a, b, [col])
-    one = both.agg(
-        F.avg(F.when(F.col("population") == "first", F.col("value"))).alias("mean_first"),
-        F.avg(F.when(F.col("population") == "second", F.col("value"))).alias("mean_second"),
-    )
+    bounds = joint_bounds([first, second], cols)
+    parts = [f.select(F.lit(who).alias("who"), *cols) for who, f in enumerate((first, second))]
+
+    def mean(c: str, who: int) -> Column:
+        x = F.col(c).cast("double")
+        kept = x.between(F.lit(bounds[c][0]), F.lit(bounds[c][1])) & (F.col("who") == who)
+        return F.avg(F.when(kept, x))
+
+    one = parts[0].unionByName(parts[1]).agg(*[
+        mean(c, who).alias(f"{c}|{name}") for c in cols for who, name in enumerate(("mean_first", "mean_second"))
+    ])
     delta = F.abs(F.col("mean_first") - F.col("mean_second"))
-    return one.select(
-        F.lit(col).alias("column"),
+    return _stack(one, cols, {"mean_first": "double", "mean_second": "double"}, "column").select(
+        "column",
         "mean_first",
         "mean_second",
         delta.alias("delta"),
@@ -409,10 +432,7 @@ def kernel_density(
         )
     if not parts:
         raise ValueError(f"no population has two distinct values in '{col}'")
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 # --- cross-tabs and cohorts ---------------------------------------------------

@@ -174,9 +174,8 @@ SELECT col AS "column", {r('a', 'mean_first')}, {r('b', 'mean_second')}, {r('abs
        {r('abs(a - b) / (abs(b) + 1e-9) * 100', 'relative_pct')}
 FROM m""")
 def a10_mean_shift(spark, sf_dir):
-    first, second = _populations(spark, sf_dir)
-    parts = [P.mean_shift(first, second, c) for c in _PAIR]
-    return rounded(parts[0].unionByName(parts[1]), "mean_first", "mean_second", "delta", "relative_pct")
+    shift = P.mean_shift(*_populations(spark, sf_dir), _PAIR)
+    return rounded(shift, "mean_first", "mean_second", "delta", "relative_pct")
 
 
 @query("p19_joint_trim", f"""

@@ -90,16 +90,23 @@ def test_long_paths_use_the_same_formula():
     explainer = A.Explainer(tuple(f"c{i}" for i in range(d)), (tree,))
     x = rng.normal(size=(64, d))
     x[:8] = -1.0
-    phi = A.attribute_batch(x, explainer, [A._tabulate(tree)])
+    phi = A.attribute_batch(x, explainer).T
     reached = np.where((x <= 0).all(axis=1), 1.5, 0.0)
     assert np.allclose(phi.sum(axis=1) + explainer.base_value, reached)
 
 
+def test_kept_tables_change_nothing(fitted):
+    classifier, explainer = fitted
+    x = np.random.default_rng(4).uniform(0, 300, (200, len(classifier.matrix.layout.slots)))
+    kept = A.attribute_batch(x, explainer, [A.tabulate(t) for t in explainer.trees])
+    assert np.array_equal(kept, A.attribute_batch(x, explainer))
+
+
 def test_single_leaf_tree_contributes_nothing():
     tree = A.Tree((), (A.Leaf(0.7, (), (), ()),))
     explainer = A.Explainer(("a", "b"), (tree,))
     assert explainer.base_value == 0.7
-    assert not A.attribute_batch(np.ones((3, 2)), explainer, [A._tabulate(tree)]).any()
+    assert not A.attribute_batch(np.ones((3, 2)), explainer).any()
 
 
 def test_importance_and_waterfall(spark, fitted, live):
