@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from pulsewide.operators.matrix import FEATURES
 from pulsewide.operators.model import BINARY, Classifier
 from pulsewide.operators.ordering import percentile_map
+from pulsewide.operators.split import sample_at_most
 from pulsewide.session import shared_dir
 
 SHAP = "shap"
@@ -293,6 +294,18 @@ def directional(
     )
 
 
+def points(
+    attributed: DataFrame, explainer: Explainer, key: Sequence[str], features: Sequence[str], n: int, seed: int = 42
+) -> DataFrame:
+    """Value and contribution of a seeded sample of rows, for a scatter per column."""
+    at = {c: i for i, c in enumerate(explainer.columns)}
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), F.col(SHAP)[at[c]].alias(SHAP))
+        for c in features
+    ])
+    return sample_at_most(attributed, key, n, seed).select(*key, F.inline(cells))
+
+
 def waterfall(
     attributed: DataFrame, explainer: Explainer, key: str, value, name: str = SHAP
 ) -> DataFrame:

@@ -119,7 +119,7 @@ def precision_recall(
     curve = running_totals(
         counts, "__g", "threshold", ["n", "pos"], value_cuts(rows, "__g", "threshold"), descending=True
     )
-    positives = rows.agg(F.sum("__y")).scalar()
+    positives = counts.agg(F.sum("pos")).scalar()
     b = beta * beta
     precision, recall = F.col("precision"), F.col("recall")
     return (

@@ -126,18 +126,18 @@ def locate(
     group: str,
     value: str,
     ranks: Column,
-    weight: str | None = None,
+    cuts: dict | None = None,
 ) -> DataFrame:
     """Values found at given 0-based ascending ranks: ``(group, n, rank, value, below, at)``.
 
     ``ranks`` is an array expression that may use the group's non-null count
     ``n``. ``below`` counts rows strictly smaller than the value, ``at`` those
-    equal to it. Only ranges that hold a wanted rank are sorted.
+    equal to it. Only ranges that hold a wanted rank are sorted. ``cuts`` may be
+    given where the values are known to be few, to save the pass that finds them.
     """
     present = values.where(F.col(value).isNotNull())
-    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = present.groupBy(group, value).agg(size.alias("__n"))
-    cuts = value_cuts(present, group, value)
+    counts = present.groupBy(group, value).agg(F.count(F.lit(1)).alias("__n"))
+    cuts = value_cuts(present, group, value) if cuts is None else cuts
     bucketed = with_buckets(counts, cuts, group, value)
 
     whole = Window.partitionBy(group)
@@ -248,13 +248,16 @@ def percentile_map(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -
     return {c: [found.get((c, float(p))) for p in probs] for c in cols}
 
 
-def rows_at_ranks(df: DataFrame, keys: Sequence[str], ranks: Sequence[int]) -> list[list]:
+def rows_at_ranks(
+    df: DataFrame, keys: Sequence[str], ranks: Sequence[int], first_key_is_day: bool = False
+) -> list[list]:
     """Key values of the rows at 0-based ranks under ascending ``keys``, one list per rank.
 
     Works key by key for all ranks together: find the values of the first key
     at the ranks, keep the rows that share one of them, go on with the next
     key inside each. A list ends early where its values already single out a
-    row. Keys must be numbers or dates without nulls.
+    row. Keys must be numbers or dates without nulls. A first key that is a day
+    has few distinct values, so it needs no ranges.
     """
     found: list[list] = [[] for _ in ranks]
     # open work: (position in ``ranks``, rank left inside the rows that share the values so far)
@@ -266,9 +269,10 @@ def rows_at_ranks(df: DataFrame, keys: Sequence[str], ranks: Sequence[int]) -> l
             for path, todo in open_ranks.items()
             for x in (F.lit(path), F.array(*[F.lit(rank).cast("bigint") for _, rank in todo]))
         ])
+        cuts = {"": []} if depth == 0 and first_key_is_day else None
         hits = {
             (h["__path"], h["rank"]): h
-            for h in locate(rest, "__path", key, F.element_at(wanted, F.col("__path"))).collect()
+            for h in locate(rest, "__path", key, F.element_at(wanted, F.col("__path")), cuts).collect()
         }
         deeper: dict[str, list] = {}
         for path, todo in open_ranks.items():

@@ -47,7 +47,10 @@ def _check(df: DataFrame, date_col: str, test_size: float | None = None) -> None
 def _first_rows(keyed: DataFrame, keys: Sequence[str], sizes: Sequence[int]) -> list[Column]:
     """For each size n, the condition that holds for the first n rows in key order."""
     some = [n for n in sizes if n > 0]
-    bounds = dict(zip(some, rows_at_ranks(keyed, keys, [n - 1 for n in some]))) if some else {}
+    if not some:
+        return [F.lit(False) for _ in sizes]
+    rows = rows_at_ranks(keyed, keys, [n - 1 for n in some], first_key_is_day=keys[0] == _DAY)
+    bounds = dict(zip(some, rows))
     return [at_or_before(keys, bounds[n]) if n > 0 else F.lit(False) for n in sizes]
 
 

@@ -118,7 +118,7 @@ def p17_any_not_null(spark, sf_dir):
 @query("p20_binary_label", f"""
 WITH {FEATURES} SELECT row_id, CAST(CASE WHEN nps_class = 0 THEN 1 ELSE 0 END AS TINYINT) AS label FROM order_features""")
 def p20_binary_label(spark, sf_dir):
-    return V.order_features(spark, sf_dir).select("row_id", C.is_detractor(F.col("nps_class")).alias("label"))
+    return V.orders(spark, sf_dir).select("row_id", C.is_detractor(F.col("nps_class")).alias("label"))
 
 
 @query("p23_zero_out", f"""
@@ -153,7 +153,7 @@ SELECT row_id, CASE WHEN month IN (SELECT month FROM m WHERE is_train) THEN mont
 FROM m WHERE NOT is_train""")
 def p25_categories(spark, sf_dir):
     """Newer rows keep only the months the older rows know."""
-    f = V.order_features(spark, sf_dir).select(
+    f = V.orders(spark, sf_dir).select(
         "row_id", "obs_date", F.date_format("obs_date", "yyyy-MM").alias("month")
     )
     older, newer = oot_split(f, "obs_date", ["row_id"])

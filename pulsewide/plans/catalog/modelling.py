@@ -166,6 +166,14 @@ def x4_directional(spark, sf_dir):
     return A.directional(materialise(attributed), explainer, features)
 
 
+@query("x4_points")
+def x4_points(spark, sf_dir):
+    """A sample of points for a scatter: a sampling operator, so it returns part of the rows."""
+    features = ["delay_days", "qty_sum"]
+    attributed, explainer = _attributed(spark, sf_dir, ("row_id", *features))
+    return A.points(materialise(attributed), explainer, KEY, features, 500)
+
+
 @query("x5_waterfall")
 def x5_waterfall(spark, sf_dir):
     """Contributions of the row with the highest score."""

@@ -89,7 +89,7 @@ SELECT col AS "column", count(*) AS n_distinct,
        string_agg(v, '|' ORDER BY v) FILTER (WHERE rk <= 8) AS preview
 FROM ranked GROUP BY col""")
 def a6_cat_profile(spark, sf_dir):
-    return P.categorical_profile(V.order_features(spark, sf_dir), _TEXT)
+    return P.categorical_profile(V.orders(spark, sf_dir), _TEXT)
 
 
 @query("l3_top_levels", f"""
@@ -97,7 +97,7 @@ WITH {FEATURES}, {_levels_sql()},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, v) AS rk FROM levels)
 SELECT col AS "column", v AS level, n, CAST(rk AS INTEGER) AS rank FROM ranked WHERE rk <= 8""")
 def l3_top_levels(spark, sf_dir):
-    return P.top_levels(V.order_features(spark, sf_dir), _TEXT, 8)
+    return P.top_levels(V.orders(spark, sf_dir), _TEXT, 8)
 
 
 @query("l3_sparsest", f"""
@@ -122,7 +122,7 @@ SELECT CAST(CASE WHEN nps_class = 0 THEN 1 ELSE 0 END AS TINYINT) AS label, coun
        {r('count(*) * 100.0 / sum(count(*)) OVER ()', 'share_pct')}
 FROM order_features GROUP BY 1""")
 def a18_label_balance(spark, sf_dir):
-    labelled = V.order_features(spark, sf_dir).select(C.is_detractor(F.col("nps_class")).alias("label"))
+    labelled = V.orders(spark, sf_dir).select(C.is_detractor(F.col("nps_class")).alias("label"))
     return rounded(P.shares(labelled, "label"), "share_pct")
 
 
@@ -198,7 +198,7 @@ def p19_joint_trim(spark, sf_dir):
 WITH {FEATURES}, b AS (SELECT quantile_cont(total_price, 0.01) AS lo, quantile_cont(total_price, 0.99) AS hi FROM order_features)
 SELECT row_id, total_price FROM order_features, b WHERE total_price BETWEEN lo AND hi""")
 def p18_trim(spark, sf_dir):
-    return P.trim(V.features(spark, sf_dir).select("row_id", "total_price"), "total_price")
+    return P.trim(V.orders(spark, sf_dir).select("row_id", "total_price"), "total_price")
 
 
 @query("a11_max_dev", f"""
@@ -275,7 +275,7 @@ SELECT priority, CAST(count_if(nps_class = 0) AS BIGINT) AS class_0, CAST(count_
        CAST(count_if(nps_class = 2) AS BIGINT) AS class_2, CAST(count_if(nps_class IN (0, 1, 2)) AS BIGINT) AS total
 FROM order_features GROUP BY priority""")
 def r4_crosstab(spark, sf_dir):
-    return P.cross_tab(V.order_features(spark, sf_dir), "priority", "nps_class", _CODES)
+    return P.cross_tab(V.orders(spark, sf_dir), "priority", "nps_class", _CODES)
 
 
 @query("r3_unpivot", f"""

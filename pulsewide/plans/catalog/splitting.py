@@ -12,7 +12,7 @@ from pulsewide.sources.eav import sample_entities
 
 
 def _dated(spark, sf_dir):
-    return V.order_features(spark, sf_dir).select("row_id", "obs_date")
+    return V.orders(spark, sf_dir).select("row_id", "obs_date")
 
 
 @query("l1_oot_split", f"WITH {FEATURES}, {_OOT} SELECT row_id, obs_date, is_train FROM parted")

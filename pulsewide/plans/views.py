@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsewide import schema as S
-from pulsewide.functions import columns as C
 from pulsewide.operators.pivot import add_severe_flag, pivot_first, type_meta, with_class
 from pulsewide.session import landed
 
@@ -60,6 +59,20 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_class(type_meta(renamed, "obs_date", "score"), "score")
 
 
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the order features that needs no lines."""
+    code = F.col("o_orderkey") * 7919 % 4
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("row_id"),
+        F.col("o_custkey").alias("cust_id"),
+        F.to_date("o_orderdate").alias("obs_date"),
+        F.col("o_orderpriority").alias("priority"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_totalprice").alias("total_price"),
+        F.when(code < 3, code).otherwise(-1).cast("int").alias("nps_class"),
+    )
+
+
 def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with the aggregates of its lines; NULL where it has none.
 
@@ -68,14 +81,7 @@ def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     fractions are rounded, because ranks need equal values to be equal whatever
     the order of summation was.
     """
-    o = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("row_id"),
-        F.col("o_custkey").alias("cust_id"),
-        F.to_date("o_orderdate").alias("obs_date"),
-        F.col("o_orderpriority").alias("priority"),
-        F.col("o_orderstatus").alias("status"),
-        F.col("o_totalprice").alias("total_price"),
-    )
+    o = orders(spark, sf_dir)
     lines = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("row_id"), F.to_date("l_shipdate").alias("shipped"))
@@ -103,13 +109,12 @@ def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     near_copy = F.when(
         F.col("row_id") % 5 != 0, F.col("price_sum") * 2 + F.col("row_id") % 3
     )
-    code = F.col("row_id") * 7919 % 4
     return joined.select(
         "row_id", "cust_id", "obs_date", "priority", "status", "total_price",
         "delay_days", "qty_sum", "price_sum", "disc_avg", "n_lines",
         near_copy.alias("price_alias"),
         F.lit(1.0).alias("const_col"),
-        F.when(code < 3, code).otherwise(-1).cast("int").alias("nps_class"),
+        "nps_class",
     )
 
 
