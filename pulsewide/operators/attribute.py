@@ -14,7 +14,6 @@ import math
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -123,7 +122,6 @@ def _leaf(value: float, path: Sequence[tuple]) -> Leaf:
     )
 
 
-@lru_cache(maxsize=None)
 def _coalition_weights(d: int) -> np.ndarray:
     """Shapley weight of a coalition of size k among d players: k! (d-k-1)! / d!"""
     return np.array([1.0 / (d * math.comb(d - 1, k)) for k in range(d)])
@@ -212,19 +210,19 @@ def attribute(
     df: DataFrame, classifier: Classifier, explainer: Explainer, keep: Sequence[str], name: str = SHAP
 ) -> DataFrame:
     """Columns ``keep`` plus the array of contributions, in ``explainer.columns`` order."""
-    shipped = df.sparkSession.sparkContext.broadcast(explainer)
     ready = classifier.matrix.transform(df).select(*keep, vector_to_array(FEATURES).alias("__x"))
     schema = ready.drop("__x").schema.add(name, T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
-        # a small set of tables is kept for the task, a large one made again per tree and batch
-        tables = [tabulate(t) for t in model.trees] if table_bytes(model) <= _KEEP_BYTES else None
+        # the explainer travels with the function; Spark broadcasts a large one
+        keep_tables = table_bytes(explainer) <= _KEEP_BYTES
+        # otherwise they are made again per tree and batch
+        tables = [tabulate(t) for t in explainer.trees] if keep_tables else None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             x = batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            phi = attribute_batch(x, model, tables).T
+            phi = attribute_batch(x, explainer, tables).T
             offsets = np.arange(0, phi.size + 1, phi.shape[1], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(phi.ravel()))
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
