@@ -189,7 +189,7 @@ def _rank_table(df: DataFrame, cols: Sequence[str], masks: _Masks) -> DataFrame:
     ).where(F.col("value").isNotNull())
     measures = [f"m{m}" for m in range(len(present))]
     counts = long.groupBy("pos", "value").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in measures]
+        *[F.sum(m).alias(m) for m in measures]
     )
     cuts = value_cuts(long, "pos", "value")
     running = running_totals(counts, "pos", "value", measures, cuts)
@@ -202,7 +202,10 @@ def _rank_table(df: DataFrame, cols: Sequence[str], masks: _Masks) -> DataFrame:
         # average rank of the tied block minus the mean rank (n + 1) / 2
         return (upto - (own - 1) / 2 - (size + 1) / 2).alias(f"r{m}")
 
-    return running.select("pos", "value", "n", *measures, *[centred(m) for m in range(len(present))])
+    # a value of a column counts once in the column's own mask class
+    own_class = F.get(F.array(*[F.lit(m) for m in masks.of_column]), F.col("pos"))
+    n = F.get(F.array(*measures), own_class).alias("n")
+    return running.select("pos", "value", n, *measures, *[centred(m) for m in range(len(present))])
 
 
 def _rank_sums_of_squares(table: DataFrame, n_masks: int) -> dict:

@@ -68,12 +68,11 @@ def with_buckets(counts: DataFrame, cuts: dict, group: str, value: str) -> DataF
         held = counts.join(F.broadcast(listed), group)
     below = lambda c: c < F.col(value)
     chunk = F.size(F.filter(_CUTS, lambda c: F.coalesce(below(F.get(c, F.size(c) - 1)), F.lit(False))))
+    bucket = F.col("__chunk") * _CHUNK + F.size(F.filter(F.get(_CUTS, F.col("__chunk")), below))
     return (
         held.withColumn("__chunk", chunk)
-        .withColumn(
-            _BUCKET,
-            F.col("__chunk") * _CHUNK + F.size(F.filter(F.get(_CUTS, F.col("__chunk")), below)),
-        )
+        # never null, and said so, else a later join on it computes it again to check
+        .withColumn(_BUCKET, F.coalesce(bucket, F.lit(0)))
         .drop(_CUTS, "__chunk")
     )
 
@@ -89,8 +88,8 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums of ``measures`` in ``value`` order within ``group``.
 
-    ``counts`` holds one row per (group, value). A measure may be a number or
-    an array of numbers, which is summed position by position.
+    ``counts`` holds one row per (group, value) and should have no columns
+    beyond the measures: the range totals and the rows then read one shuffle.
     """
     bucketed = with_buckets(counts, cuts, group, value)
     order = F.desc if descending else F.asc
