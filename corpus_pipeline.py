@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsewide.llm import decontaminate, lines, mixing, quality
+from pulsewide.llm import decontaminate, jaccard, lines, mixing, quality
 from pulsewide.session import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,8 +34,6 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id."""
-    from pulsewide.llm import jaccard
-
     return jaccard.keep_one(docs).select(*COLUMNS)
 
 
