@@ -53,9 +53,10 @@ _ARTICLE = frozenset(("article", "main"))
 _MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adbox|sponsor(?:ed)?|promo(?:tion)?s?|banners?|"
     r"sidebars?|side|widgets?|aside|rail|nav|navbar|navigation|menus?|breadcrumbs?|toolbar|topbar|pagination|pager|"
-    r"footers?|foot|masthead|header|comments?|disqus|respond|replies|reply|reactions?|discussion|"
+    r"footers?|foot|masthead|comments?|disqus|respond|replies|reply|reactions?|discussion|"
     r"cookies?|consent|gdpr|notices?|notification|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|signup|"
     r"login|share|sharing|social|related|recommended|recommendations|copyright|legal|skip)(?:$|[\s_-])", re.I)
+_HEADER = re.compile(r"(?:^|[\s_-])headers?(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog toolbar".split())
 
 
@@ -70,7 +71,7 @@ def _apart(tag: str, attributes: str, inside: bool) -> bool:
         name = m[1].lower()
         if name == "hidden" or name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and _MARKED.search(value):
+        if name in ("class", "id") and (_MARKED.search(value) or not inside and _HEADER.search(value)):
             return True
     return False
 
