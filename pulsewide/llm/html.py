@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -109,11 +110,13 @@ class _Lines:
 def _strip(page: str) -> list[tuple[str, int, bool, bool]]:
     lines = _Lines()
     stack: list[tuple[str, bool, bool]] = []  # tag, apart, article
+    open_: Counter[str] = Counter()
     apart = article = links = at = 0
 
     def pop() -> None:
         nonlocal apart, article, links
         tag, a, b = stack.pop()
+        open_[tag] -= 1
         apart -= a
         article -= b
         links -= tag == "a"
@@ -137,7 +140,7 @@ def _strip(page: str) -> list[tuple[str, int, bool, bool]]:
         if tag in _VOID:
             continue
         if closing:
-            if any(s[0] == tag for s in stack):
+            if open_[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -159,6 +162,7 @@ def _strip(page: str) -> list[tuple[str, int, bool, bool]]:
         is_apart = _apart(tag, m[4], inside)
         is_article = tag in _ARTICLE and not is_apart
         stack.append((tag, is_apart, is_article))
+        open_[tag] += 1
         apart += is_apart
         article += is_article
         links += tag == "a"
