@@ -42,7 +42,7 @@ KINDS = tuple(PATTERNS)
 
 #: Kinds the method adds: pattern, what a text must have, and score without context.
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
-_LOCAL_PHONE = r"(?<![0-9A-Za-z+.)-])(?<!\+[0-9]{1,3}[\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])"
+_LOCAL_PHONE = r"(?<![0-9A-Za-z+.()-])(?<!\+[0-9]{1,3}[\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])"
 _SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 ADDED = ("iban", "local_phone", "ssn")
 LIMIT = 0.5
