@@ -127,8 +127,8 @@ def _chunk_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
         if n >= words:
             yield np.unique(shingles[first : end - words + 1])
         elif n:
-            one = np.uint64(n) * _SHORT
-            yield _mix(np.array([(hashes[first:end] * _PLACES[:n]).sum(dtype=np.uint64) ^ one], np.uint64))
+            one = (hashes[first:end] * _PLACES[:n]).sum(dtype=np.uint64, keepdims=True)
+            yield _mix(one ^ _mix(np.array([n], np.uint64)))
         else:
             yield np.zeros(0, np.uint64)
 
@@ -158,7 +158,7 @@ def _entries(tokens: np.ndarray, counts: np.ndarray, limit: int, percent: int) -
     needed = n - _least(n, percent) + 1
     out = []
     for band, classes in _bands(n, percent):
-        salt = np.uint64(2 * band + 1) * _SHORT
+        salt = _mix(np.array([2 * band + 1], np.uint64))
         if not band:
             out.append(_mix(tokens[:needed] ^ salt))
             continue
@@ -385,7 +385,9 @@ def near_duplicate_groups(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
     """One row for each row of ``docs``: its key, ``n_shingles`` and ``component_id``,
-    the smallest key that links lead to."""
+    the smallest key that links lead to. ``percent`` is from 50 to 100."""
+    if not 50 <= percent <= 100:
+        raise ValueError(f"percent must be from 50 to 100; got {percent!r}")
     features = materialise(_features(docs, key, text, words, percent))
     linked = features.where("n > 0 and id is not null")
     sets = materialise(linked.groupBy("same").agg(

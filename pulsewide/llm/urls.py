@@ -42,7 +42,7 @@ RULES = (
 # Terms that label a URL as rejected when the models are fitted.
 REJECT_TERMS = ("casino", "poker", "bets", "betting", "pills", "viagra", "adult", "porn", "xxx", "escort", "payday", "spam", "ads")
 
-FALSE_BLOCKS = 0.001
+FALSE_BLOCKS = 0.005
 _SYMBOLS = 32
 _BINS = 1000
 
