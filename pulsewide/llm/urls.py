@@ -5,13 +5,14 @@ rule wins. All other URLs are judged by two smoothed Markov models of variable o
 over 32 character symbols, one of accepted and one of rejected URLs. Rejected are
 those with a term of ``REJECT_TERMS`` between other characters than letters, accepted
 all others that no rule blocks.
-A model mixes orders 0 to 2, each trusted the more the oftener its context was seen
-(Witten-Bell). What a URL scores is the mean log-likelihood difference per symbol;
-a URL is blocked if it scores below a limit, which is set where at most
-``FALSE_BLOCKS`` of the accepted URLs would be lost.
+A model uses the longest context, of 2 symbols at most, that it has seen ``MIN_CONTEXT``
+times, mixed with the shorter ones by how often it was seen (Witten-Bell); so a few bad
+URLs among the accepted teach that model nothing of their own. What a URL scores is the mean log-likelihood difference per symbol;
+a URL is blocked if it scores below a limit: the score below which ``FALSE_BLOCKS`` of
+the accepted URLs lie, or halfway from there to that of the rejected, if these lie lower.
 
 Counts are taken over all URLs. They come to the driver as at most 2 x 32^3 numbers
-(the models) and 2 x 2,001 (the scores of labelled URLs in bins), whatever the input.
+(the models) and 2 x 4,001 (the scores of labelled URLs in bins), whatever the input.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no
 rule and scores nothing: it is allowed; with no accepted or no rejected URLs every
@@ -43,8 +44,10 @@ RULES = (
 REJECT_TERMS = ("casino", "poker", "bets", "betting", "pills", "viagra", "adult", "porn", "xxx", "escort", "payday", "spam", "ads")
 
 FALSE_BLOCKS = 0.005
+MIN_CONTEXT = 32
 _SYMBOLS = 32
-_BINS = 1000
+#: Scores are binned for the limit by hundredths, from -20 to 20.
+_BINS, _RANGE = 100, 20.0
 
 OUTPUTS = ("host", "path", "rule", "score", "verdict")
 
@@ -98,6 +101,8 @@ def _model(counts: dict[int, int]) -> list[float]:
 
     def mixed(seen: list[int], lower: list[float]) -> list[float]:
         total, kinds = sum(seen), sum(1 for x in seen if x)
+        if total < MIN_CONTEXT:
+            return lower
         return [(n + max(kinds, 1) * p) / (total + max(kinds, 1)) for n, p in zip(seen, lower)]
 
     order0 = mixed(zero, [1 / _SYMBOLS] * _SYMBOLS)
@@ -109,16 +114,19 @@ def _model(counts: dict[int, int]) -> list[float]:
     return out
 
 
+def _below(bins: dict[int, int], share: float) -> float:
+    """The score that at most a share of the binned scores lie below."""
+    allowed, lost = share * sum(bins.values()), 0
+    for b in sorted(bins):
+        if lost + bins[b] > allowed:
+            break
+        lost += bins[b]
+    return b / _BINS
+
+
 def _limit(bins: dict[bool, dict[int, int]]) -> float:
-    """The score below which at most a share of FALSE_BLOCKS of the accepted lie."""
-    accepted = bins[True]
-    allowed = FALSE_BLOCKS * sum(accepted.values())
-    lost = 0
-    for b in sorted(accepted):
-        if lost + accepted[b] > allowed:
-            return min(0.0, b / _BINS)
-        lost += accepted[b]
-    return 0.0
+    accepted, rejected = _below(bins[True], FALSE_BLOCKS), _below(bins[False], 1 - FALSE_BLOCKS)
+    return (accepted + rejected) / 2 if rejected < accepted else accepted
 
 
 def filter_urls(
@@ -153,7 +161,7 @@ def filter_urls(
         table = F.split(F.lit(",".join(f"{a - b:.6f}" for a, b in zip(accepted, rejected))), ",").cast("array<double>")
         score = F.when(F.size("grams") > 0, F.aggregate("grams", F.lit(0.0), lambda s, t: s + F.get(table, t)) / F.size("grams"))
         bins: dict[bool, dict[int, int]] = {True: {}, False: {}}
-        binned = labelled.select("accepted", F.floor(F.greatest(F.least(score, F.lit(1.0)), F.lit(-1.0)) * _BINS).alias("bin"))
+        binned = labelled.select("accepted", F.floor(F.greatest(F.least(score, F.lit(_RANGE)), F.lit(-_RANGE)) * _BINS).alias("bin"))
         for r in binned.where("bin is not null").groupBy("accepted", "bin").count().collect():
             bins[r["accepted"]][r["bin"]] = r["count"]
         limit = _limit(bins)
