@@ -17,11 +17,13 @@ misses at most tau = n - ceil(percent * n / 100) tokens of its own in the other.
 
 Documents with equal sets are collapsed first. Index entries that one set alone has
 drop out by a filter of once-seen and twice-seen entries, which a constant bounds. Of
-an entry's sets each is compared with the smallest id only, by exact overlap of the
-whole sets. What that links is one component, whose members need no comparison among
-themselves; entries that still hold several components go on without the id they were
-compared with: small ones pair their components directly, large ones take the next id.
-So no group is paired out, and no link between components is missed.
+an entry's sets each is compared with one center only, the set with the fewest odd
+tokens, by exact overlap of the whole sets. What that links is one component, whose
+members need no comparison among themselves; entries that still hold several components
+go on without their center: small ones pair their components directly, large ones take
+the next center first. Not compared are sets that cannot be linked by their sizes, by the
+place of the entry in their order, by how many of their tokens no other set has, or by how
+much their distances to the first center differ. So no group is paired out, and no link between components is missed.
 
 Defined cases: null and empty texts, and texts without words, have no tokens and are
 linked with nothing; a document of fewer words than a shingle is one token; rows of
@@ -54,18 +56,21 @@ BAND = 4
 #: Bits of the filter for each index entry, and its bound.
 ENTRY_BITS, MAX_BITS = 8, 1 << 29
 #: Entries with up to so many sets left pair their components directly.
-DIRECT = 32
-STAR_ROUNDS = 8
-_CHUNK_BYTES = 4 << 20
-
-_SPACES = np.zeros(256, bool)
-_SPACES[[9, 10, 11, 12, 13, 32]] = True
+DIRECT = 256
+STAR_ROUNDS = 2
+#: Texts are hashed together up to about so many bytes, which stay in the processor's cache.
+_CHUNK_BYTES = 1 << 17
+
+#: White space becomes a space, A-Z become a-z.
+_PLAIN = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: What keeps the first k bytes of eight.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _random = np.random.Generator(np.random.PCG64(20240501))
-_BYTES = _random.integers(0, 1 << 64, 256, np.uint64)
-_BYTES[65:91] = _BYTES[97:123]
 _PLACES = _random.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SHORT = np.uint64(0xD6E8FEB86659FD93)
+#: The bit that entries of single tokens have and those of pairs have not.
+_SINGLE = np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,26 +82,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+_SALTS = _mix(np.arange(1, 65, dtype=np.uint64))
 
 
 def _word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z lower-cased, and where each text's words begin (one more)."""
-    data = np.frombuffer(b" ".join(texts), np.uint8)
-    limits = np.cumsum([0, *[len(t) + 1 for t in texts]])
-    inside = ~_SPACES[data]
-    edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    """Hashes of all words, A-Z lower-cased, and where each text's words begin (one more).
+
+    Words are read eight bytes at a time, all words together.
+    """
+    data = b" " + b" ".join(texts).translate(_PLAIN) + b" " * 9
+    inside = np.frombuffer(data, np.uint8) != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[0::2], edges[1::2]
     lengths = ends - starts
-    offsets = np.cumsum(lengths) - lengths
-    at = np.arange(int(lengths.sum())) - np.repeat(offsets, lengths)
-    values = _BYTES[data[inside]] * _powers(int(lengths.max()))[at]
-    hashes = _mix(np.add.reduceat(values, offsets) + lengths.astype(np.uint64) * _SHORT)
+    eight = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))
+    hashes = _mix((eight[starts] & _KEEP[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * _SHORT)
+    rest, at = np.flatnonzero(lengths > 8), 8
+    while len(rest):
+        part = eight[starts[rest] + at] & _KEEP[np.minimum(lengths[rest] - at, 8)]
+        hashes[rest] = _mix(hashes[rest] * _BASE ^ part)
+        at += 8
+        rest = rest[lengths[rest] > at]
+    limits = np.cumsum([1, *[len(t) + 1 for t in texts]])
     return hashes, np.searchsorted(starts, limits)
 
 
@@ -125,7 +132,11 @@ def _chunk_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
     for first, end in zip(begins[:-1], begins[1:]):
         n = int(end - first)
         if n >= words:
-            yield np.unique(shingles[first : end - words + 1])
+            tokens = np.sort(shingles[first : end - words + 1])
+            fresh = np.empty(len(tokens), bool)
+            fresh[0] = True
+            np.not_equal(tokens[1:], tokens[:-1], out=fresh[1:])
+            yield tokens[fresh]
         elif n:
             one = (hashes[first:end] * _PLACES[:n]).sum(dtype=np.uint64, keepdims=True)
             yield _mix(one ^ _mix(np.array([n], np.uint64)))
@@ -149,34 +160,48 @@ def _bands(n: int, percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def _entries(tokens: np.ndarray, counts: np.ndarray, limit: int, percent: int) -> np.ndarray:
-    """Index entries of a set: hashes of rare tokens and of pairs of frequent ones."""
+def _seen(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return counts[(tokens >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)]
+
+
+def _odd(seen: np.ndarray) -> int:
+    """Tokens seen less than half as often as the set's median token."""
+    return int((2 * seen < np.median(seen)).sum())
+
+
+def _entries(tokens: np.ndarray, seen: np.ndarray, limit: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index entries of a set, hashes of rare tokens and of pairs of frequent ones, and
+    for each how many tokens the set has from there on in the common order."""
     n = len(tokens)
-    seen = counts[(tokens >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)]
-    order = np.lexsort((tokens, seen))
+    order = np.argsort(seen, kind="stable")  # the tokens come sorted, so ties are in their order
     tokens, frequent = tokens[order], seen[order] > limit
+    rare = n - int(frequent.sum())  # and these come first
     needed = n - _least(n, percent) + 1
-    out = []
+    out, rest = [], []
+
+    def singles(chosen: np.ndarray, salt: np.uint64) -> None:
+        out.append(_mix(chosen ^ salt) | _SINGLE)
+        rest.append(np.arange(n, n - len(chosen), -1))
+
     for band, classes in _bands(n, percent):
-        salt = _mix(np.array([2 * band + 1], np.uint64))
-        if not band:
-            out.append(_mix(tokens[:needed] ^ salt))
+        salt = _SALTS[band]
+        if not band or needed <= rare:
+            singles(tokens[:needed], salt)
             continue
         group = (tokens % np.uint64(classes)).astype(np.int64)
         counted = np.ones(n, np.int64)
-        at = np.flatnonzero(frequent)
-        counted[at[np.unique(group[at], return_index=True)[1]]] = 0
+        counted[rare + np.unique(group[rare:], return_index=True)[1]] = 0
         size = int(np.searchsorted(np.cumsum(counted), needed)) + 1
-        prefix, often = tokens[:size], frequent[:size]
-        out.append(_mix(prefix[~often] ^ salt))
-        paired, kind = prefix[often], group[:size][often]
+        singles(tokens[:rare], salt)
+        paired, kind = tokens[rare:size], group[rare:size]
         inner = np.lexsort((paired, kind))
         paired, kind = paired[inner], kind[inner]
         step = 1
         while step < len(paired) and (same := kind[step:] == kind[:-step]).any():
-            out.append(_mix(_mix(paired[:-step][same] ^ salt) + paired[step:][same] * _BASE))
+            out.append(_mix(_mix(paired[:-step][same] ^ salt) + paired[step:][same] * _BASE) & ~_SINGLE)
+            rest.append(np.full(len(out[-1]), n - rare))
             step += 1
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out), np.concatenate(rest)
 
 
 def _bucket_counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
@@ -196,29 +221,35 @@ def _bucket_counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
 
 
 def _features(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """``id``, number of tokens, digest of the set and its index entries."""
+    """``id``, number of tokens, of odd ones, digest of the set and its index entries."""
     counts = _bucket_counts(docs, text, words)
     mean = float(counts.sum()) / len(counts)
     limit = int(mean + 6 * mean**0.5) + FREQUENT
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     kind = docs.schema[key].dataType
     schema = T.StructType([
-        T.StructField("id", kind), T.StructField("n", T.LongType()),
+        T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("odd", T.LongType()),
         T.StructField("same", T.BinaryType()), T.StructField("entries", T.ArrayType(T.LongType())),
+        T.StructField("rests", T.ArrayType(T.IntegerType())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, same, entries = [], [], []
+            sizes, odd, same, entries, rests = [], [], [], [], []
             for tokens in token_sets(as_bytes(b.column(1)), words):
+                seen = _seen(tokens, shared.value)
                 sizes.append(len(tokens))
+                odd.append(_odd(seen) if len(tokens) else 0)
                 same.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                entries.append(_entries(tokens, shared.value, limit, percent) if len(tokens) else tokens)
-            ends = np.cumsum([0, *map(len, entries)], dtype=np.int32)
-            flat = np.concatenate(entries).view(np.int64) if entries else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+                own, rest = _entries(tokens, seen, limit, percent) if len(tokens) else (tokens, tokens)
+                entries.append(own.view(np.int64))
+                rests.append(rest.astype(np.int32))
+            ends = pa.array(np.cumsum([0, *map(len, entries)], dtype=np.int32), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x or [np.zeros(0)]), t))
+                     for x, t in ((entries, pa.int64()), (rests, pa.int32()))]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), lists], names=schema.names
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array(odd, pa.int64()), pa.array(same, pa.binary()), *lists],
+                names=schema.names,
             )
 
     return docs.select(quoted(key).alias("id"), quoted(text).cast("string").alias("t")).mapInArrow(run, schema)
@@ -240,8 +271,14 @@ def _is_set(array: np.ndarray, places: tuple[np.ndarray, ...]) -> np.ndarray:
     return (found[0] & found[1]).astype(bool)
 
 
-def _shared_entries(sets: DataFrame) -> DataFrame:
-    """``(entry, id, n)`` without most of the entries that one set alone has."""
+def _shared_entries(sets: DataFrame, percent: int) -> DataFrame:
+    """``(entry, id, n, odd, rest)`` without most of the entries that one set alone has.
+
+    At the first entry that two sets share, no token before it is common, so ``rest``, the
+    tokens from there on, bounds their overlap. A single token whose entry no other set has
+    is in no other set; ``rest`` is at most what is left without such tokens. Sets that
+    could not be linked with any other for that reason alone drop out.
+    """
     total = sets.agg(F.sum(F.size("entries").cast("bigint"))).first()[0] or 0
     bits = 1 << 20
     while bits < MAX_BITS and bits < ENTRY_BITS * total:
@@ -266,43 +303,54 @@ def _shared_entries(sets: DataFrame) -> DataFrame:
     twice = sets.sparkSession.sparkContext.broadcast(
         fold(sets, ["entries"], ["uint8", "uint8"], bits // 8, start, merge, keep=[1])[0]
     )
-    schema = T.StructType([T.StructField("entry", T.LongType()), T.StructField("id", sets.schema["id"].dataType), T.StructField("n", T.LongType())])
+    schema = T.StructType([
+        T.StructField("entry", T.LongType()), T.StructField("id", sets.schema["id"].dataType),
+        T.StructField("n", T.LongType()), T.StructField("odd", T.LongType()), T.StructField("rest", T.LongType()),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(2)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            kept = np.flatnonzero(_is_set(twice.value, _places(flat, bits)))
+            again = _is_set(twice.value, _places(flat, bits))
+            n = b.column(1).to_numpy(zero_copy_only=False)
+            bands = np.array([len(_bands(int(x), percent)) for x in n])
+            # a token has an entry in each of the set's bands
+            alone = np.bincount(owner[~again & (flat & 1 == 1)], minlength=len(n))
+            open_ = n - -(-alone // bands)
+            rest = np.minimum(b.column(4).flatten().to_numpy(zero_copy_only=False), open_[owner])
+            kept = np.flatnonzero(again & (100 * rest >= percent * n[owner]))
             rows = pa.array(owner[kept])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[kept], pa.int64()), b.column(0).take(rows), b.column(1).take(rows)], names=schema.names
+                [pa.array(flat[kept], pa.int64()), *[b.column(k).take(rows) for k in (0, 1, 3)], pa.array(rest[kept], pa.int64())],
+                names=schema.names,
             )
 
-    return sets.select("id", "n", "entries").mapInArrow(run, schema)
+    return sets.select("id", "n", "entries", "odd", "rests").mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """Pairs ``(u, v)`` whose whole sets overlap enough. Texts come by two joins on the
-    id; only texts of documents in some pair, by a filter of their ids, are moved."""
+def _compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """Pairs with the Jaccard ``distance`` of their whole sets and whether they are
+    ``linked``. Texts come by two joins on the id; only texts of documents in some pair,
+    by a filter of their ids, are moved."""
     kind = docs.schema[key].dataType
     n_bits = 1 << 23
 
     def start(arrays):
         def update(columns):
-            for c in columns:
-                _set(arrays[0], (_places(c.to_numpy(zero_copy_only=False), n_bits)[0],))
+            for array, c in zip(arrays, columns):
+                _set(array, (_places(c.to_numpy(zero_copy_only=False), n_bits)[0],))
 
         return update
 
     def merge(a, b):
-        a[0] |= b[0]
+        for x, y in zip(a, b):
+            x |= y
 
-    hashed = pairs.withColumns({"hu": F.xxhash64("u"), "hv": F.xxhash64("v")})
-    wanted = {
-        side: docs.sparkSession.sparkContext.broadcast(fold(hashed, [side], ["uint8"], n_bits // 8, start, merge, keep=[0])[0])
-        for side in ("hu", "hv")
-    }
+    hashed = pairs.select(F.xxhash64("u").alias("hu"), F.xxhash64("v").alias("hv"))
+    found = fold(hashed, ["hu", "hv"], ["uint8", "uint8"], n_bits // 8, start, merge, keep=[0, 1])
+    wanted = {side: docs.sparkSession.sparkContext.broadcast(f) for side, f in zip(("u", "v"), found)}
     schema = T.StructType([T.StructField("id", kind), T.StructField("t", T.StringType())])
 
     def texts(side: str) -> DataFrame:
@@ -319,68 +367,83 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int
         return source.mapInArrow(run, schema)
 
     both = (
-        pairs.join(texts("hu").withColumnsRenamed({"id": "u", "t": "tu"}), "u")
-        .join(texts("hv").withColumnsRenamed({"id": "v", "t": "tv"}), "v")
+        pairs.join(texts("u").withColumnsRenamed({"id": "u", "t": "tu"}), "u")
+        .join(texts("v").withColumnsRenamed({"id": "v", "t": "tv"}), "v")
         .select("u", "v", "tu", "tv")
     )
-    out = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
+    out = T.StructType([T.StructField("u", kind), T.StructField("v", kind), T.StructField("distance", T.DoubleType()), T.StructField("linked", T.BooleanType())])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_text, last = b"", np.zeros(0, np.uint64)  # rows come by v, whose set serves many u
         for b in batches:
-            good = []
+            distance, linked = [], []
             firsts, seconds = as_bytes(b.column(2)), [t or b"" for t in as_bytes(b.column(3))]
             for k, mine in enumerate(token_sets(firsts, words)):
                 if seconds[k] != last_text:
                     last_text, last = seconds[k], next(token_sets([seconds[k]], words))
                 common = len(np.intersect1d(mine, last, assume_unique=True))
-                if common and 100 * common >= percent * (len(mine) + len(last) - common):
-                    good.append(k)
-            rows = pa.array(good, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows)], names=["u", "v"])
+                union = len(mine) + len(last) - common
+                distance.append(1 - common / max(union, 1))
+                linked.append(bool(common) and 100 * common >= percent * union)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], names=out.names)
 
-    return both.mapInArrow(check, out)
+    return both.mapInArrow(compare, out)
 
 
 def _components(
     shared: DataFrame, known: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int
 ) -> DataFrame:
-    """Components under the known links and enough of those that entries lead to."""
-    edges, tested, labels = known, None, components(known)
-    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    left = shared.join(labels, F.col("id") == F.col("node"), "left").select(
-        "entry", "id", "n", F.coalesce("component", "id").alias("part"))
+    """Components under the known links and enough of those that entries lead to.
+
+    ``shared`` has the entries' sets. Rows of ``left`` carry the distance to their entry's first center, at least ``low``
+    and at most ``high``. Jaccard distance is a metric, so two sets whose distances to
+    the center differ by more than a link allows are not linked and not compared.
+    """
+    far = 1 - percent / 100 + 1e-9
+    most = F.least("rest", "rest_v")  # of the overlap, if this is their first common entry
+    edges = known
+    labels = components(known) if not known.isEmpty() else known.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    left = _with_parts(shared, labels).withColumns({"low": F.lit(0.0), "high": F.lit(1.0)})
     for round_ in range(STAR_ROUNDS + 1):
         groups = left.groupBy("entry").agg(
-            F.count(F.lit(1)).alias("k"), F.min("id").alias("center"), F.min("part").alias("low"), F.max("part").alias("high")
-        ).where((F.col("low") != F.col("high")) & (F.col("k") > 1))
-        left = materialise(left.join(groups, "entry").select("entry", "id", "n", "part", "k", "center"))
+            F.count(F.lit(1)).alias("k"), F.min(F.struct("odd", "id")).alias("best"),
+            F.min("part").alias("first"), F.max("part").alias("last"),
+        ).where(F.col("first") != F.col("last")).withColumn("center", F.col("best.id"))
+        left = materialise(left.join(groups, "entry").select("entry", "id", "n", "odd", "rest", "part", "low", "high", "k", "center"))
         if left.isEmpty():
             break
-        direct = F.lit(round_ == STAR_ROUNDS) | (F.col("k") <= DIRECT) if round_ else F.lit(False)
-        centers = left.where((F.col("id") == F.col("center")) & ~direct).select("entry", F.col("id").alias("v"), F.col("n").alias("m"), F.col("part").alias("other"))
-        pairs = left.where(~direct & (F.col("id") != F.col("center"))).join(centers, "entry")
-        pairs = pairs.where((F.col("part") != F.col("other")) & fits).select(F.col("id").alias("u"), "v")
-        if round_:
-            few = left.where(direct).select("entry", "id", "n", "part")
-            again = few.select("entry", F.col("id").alias("v"), F.col("n").alias("m"), F.col("part").alias("other"))
-            more = few.join(again, "entry").where((F.col("id") > F.col("v")) & (F.col("part") != F.col("other")) & fits)
-            pairs = pairs.union(more.select(F.col("id").alias("u"), "v"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = materialise(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        found = materialise(_verified(pairs, docs, key, text, words, percent))
-        edges = edges.union(found)
-        labels = components(edges)
+        direct = F.lit(round_ == STAR_ROUNDS) if round_ in (0, STAR_ROUNDS) else F.col("k") <= DIRECT
+        other = left.where(direct | (F.col("id") == F.col("center"))).select(
+            "entry", F.col("id").alias("v"), F.col("n").alias("m"), F.col("rest").alias("rest_v"), F.col("part").alias("part_v"),
+            F.col("low").alias("low_v"), F.col("high").alias("high_v"))
+        pairs = left.join(other, "entry").where(
+            F.when(direct, F.col("id") > F.col("v")).otherwise(F.col("id") != F.col("v"))
+            & (F.col("part") != F.col("part_v"))
+            & (100 * most >= percent * (F.col("n") + F.col("m") - most))
+            & (F.col("low") - F.col("high_v") <= far) & (F.col("low_v") - F.col("high") <= far)
+        ).select(F.col("id").alias("u"), "v").distinct()
+        compared = materialise(_compared(materialise(pairs), docs, key, text, words, percent))
+        found = compared.where("linked").select("u", "v")
+        if not found.isEmpty():
+            edges = edges.union(found)
+            labels = components(edges)
         # the center has met all others of its entry; entries that paired directly are done
-        left = left.where((F.col("id") != F.col("center")) & ~direct).select("entry", "id", "n")
-        left = left.join(labels, F.col("id") == F.col("node"), "left").select(
-            "entry", "id", "n", F.coalesce("component", "id").alias("part"))
+        left = left.where((F.col("id") != F.col("center")) & ~direct)
+        if not round_:
+            met = compared.groupBy(F.col("u").alias("id"), F.col("v").alias("center")).agg(F.min("distance").alias("distance"))
+            left = left.drop("low", "high").join(met, ["id", "center"], "left").select(
+                "entry", "id", "n", "odd", "rest", F.coalesce("distance", F.lit(0.0)).alias("low"), F.coalesce("distance", F.lit(1.0)).alias("high"))
+        left = _with_parts(left.select("entry", "id", "n", "odd", "rest", "low", "high"), labels)
     return labels
 
 
+def _with_parts(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with the component of their id so far, as ``part``."""
+    return rows.join(labels, F.col("id") == F.col("node"), "left").withColumn(
+        "part", F.coalesce("component", "id")).drop("node", "component")
+
+
 def near_duplicate_groups(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
@@ -391,8 +454,9 @@ def near_duplicate_groups(
     features = materialise(_features(docs, key, text, words, percent))
     linked = features.where("n > 0 and id is not null")
     sets = materialise(linked.groupBy("same").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.first("entries").alias("entries")))
-    shared = materialise(_shared_entries(sets))
+        F.min("id").alias("id"), F.first("n").alias("n"), F.first("odd").alias("odd"),
+        F.first("entries").alias("entries"), F.first("rests").alias("rests")))
+    shared = materialise(_shared_entries(sets, percent))
     named = sets.select("same", F.col("id").alias("first"))
     # rows of equal id are one document: all its sets are linked
     several = linked.groupBy("id").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a != b").select("id")
