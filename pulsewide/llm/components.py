@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node ``u`` or ``v`` that is not its component's
     smallest. Each round is written to the shared folder; the number of rounds grows
     with the logarithm of the longest path. Nothing but counts comes to the driver."""
-    current = materialise(edges.where(F.col("u") != F.col("v")).select("u", "v").distinct())
+    current = edges.where(F.col("u") != F.col("v")).select("u", "v")
     mark = None
     while True:
         current = materialise(_small_star(_large_star(current)).distinct())

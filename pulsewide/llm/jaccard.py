@@ -18,12 +18,12 @@ misses at most tau = n - ceil(percent * n / 100) tokens of its own in the other.
 Documents with equal sets are collapsed first. Index entries that one set alone has
 drop out by a filter of once-seen and twice-seen entries, which a constant bounds. Of
 an entry's sets each is compared with one center only, the set with the fewest odd
-tokens, by exact overlap of the whole sets. What that links is one component, whose
-members need no comparison among themselves; entries that still hold several components
-go on without their center: small ones pair their components directly, large ones take
-the next center first. Not compared are sets that cannot be linked by their sizes, by the
-place of the entry in their order, by how many of their tokens no other set has, or by how
-much their distances to the first center differ. So no group is paired out, and no link between components is missed.
+tokens, by exact overlap of the whole sets. Sets that are linked with one center need no
+comparison among themselves; the others meet where an entry holds sets of several
+centers. Not compared are sets that cannot be linked by their sizes, by the place of the
+entry in their order, by how many of their tokens no other set has, or by how much their
+distances to the center differ. So no group is paired out, and no link between components
+is missed.
 
 Defined cases: null and empty texts, and texts without words, have no tokens and are
 linked with nothing; a document of fewer words than a shingle is one token; rows of
@@ -55,9 +55,6 @@ SMALL = 80
 BAND = 4
 #: Bits of the filter for each index entry, and its bound.
 ENTRY_BITS, MAX_BITS = 8, 1 << 29
-#: Entries with up to so many sets left pair their components directly.
-DIRECT = 256
-STAR_ROUNDS = 2
 #: Texts are hashed together up to about so many bytes, which stay in the processor's cache.
 _CHUNK_BYTES = 1 << 17
 
@@ -391,57 +388,42 @@ def _compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int
     return both.mapInArrow(compare, out)
 
 
-def _components(
-    shared: DataFrame, known: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int
-) -> DataFrame:
-    """Components under the known links and enough of those that entries lead to.
+def _links(shared: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """Links ``(u, v)``, enough to make all components, from the sets of each entry.
 
-    ``shared`` has the entries' sets. Rows of ``left`` carry the distance to their entry's first center, at least ``low``
-    and at most ``high``. Jaccard distance is a metric, so two sets whose distances to
-    the center differ by more than a link allows are not linked and not compared.
+    First every set meets its entry's center. ``part`` is then the smallest center that a
+    set is linked with; sets of one part need not meet. ``low`` and ``high`` bound the
+    distance to the entry's center. Jaccard distance is a metric, so two sets whose
+    distances differ by more than a link allows are not linked.
     """
     far = 1 - percent / 100 + 1e-9
     most = F.least("rest", "rest_v")  # of the overlap, if this is their first common entry
-    edges = known
-    labels = components(known) if not known.isEmpty() else known.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    left = _with_parts(shared, labels).withColumns({"low": F.lit(0.0), "high": F.lit(1.0)})
-    for round_ in range(STAR_ROUNDS + 1):
-        groups = left.groupBy("entry").agg(
-            F.count(F.lit(1)).alias("k"), F.min(F.struct("odd", "id")).alias("best"),
-            F.min("part").alias("first"), F.max("part").alias("last"),
-        ).where(F.col("first") != F.col("last")).withColumn("center", F.col("best.id"))
-        left = materialise(left.join(groups, "entry").select("entry", "id", "n", "odd", "rest", "part", "low", "high", "k", "center"))
-        if left.isEmpty():
-            break
-        direct = F.lit(round_ == STAR_ROUNDS) if round_ in (0, STAR_ROUNDS) else F.col("k") <= DIRECT
-        other = left.where(direct | (F.col("id") == F.col("center"))).select(
-            "entry", F.col("id").alias("v"), F.col("n").alias("m"), F.col("rest").alias("rest_v"), F.col("part").alias("part_v"),
-            F.col("low").alias("low_v"), F.col("high").alias("high_v"))
-        pairs = left.join(other, "entry").where(
-            F.when(direct, F.col("id") > F.col("v")).otherwise(F.col("id") != F.col("v"))
-            & (F.col("part") != F.col("part_v"))
-            & (100 * most >= percent * (F.col("n") + F.col("m") - most))
-            & (F.col("low") - F.col("high_v") <= far) & (F.col("low_v") - F.col("high") <= far)
-        ).select(F.col("id").alias("u"), "v").distinct()
-        compared = materialise(_compared(materialise(pairs), docs, key, text, words, percent))
-        found = compared.where("linked").select("u", "v")
-        if not found.isEmpty():
-            edges = edges.union(found)
-            labels = components(edges)
-        # the center has met all others of its entry; entries that paired directly are done
-        left = left.where((F.col("id") != F.col("center")) & ~direct)
-        if not round_:
-            met = compared.groupBy(F.col("u").alias("id"), F.col("v").alias("center")).agg(F.min("distance").alias("distance"))
-            left = left.drop("low", "high").join(met, ["id", "center"], "left").select(
-                "entry", "id", "n", "odd", "rest", F.coalesce("distance", F.lit(0.0)).alias("low"), F.coalesce("distance", F.lit(1.0)).alias("high"))
-        left = _with_parts(left.select("entry", "id", "n", "odd", "rest", "low", "high"), labels)
-    return labels
-
-
-def _with_parts(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows with the component of their id so far, as ``part``."""
-    return rows.join(labels, F.col("id") == F.col("node"), "left").withColumn(
-        "part", F.coalesce("component", "id")).drop("node", "component")
+    fits = 100 * most >= percent * (F.col("n") + F.col("m") - most)
+    groups = shared.groupBy("entry").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("odd", "id")).alias("best")).where("k > 1")
+    rows = materialise(shared.join(groups, "entry").select("entry", "id", "n", "rest", F.col("best.id").alias("center")))
+
+    def other(chosen: DataFrame, *more: str) -> DataFrame:
+        return chosen.select("entry", F.col("id").alias("v"), F.col("n").alias("m"), F.col("rest").alias("rest_v"),
+                             *[F.col(c).alias(f"{c}_v") for c in more])
+
+    members = rows.where(F.col("id") != F.col("center"))
+    stars = members.join(other(rows.where(F.col("id") == F.col("center"))), "entry").where(fits)
+    stars = materialise(stars.select(F.col("id").alias("u"), "v").distinct())
+    met = materialise(_compared(stars, docs, key, text, words, percent))
+
+    parts = met.where("linked").groupBy(F.col("u").alias("id")).agg(F.min("v").alias("part"))
+    distances = met.groupBy(F.col("u").alias("id"), F.col("v").alias("center")).agg(F.min("distance").alias("distance"))
+    members = members.join(parts, "id", "left").join(distances, ["id", "center"], "left").select(
+        "entry", "id", "n", "rest", F.coalesce("part", "id").alias("part"),
+        F.coalesce("distance", F.lit(0.0)).alias("low"), F.coalesce("distance", F.lit(1.0)).alias("high"))
+    several = members.groupBy("entry").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first != last")
+    members = materialise(members.join(several.select("entry"), "entry"))
+    pairs = members.join(other(members, "part", "low", "high"), "entry").where(
+        (F.col("id") > F.col("v")) & (F.col("part") != F.col("part_v")) & fits
+        & (F.col("low") - F.col("high_v") <= far) & (F.col("low_v") - F.col("high") <= far))
+    pairs = materialise(pairs.select(F.col("id").alias("u"), "v").distinct())
+    rest = _compared(pairs, docs, key, text, words, percent)
+    return materialise(met.union(rest).where("linked").select("u", "v"))
 
 
 def near_duplicate_groups(
@@ -457,11 +439,15 @@ def near_duplicate_groups(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("odd").alias("odd"),
         F.first("entries").alias("entries"), F.first("rests").alias("rests")))
     shared = materialise(_shared_entries(sets, percent))
+    edges = _links(shared, docs, key, text, words, percent)
     named = sets.select("same", F.col("id").alias("first"))
     # rows of equal id are one document: all its sets are linked
     several = linked.groupBy("id").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a != b").select("id")
-    known = linked.join(several, "id").join(named, "same").select(F.col("id").alias("u"), F.col("first").alias("v"))
-    labels = _components(shared, known, docs, key, text, words, percent)
+    several = materialise(several)
+    if not several.isEmpty():
+        known = linked.join(several, "id").join(named, "same").select(F.col("id").alias("u"), F.col("first").alias("v"))
+        edges = edges.union(known)
+    labels = components(edges)
     named = named.join(labels, F.col("first") == F.col("node"), "left").select(
         "same", F.coalesce("component", "first").alias("first"))
     out = features.join(named, (features["same"] == named["same"]) & (features["n"] > 0) & features["id"].isNotNull(), "left")
