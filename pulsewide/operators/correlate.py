@@ -19,15 +19,17 @@ from pyspark.sql import functions as F
 
 from pulsewide import schema as S
 
-from pulsewide.operators.ordering import name_at, running_totals, value_cuts
+from pulsewide.operators.ordering import name_at, running_totals
 from pulsewide.operators.profile import null_counts, zero_variance
 from pulsewide.session import materialise
 
-_PAIR_SUMS = "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double"
-# rank tables up to this many numbers are sent to the tasks; larger ones are joined
-BROADCAST_NUMBERS = 4_000_000
-# a value with more than this share of all cells is joined by broadcast
-_HOT_SHARE = 1 / 1024
+_MOMENTS = ("n", "da", "db", "daa", "dbb", "dab")
+_RANGES = ("lo_a", "hi_a", "lo_b", "hi_b")
+_PAIR_MOMENTS = "i int, j int, " + ", ".join(f"{c} double" for c in (*_MOMENTS, *_RANGES))
+# rows of a batch that are centred for all pairs at once
+_SLICE = 256
+# a value with more than this share of all cells is joined by broadcast (so at most 1024 are)
+HOT_SHARE = 1 / 1024
 
 
 def candidates(df: DataFrame, exclude: Sequence[str] = S.META_COLS) -> list[str]:
@@ -55,44 +57,74 @@ def _as_matrix(batch: pa.RecordBatch) -> np.ndarray:
     ])
 
 
-def _pair_rows(sums: list[np.ndarray]) -> pa.RecordBatch:
-    """Upper triangle of the accumulated matrices, one row per pair."""
-    i, j = np.triu_indices(sums[0].shape[0])
+def _plain(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.select(*[
+        F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)
+    ])
+
+
+def _triangle(matrices: Sequence[np.ndarray], names: Sequence[str]) -> pa.RecordBatch:
+    """Upper triangle of square matrices, one row per pair."""
+    i, j = np.triu_indices(matrices[0].shape[0])
     arrays = [pa.array(i, pa.int32()), pa.array(j, pa.int32())]
-    arrays += [pa.array(m[i, j], pa.float64()) for m in sums]
-    return pa.RecordBatch.from_arrays(arrays, names=["i", "j", "n", "sa", "sb", "saa", "sbb", "sab"])
+    arrays += [pa.array(m[i, j], pa.float64()) for m in matrices]
+    return pa.RecordBatch.from_arrays(arrays, names=["i", "j", *names])
+
 
+def _pair_means(rows: DataFrame, k: int) -> np.ndarray:
+    """``[i, j]`` is the mean of column i over the rows where column j holds a value too."""
+    shift = rows.agg(*[F.avg(f"c{i}") for i in range(k)]).first()
+    shift = np.array([x or 0.0 for x in shift])
 
-def _pair_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Sums per pair over its complete rows: ``(i, j, n, sa, sb, saa, sbb, sab)``.
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((k, k)) for _ in range(3)]
+        for batch in batches:
+            x = _as_matrix(batch) - shift
+            here = (~np.isnan(x)).astype(float)
+            x = np.where(here > 0, x, 0.0)
+            total = [a + b for a, b in zip(total, (here.T @ here, x.T @ here, here.T @ x))]
+        yield _triangle(total, ("n", "a", "b"))
 
-    Values are shifted by their column mean and scaled by their deviation
-    first, which leaves a correlation unchanged and keeps the sums of squares
-    away from cancellation.
+    sums = rows.mapInArrow(add_up, "i int, j int, n double, a double, b double").groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "a", "b")])
+    means = np.zeros((k, k))
+    for r in sums.collect():  # one row per pair of columns
+        n = r["n"] or 1.0
+        means[r["i"], r["j"]] = shift[r["i"]] + r["a"] / n
+        means[r["j"], r["i"]] = shift[r["j"]] + r["b"] / n
+    return means
+
+
+def _pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Centred sums and ranges per pair over its complete rows.
+
+    Each pair is centred at its own means, so a value outside the rows that a
+    pair shares has no influence on it, however large.
     """
     k = len(cols)
-    plain = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols]
-    stats = df.select(*[p.alias(f"c{i}") for i, p in enumerate(plain)]).agg(
-        *[F.avg(f"c{i}") for i in range(k)], *[F.stddev_pop(f"c{i}") for i in range(k)]
-    ).first()
-    mean = np.array([stats[i] or 0.0 for i in range(k)])
-    scale = np.array([stats[k + i] or 1.0 for i in range(k)])
+    rows = _plain(df, cols)
+    means = _pair_means(rows, k)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        sums = [np.zeros((k, k)) for _ in _MOMENTS]
+        low, high = np.full((k, k), np.inf), np.full((k, k), -np.inf)
         for batch in batches:
-            x = (_as_matrix(batch) - mean) / scale
-            here = (~np.isnan(x)).astype(float)
-            x = np.where(here > 0, x, 0.0)
-            sq = x * x
-            part = [here.T @ here, x.T @ here, here.T @ x, sq.T @ here, here.T @ sq, x.T @ x]
-            total = part if total is None else [a + b for a, b in zip(total, part)]
-        if total is not None:
-            yield _pair_rows(total)
-
-    partial = df.select(*[p.alias(f"c{i}") for i, p in enumerate(plain)]).mapInArrow(add_up, _PAIR_SUMS)
-    return partial.groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")]
+            whole = _as_matrix(batch)
+            for at in range(0, len(whole), _SLICE):
+                x = whole[at : at + _SLICE]
+                here = ~np.isnan(x)
+                both = here[:, :, None] & here[:, None, :]
+                d = np.where(both, x[:, :, None] - means, 0.0)  # row, i, j: column i centred for the pair
+                e = d.transpose(0, 2, 1)
+                parts = (both, d, e, d * d, e * e, d * e)
+                sums = [s + p.sum(axis=0) for s, p in zip(sums, parts)]
+                low = np.minimum(low, np.where(both, x[:, :, None], np.inf).min(axis=0))
+                high = np.maximum(high, np.where(both, x[:, :, None], -np.inf).max(axis=0))
+        yield _triangle([*sums, low, high, low.T, high.T], (*_MOMENTS, *_RANGES))
+
+    return rows.mapInArrow(add_up, _PAIR_MOMENTS).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in _MOMENTS],
+        F.min("lo_a").alias("lo_a"), F.max("hi_a").alias("hi_a"), F.min("lo_b").alias("lo_b"), F.max("hi_b").alias("hi_b"),
     )
 
 
@@ -110,14 +142,13 @@ def pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     Undefined (a constant side, or fewer than two rows) is NULL.
     """
     n = F.col("n")
-    cov = F.col("sab") - F.col("sa") * F.col("sb") / n
-    var_a = F.col("saa") - F.col("sa") * F.col("sa") / n
-    var_b = F.col("sbb") - F.col("sb") * F.col("sb") / n
-    # below this the remaining spread is rounding
-    spread = (var_a > 1e-12 * n) & (var_b > 1e-12 * n)
-    rho = F.when((n > 1) & spread, F.try_divide(cov, F.sqrt(var_a * var_b)))
+    cov = F.col("dab") - F.col("da") * F.col("db") / n
+    var_a = F.col("daa") - F.col("da") * F.col("da") / n
+    var_b = F.col("dbb") - F.col("db") * F.col("db") / n
+    spread = (F.col("lo_a") < F.col("hi_a")) & (F.col("lo_b") < F.col("hi_b"))
+    rho = F.when((n > 1) & spread, F.try_divide(cov, F.sqrt(var_a) * F.sqrt(var_b)))
     return (
-        _named(_pair_sums(df, cols).where("i < j"), cols)
+        _named(_pair_moments(df, cols).where("i < j"), cols)
         .select("col_a", "col_b", _bounded(rho).alias("rho"), n.cast("bigint").alias("n"))
     )
 
@@ -148,11 +179,7 @@ def _mask_classes(df: DataFrame, cols: Sequence[str]) -> _Masks:
             [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "n"]
         )
 
-    plain = df.select(*[
-        F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}")
-        for i, c in enumerate(cols)
-    ])
-    sums = plain.mapInArrow(count, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    sums = _plain(df, cols).mapInArrow(count, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n"))
     complete = np.zeros((k, k))
     for r in sums.collect():  # one row per pair of columns
         complete[r["i"], r["j"]] = complete[r["j"], r["i"]] = r["n"]
@@ -188,11 +215,8 @@ def _rank_table(df: DataFrame, cols: Sequence[str], masks: _Masks) -> DataFrame:
         *[p.cast("int").alias(f"m{m}") for m, p in enumerate(present)], F.inline(cells)
     ).where(F.col("value").isNotNull())
     measures = [f"m{m}" for m in range(len(present))]
-    counts = long.groupBy("pos", "value").agg(
-        *[F.sum(m).alias(m) for m in measures]
-    )
-    cuts = value_cuts(long, "pos", "value")
-    running = running_totals(counts, "pos", "value", measures, cuts)
+    counts = materialise(long.groupBy("pos", "value").agg(*[F.sum(m).alias(m) for m in measures]))
+    running = running_totals(counts, "pos", "value", measures)
 
     def centred(m: int):
         # rows where the column and the class both hold a value
@@ -239,54 +263,27 @@ def _emit(total: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _products_by_lookup(df: DataFrame, cols: Sequence[str], masks: _Masks, table: DataFrame) -> DataFrame:
-    """Rank products with the rank table held by each task: no row is shuffled."""
-    n_masks = len(masks.representative)
-    local = table.drop("n", *[f"m{m}" for m in range(n_masks)]).toArrow()
-    pos, value = local["pos"].to_numpy(), local["value"].to_numpy()
-    ranks_of = np.column_stack([local[f"r{m}"].to_numpy() for m in range(n_masks)])
-    order = np.lexsort((value, pos))
-    bounds = np.searchsorted(pos[order], np.arange(len(cols) + 1))
-    lookup = [(value[order[a:b]], ranks_of[order[a:b]]) for a, b in zip(bounds, bounds[1:])]
-    shipped = df.sparkSession.sparkContext.broadcast(lookup)
+def _need_unique(df: DataFrame, row_key: Sequence[str]) -> None:
+    """Raise if two rows share a key: their cells would be taken for one row's."""
+    again = df.groupBy(*row_key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+    if not again.isEmpty():
+        raise ValueError(f"rows repeat the key {list(row_key)}")
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(cols)
-        total = np.zeros((k, k))
-        for batch in batches:
-            x = _as_matrix(batch)
-            here = ~np.isnan(x)
-            ranks = [np.zeros(x.shape) for _ in range(n_masks)]
-            for i, (values, table_rows) in enumerate(shipped.value):
-                rows = np.flatnonzero(here[:, i])
-                found = table_rows[np.searchsorted(values, x[rows, i])]
-                for m, rep in enumerate(masks.representative):
-                    both = here[rows, rep]
-                    ranks[m][rows[both], i] = found[both, m]
-            total += _cross_products(ranks, masks)
-        yield _emit(total)
-
-    plain = df.select(*[
-        F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}")
-        for i, c in enumerate(cols)
-    ])
-    return plain.mapInArrow(multiply, "i int, j int, sab double")
 
-
-def _products_by_join(
-    df: DataFrame, cols: Sequence[str], masks: _Masks, table: DataFrame, row_key: Sequence[str]
+def _products(
+    df: DataFrame, cols: Sequence[str], masks: _Masks, table: DataFrame, row_key: Sequence[str], hot_share: float
 ) -> DataFrame:
     """Rank products with the rank table joined to the cells, for tables of any size.
 
-    A value that holds more than 1/1024 of the cells is joined by broadcast
-    (there can be at most 1024 of those), the rest by key, so no task receives
-    a hot value. Cells then meet again by row.
+    A value that holds more than ``hot_share`` of the cells is joined by
+    broadcast (there can be at most 1 / ``hot_share`` of those), the rest by
+    key, so no task receives a hot value. Cells then meet again by row.
     """
     n_masks = len(masks.representative)
     rank_cols = [f"r{m}" for m in range(n_masks)]
     packed = table.select("pos", "value", "n", F.array(*rank_cols).alias("__r"))
     n_cells = float(np.trace(masks.complete))
-    hot_rows = packed.where(F.col("n") > n_cells * _HOT_SHARE)
+    hot_rows = packed.where(F.col("n") > n_cells * hot_share)
     cells = F.array(*[
         F.struct(F.lit(i).alias("pos"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value"))
         for i, c in enumerate(cols)
@@ -298,7 +295,7 @@ def _products_by_join(
     met = long.join(F.broadcast(hot_rows.withColumnRenamed("__r", "__h").drop("n")), ["pos", "value"], "left")
     hot = met.where(F.col("__h").isNotNull()).withColumnRenamed("__h", "__r")
     cold = met.where(F.col("__h").isNull()).drop("__h").join(
-        packed.where(F.col("n") <= n_cells * _HOT_SHARE).drop("n"), ["pos", "value"]
+        packed.where(F.col("n") <= n_cells * hot_share).drop("n"), ["pos", "value"]
     )
     rows = (
         hot.select("__k1", "__k2", "pos", "__r").unionByName(cold.select("__k1", "__k2", "pos", "__r"))
@@ -333,28 +330,24 @@ def _products_by_join(
 
 
 def spearman(
-    df: DataFrame,
-    cols: Sequence[str],
-    row_key: Sequence[str],
-    broadcast_numbers: int = BROADCAST_NUMBERS,
+    df: DataFrame, cols: Sequence[str], row_key: Sequence[str], hot_share: float = HOT_SHARE
 ) -> DataFrame:
     """Spearman correlation of every pair over its complete rows: ``(col_a, col_b, rho, n)``.
 
     The ranks of a column depend only on which rows of the *other* column are
     present, so columns with the same missingness share one ranking. Tied
-    values get their average rank. ``row_key`` identifies a row; it is used
-    only when the rank table is too large to hand to the tasks.
+    values get their average rank. ``row_key`` identifies a row; a repeated key
+    is an error. ``hot_share`` says from which share of all cells a value is
+    joined by broadcast; it does not change the result.
     """
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, rho double, n bigint")
+    _need_unique(df, row_key)
     masks = _mask_classes(df, cols)
     n_masks = len(masks.representative)
     table = materialise(_rank_table(df, cols, masks))
     squares = _rank_sums_of_squares(table, n_masks)
-    if table.count() * (n_masks + 1) <= broadcast_numbers:
-        products = _products_by_lookup(df, cols, masks, table)
-    else:
-        products = _products_by_join(df, cols, masks, table, row_key)
+    products = _products(df, cols, masks, table, row_key, hot_share)
     norms = [
         (i, j, float(squares.get((i, masks.of_column[j])) or 0.0),
          float(squares.get((j, masks.of_column[i])) or 0.0), int(masks.complete[i, j]))
@@ -426,8 +419,8 @@ def collinear_drops(
     the driver, where the pairs are settled one after the other.
     """
     if not 0.0 < threshold < 1.0:
-        raise ValueError(f"threshold must be in (0, 1); got {threshold!r}")
-    cols = list(cols or candidates(df))
+        raise ValueError(f"no correlation limit between 0 and 1: {threshold!r}")
+    cols = list(cols or candidates(df, [*S.META_COLS, *row_key]))
     if len(cols) < 2:
         return []
     strong = strong_pairs(spearman(df, cols, row_key), threshold).collect()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from pulsewide.operators import correlate as K
 from pulsewide.plans import views as V
-from pulsewide.plans.catalog.registry import FEATURES, query, r, rounded, stacked
+from pulsewide.plans.catalog.registry import FEATURES, WIDE, query, r, rounded, stacked
+from pulsewide.session import materialise
 
 _NUM = V.NUMERIC_FEATURES
 
@@ -19,7 +22,7 @@ matrix AS (
          CASE WHEN min(va) < max(va) AND min(vb) < max(vb) THEN corr(va, vb) END AS rho
   FROM pair_values GROUP BY col_a, col_b)"""
 
-_SPEARMAN = _PAIRS + """,
+_RANKED = """
 ranked AS (
   SELECT col_a, col_b, pos_a, pos_b,
          rank() OVER (PARTITION BY pos_a, pos_b ORDER BY va)
@@ -31,6 +34,7 @@ matrix AS (
   SELECT col_a, col_b, any_value(pos_a) AS pos_a, any_value(pos_b) AS pos_b, count(*) AS n,
          CASE WHEN min(ra) < max(ra) AND min(rb) < max(rb) THEN corr(ra, rb) END AS rho
   FROM ranked GROUP BY col_a, col_b)"""
+_SPEARMAN = _PAIRS + "," + _RANKED
 
 
 @query("c1_pearson", f"WITH {_PEARSON} SELECT col_a, col_b, {r('rho', 'rho')}, n FROM matrix")
@@ -45,8 +49,37 @@ def c2_spearman(spark, sf_dir):
 
 @query("c2_spearman_by_join", f"WITH {_SPEARMAN} SELECT col_a, col_b, {r('rho', 'rho')}, n FROM matrix")
 def c2_spearman_by_join(spark, sf_dir):
-    """The same matrix along the way taken when the rank table is too large to hand out."""
-    return rounded(K.spearman(V.features(spark, sf_dir), _NUM, ["row_id"], broadcast_numbers=0), "rho")
+    """The same matrix with every value joined by key, none by broadcast."""
+    return rounded(K.spearman(V.features(spark, sf_dir), _NUM, ["row_id"], hot_share=1.0), "rho")
+
+
+_OUTLIER = f"""{FEATURES},
+spiked AS (SELECT row_id, qty_sum AS x, CASE WHEN row_id % 50 = 1 THEN CAST(1e12 AS DOUBLE) ELSE total_price END AS y,
+                  CASE WHEN row_id % 50 <> 1 THEN price_sum END AS z FROM order_features),
+cells AS ({stacked('spiked', ['x', 'y', 'z'], keep='row_id')}),
+pair_values AS (
+  SELECT a.col AS col_a, b.col AS col_b, a.v AS va, b.v AS vb
+  FROM cells a JOIN cells b ON a.row_id = b.row_id AND a.pos < b.pos)"""
+
+
+@query("c1_pearson_outlier", f"""
+WITH {_OUTLIER}
+SELECT col_a, col_b, {r('CASE WHEN min(va) < max(va) AND min(vb) < max(vb) THEN corr(va, vb) END', 'rho')}, count(*) AS n
+FROM pair_values GROUP BY col_a, col_b""")
+def c1_pearson_outlier(spark, sf_dir):
+    """Huge values outside the rows that a pair shares do not touch the pair."""
+    spike = F.col("row_id") % 50 == 1
+    rows = V.features(spark, sf_dir).select(
+        F.col("qty_sum").alias("x"), F.when(spike, F.lit(1e12)).otherwise(F.col("total_price")).alias("y"),
+        F.when(~spike, F.col("price_sum")).alias("z"),
+    )
+    return rounded(K.pearson(rows, ["x", "y", "z"]), "rho")
+
+
+@query("c4_pairs_pearson", f"""
+WITH {_PEARSON} SELECT col_a, col_b, {r('rho', 'rho')}, n FROM matrix WHERE abs(rho) > 0.85""")
+def c4_pairs_pearson(spark, sf_dir):
+    return rounded(K.strong_pairs(K.pearson(V.features(spark, sf_dir), _NUM)), "rho")
 
 
 @query("c3_candidates", f"""
@@ -64,14 +97,14 @@ def c4_pairs(spark, sf_dir):
     return rounded(K.strong_pairs(K.spearman(V.features(spark, sf_dir), _NUM, ["row_id"])), "rho")
 
 
-def _drops_sql(priority: list[str]) -> str:
+def _drops_sql(priority: list[str], spearman: str = _SPEARMAN, threshold: float = 0.85) -> str:
     listed = ", ".join(f"'{p}'" for p in priority) or "''"
     return f"""
-WITH RECURSIVE {_SPEARMAN},
+WITH RECURSIVE {spearman},
 rates AS (SELECT col, count(*) AS present FROM cells GROUP BY col),
 strong AS (
   SELECT m.*, ra.present AS here_a, rb.present AS here_b, col_a IN ({listed}) AS prio_a, col_b IN ({listed}) AS prio_b
-  FROM matrix m JOIN rates ra ON ra.col = col_a JOIN rates rb ON rb.col = col_b WHERE abs(rho) > 0.85),
+  FROM matrix m JOIN rates ra ON ra.col = col_a JOIN rates rb ON rb.col = col_b WHERE abs(rho) > {threshold}),
 settled AS (
   SELECT row_number() OVER (ORDER BY abs(rho) DESC, pos_a, pos_b) AS k, col_a, col_b, abs(rho) AS rho,
          CASE WHEN prio_a AND NOT prio_b THEN col_a WHEN prio_b AND NOT prio_a THEN col_b
@@ -107,3 +140,20 @@ def c5_drops(spark, sf_dir):
 @query("c5_drops_priority", _drops_sql(["price_sum", "qty_sum"]))
 def c5_drops_priority(spark, sf_dir):
     return _drops(spark, sf_dir, ["price_sum", "qty_sum"])
+
+
+_EAV_SPEARMAN = f"""{WIDE},
+numbered AS (SELECT row_number() OVER (ORDER BY entity_id, obs_date, score) AS row_id, * FROM wide),
+cells AS ({stacked('numbered', V.KEYS, keep='row_id')}),
+pair_values AS (
+  SELECT a.col AS col_a, b.col AS col_b, a.pos AS pos_a, b.pos AS pos_b, a.v AS va, b.v AS vb
+  FROM cells a JOIN cells b ON a.row_id = b.row_id AND a.pos < b.pos),""" + _RANKED
+
+
+@query("c5_drops_from_eav", _drops_sql([], _EAV_SPEARMAN, 0.001))
+def c5_drops_from_eav(spark, sf_dir):
+    """The filter on a pivoted table, whose index holds the score; a low limit, so that it has work."""
+    w = materialise(V.wide(spark, sf_dir))
+    drops = K.collinear_drops(w, ["entity_id", "obs_date", "score"], 0.001, [], V.KEYS)
+    rows = [(d.dropped, d.kept, d.rho, d.reason) for d in drops]
+    return rounded(spark.createDataFrame(rows, "dropped string, kept string, rho double, reason string"), "rho")

@@ -20,6 +20,8 @@ from pulsewide.operators.pivot import active_history, add_severe_flag, load_wide
 from pulsewide.operators.split import oot_split
 from pulsewide.session import materialise
 
+_ROW = "__row"
+
 
 @dataclass(frozen=True)
 class FeatureTable:
@@ -36,14 +38,18 @@ def train_features(
     priority: Sequence[str] = S.PRIORITY_LEVERS,
     max_features: int = S.DEFAULT_VOCABULARY_SIZE,
 ) -> FeatureTable:
-    """Pivot, label, encode, flag, and prune. The wide table is written once."""
-    wide = materialise(with_class(load_wide(eav, types)))
+    """Pivot, label, encode, flag, and prune. The wide table is written once.
+
+    Two raw dates may read alike, so the rows get a number of their own for the
+    rank correlations; it is fixed once written.
+    """
+    wide = materialise(with_class(load_wide(eav, types)).withColumn(_ROW, F.monotonically_increasing_id()))
     multi = [c for c, t in types.items() if t == S.MULTI_CATEGORICAL and c in wide.columns]
     encoded, vocabulary = encode_tokens(wide, multi, max_features)
     flagged = add_severe_flag(encoded)
     slim, redundant = drop_redundant(flagged)
-    pruned, collinear = collinearity_filter(slim, S.ID_COLS, threshold, priority)
-    return FeatureTable(pruned, vocabulary, redundant, collinear)
+    pruned, collinear = collinearity_filter(slim, [_ROW], threshold, priority)
+    return FeatureTable(pruned.drop(_ROW), vocabulary, redundant, collinear)
 
 
 @dataclass(frozen=True)

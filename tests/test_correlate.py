@@ -70,9 +70,25 @@ def test_pearson(table, data):
     same(as_dict(K.pearson(table, COLS)), brute(data, "pearson"))
 
 
-@pytest.mark.parametrize("numbers", [K.BROADCAST_NUMBERS, 0])
-def test_spearman_on_both_ways(table, data, numbers):
-    same(as_dict(K.spearman(table, COLS, ["id"], numbers)), brute(data, "spearman"))
+@pytest.mark.parametrize("hot_share", [K.HOT_SHARE, 1.0])
+def test_spearman(table, data, hot_share):
+    same(as_dict(K.spearman(table, COLS, ["id"], hot_share)), brute(data, "spearman"))
+
+
+def test_repeated_row_key_is_an_error(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (1, 2.0, 4.0), (2, 3.0, 1.0)], "id int, x double, y double")
+    with pytest.raises(ValueError, match="repeat the key"):
+        K.spearman(df, ["x", "y"], ["id"])
+
+
+def test_pearson_ignores_values_outside_the_overlap(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=50)
+    y = x + 0.2 * rng.normal(size=50)
+    for outlier in (1e9, 1e15, -1e200):
+        rows = [(float(a), float(b)) for a, b in zip(x, y)] + [(outlier, None)]
+        (r,) = K.pearson(spark.createDataFrame(rows, "x double, y double"), ["x", "y"]).collect()
+        assert r["n"] == 50 and r["rho"] == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9)
 
 
 def test_nan_counts_as_missing(spark):
