@@ -132,3 +132,9 @@ def label_of(c: Column, labels: Mapping[int, str]) -> Column:
 
 def interval_label(lo: Column, hi: Column, unit: str = "min") -> Column:
     return F.format_string(f"%.0f–%.0f {unit}", lo, hi)
+
+
+def seeded_hash(seed: int, *key: Column) -> Column:
+    """A number below 2^60 from a seed and a row's key, from MD5, which SQL engines share."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")

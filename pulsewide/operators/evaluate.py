@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from pulsewide import schema as S
 from pulsewide.functions import columns as C
-from pulsewide.operators.ordering import running_totals, value_cuts
+from pulsewide.operators.ordering import running_totals
 from pulsewide.operators.profile import cross_tab, row_percent
+from pulsewide.session import materialise
 
 # fixed value: probability floor of the log-loss, the double machine epsilon
 _EPS = 2.220446049250313e-16
@@ -29,13 +30,17 @@ def log_loss(df: DataFrame, label: str, probabilities: Sequence[str]) -> DataFra
     """Mean log-loss; ``probabilities[k]`` is the column of class ``k``.
 
     The row's probabilities are clipped away from 0 and 1 as the usual
-    definition does.
+    definition does. Rows without a label, of another class, or without a
+    probability have no loss: ``n`` counts the others, ``n_unknown`` these.
     """
     p = F.lit(None).cast("double")
     for code, name in enumerate(probabilities):
-        p = F.when(F.col(label) == code, F.col(name)).otherwise(p)
-    clipped = F.greatest(F.least(p, F.lit(1.0 - _EPS)), F.lit(_EPS))
-    return df.agg(F.avg(-F.ln(clipped)).alias("logloss"), F.count(F.lit(1)).alias("n"))
+        p = F.when(F.col(label) == code, F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))).otherwise(p)
+    clipped = F.when(p.isNotNull(), F.greatest(F.least(p, F.lit(1.0 - _EPS)), F.lit(_EPS)))
+    return df.agg(
+        F.avg(-F.ln(clipped)).alias("logloss"), F.count(clipped).alias("n"),
+        F.count_if(clipped.isNull()).alias("n_unknown"),
+    )
 
 
 def _pair_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -107,18 +112,15 @@ def precision_recall(
 ) -> DataFrame:
     """Precision, recall and F-beta of ``score >= threshold`` at every distinct score.
 
-    Scores are first reduced to distinct values with their counts; the running
-    totals then work range by range.
+    Scores are first reduced to distinct values with their counts, which are
+    written; cuts, positives and curve come from these, so the input is read
+    once. Rows without a score or a label are left out.
     """
     rows = df.select(
         F.lit("all").alias("__g"), F.col(score).alias("threshold"), F.col(label).cast("bigint").alias("__y")
-    ).where(F.col("threshold").isNotNull())
-    counts = rows.groupBy("__g", "threshold").agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("__y"), F.lit(0)).alias("pos")
-    )
-    curve = running_totals(
-        counts, "__g", "threshold", ["n", "pos"], value_cuts(rows, "__g", "threshold"), descending=True
-    )
+    ).where(F.col("threshold").isNotNull() & F.col("__y").isNotNull())
+    counts = materialise(rows.groupBy("__g", "threshold").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("pos")))
+    curve = running_totals(counts, "__g", "threshold", ["n", "pos"], descending=True)
     positives = counts.agg(F.sum("pos")).scalar()
     b = beta * beta
     precision, recall = F.col("precision"), F.col("recall")

@@ -2,9 +2,8 @@
 
 Everything here starts from one row per distinct ``(group, value)``, so a value
 that holds a third of all rows arrives as one pre-aggregated row. The values of
-a group are then cut into at most ``MAX_BUCKETS`` ranges of similar size;
-windows run inside one range, and the range totals (at most ``MAX_BUCKETS`` rows
-per group) supply the offsets.
+a group are then cut into ranges of similar size, whose number follows the shuffle
+partitions; windows run inside one range, and the range totals supply the offsets.
 """
 
 from __future__ import annotations
@@ -16,31 +15,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BUCKETS = 1024
-ROWS_PER_BUCKET = 50_000
+from pulsewide.session import materialise
+
+#: Ranges per group for each shuffle partition, and distinct values that make a range worth while.
+RANGES_PER_PARTITION = 4
+ROWS_PER_RANGE = 50_000
+#: Accuracy of the sketches, and how many of a group are merged before they meet.
+SKETCH_SIZE = 4096
+SKETCH_SLOTS = 64
 _CHUNK = 32
 _BUCKET = "__bucket"
 _CUTS = "__cuts"
 
 
-def value_cuts(values: DataFrame, group: str, value: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> dict:
-    """Cut points per group, ``{group: [cut, ...]}``, fewer than ``MAX_BUCKETS`` each.
+def _number(col: Column, data_type: T.DataType) -> Column:
+    """A number in the order of the values, which may be dates."""
+    return (F.unix_date(col) if isinstance(data_type, T.DateType) else col).cast("double")
+
+
+def value_cuts(
+    counts: DataFrame, group: str, value: str, rows_per_range: int = ROWS_PER_RANGE, max_ranges: int | None = None
+) -> dict:
+    """Cut points per group, ``{group: [cut, ...]}``, from one row per group and value.
 
     The cuts are approximate quantiles, which only decides how even the ranges
     are. They are fetched once, so that every later use sees the same ranges
-    even if a task is run again. Small groups get few ranges.
+    even if a task is run again. Small groups get few ranges; the number of
+    ranges follows the shuffle partitions unless given. Every task sends one
+    sketch for each of ``SKETCH_SLOTS`` slots, and what meets in the task of a
+    group are the slots' sketches, however many tasks there were.
     """
-    # as text: a thousand literals are slow to build one by one
-    grid = ", ".join(f"{i / MAX_BUCKETS!r}D" for i in range(1, MAX_BUCKETS))
-    quantiles = F.expr(f"percentile_approx(`{value}`, array({grid}), {10 * MAX_BUCKETS})")
-    sketch = (
-        values.where(F.col(value).isNotNull())
-        .groupBy(group)
-        .agg(quantiles.alias(_CUTS), F.count(F.lit(1)).alias("__n"))
+    if max_ranges is None:
+        max_ranges = RANGES_PER_PARTITION * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = _number(F.col(value), counts.schema[value].dataType)
+    slots = (
+        counts.where(F.col(value).isNotNull())
+        .groupBy(group, F.pmod(F.xxhash64(value), F.lit(SKETCH_SLOTS)).alias("__slot"))
+        .agg(F.kll_sketch_agg_double(number, F.lit(SKETCH_SIZE)).alias("__k"), F.count(F.lit(1)).alias("__n"))
     )
+    # as text: many literals are slow to build one by one
+    grid = ", ".join(f"{i / max_ranges!r}D" for i in range(1, max_ranges))
+    merged = slots.groupBy(group).agg(F.kll_merge_agg_double("__k").alias("__k"), F.sum("__n").alias("__n"))
+    all_cuts = F.expr(f"kll_sketch_get_quantile_double(__k, array({grid}))") if max_ranges > 1 else F.array().cast("array<double>")
     cuts = {}
-    for r in sketch.collect():
-        step = max(1, MAX_BUCKETS // max(1, math.ceil(r["__n"] / rows_per_bucket)))
+    for r in merged.select(group, "__n", all_cuts.alias(_CUTS)).collect():
+        step = max(1, max_ranges // max(1, math.ceil(r["__n"] / rows_per_range)))
         cuts[r[group]] = list(dict.fromkeys(r[_CUTS][step - 1 :: step]))
     return cuts
 
@@ -54,7 +73,8 @@ def with_buckets(counts: DataFrame, cuts: dict, group: str, value: str) -> DataF
     chunked = {
         g: [c[i : i + _CHUNK] for i in range(0, len(c), _CHUNK)] + [[]] for g, c in cuts.items()
     }
-    kind = T.ArrayType(T.ArrayType(counts.schema[value].dataType))
+    kind = T.ArrayType(T.ArrayType(T.DoubleType()))
+    number = _number(F.col(value), counts.schema[value].dataType)
     if len(cuts) == 1:
         (only,) = chunked.values()
         nested = F.array(*[F.lit(c) if c else F.array() for c in only])
@@ -64,9 +84,9 @@ def with_buckets(counts: DataFrame, cuts: dict, group: str, value: str) -> DataF
             T.StructField(group, counts.schema[group].dataType), T.StructField(_CUTS, kind)
         ])
         listed = counts.sparkSession.createDataFrame(list(chunked.items()), schema)
-        # fixed bound: one row of fewer than MAX_BUCKETS numbers per group
+        # fixed bound: one row of fewer numbers than ranges per group
         held = counts.join(F.broadcast(listed), group)
-    below = lambda c: c < F.col(value)
+    below = lambda c: c < number
     chunk = F.size(F.filter(_CUTS, lambda c: F.coalesce(below(F.get(c, F.size(c) - 1)), F.lit(False))))
     bucket = F.col("__chunk") * _CHUNK + F.size(F.filter(F.get(_CUTS, F.col("__chunk")), below))
     return (
@@ -82,7 +102,7 @@ def running_totals(
     group: str,
     value: str,
     measures: Sequence[str],
-    cuts: dict,
+    cuts: dict | None = None,
     descending: bool = False,
     prefix: str = "cum_",
 ) -> DataFrame:
@@ -90,7 +110,9 @@ def running_totals(
 
     ``counts`` holds one row per (group, value) and should have no columns
     beyond the measures: the range totals and the rows then read one shuffle.
+    Pass a written table, from which the cuts are found too unless given.
     """
+    cuts = value_cuts(counts, group, value) if cuts is None else cuts
     bucketed = with_buckets(counts, cuts, group, value)
     order = F.desc if descending else F.asc
     totals = bucketed.groupBy(group, _BUCKET).agg(*[F.sum(m).alias(m) for m in measures])
@@ -111,7 +133,7 @@ def running_totals(
     )
     return (
         bucketed.select("*", *[F.sum(m).over(inside).alias(f"__in_{m}") for m in measures])
-        # at most MAX_BUCKETS rows per group
+        # at most one row per group and range
         .join(F.broadcast(offsets), [group, _BUCKET])
         .select(
             *counts.columns,
@@ -131,12 +153,15 @@ def locate(
 
     ``ranks`` is an array expression that may use the group's non-null count
     ``n``. ``below`` counts rows strictly smaller than the value, ``at`` those
-    equal to it. Only ranges that hold a wanted rank are sorted. ``cuts`` may be
-    given where the values are known to be few, to save the pass that finds them.
+    equal to it. Only ranges that hold a wanted rank are sorted. The values are
+    read once: their counts are written, and cuts and ranks come from these.
+    ``cuts`` may be given where the values are known to be few.
     """
     present = values.where(F.col(value).isNotNull())
     counts = present.groupBy(group, value).agg(F.count(F.lit(1)).alias("__n"))
-    cuts = value_cuts(present, group, value) if cuts is None else cuts
+    if cuts is None:
+        counts = materialise(counts)
+        cuts = value_cuts(counts, group, value)
     bucketed = with_buckets(counts, cuts, group, value)
 
     whole = Window.partitionBy(group)

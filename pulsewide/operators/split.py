@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsewide.functions import columns as C
 from pulsewide.operators.ordering import at_or_before, rows_at_ranks
 
 _DAY, _TIE, _ID = "__day", "__tie", "__id"
@@ -39,9 +40,9 @@ def _order_keys(df: DataFrame, date_col: str, tie: Sequence[str]) -> tuple[DataF
 
 def _check(df: DataFrame, date_col: str, test_size: float | None = None) -> None:
     if test_size is not None and not 0.0 < test_size < 1.0:
-        raise ValueError(f"test_size must be in (0, 1); got {test_size!r}")
+        raise ValueError(f"no share between 0 and 1: {test_size!r}")
     if date_col not in df.columns:
-        raise KeyError(f"date column '{date_col}' not found")
+        raise KeyError(f"no column '{date_col}' to order by")
 
 
 def _first_rows(keyed: DataFrame, keys: Sequence[str], sizes: Sequence[int]) -> list[Column]:
@@ -54,16 +55,37 @@ def _first_rows(keyed: DataFrame, keys: Sequence[str], sizes: Sequence[int]) ->
     return [at_or_before(keys, bounds[n]) if n > 0 else F.lit(False) for n in sizes]
 
 
+def oot_mark(df: DataFrame, date_col: str, tie: Sequence[str], test_size: float = 0.2, name: str = "is_train") -> DataFrame:
+    """Mark the oldest ``int(n * (1 - test_size))`` rows; one scan of the rows.
+
+    The row count and the cut day come from the counts by day, the cut inside
+    that day from its rows alone.
+    """
+    _check(df, date_col, test_size)
+    keyed, keys = _order_keys(df, date_col, tie)
+    days = keyed.groupBy(_DAY).agg(F.count(F.lit(1)).alias("n")).orderBy(_DAY).collect()
+    # Python arithmetic on purpose: the row count depends on its rounding
+    left = int(sum(r["n"] for r in days) * (1.0 - test_size))
+    last = None
+    for r in days:
+        if left < r["n"]:
+            last = r[_DAY]
+            break
+        left -= r["n"]
+    if last is None:
+        is_train = F.lit(True)
+    else:
+        (inside,) = _first_rows(keyed.where(F.col(_DAY) == last), keys[1:], [left])
+        is_train = (F.col(_DAY) < last) | ((F.col(_DAY) == last) & inside)
+    return keyed.withColumn(name, is_train).drop(*keys)
+
+
 def oot_split(
     df: DataFrame, date_col: str, tie: Sequence[str], test_size: float = 0.2
 ) -> tuple[DataFrame, DataFrame]:
     """Oldest ``int(n * (1 - test_size))`` rows as train, the others as test."""
-    _check(df, date_col, test_size)
-    keyed, keys = _order_keys(df, date_col, tie)
-    n = df.count()
-    # Python arithmetic on purpose: the row count depends on its rounding
-    (is_train,) = _first_rows(keyed, keys, [int(n * (1.0 - test_size))])
-    return keyed.where(is_train).drop(*keys), keyed.where(~is_train).drop(*keys)
+    marked = oot_mark(df, date_col, tie, test_size, "__train")
+    return marked.where("__train").drop("__train"), marked.where("not __train").drop("__train")
 
 
 def expanding_folds(
@@ -93,20 +115,29 @@ def sample_rows(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> Da
     A top-k, so each task keeps ``n`` rows; for large ``n`` prefer
     :func:`sample_at_most`.
     """
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    return df.orderBy(C.seeded_hash(seed, *map(F.col, key)), *key).limit(n)
 
 
 def sample_at_most(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """At most ``n`` rows like :func:`sample_rows`, as a filter instead of a sort.
 
     The hash of the n-th row is found by distributed selection; rows up to it
-    are kept wherever they are.
+    are kept wherever they are. Of rows that share the last key, any are kept.
     """
     if df.count() <= n:
         return df
     keyed = df.withColumns({
-        _TIE: F.xxhash64(F.lit(seed), *key),
-        _ID: F.xxhash64(F.lit(seed + 1), *key),
+        _TIE: C.seeded_hash(seed, *map(F.col, key)),
+        _ID: C.seeded_hash(seed + 1, *map(F.col, key)),
     })
-    (chosen,) = _first_rows(keyed, [_TIE, _ID], [n])
-    return keyed.where(chosen).drop(_TIE, _ID)
+    (bound,) = rows_at_ranks(keyed, [_TIE, _ID], [n - 1])
+    before = F.lit(False)
+    if len(bound) == 2:
+        # rows that share the last key, which a unique key has not
+        level = (F.col(_TIE) == bound[0]) & (F.col(_ID) == bound[1])
+        before = at_or_before([_TIE, _ID], bound) & ~level
+        tied = keyed.where(level)
+        inside = keyed.where(before).count()
+        if inside + tied.count() > n:
+            return keyed.where(before).unionByName(tied.limit(n - inside)).drop(_TIE, _ID)
+    return keyed.where(at_or_before([_TIE, _ID], bound)).drop(_TIE, _ID)

@@ -20,11 +20,30 @@ def m1_weights(spark, sf_dir):
 
 @query("m7_logloss", f"""
 WITH {SCORED}, q AS (SELECT CASE nps_class WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END AS p FROM scored)
-SELECT {r('avg(-ln(greatest(least(p, 1 - 2.220446049250313e-16), 2.220446049250313e-16)))', 'logloss')}, count(*) AS n FROM q""")
+SELECT {r('avg(-ln(greatest(least(p, 1 - 2.220446049250313e-16), 2.220446049250313e-16)))', 'logloss')}, count(*) AS n,
+       CAST(0 AS BIGINT) AS n_unknown FROM q""")
 def m7_logloss(spark, sf_dir):
     return rounded(E.log_loss(V.scored(spark, sf_dir), "nps_class", ["p0", "p1", "p2"]), "logloss")
 
 
+@query("m7_logloss_unknown", f"""
+WITH {SCORED}, gaps AS (
+  SELECT CASE WHEN row_id % 5 = 0 THEN NULL WHEN row_id % 7 = 0 THEN -1 ELSE nps_class END AS y,
+         p0, CASE WHEN row_id % 11 <> 0 THEN p1 END AS p1, p2 FROM scored),
+q AS (SELECT CASE y WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 END AS p FROM gaps)
+SELECT {r('avg(-ln(greatest(least(p, 1 - 2.220446049250313e-16), 2.220446049250313e-16))) FILTER (WHERE p IS NOT NULL)', 'logloss')},
+       count(p) AS n, count(*) - count(p) AS n_unknown FROM q""")
+def m7_logloss_unknown(spark, sf_dir):
+    """Rows without a label, of an unknown class or without a probability are counted apart."""
+    s = V.scored(spark, sf_dir)
+    key = F.col("row_id")
+    gaps = s.withColumns({
+        "nps_class": F.when(key % 5 == 0, None).when(key % 7 == 0, -1).otherwise(F.col("nps_class")),
+        "p1": F.when(key % 11 != 0, F.col("p1")),
+    })
+    return rounded(E.log_loss(gaps, "nps_class", ["p0", "p1", "p2"]), "logloss")
+
+
 def _report_sql(threshold: float) -> str:
     return f"""
 WITH {SCORED}, d AS (SELECT y, CASE WHEN p >= CAST({threshold} AS DOUBLE) THEN 1 ELSE 0 END AS q FROM scored),
@@ -42,6 +61,30 @@ lines AS (
 SELECT class, {r('pr', 'precision')}, {r('rc', 'recall')}, {r('f1', 'f1')}, CAST(truth AS BIGINT) AS support FROM lines"""
 
 
+_LIKELIEST = "CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END"
+
+
+@query("e1_report_multi", f"""
+WITH {SCORED}, d AS (SELECT nps_class AS y, {_LIKELIEST} AS q FROM scored),
+c AS (SELECT k, count_if(y = k AND q = k) AS tp, count_if(q = k) AS pred, count_if(y = k) AS truth
+      FROM d, (SELECT unnest([0, 1, 2]) AS k) GROUP BY k),
+s AS (SELECT k, coalesce(tp / nullif(CAST(pred AS DOUBLE), 0), 0) AS pr, coalesce(tp / nullif(CAST(truth AS DOUBLE), 0), 0) AS rc,
+             coalesce(2 * tp / nullif(CAST(pred + truth AS DOUBLE), 0), 0) AS f1, truth FROM c),
+acc AS (SELECT count_if(y = q) / CAST(count(*) AS DOUBLE) AS a, count(*) AS n FROM d),
+lines AS (
+  SELECT CASE k WHEN 0 THEN 'Detractor' WHEN 1 THEN 'Passive' ELSE 'Promoter' END AS class, pr, rc, f1, truth FROM s
+  UNION ALL SELECT 'accuracy', a, a, a, n FROM acc
+  UNION ALL SELECT 'macro avg', avg(pr), avg(rc), avg(f1), sum(truth) FROM s
+  UNION ALL SELECT 'weighted avg', sum(pr * truth) / sum(truth), sum(rc * truth) / sum(truth),
+                   sum(f1 * truth) / sum(truth), sum(truth) FROM s)
+SELECT class, {r('pr', 'precision')}, {r('rc', 'recall')}, {r('f1', 'f1')}, CAST(truth AS BIGINT) AS support FROM lines""")
+def e1_report_multi(spark, sf_dir):
+    """The report of a three-class model, by its likeliest class."""
+    p = F.array("p0", "p1", "p2")
+    decided = V.scored(spark, sf_dir).withColumn("q", (F.array_position(p, F.array_max(p)) - 1).cast("int"))
+    return rounded(E.report(decided, "nps_class", "q", [0, 1, 2]), "precision", "recall", "f1")
+
+
 def _report(spark, sf_dir, threshold):
     decided = V.scored(spark, sf_dir).withColumn("q", C.decide(F.col("p"), threshold))
     return rounded(E.report(decided, "y", "q", [0, 1]), "precision", "recall", "f1")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from pulsewide.operators import split as SP
 from pulsewide.plans import views as V
 from pulsewide.plans.catalog.ingest import _OOT
-from pulsewide.plans.catalog.registry import FEATURES, query
+from pulsewide.plans.catalog.registry import EAV, FEATURES, query
 from pulsewide.sources.eav import sample_entities
 
 
@@ -17,8 +15,7 @@ def _dated(spark, sf_dir):
 
 @query("l1_oot_split", f"WITH {FEATURES}, {_OOT} SELECT row_id, obs_date, is_train FROM parted")
 def l1_oot_split(spark, sf_dir):
-    older, newer = SP.oot_split(_dated(spark, sf_dir), "obs_date", ["row_id"])
-    return older.withColumn("is_train", F.lit(True)).unionByName(newer.withColumn("is_train", F.lit(False)))
+    return SP.oot_mark(_dated(spark, sf_dir), "obs_date", ["row_id"])
 
 
 @query("l2_folds", f"""
@@ -32,13 +29,19 @@ def l2_folds(spark, sf_dir):
     return SP.expanding_folds(_dated(spark, sf_dir), "obs_date", ["row_id"])
 
 
-@query("l4_entity_sample")
+def _hash(seed: int, key: str) -> str:
+    return f"CAST('0x' || substr(md5('{seed}|' || {key}), 1, 15) AS BIGINT)"
+
+
+@query("l4_entity_sample", f"WITH {EAV} SELECT * FROM eav WHERE {_hash(42, 'entity_id')} % 4 < 1")
 def l4_entity_sample(spark, sf_dir):
     """Whole entities by hash: a sampling operator, so it returns part of the rows."""
     return sample_entities(V.eav(spark, sf_dir), "entity_id", 1, 4)
 
 
-@query("l5_sample")
+@query("l5_sample", f"""
+WITH {FEATURES} SELECT row_id, obs_date FROM order_features
+ORDER BY {_hash(42, 'row_id')}, {_hash(43, 'row_id')} LIMIT 1000""")
 def l5_sample(spark, sf_dir):
     """Exactly 1000 rows chosen by a seeded hash, as a filter."""
     return SP.sample_at_most(_dated(spark, sf_dir), ["row_id"], 1000)

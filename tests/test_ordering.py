@@ -48,13 +48,21 @@ def test_running_totals(spark, descending):
     x = np.round(hot_values(3000), 2)
     rows = frame(spark, x).select(F.lit("g").alias("g"), "x")
     counts = rows.groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
-    out = O.running_totals(counts, "g", "x", ["n"], O.value_cuts(rows, "g", "x"), descending).collect()
+    out = O.running_totals(counts, "g", "x", ["n"], O.value_cuts(counts, "g", "x", rows_per_range=100), descending).collect()
     for r in out:
         want = (x >= r["x"]).sum() if descending else (x <= r["x"]).sum()
         assert r["cum_n"] == want
     assert len(out) == len(np.unique(x))
 
 
+def test_cuts_follow_the_partitions(spark):
+    counts = spark.range(5000).select(F.lit("g").alias("g"), F.col("id").alias("x"))
+    assert len(O.value_cuts(counts, "g", "x", rows_per_range=100, max_ranges=20)["g"]) == 19
+    assert O.value_cuts(counts, "g", "x") == {"g": []}
+    cuts = O.value_cuts(counts, "g", "x", rows_per_range=100, max_ranges=10)["g"]
+    assert all(abs(c - 500 * (k + 1)) < 50 for k, c in enumerate(cuts))
+
+
 def dated(spark, rows):
     return spark.createDataFrame(rows, "id bigint, d date")
 
