@@ -118,6 +118,8 @@ def encode_tokens(
     vocabulary: Vocabulary | None = None,
 ) -> tuple[DataFrame, Vocabulary]:
     """Fit where no vocabulary is given, then transform."""
+    if vocabulary is None and not columns:
+        return df, Vocabulary((), ())
     vocabulary = vocabulary or fit_vocabulary(df, columns, max_features)
     return apply_vocabulary(df, vocabulary), vocabulary
 

@@ -78,12 +78,13 @@ def cast_drivers(wide: DataFrame, types: Mapping[str, str]) -> DataFrame:
     ])
 
 
-def extra_keys(eav: DataFrame, known: Sequence[str], key: str = S.KEY_COL) -> list[str]:
-    """Attribute names in the data but not in the definitions (a short list)."""
-    return [
-        r[0]
-        for r in eav.select(key).where(~F.col(key).isin(list(known))).distinct().orderBy(key).collect()
-    ]
+def extra_keys(eav: DataFrame, known: Sequence[str], key: str = S.KEY_COL, most: int = 1000) -> list[str]:
+    """Attribute names in the data but not in the definitions; more than ``most`` are an error,
+    because each becomes a column."""
+    found = eav.select(key).where(~F.col(key).isin(list(known))).distinct().orderBy(key).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} attributes are not in the definitions")
+    return [r[0] for r in found]
 
 
 def load_wide(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from pulsewide.functions import columns as C
@@ -9,10 +11,15 @@ from pulsewide.operators import profile as P
 from pulsewide.operators.encode import drop_redundant
 from pulsewide.operators.matrix import align, align_categories, category_domain, zero_out
 from pulsewide.operators.matrix import Layout
-from pulsewide.operators.pivot import active_history, cast_drivers
+from pulsewide import schema as S
+from pulsewide.operators.encode import Vocabulary
+from pulsewide.operators.pivot import active_history, cast_drivers, load_wide
 from pulsewide.operators.split import oot_split
 from pulsewide.plans import views as V
+from pulsewide.plans.flows import live_features, train_features
 from pulsewide.plans.catalog.registry import EAV, FEATURES, WIDE, _DECIMAL, query, r, rounded
+from pulsewide.session import scratch_path
+from pulsewide.sources.eav import read_csv, read_definitions
 
 CLICK_SEVERE = 5000.0
 
@@ -208,3 +215,115 @@ def flagship_exposure_by_class(spark, sf_dir):
         (F.count_if(x.isNull()) * 100.0 / n).alias("pct_missing"),
     )
     return rounded(out, "pct_severe", "pct_normal", "pct_missing")
+
+
+def _written(spark, rows, name):
+    """Rows written as CSV into the shared folder; quotes and commas are quoted."""
+    path = scratch_path(spark) + "/" + name
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+_TRAIN_ROWS = f"""{EAV},
+train AS (
+  SELECT CAST(entity_id AS VARCHAR) AS "sourceId", 'u' || entity_id AS "sourceUniqueId", obs_date_raw AS "npsDate",
+         score_raw AS "npsScore", attr_key AS "driverKey", ord,
+         CASE WHEN ord % 3 = 0 THEN raw_value || ', "' || attr_key || '"' ELSE raw_value END AS value
+  FROM eav)"""
+
+
+def _train_rows(spark, sf_dir):
+    """The raw rows under their input names, some values with quotes and commas."""
+    e = V.eav(spark, sf_dir)
+    quoted = F.concat("raw_value", F.lit(', "'), "attr_key", F.lit('"'))
+    return e.select(
+        F.col("entity_id").cast("string").alias("sourceId"), F.concat(F.lit("u"), "entity_id").alias("sourceUniqueId"),
+        F.col("obs_date_raw").alias("npsDate"), F.col("score_raw").alias("npsScore"), F.col("attr_key").alias("driverKey"),
+        F.when(F.col("ord") % 3 == 0, quoted).otherwise(F.col("raw_value")).alias("value"),
+        "ord",
+    )
+
+
+@query("s1_csv_round_trip", f"""
+WITH {_TRAIN_ROWS}
+SELECT "sourceId", "npsScore", "driverKey", nullif(value, '') AS value, count(*) AS n FROM train GROUP BY ALL""")
+def s1_csv_round_trip(spark, sf_dir):
+    """Every raw row written as CSV and read back, quotes and commas included."""
+    path = _written(spark, _train_rows(spark, sf_dir).drop("ord"), "train")
+    back = read_csv(spark, path)
+    value = F.when(F.col("value") != "", F.col("value"))
+    return back.groupBy("sourceId", "npsScore", "driverKey", value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s1_csv_pivot", f"""
+WITH {_TRAIN_ROWS},
+first_values AS (
+  SELECT "sourceId", "npsDate", "npsScore", arg_min_null(value, ord) FILTER (WHERE "driverKey" = 'click') AS click,
+         arg_min_null(value, ord) FILTER (WHERE "driverKey" = 'view') AS view FROM train GROUP BY ALL)
+SELECT "sourceId", CAST(try_strptime(substr("npsDate", 1, 10), '%Y-%m-%d') AS DATE) AS "npsDate",
+       TRY_CAST("npsScore" AS TINYINT) AS "npsScore", nullif(click, '') AS click, nullif(view, '') AS view
+FROM first_values""")
+def s1_csv_pivot(spark, sf_dir):
+    """First values by the row order of several CSV files."""
+    rows = _train_rows(spark, sf_dir).repartitionByRange(4, "ord").sortWithinPartitions("ord").drop("ord")
+    raw = read_csv(spark, _written(spark, rows, "ordered"))
+    return load_wide(raw, {"click": "categorical", "view": "categorical"}).drop("sourceUniqueId")
+
+
+@query("s3_definitions", f"""
+WITH {EAV}
+SELECT attr_key AS key, CASE attr_key WHEN 'click' THEN 'numeric' WHEN 'view' THEN 'categorical'
+       WHEN 'error' THEN 'multi_categorical' END AS data_type
+FROM eav WHERE attr_key IN ('click', 'view', 'error') GROUP BY ALL""")
+def s3_definitions(spark, sf_dir):
+    """Definitions written from the attributes and read back; unknown types are left out."""
+    kind = (
+        F.when(F.col("attr_key") == "click", "numeric").when(F.col("attr_key") == "view", "categorical")
+        .when(F.col("attr_key") == "error", "multi_categorical").otherwise("blob")
+    )
+    rows = V.eav(spark, sf_dir).select(F.col("attr_key").alias("key"), F.lit("a, \"b\"").alias("driverType"), kind.alias("dataType")).distinct()
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # the unknown ones are meant
+        types, _ = read_definitions(spark, _written(spark, rows, "definitions"))
+    return spark.createDataFrame(sorted(types.items()), "key string, data_type string")
+
+
+_FLOW_TYPES = {k: "numeric" for k in V.KEYS}
+
+
+@query("flow_train_columns", f"""
+WITH {WIDE} SELECT count(*) AS n_rows, count(click) AS n_click, CAST(count_if(click > 5000) AS BIGINT) AS n_severe,
+       'click,error,is_severe_delay_10m_plus,nps_class,npsDate,npsScore,purchase,signup,sourceId,sourceUniqueId,view' AS columns
+FROM wide""")
+def flow_train_columns(spark, sf_dir):
+    """Rows and columns of the training features, from raw rows through the whole flow."""
+    raw = _flow_rows(spark, sf_dir)
+    found = train_features(raw, {**{k: t for k, t in _FLOW_TYPES.items() if k != "click"}, S.DELAY_COL: "numeric"}, threshold=0.999)
+    table = found.table.withColumnRenamed(S.DELAY_COL, "click")
+    names = ",".join(sorted(table.columns, key=str.lower))
+    return table.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("click").alias("n_click"),
+        F.count_if(F.col("click") > CLICK_SEVERE).alias("n_severe"), F.lit(names).alias("columns"),
+    )
+
+
+def _flow_rows(spark, sf_dir):
+    """Raw rows under the input's names; clicks stand in for the delay."""
+    e = V.eav(spark, sf_dir)
+    return e.select(
+        F.col("entity_id").cast("string").alias("sourceId"), F.concat(F.lit("u"), "entity_id").alias("sourceUniqueId"),
+        F.col("obs_date_raw").alias("npsDate"), F.col("score_raw").alias("npsScore"),
+        F.when(F.col("attr_key") == "click", F.lit(S.DELAY_COL)).otherwise(F.col("attr_key")).alias("driverKey"),
+        F.col("raw_value").alias("value"), "ord",
+    )
+
+
+@query("flow_live_rows", f"""
+WITH {WIDE} SELECT CAST(entity_id AS VARCHAR) AS "sourceId", obs_date AS "npsDate", click, view,
+       CAST(CASE WHEN click > 10 THEN 1 ELSE 0 END AS TINYINT) AS severe
+FROM wide WHERE click IS NOT NULL""")
+def flow_live_rows(spark, sf_dir):
+    """Live rows of active customers, through the semi-join and the pivot of the Live flow."""
+    types = {**{k: t for k, t in _FLOW_TYPES.items() if k != "click"}, S.DELAY_COL: "numeric"}
+    ready = live_features(_flow_rows(spark, sf_dir), types, Vocabulary((), ()))
+    return ready.select("sourceId", "npsDate", F.col(S.DELAY_COL).alias("click"), "view", F.col(S.SEVERE_FLAG_COL).alias("severe"))

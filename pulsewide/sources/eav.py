@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsewide import schema as S
+from pulsewide.functions import columns as C
 
 ORDINAL = "ord"
+#: Bytes of one file and number of files that the row order has room for: 2^44 and 2^19.
+_FILE_SHIFT = 44
+MAX_FILES = 1 << (63 - _FILE_SHIFT)
 KNOWN_TYPES = [S.NUMERIC, S.CATEGORICAL, S.MULTI_CATEGORICAL]
 
 
@@ -18,7 +23,7 @@ def read_definitions(spark: SparkSession, path: str) -> tuple[dict[str, str], Da
 
     The map has one entry per driver (tens), so it lives on the driver program.
     """
-    rows = spark.read.option("header", True).csv(path).select("key", "dataType")
+    rows = spark.read.option("header", True).option("escape", '"').csv(path).select("key", "dataType")
     known = F.col("dataType").isin(KNOWN_TYPES)
     unknown = rows.where(~F.coalesce(known, F.lit(False)))
     listed = rows.where(known).collect()
@@ -29,39 +34,48 @@ def read_definitions(spark: SparkSession, path: str) -> tuple[dict[str, str], Da
 
 
 def read_csv(spark: SparkSession, path: str | list[str], with_ordinal: bool = True) -> DataFrame:
-    """Attribute-value CSV with every column as text, plus the row order.
+    """Attribute-value CSV with every column as text, plus the row order ``ord``.
 
-    The header decides whether a score column is present. ``ord`` ascends in
-    file order; with several files it also carries the file, so that "first"
-    means first in (file, position).
+    Each file's header is checked against the first one's, so a file whose
+    columns come in another order is an error and not misread. Quotes inside a
+    quoted value are doubled; a line break inside a value is not supported.
+    ``ord`` is a long that ascends by file (in the order of their paths) and
+    then by place in the file.
     """
-    names = spark.read.option("header", True).csv(path).columns
     raw = (
-        spark.read.schema(S.strings(*names))
+        spark.read.schema(S.strings(*spark.read.option("header", True).option("escape", '"').csv(path).columns))
         .option("header", True)
+        .option("escape", '"')
+        .option("enforceSchema", False)
         # an empty cell and a quoted empty cell both arrive as NULL or ''
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
-    if not with_ordinal:
-        return raw
-    return raw.select("*", _position(len(raw.inputFiles())).alias(ORDINAL))
+    return _with_position(raw) if with_ordinal else raw
 
 
-def _position(n_files: int) -> Column:
-    """Row order in the input.
+def _with_position(raw: DataFrame) -> DataFrame:
+    """Add the row order of files that Spark splits.
 
-    The splits of one file are numbered in file order, so the generated id
-    alone ascends; it is a plain long, which keeps the pivot of numeric
-    drivers a hash aggregation. Several files also need the file and block.
+    A split starts at a byte of its file, and its rows have two bytes or more,
+    so the start plus the row's number in the split ascends in the file and
+    meets no other split. The file's number stands above. One fixed-width
+    number keeps the pivot of numeric drivers a hash aggregation.
     """
-    if n_files == 1:
-        return F.monotonically_increasing_id()
-    return F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
+    # the two listings write a local path with one slash or three
+    files = sorted(re.sub("^file:/+", "file:/", f) for f in raw.inputFiles())
+    if len(files) > MAX_FILES:
+        raise ValueError(f"{len(files)} files; the row order has room for {MAX_FILES}")
+    names = raw.columns
+    # bounded by MAX_FILES rows
+    numbers = raw.sparkSession.createDataFrame(list(enumerate(files)), "__file bigint, __path string")
+    placed = raw.select(
+        *names, F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("__path"), F.col("_metadata.file_block_start").alias("__start"),
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__row"),
     )
+    file = F.coalesce("__file", F.raise_error(F.concat(F.lit("unlisted input file "), "__path")).cast("bigint"))
+    position = F.shiftleft(file, _FILE_SHIFT) + F.col("__start") + F.col("__row")
+    return placed.join(F.broadcast(numbers), "__path", "left").select(*names, position.alias(ORDINAL))
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -88,7 +102,7 @@ def sample_entities(
     """
     if not 0 < keep <= out_of:
         raise ValueError(f"keep must be in 1..{out_of}; got {keep}")
-    return df.where(F.pmod(F.xxhash64(F.col(entity), F.lit(seed)), F.lit(out_of)) < keep)
+    return df.where(C.seeded_hash(seed, F.col(entity)) % out_of < keep)
 
 
 def write_table(df: DataFrame, path: str, by: str | None = None) -> None:

@@ -105,6 +105,36 @@ def test_first_follows_file_order_across_files_and_splits(spark, tmp_path):
     assert ordered == [str(1000 + i) for i in range(300)]
 
 
+def test_csv_quotes_and_column_order(spark, tmp_path):
+    good = tmp_path / "good.csv"
+    good.write_text('sourceId,value\n1,"a ""b"", c"\n2,"x, y"\n3,plain\n')
+    got = {r["sourceId"]: r["value"] for r in SRC.read_csv(spark, str(good)).collect()}
+    assert got == {"1": 'a "b", c', "2": "x, y", "3": "plain"}
+    both = tmp_path / "both"
+    both.mkdir()
+    (both / "a.csv").write_text("sourceId,value\n1,x\n")
+    (both / "b.csv").write_text("value,sourceId\ny,2\n")
+    with pytest.raises(Exception, match="header|Header|HEADER"):
+        SRC.read_csv(spark, str(both)).collect()
+
+
+def test_pivot_of_several_files_is_a_hash_aggregation(spark, tmp_path):
+    for part in range(2):
+        write_csv(tmp_path / f"part{part}.csv", S.TRAIN_EAV.names, [("1", "a", "2024-01-01", "0", "num", str(part))])
+    raw = SRC.read_csv(spark, str(tmp_path))
+    assert raw.schema["ord"].dataType == T.LongType()
+    wide = PV.pivot_first(raw, {"num": S.NUMERIC}, S.ID_COLS)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert wide.first()["num"] == 0.0
+
+
+def test_too_many_unknown_keys_are_an_error(spark):
+    raw = spark.createDataFrame([(f"k{i}",) for i in range(5)], "driverKey string")
+    with pytest.raises(ValueError, match="not in the definitions"):
+        PV.extra_keys(raw, ["k0"], most=3)
+
+
 def test_definitions(spark, tmp_path):
     path = tmp_path / "defs.csv"
     path.write_text("key,driverType,dataType\nnum,Travel,numeric\ncat,Basket,categorical\nodd,Basket,blob\nm,X,multi_categorical\n")
