@@ -2,16 +2,15 @@
 
 Exact path-dependent Shapley values (Lundberg et al., 2018). Players are the
 original columns: a number and its mark of absence count as one. For a leaf the
-contributions depend only on which of its columns send the row towards it, so
-each leaf gets a small table over these patterns once, and a batch of rows is
-attributed by looking its patterns up. The ensemble has a fixed size (rounds x
-leaves) and is handed to the tasks; rows never meet.
+contributions depend only on which of its columns send the row towards it. Rows are
+taken in blocks; a block goes through the trees one by one, and for each leaf the
+patterns that occur in the block are computed once. The ensemble has a fixed size
+(rounds x leaves) and is handed to the tasks; rows never meet.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -26,12 +25,11 @@ from pulsewide.operators.matrix import FEATURES
 from pulsewide.operators.model import BINARY, Classifier
 from pulsewide.operators.ordering import percentile_map
 from pulsewide.operators.split import sample_at_most
-from pulsewide.session import shared_dir
+from pulsewide.session import scratch_path
 
 SHAP = "shap"
-# patterns are tabulated up to this many columns on one path; beyond it, those found in a batch
-_TABLE_COLUMNS = 8
-_KEEP_BYTES = 64 << 20
+#: Numbers of model input that a block of rows has at most (one row at least).
+BLOCK_NUMBERS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -72,7 +70,7 @@ def make_explainer(spark: SparkSession, classifier: Classifier) -> Explainer:
     """Explainer of a binary classifier; the node rows come from its saved form."""
     if classifier.mode != BINARY:
         raise ValueError("attribution needs the binary model")
-    path = f"{shared_dir(spark)}/explained-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     classifier.model.write().save(path)
     rows = spark.read.parquet(path + "/data").select("treeID", "nodeData.*").collect()
     by_tree: dict[int, dict[int, object]] = {}
@@ -152,57 +150,40 @@ def contributions(passed: np.ndarray, cover: np.ndarray, value: np.ndarray) -> n
     return result
 
 
-def _patterns(d: int) -> np.ndarray:
-    codes = np.arange(1 << d)
-    return ((codes[:, None] >> np.arange(d)) & 1).astype(float)
+def _codes_found(code: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pattern codes of a block, and each row's place among them."""
+    if 1 << d > len(code):
+        return np.unique(code, return_inverse=True)
+    here = np.bincount(code, minlength=1 << d) > 0
+    return np.flatnonzero(here), (np.cumsum(here) - 1)[code]
 
 
-def tabulate(tree: Tree) -> dict[int, np.ndarray]:
-    """Contributions per leaf number and pattern, for leaves with few columns on their path."""
-    tables = {}
-    by_size: dict[int, list[int]] = {}
-    for number, leaf in enumerate(tree.leaves):
-        if 0 < len(leaf.players) <= _TABLE_COLUMNS:
-            by_size.setdefault(len(leaf.players), []).append(number)
-    for d, numbers in by_size.items():
-        cover = np.array([tree.leaves[n].cover for n in numbers])
-        value = np.array([tree.leaves[n].value for n in numbers])
-        tables.update(zip(numbers, contributions(_patterns(d), cover, value)))
-    return tables
-
-
-def table_bytes(explainer: Explainer) -> int:
-    sizes = (len(l.players) for t in explainer.trees for l in t.leaves)
-    return sum(8 * d * (1 << d) for d in sizes if d <= _TABLE_COLUMNS)
-
-
-def attribute_batch(x: np.ndarray, explainer: Explainer, tables: Sequence[dict] | None = None) -> np.ndarray:
-    """Contributions (columns x rows) of a batch of model inputs (rows x slots)."""
+def attribute_block(x: np.ndarray, explainer: Explainer) -> np.ndarray:
+    """Contributions (columns x rows) of a block of model inputs (rows x slots)."""
     rows = x.shape[0]
     inputs = np.ascontiguousarray(x.T)
     total = np.zeros((len(explainer.columns), rows))
-    for at, tree in enumerate(explainer.trees):
-        held = tables[at] if tables is not None else tabulate(tree)
+    for tree in explainer.trees:
         left = [
             inputs[s.slot] <= s.threshold if s.left_levels is None
             else np.isin(inputs[s.slot], s.left_levels)
             for s in tree.splits
         ]
         goes = {True: left, False: [~m for m in left]}
-        for number, leaf in enumerate(tree.leaves):
+        for leaf in tree.leaves:
+            if not leaf.players:
+                continue
             code = np.zeros(rows, dtype=np.int64)
             for p, tests in enumerate(leaf.tests):
                 passed = goes[tests[0][1]][tests[0][0]]
                 for n, side in tests[1:]:
                     passed = passed & goes[side][n]
                 code += passed.astype(np.int64) << p
-            table = held.get(number)
-            if table is None and leaf.players:
-                seen, code = np.unique(code, return_inverse=True)
-                bits = ((seen[:, None] >> np.arange(len(leaf.players))) & 1).astype(float)
-                table = contributions(bits, np.array([leaf.cover]), np.array([leaf.value]))[0]
+            found, place = _codes_found(code, len(leaf.players))
+            bits = ((found[:, None] >> np.arange(len(leaf.players))) & 1).astype(float)
+            table = contributions(bits, np.array([leaf.cover]), np.array([leaf.value]))[0]
             for p, player in enumerate(leaf.players):
-                total[player] += table[p].take(code)
+                total[player] += table[p].take(place)
     return total
 
 
@@ -213,20 +194,29 @@ def attribute(
     ready = classifier.matrix.transform(df).select(*keep, vector_to_array(FEATURES).alias("__x"))
     schema = ready.drop("__x").schema.add(name, T.ArrayType(T.DoubleType()))
 
+    def finish(block: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(block).combine_chunks().to_batches()[0]
+        x = whole.column(whole.num_columns - 1).flatten().to_numpy().reshape(whole.num_rows, -1)
+        phi = attribute_block(x, explainer).T
+        offsets = np.arange(0, phi.size + 1, phi.shape[1], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(phi.ravel()))
+        kept = [whole.column(i) for i in range(whole.num_columns - 1)]
+        return pa.RecordBatch.from_arrays([*kept, lists], names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the explainer travels with the function; Spark broadcasts a large one
-        keep_tables = table_bytes(explainer) <= _KEEP_BYTES
-        # otherwise they are made again per tree and batch
-        tables = [tabulate(t) for t in explainer.trees] if keep_tables else None
+        block, rows = [], 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            phi = attribute_batch(x, explainer, tables).T
-            offsets = np.arange(0, phi.size + 1, phi.shape[1], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(phi.ravel()))
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, lists], names=schema.names)
+            block.append(batch)
+            rows += batch.num_rows
+            width = len(batch.column(batch.num_columns - 1).flatten()) // batch.num_rows
+            if rows * width >= BLOCK_NUMBERS:
+                yield finish(block)
+                block, rows = [], 0
+        if block:
+            yield finish(block)
 
     return ready.mapInArrow(run, schema)
 
@@ -316,6 +306,6 @@ def waterfall(
     for rank, (feature, phi) in enumerate(ranked, start=1):
         rows.append((row[key], rank, feature, float(phi), level, level + phi))
         level += phi
-    return attributed.sparkSession.createDataFrame(
-        rows, f"{key} bigint, rank int, feature string, shap double, from_logodds double, to_logodds double"
-    )
+    steps = T._parse_datatype_string("rank int, feature string, shap double, from_logodds double, to_logodds double")
+    schema = T.StructType([T.StructField(key, attributed.schema[key].dataType), *steps.fields])
+    return attributed.sparkSession.createDataFrame(rows, schema)

@@ -20,10 +20,13 @@ from pyspark.sql import types as T
 
 from pulsewide import schema as S
 from pulsewide.functions import columns as C
+from pulsewide.operators.profile import level_counts
 from pulsewide.operators.salting import join_distinct
 
 FEATURES = "features"
 LABEL = "label"
+#: Levels that a text column among the features may have.
+MAX_LEVELS = 1000
 
 
 @dataclass(frozen=True)
@@ -104,11 +107,24 @@ def multi_target(df: DataFrame, target: str = S.CLASS_COL, name: str = LABEL) ->
 
 def _need(df: DataFrame, target: str) -> None:
     if target not in df.columns:
-        raise KeyError(f"target column '{target}' not found")
+        raise KeyError(f"no column '{target}' to learn from")
 
 
-def fit_matrix(df: DataFrame, columns: Sequence[str]) -> Matrix:
-    """Learn stand-ins and category codes from the training rows."""
+def _check_levels(df: DataFrame, texts: Sequence[str], most: int) -> None:
+    """Raise on a text column with more levels than a tree can split; all levels go to the driver."""
+    if not texts:
+        return
+    counted = level_counts(df, texts).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    wide = {r["column"]: r["n"] for r in counted.where(F.col("n") > most).collect()}
+    if wide:
+        raise ValueError(f"more than {most} levels in text columns {wide}; leave them out or group their levels")
+
+
+def fit_matrix(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS) -> Matrix:
+    """Learn stand-ins and category codes from the training rows.
+
+    No level is dropped: a text column with more than ``max_levels`` is an error.
+    """
     fields = [df.schema[c] for c in columns]
     numbers = [f.name for f in fields if S.is_numeric(f) or isinstance(f.dataType, T.BooleanType)]
     texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
@@ -144,6 +160,7 @@ def fit_matrix(df: DataFrame, columns: Sequence[str]) -> Matrix:
         inputs += [_coded(c) for c in texts]
         slots += [list(columns).index(c) for c in texts]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES))
+    _check_levels(df, texts, max_levels)
     pipeline = Pipeline(stages=stages).fit(df)
     levels = [len(l) for s in pipeline.stages if hasattr(s, "labelsArray") for l in s.labelsArray]
     layout = Layout(
@@ -170,18 +187,11 @@ def category_domain(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).where(F.col(column).isNotNull()).distinct()
 
 
-def align_categories(
-    df: DataFrame, column: str, domain: DataFrame, max_literals: int = 10_000
-) -> DataFrame:
-    """A category outside ``domain`` becomes NULL.
+def align_categories(df: DataFrame, column: str, domain: DataFrame) -> DataFrame:
+    """A category outside ``domain`` (one row each) becomes NULL.
 
-    A domain of up to ``max_literals`` categories is turned into a filter
-    expression; a larger one is joined.
+    A join for domains of any size; Spark broadcasts a small one by its size.
     """
-    few = domain.limit(max_literals + 1).collect()
-    if len(few) <= max_literals:
-        known = [r[0] for r in few]
-        return df.withColumn(column, F.when(F.col(column).isin(known), F.col(column)))
     listed = domain.select(F.col(column), F.col(column).alias("__known"))
     return join_distinct(df, listed, column, "left").withColumn(column, F.col("__known")).select(*df.columns)
 

@@ -239,16 +239,17 @@ def search_params(
     ready = materialise(
         matrix.transform(folded).select(F.col(LABEL).cast("double").alias(LABEL), "fold", FEATURES)
     )
+    pasts = {k: ready.where(F.col("fold") < k) for k in range(1, folds + 1)}
+    if mode == BINARY:
+        # the weights are counted once per fold, not per trial
+        pasts = {k: with_balanced_weight(past) for k, past in pasts.items()}
     rng = np.random.default_rng(seed)
     done: list[Trial] = []
     for number in range(trials):
         trial = Trial(number, draw_params(rng))
         estimator = build(mode, trial.params, rounds, matrix.layout.max_levels, seed)
         for k in range(1, folds + 1):
-            past = ready.where(F.col("fold") < k)
-            if mode == BINARY:
-                past = with_balanced_weight(past)
-            scored = estimator.fit(past).transform(ready.where(F.col("fold") == k))
+            scored = estimator.fit(pasts[k]).transform(ready.where(F.col("fold") == k))
             p = vector_to_array("probability")
             columns_of_p = [f"__p{c}" for c in codes]
             spread = scored.select(LABEL, *[p[c].alias(n) for c, n in zip(codes, columns_of_p)])

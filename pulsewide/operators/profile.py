@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ from pulsewide.operators.ordering import (
 )
 
 
+# distinct values of a batch that meet the grid of a density at once
+_DENSITY_ROWS = 1024
+
+
 def _stack(one_row: DataFrame, cols: Sequence[str], fields: Mapping[str, str], name: str) -> DataFrame:
     """One row with ``col|field`` columns to one row per column."""
     return one_row.select(
@@ -164,12 +170,9 @@ def zero_variance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def shares(df: DataFrame, group: str, name: str = "n") -> DataFrame:
-    """Count and percent share per level; the total is a window over the few level rows."""
-    return (
-        df.groupBy(group)
-        .agg(F.count(F.lit(1)).alias(name))
-        .withColumn("share_pct", F.col(name) * 100.0 / F.sum(name).over(Window.partitionBy(F.lit(0))))
-    )
+    """Count and percent share per level; the total is one number from the level rows."""
+    counted = df.groupBy(group).agg(F.count(F.lit(1)).alias(name))
+    return counted.withColumn("share_pct", F.col(name) * 100.0 / counted.agg(F.sum(name)).scalar())
 
 
 def max_deviation(df: DataFrame, class_col: str, codes: Sequence[int]) -> DataFrame:
@@ -205,14 +208,15 @@ def flag_counts(df: DataFrame, flag: str) -> DataFrame:
 
 
 def exposure(frames: Mapping[str, DataFrame], col: str, threshold: float = 10.0) -> DataFrame:
-    """Percent of rows above, at or below, and without a value, per population."""
+    """Percent of rows above, at or below, and without a value, per population; 0 in an empty one."""
     x = F.col(col)
+    percent = lambda n: C.guarded_ratio(n * 100.0, F.count(F.lit(1)))
     parts = [
         frame.agg(
             F.lit(name).alias("population"),
-            (F.count_if(x > threshold) * 100.0 / F.count(F.lit(1))).alias("pct_severe"),
-            (F.count_if(x <= threshold) * 100.0 / F.count(F.lit(1))).alias("pct_normal"),
-            (F.count_if(x.isNull()) * 100.0 / F.count(F.lit(1))).alias("pct_missing"),
+            percent(F.count_if(x > threshold)).alias("pct_severe"),
+            percent(F.count_if(x <= threshold)).alias("pct_normal"),
+            percent(F.count_if(x.isNull())).alias("pct_missing"),
         )
         for name, frame in frames.items()
     ]
@@ -228,11 +232,12 @@ def date_ranges(df: DataFrame, group: str, date_col: str) -> DataFrame:
 
 
 def base_rate(df: DataFrame, label: str, n_classes: int = 3) -> DataFrame:
-    """Positive share and the log-loss of predicting it for everyone."""
+    """Positive share and the log-loss of predicting it for everyone, 0 if all are alike."""
     p = F.col("base_rate")
+    part = lambda q: F.when(q > 0, -q * F.ln(q)).when(q == 0, F.lit(0.0))
     return df.agg(F.avg(F.col(label).cast("double")).alias("base_rate")).select(
         "base_rate",
-        (-(p * F.ln(p) + (1 - p) * F.ln(1 - p))).alias("naive_logloss"),
+        (part(p) + part(1 - p)).alias("naive_logloss"),
         F.lit(math.log(n_classes)).alias("uniform_logloss"),
     )
 
@@ -404,35 +409,46 @@ def kernel_density(
     """Gaussian density of each population on an even grid: ``(population, k, x, density)``.
 
     Bandwidth is the sample deviation times ``n ** (-1/5)``; the grid reaches
-    ``cut`` bandwidths beyond the data. Rows are first reduced to distinct
-    values with their counts. Each distinct value then adds to every grid point
-    within the map-side step, so ``points`` rows per task are shuffled.
+    ``cut`` bandwidths beyond the data. One pass over all populations: every
+    task adds its batches up to ``points`` sums per population, and these sums
+    are all that is shuffled.
     """
-    parts = []
-    for name, frame in frames.items():
-        x = F.col(col).cast("double")
-        n, lo, hi, std = frame.agg(F.count(x), F.min(x), F.max(x), F.stddev_samp(x)).first()
-        if n < 2 or not std:
-            continue
-        h = std * n ** (-0.2)
-        start, step = lo - cut * h, (hi - lo + 2 * cut * h) / (points - 1)
-        at = F.lit(start) + F.col("k") * F.lit(step)
-        z = (at - F.col("__x")) / F.lit(h)
-        parts.append(
-            frame.where(x.isNotNull())
-            .groupBy(x.alias("__x")).agg(F.count(F.lit(1)).alias("__w"))
-            .select("__x", "__w", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
-            .groupBy("k").agg(F.sum(F.col("__w") * F.exp(-0.5 * z * z)).alias("__s"))
-            .select(
-                F.lit(name).alias("population"),
-                "k",
-                at.alias("x"),
-                (F.col("__s") / (n * h * math.sqrt(2 * math.pi))).alias("density"),
-            )
-        )
-    if not parts:
+    names = list(frames)
+    x = F.col(col).cast("double")
+    parts = [f.select(F.lit(who).alias("who"), x.alias("x")).where(F.col("x").isNotNull()) for who, f in enumerate(frames.values())]
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    stats = rows.groupBy("who").agg(F.count("x"), F.min("x"), F.max("x"), F.stddev_samp("x")).collect()
+    grids, scales = {}, {}
+    for who, n, lo, hi, std in stats:
+        if n > 1 and std:
+            h = std * n ** (-0.2)
+            grids[who] = (lo - cut * h, (hi - lo + 2 * cut * h) / (points - 1), h)
+            scales[who] = n * h * math.sqrt(2 * math.pi)
+    if not grids:
         raise ValueError(f"no population has two distinct values in '{col}'")
-    return functools.reduce(DataFrame.unionByName, parts)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {who: np.zeros(points) for who in grids}
+        for batch in batches:
+            who, values = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for w, (start, step, h) in grids.items():
+                at = start + np.arange(points) * step
+                mine, counts = np.unique(values[who == w], return_counts=True)
+                for k in range(0, len(mine), _DENSITY_ROWS):
+                    z = (at[:, None] - mine[None, k : k + _DENSITY_ROWS]) / h
+                    sums[w] += np.exp(-0.5 * z * z) @ counts[k : k + _DENSITY_ROWS]
+        for w, total in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w] * points, pa.int32()), pa.array(range(points), pa.int32()), pa.array(total)], names=["who", "k", "s"])
+
+    summed = rows.mapInArrow(add_up, "who int, k int, s double").groupBy("who", "k").agg(F.sum("s").alias("s"))
+    pick = lambda values: F.element_at(F.create_map(*[F.lit(v) for item in values.items() for v in item]), F.col("who"))
+    return summed.select(
+        name_at(names, "who").alias("population"),
+        "k",
+        (pick({w: float(g[0]) for w, g in grids.items()}) + F.col("k") * pick({w: float(g[1]) for w, g in grids.items()})).alias("x"),
+        (F.col("s") / pick({w: float(v) for w, v in scales.items()})).alias("density"),
+    )
 
 
 # --- cross-tabs and cohorts ---------------------------------------------------
@@ -477,20 +493,22 @@ def split_by_activity(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, Da
 
 
 def extremes(df: DataFrame, score: str, key: str, high: float = 0.90, low: float = 0.10) -> DataFrame:
-    """Highest- and lowest-scored row, and whether they pass the bounds."""
-    s = F.col(score)
-    one = df.agg(
-        F.max(F.struct(s.alias("s"), (-F.col(key)).alias("k"))).alias("top"),
-        F.min(F.struct(s.alias("s"), F.col(key).alias("k"))).alias("bottom"),
-    )
-    return one.select(
-        F.inline(F.array(
-            F.struct(F.lit("high").alias("who"), (-F.col("top.k")).alias(key),
-                     F.col("top.s").alias(score), (F.col("top.s") > high).alias("passes")),
-            F.struct(F.lit("low").alias("who"), F.col("bottom.k").alias(key),
-                     F.col("bottom.s").alias(score), (F.col("bottom.s") < low).alias("passes")),
-        ))
+    """Highest- and lowest-scored row, and whether they pass the bounds.
+
+    Of equal scores the smallest key is taken; keys may be of any type that sorts.
+    """
+    scored = df.where(F.col(score).isNotNull())
+    bounds = scored.agg(F.max(score).alias("top"), F.min(score).alias("bottom"))
+    # one row
+    at = scored.join(F.broadcast(bounds), (F.col(score) == F.col("top")) | (F.col(score) == F.col("bottom")))
+    one = at.agg(
+        *[F.first(c).alias(c) for c in ("top", "bottom")],
+        *[F.min(F.when(F.col(score) == F.col(c), F.col(key))).alias(f"key_{c}") for c in ("top", "bottom")],
     )
+    line = lambda who, c, passes: F.struct(
+        F.lit(who).alias("who"), F.col(f"key_{c}").alias(key), F.col(c).alias(score), passes.alias("passes"))
+    return one.select(F.inline(F.array(
+        line("high", "top", F.col("top") > high), line("low", "bottom", F.col("bottom") < low))))
 
 
 def score_summary(df: DataFrame, col: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulsewide.functions import columns as C
 from pulsewide.operators import profile as P
 from pulsewide.operators.ordering import column_percentiles
-from pulsewide.operators.split import oot_split
+from pulsewide.operators.split import oot_split, sample_rows
 from pulsewide.plans import views as V
 from pulsewide.plans.catalog.ingest import _OOT
 from pulsewide.plans.catalog.registry import FEATURES, SCORED, TOKENS, WIDE, query, r, rounded, stacked
@@ -373,6 +373,53 @@ def l6_extremes(spark, sf_dir):
     return P.extremes(V.scored(spark, sf_dir), "p", "row_id")
 
 
+@query("l6_extremes_text", f"""
+WITH {SCORED}, named AS (SELECT 'row ' || row_id AS name, p FROM scored),
+hi AS (SELECT name, p FROM named ORDER BY p DESC, name LIMIT 1),
+lo AS (SELECT name, p FROM named ORDER BY p, name LIMIT 1)
+SELECT 'high' AS who, name, p, p > CAST(0.9 AS DOUBLE) AS passes FROM hi
+UNION ALL SELECT 'low', name, p, p < CAST(0.1 AS DOUBLE) FROM lo""")
+def l6_extremes_text(spark, sf_dir):
+    """The same with a text id, as customers have."""
+    named = V.scored(spark, sf_dir).select(F.concat(F.lit("row "), "row_id").alias("name"), "p")
+    return P.extremes(named, "p", "name")
+
+
+@query("l9_preview", f"""
+WITH {WIDE}, halves AS (
+  SELECT CASE WHEN coalesce(error, purchase, signup, view) IS NOT NULL THEN 'partial' ELSE 'pure_inactive' END AS cohort,
+         entity_id, obs_date, purchase, view,
+         row_number() OVER (PARTITION BY coalesce(error, purchase, signup, view) IS NOT NULL
+           ORDER BY CAST('0x' || substr(md5('42|' || entity_id || '|' || strftime(obs_date, '%Y-%m-%d') || '|' || score), 1, 15) AS BIGINT)) AS k
+  FROM wide WHERE click IS NULL AND obs_date IS NOT NULL AND score IS NOT NULL)
+SELECT cohort, entity_id, obs_date, purchase, view FROM halves WHERE k <= 5""")
+def l9_preview(spark, sf_dir):
+    """Five seeded rows of each half of the inactive cohort, wanted columns that exist."""
+    w = V.wide(spark, sf_dir).where("click is null and obs_date is not null and score is not null")
+    shown = P.present_only(w, ["entity_id", "obs_date", "absent", "purchase", "view"])
+    idle, partial = P.split_by_activity(w, [k for k in V.KEYS if k != "click"])
+    parts = [
+        sample_rows(half, ["entity_id", "obs_date", "score"], 5).select(F.lit(name).alias("cohort"), *shown)
+        for name, half in (("pure_inactive", idle), ("partial", partial))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+_TRIMMED = f"""{FEATURES}, cut AS (
+  SELECT quantile_cont(delay_days, 0.01) AS a, quantile_cont(delay_days, 0.99) AS b FROM order_features),
+trimmed AS (SELECT delay_days FROM order_features, cut WHERE delay_days BETWEEN a AND b)"""
+
+
+@query("a13_trimmed_histogram", f"""
+SELECT h.*, (WITH {_TRIMMED} SELECT {r('quantile_cont(delay_days, 0.5)', 'm')[:-5]} FROM trimmed) AS median
+FROM ({_hist_sql(_TRIMMED, "trimmed", "delay_days", 40)}) h""")
+def a13_trimmed_histogram(spark, sf_dir):
+    """Values inside their 1st and 99th percentile, in bins, with the median of those kept."""
+    kept = P.trim(V.features(spark, sf_dir), "delay_days")
+    median = P.percentile_map(kept, ["delay_days"], [0.5])["delay_days"][0]
+    return rounded(P.histogram(kept, "delay_days", 40).withColumn("median", F.lit(median)), "lo", "hi", "median")
+
+
 @query("a6_token_levels", f"""
 WITH {TOKENS}
 SELECT 'tokens' AS "column", tokens AS level, count(*) AS n FROM part_tokens WHERE tokens IS NOT NULL GROUP BY tokens""")

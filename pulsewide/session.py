@@ -30,27 +30,43 @@ def local_session(cores: str = "8", name: str = "pulsewide", **conf: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local master without the setting gets a temporary folder; a cluster
-    without it is an error, because a machine-local path would be lost with
-    its machine.
+    A local master without the setting gets a temporary folder. A cluster
+    without it is an error, because a machine-local path would be lost with its
+    machine; so is one whose context was given a bare local path. A setting
+    with a scheme is taken as it is: a mounted share has ``file:`` too.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    local = master.startswith("local") and not master.startswith("local-cluster")
     if named:
         if current is None:
             spark.sparkContext.setCheckpointDir(named)
         return named
+    if not local:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pulsewide-"))
     return spark.sparkContext.getCheckpointDir()
 
 
-def _scratch_path(spark: SparkSession) -> str:
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/pulsewide-{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession) -> str:
     """A new path below one folder per application, so one delete removes them all."""
-    return f"{shared_dir(spark)}/pulsewide-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{_application_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def delete_scratch(spark: SparkSession) -> None:
+    """Delete everything this application wrote for itself; tables made from it end with it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k in _landed if k[0] == spark.sparkContext.applicationId]:
+        del _landed[key]
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -59,7 +75,7 @@ def materialise(df: DataFrame) -> DataFrame:
     For a result that feeds several jobs: it is computed once, a later job
     reads only the columns it needs, and a lost executor costs nothing.
     """
-    path = _scratch_path(df.sparkSession)
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

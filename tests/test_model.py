@@ -83,30 +83,32 @@ def test_contributions_equal_brute_force_shapley(fitted, live):
 
 def test_long_paths_use_the_same_formula():
     rng = np.random.default_rng(1)
-    d = A._TABLE_COLUMNS + 2
+    d = 10
     cover = tuple(rng.uniform(0.2, 0.9, d))
     leaf = A.Leaf(1.5, tuple(range(d)), cover, tuple(((i, True),) for i in range(d)))
     tree = A.Tree(tuple(A.Split(i, 0.0, None) for i in range(d)), (leaf,))
     explainer = A.Explainer(tuple(f"c{i}" for i in range(d)), (tree,))
     x = rng.normal(size=(64, d))
     x[:8] = -1.0
-    phi = A.attribute_batch(x, explainer).T
+    phi = A.attribute_block(x, explainer).T
     reached = np.where((x <= 0).all(axis=1), 1.5, 0.0)
     assert np.allclose(phi.sum(axis=1) + explainer.base_value, reached)
 
 
-def test_kept_tables_change_nothing(fitted):
+def test_blocks_change_nothing(fitted):
     classifier, explainer = fitted
     x = np.random.default_rng(4).uniform(0, 300, (200, len(classifier.matrix.layout.slots)))
-    kept = A.attribute_batch(x, explainer, [A.tabulate(t) for t in explainer.trees])
-    assert np.array_equal(kept, A.attribute_batch(x, explainer))
+    whole = A.attribute_block(x, explainer)
+    for size in (1, 3, 70):  # fewer rows than patterns, and more
+        parts = [A.attribute_block(x[k : k + size], explainer) for k in range(0, 200, size)]
+        assert np.allclose(np.hstack(parts), whole, atol=1e-12)
 
 
 def test_single_leaf_tree_contributes_nothing():
     tree = A.Tree((), (A.Leaf(0.7, (), (), ()),))
     explainer = A.Explainer(("a", "b"), (tree,))
     assert explainer.base_value == 0.7
-    assert not A.attribute_batch(np.ones((3, 2)), explainer).any()
+    assert not A.attribute_block(np.ones((3, 2)), explainer).any()
 
 
 def test_importance_and_waterfall(spark, fitted, live):
@@ -198,13 +200,12 @@ def test_targets(spark):
     assert meta == ["f"]
 
 
-def test_large_category_domains_are_joined(spark):
+def test_categories_outside_the_domain_are_null(spark):
     df = spark.createDataFrame([(i, f"c{i % 7}") for i in range(70)] + [(99, None)], "id int, c string")
     domain = spark.createDataFrame([(f"c{i}",) for i in range(5)], "c string")
-    few = MX.align_categories(df, "c", domain)
-    many = MX.align_categories(df, "c", domain, max_literals=2)
-    assert few.exceptAll(many).count() == 0 and few.count() == many.count() == 71
-    assert few.where("c is null").count() == 21
+    out = {r["id"]: r["c"] for r in MX.align_categories(df, "c", domain).collect()}
+    assert out == {i: f"c{i % 7}" if i % 7 < 5 else None for i in range(70)} | {99: None}
+
 
 
 def test_three_class_model(spark, sf):
