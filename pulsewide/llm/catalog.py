@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsewide.llm import chat, decontaminate, html, jaccard, licenses, lines, mixing, pii, quality, urls
+from pulsewide.llm.oracles import ORACLES  # noqa: F401 - the queries' SQL, beside them
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def _register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
