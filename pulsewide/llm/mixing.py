@@ -4,7 +4,7 @@ Sizes are counted once and kept as a narrow table. A source's target comes from
 weight; what a document gives is ``whole`` repeats, the same for all of a source, and
 one more if its hash lies below the source's threshold. The threshold is found without
 sorting rows: sums by source and hash bucket, the first bucket whose running sum passes
-the budget, then the same inside that bucket alone with the next bits. What is cut at
+the budget, then the same inside that bucket alone with the next bits, twice. What is cut at
 the last level is one bucket of 2^-28 of the hash range, taken if that comes nearer.
 Thresholds are nested: a larger budget takes a superset.
 
@@ -16,7 +16,7 @@ that level is computed directly from sources sorted by size over weight.
 Defined cases: null and empty texts have size 0 and take 0; a source without words has
 target 0; null is a source, apart from the empty string; rows of equal ``key`` are taken
 or left together (a null key hashes as the empty string); an empty table gives none.
-Histograms have at most 2^14 rows a source, whatever a source's size. Columns that have
+Histograms have at most 2^10 rows a source, whatever a source's size. Columns that have
 an output's name are replaced.
 """
 
@@ -33,7 +33,7 @@ from pulsewide.session import materialise
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Bits of the hash that a histogram resolves, level by level.
-LEVELS = (14, 14)
+LEVELS = (10, 9, 9)
 _BITS = sum(LEVELS)
 
 OUTPUTS = ("size", "source_size", "target", "whole", "taken")
