@@ -42,6 +42,22 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if wide else pa.binary()).to_pylist()
 
 
+#: Rows whose texts are Python objects at one time.
+_SLICE = 256
+
+
+def texts_of(column: pa.Array) -> Iterator[bytes | None]:
+    """UTF-8 bytes of a string column, of a slice of its rows at a time."""
+    for at in range(0, len(column), _SLICE):
+        yield from as_bytes(column.slice(at, _SLICE))
+
+
+def lean() -> None:
+    """Let Arrow give freed batches back to the system: called once in a task, so that a
+    worker that lives on does not keep its largest batch."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def add_columns(
     df: DataFrame,
     inputs: Sequence[str | Column],
@@ -74,6 +90,7 @@ def add_columns(
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         work = start()
         for b in batches:
             columns = b.columns
@@ -110,6 +127,7 @@ def fold(
     dtypes = list(dtypes)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         arrays = [np.zeros(length, t) for t in dtypes]
         update = start(arrays)
         for b in batches:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsewide.llm.batches import add_columns, as_bytes, folded_words, quoted
+from pulsewide.llm.batches import add_columns, folded_words, lean, quoted, texts_of
 
 WINDOW = 10
 BLOCK_CHARS = 8_000_000
@@ -62,10 +62,11 @@ def _word_counts(docs: DataFrame, text: str, vocabulary: frozenset[bytes]) -> di
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
+        lean()
         known, total = shared.value, Counter()
         for b in batches:
             seen = Counter()
-            for t in as_bytes(b.column(0)):
+            for t in texts_of(b.column(0)):
                 seen.update(folded_words(t))
             for w in seen.keys() & known:
                 total[w] += seen[w]
@@ -138,10 +139,9 @@ def _pass(docs: DataFrame, text: str, shared, first: bool, carry: Sequence[str]
         index = shared.value
 
         def work(columns):
-            texts = as_bytes(columns[0])
-            before = [([], [])] * len(texts) if first else list(zip(columns[1].to_pylist(), columns[2].to_pylist()))
+            before = [([], [])] * len(columns[0]) if first else list(zip(columns[1].to_pylist(), columns[2].to_pylist()))
             n_words, n_hit, all_spans, all_items = [], [], [], []
-            for t, (old_spans, old_items) in zip(texts, before):
+            for t, (old_spans, old_items) in zip(texts_of(columns[0]), before):
                 words, spans, items = folded_words(t), list(old_spans), set(old_items)
                 _find(words, index, spans, items)
                 spans = _merged(spans)

@@ -34,7 +34,7 @@ are read, so other columns cannot clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsewide.llm.batches import as_bytes, fold, quoted
+from pulsewide.llm.batches import fold, lean, quoted, texts_of
 from pulsewide.llm.components import components
 from pulsewide.session import materialise
 
@@ -104,7 +104,7 @@ def _word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, limits)
 
 
-def token_sets(texts: Sequence[bytes | None], words: int) -> Iterator[np.ndarray]:
+def token_sets(texts: Iterable[bytes | None], words: int) -> Iterator[np.ndarray]:
     """The sorted distinct tokens of each text."""
     chunk: list[bytes] = []
     size = 0
@@ -206,7 +206,7 @@ def _bucket_counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
 
     def start(arrays):
         def update(columns):
-            for tokens in token_sets(as_bytes(columns[0]), words):
+            for tokens in token_sets(texts_of(columns[0]), words):
                 np.add.at(arrays[0], (tokens >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64), 1)
 
         return update
@@ -231,9 +231,10 @@ def _features(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             sizes, odd, same, entries, rests = [], [], [], [], []
-            for tokens in token_sets(as_bytes(b.column(1)), words):
+            for tokens in token_sets(texts_of(b.column(1)), words):
                 seen = _seen(tokens, shared.value)
                 sizes.append(len(tokens))
                 odd.append(_odd(seen) if len(tokens) else 0)
@@ -306,6 +307,7 @@ def _shared_entries(sets: DataFrame, percent: int) -> DataFrame:
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             lists = b.column(2)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
@@ -354,6 +356,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int
         chosen = wanted[side]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lean()
             for b in batches:
                 p = _places(b.column(0).to_numpy(zero_copy_only=False), n_bits)[0]
                 rows = pa.array(np.flatnonzero((chosen.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1))
@@ -371,13 +374,13 @@ def _compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int
     out = T.StructType([T.StructField("u", kind), T.StructField("v", kind), T.StructField("distance", T.DoubleType()), T.StructField("linked", T.BooleanType())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         last_text, last = b"", np.zeros(0, np.uint64)  # rows come by v, whose set serves many u
         for b in batches:
             distance, linked = [], []
-            firsts, seconds = as_bytes(b.column(2)), [t or b"" for t in as_bytes(b.column(3))]
-            for k, mine in enumerate(token_sets(firsts, words)):
-                if seconds[k] != last_text:
-                    last_text, last = seconds[k], next(token_sets([seconds[k]], words))
+            for mine, second in zip(token_sets(texts_of(b.column(2)), words), texts_of(b.column(3))):
+                if (second or b"") != last_text:
+                    last_text, last = second or b"", next(token_sets([second], words))
                 common = len(np.intersect1d(mine, last, assume_unique=True))
                 union = len(mine) + len(last) - common
                 distance.append(1 - common / max(union, 1))

@@ -21,7 +21,7 @@ replaced.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsewide.session import materialise
-from pulsewide.llm.batches import ASCII_SPACE, add_columns, as_bytes, fold, quoted
+from pulsewide.llm.batches import ASCII_SPACE, add_columns, fold, lean, quoted, texts_of
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -71,7 +71,7 @@ def _put(filter_: np.ndarray, places: tuple[np.ndarray, np.ndarray]) -> None:
         np.bitwise_or.at(filter_, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
 
 
-def _hashes(texts: list[bytes | None], min_chars: int) -> np.ndarray:
+def _hashes(texts: Iterable[bytes | None], min_chars: int) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
     out: list[int] = []
     for t in texts:
@@ -86,7 +86,7 @@ def twice_seen(docs: DataFrame, text: str, min_chars: int, bits: int) -> np.ndar
         once, twice = arrays
 
         def update(columns):
-            hashes, counts = np.unique(_hashes(as_bytes(columns[0]), min_chars), return_counts=True)
+            hashes, counts = np.unique(_hashes(texts_of(columns[0]), min_chars), return_counts=True)
             places = _places(hashes, bits)
             again = (counts > 1) | _has(once, places)
             _put(twice, tuple(p[again] for p in places))
@@ -109,9 +109,10 @@ def _suspects(docs: DataFrame, text: str, min_chars: int, bits: int, twice, orde
     )
 
     def run(batches):
+        lean()
         for b in batches:
             firsts, rows = [], []
-            for row, t in enumerate(as_bytes(b.column(0))):
+            for row, t in enumerate(texts_of(b.column(0))):
                 seen: dict[bytes, int] = {}
                 for line, k in enumerate(_keys(t, min_chars)):
                     if k is not None:
@@ -185,11 +186,10 @@ def _drop(docs, text, min_chars, shared, order, first: bool, last: bool, carry)
         common = shared.value
 
         def work(columns):
-            texts = as_bytes(columns[0])
-            marks = [[]] * len(texts) if first else columns[1].to_pylist()
+            marks = [[]] * len(columns[0]) if first else columns[1].to_pylist()
             owners = columns[-1].to_pylist() if order else None
             gone_all, n_lines, kept = [], [], []
-            for i, t in enumerate(texts):
+            for i, t in enumerate(texts_of(columns[0])):
                 gone = set(marks[i])
                 for line, k in enumerate(_keys(t, min_chars)):
                     if k is not None:
