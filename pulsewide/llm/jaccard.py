@@ -464,7 +464,8 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words:
     """One document of each group: that with the smallest key. Of rows with equal key
     the first by text stays; rows without a key stay."""
     groups = near_duplicate_groups(docs, key=key, text=text, words=words, percent=percent)
-    first = groups.where(F.col(key) == F.col("component_id")).select(quoted(key)).distinct()
+    least = groups.groupBy(quoted(key).alias(key)).agg(F.min("component_id").alias("component_id"))
+    first = least.where(quoted(key) == F.col("component_id")).select(quoted(key))
     kept = docs.where(quoted(key).isNotNull()).join(first, key, "left_semi")
     others = [quoted(c) for c in docs.columns if c not in (key, text)]
     number = F.row_number().over(Window.partitionBy(quoted(key)).orderBy(quoted(text), *others))
