@@ -21,9 +21,9 @@ an entry's sets each is compared with one center only, the set with the fewest o
 tokens, by exact overlap of the whole sets. Sets that are linked with one center need no
 comparison among themselves; the others meet where an entry holds sets of several
 centers. Not compared are sets that cannot be linked by their sizes, by the place of the
-entry in their order, by how many of their tokens no other set has, or by how much their
-distances to the center differ. So no group is paired out, and no link between components
-is missed.
+entry in their order, or by how much their distances to the center differ. An entry that
+one set alone has says nothing of the token: others index their prefixes only, and may
+have it beyond these. So no group is paired out, and no link between components is missed.
 
 Defined cases: null and empty texts, and texts without words, have no tokens and are
 linked with nothing; a document of fewer words than a shingle is one token; rows of
@@ -273,9 +273,7 @@ def _shared_entries(sets: DataFrame, percent: int) -> DataFrame:
     """``(entry, id, n, odd, rest)`` without most of the entries that one set alone has.
 
     At the first entry that two sets share, no token before it is common, so ``rest``, the
-    tokens from there on, bounds their overlap. A single token whose entry no other set has
-    is in no other set; ``rest`` is at most what is left without such tokens. Sets that
-    could not be linked with any other for that reason alone drop out.
+    tokens from there on, bounds their overlap. Entries too late for a link drop out.
     """
     total = sets.agg(F.sum(F.size("entries").cast("bigint"))).first()[0] or 0
     bits = 1 << 20
@@ -314,11 +312,7 @@ def _shared_entries(sets: DataFrame, percent: int) -> DataFrame:
             owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
             again = _is_set(twice.value, _places(flat, bits))
             n = b.column(1).to_numpy(zero_copy_only=False)
-            bands = np.array([len(_bands(int(x), percent)) for x in n])
-            # a token has an entry in each of the set's bands
-            alone = np.bincount(owner[~again & (flat & 1 == 1)], minlength=len(n))
-            open_ = n - -(-alone // bands)
-            rest = np.minimum(b.column(4).flatten().to_numpy(zero_copy_only=False), open_[owner])
+            rest = b.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             kept = np.flatnonzero(again & (100 * rest >= percent * n[owner]))
             rows = pa.array(owner[kept])
             yield pa.RecordBatch.from_arrays(

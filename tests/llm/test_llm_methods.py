@@ -168,6 +168,24 @@ def test_no_link_is_lost(spark, monkeypatch, words, edits, percent, frequent):
     assert 6 <= len({c for _, c in found.values()}) < len(rows)
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_texts_with_longer_copies_link(spark, percent):
+    """Pairs without further copies: one text has a passage more, at its end, at its start or inside."""
+    rows = []
+    for n in (40, 69, 80, 94, 100, 320, 376, 500):
+        for gain in (1, 2, 5, 8, 10, 12, 14, 15, 16, 17, 20, 24, 25, 26):
+            k = len(rows)
+            words = [f"t{k}x{i}" for i in range(n + 3)]
+            more = [f"m{k}x{i}" for i in range(n * gain // 100)]
+            at = (n + 3, 0, n // 2)[gain % 3]
+            rows += [(k, " ".join(words)), (k + 1, " ".join(words[:at] + more + words[at:]))]
+    random.Random(percent).shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicate_groups(d, percent=percent).collect()}
+    assert found == brute.groups(rows, 4, percent)
+    assert len(rows) // 2 < len({c for _, c in found.values()}) < len(rows)
+
+
 def test_chains_go_on_after_the_star(spark):
     """A chain whose ends do not link."""
     words = [f"w{i}" for i in range(400)]
