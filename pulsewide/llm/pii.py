@@ -6,6 +6,11 @@ are confirmed by their parts, cards by Luhn, bank accounts (IBAN) by mod 97. Kin
 without a checksum that the base does not know, such as plain phone numbers, start
 below the limit and need a context word nearby.
 
+An account number is proposed by its first four characters, wherever these stand, and
+ends where its country's length is reached. In countries without a listed length every
+end of a word is tried that is the first, the last or one of groups of four, the longest
+that passes being taken.
+
 All of it is SQL expressions in one narrow pass; a kind's pattern runs only on texts
 with a character it needs. The patterns are written so that a failed match is not
 tried again inside itself, with the same matches as the plain forms in ``PATTERNS``.
@@ -41,7 +46,18 @@ _NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "p
 KINDS = tuple(PATTERNS)
 
 #: Kinds the method adds: pattern, what a text must have, and score without context.
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
+#: Whole words of capitals and digits, from an account number's first on.
+_IBAN_WORDS = r"^[A-Z0-9]++(?![a-z])(?:\x20[A-Z0-9]++(?![a-z]))*+"
+#: Characters of an account number by its country.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Characters that hold any account number with its spaces and what follows it, and pieces that hold these.
+_REACH, _PIECES = 70, 30
 _LOCAL_PHONE = r"(?<![0-9A-Za-z+.()-])(?<!\+[0-9]{1,3}[\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])"
 _SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 ADDED = ("iban", "local_phone", "ssn")
@@ -84,16 +100,22 @@ def _running(lengths: Column) -> Column:
     return let(lengths, with_blocks)
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Matches with their start: array of (value, first)."""
+def _matches(text: Column, pattern: str, reach: int = 0) -> Column:
+    """Matches with their start: array of (value, first). With ``reach``, ``value`` is so
+    much of the text from the match's start on."""
     marked = F.regexp_replace(text, pattern, "\u0001$0\u0001")
 
     def located(pieces: Column) -> Column:
         ends = _running(F.transform(pieces, lambda p: F.length(p).cast("bigint")))
         numbers = F.sequence(F.lit(1), F.size(pieces) - 1, F.lit(2))
+        near = F.transform(pieces, lambda p: F.substring(p, 1, reach)) if reach else pieces
+
+        def value(parts: Column, k: Column) -> Column:
+            return F.substring(F.array_join(F.slice(parts, k + 1, _PIECES), ""), 1, reach) if reach else F.get(parts, k)
+
         return F.when(F.size(pieces) < 2, F.array().cast("array<struct<value:string,first:bigint>>")).otherwise(
-            let(ends, lambda e: F.transform(
-                numbers, lambda k: F.struct(F.get(pieces, k).alias("value"), F.get(e, k - 1).alias("first")))))
+            let(ends, lambda e: let(near, lambda parts: F.transform(
+                numbers, lambda k: F.struct(value(parts, k).alias("value"), F.get(e, k - 1).alias("first"))))))
 
     return let(F.split(marked, "\u0001", -1), located)
 
@@ -122,6 +144,34 @@ def mod97(account: Column) -> Column:
     return F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), step) == 1
 
 
+def _account(near: Column) -> Column:
+    """The account number that a stretch of text begins with; null if there is none."""
+    listed = F.create_map(*[F.lit(x) for n, names in _IBAN_LENGTHS.items() for name in names.split() for x in (name, n)])
+    length = F.try_element_at(listed, F.substring(near, 1, 2))
+
+    def plain(value: Column) -> Column:
+        return F.replace(value, F.lit(" "), F.lit(""))
+
+    def grouped(words: Column, k: Column) -> Column:
+        fours = F.forall(F.slice(words, 1, k - 1), lambda w: F.length(w) == 4) & (F.length(F.get(words, k - 1)) <= 4)
+        return (k == 1) | (k == F.size(words)) | fours
+
+    def longest(words: Column) -> Column:
+        ends = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.struct(
+            k.alias("k"), F.array_join(F.slice(words, 1, k), " ").alias("value")))
+        fits = F.filter(ends, lambda e: F.when(length.isNotNull(), F.length(plain(e["value"])) == length).otherwise(
+            F.length(plain(e["value"])).between(15, 34) & grouped(words, e["k"])))
+        return F.try_element_at(F.filter(fits, lambda e: mod97(plain(e["value"]))), F.lit(-1))["value"]
+
+    return let(F.split(F.regexp_extract(near, _IBAN_WORDS, 0), " "), longest)
+
+
+def _accounts(text: Column) -> Column:
+    """Account numbers with their start."""
+    found = F.transform(_matches(text, _IBAN, _REACH), lambda m: F.struct(_account(m["value"]).alias("value"), m["first"].alias("first")))
+    return F.filter(found, lambda m: m["value"].isNotNull())
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]+", "")
 
@@ -136,14 +186,14 @@ _CONFIRM: dict[str, Callable[[Column], Column]] = {
     "ip": lambda v: F.forall(F.split(v, r"\."), _small),
     "card": lambda v: F.length(_digits(v)).between(12, 19) & luhn(_digits(v)),
     "phone": lambda v: F.length(_digits(v)).between(9, 15),
-    "iban": lambda v: F.length(F.replace(v, F.lit(" "), F.lit(""))).between(15, 34) & mod97(F.replace(v, F.lit(" "), F.lit(""))),
+    "iban": lambda v: F.lit(True),
     "local_phone": lambda v: F.lit(True),
     "ssn": lambda v: ~F.substring(v, 1, 3).isin("000", "666") & (F.substring(v, 1, 1) != "9"),
 }
 
 
 def _spans(text: Column, kind: str, rank: int, pattern: str, needs: str, score: float, context: str | None) -> Column:
-    found = _matches(text, pattern)
+    found = _accounts(text) if kind == "iban" else _matches(text, pattern)
     confirmed = F.filter(found, lambda m: _CONFIRM[kind](m["value"]))
 
     def span(m: Column) -> Column:

@@ -93,6 +93,23 @@ def test_added_spans_need_checksum_or_context(spark):
     assert found == ["iban:5:32", "", "local_phone:5:17", "", "ssn:4:15", "", "phone:0:17"]
 
 
+def test_account_numbers_end_before_other_words(spark):
+    german, short, long = "DE89370400440532013000", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"
+    spaced = "DE89 3704 0044 0532 0130 00"
+    # no listed country
+    other = "ZZ" + next(f"{k:02}" for k in range(100) if int("0123456789012345" + "3535" + f"{k:02}") % 97 == 1) + "0123456789012345"
+    other_spaced = " ".join(other[i : i + 4] for i in range(0, len(other), 4))
+    rows = [
+        (f"{german} Please pay", [german]), (f"{spaced} BIC COBADEFFXXX", [spaced]), (f"{german} 12 euros", [german]),
+        (f"{spaced} {spaced}", [spaced] * 2), (f"AB12 {spaced} 7", [spaced]), (f"to {short} OR {long} NOW", [short, long]),
+        (f"{german}X", []), (f"{german[:-1]}1 Please", []), (f"\u00e9\U0001f600 {other} 12 EUR", [other]), (f"{other_spaced} NOW PAY", [other_spaced]),
+        (" ".join(["AB12"] * 300 + [spaced] + ["GB34"] * 300), [spaced]), (f"{german}.\n{spaced}\n", [german, spaced]),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id int, text string")
+    spans = pii.find_pii(d).orderBy("doc_id").select(F.filter("all_spans", lambda s: s["kind"] == "iban")).collect()
+    assert [[t[s["first"] : s["end"]] for s in r[0]] for (t, _), r in zip(rows, spans)] == [found for _, found in rows]
+
+
 def test_url_model_learns(spark):
     r = random.Random(3)
     word = lambda: "".join(r.choice("aeiou") + r.choice("lmnrst") for _ in range(4))
