@@ -5,14 +5,16 @@ words and the rest. Each histogram is held against its language's reference, the
 histogram of all documents of the language, by the Jensen-Shannon distance (base 2, so
 0 to 1). Documents whose distance is above the limit are rejected, if they are long
 enough for the histogram to say something. Languages without a list of common words
-share one reference of classes and are not judged by words.
+have references of classes of their own and are not judged by words; with fewer than
+``MIN_DOCS`` documents to make a reference of, they are judged by the base rule alone.
 
 One pass over the texts makes all counts, in SQL expressions; references and verdicts
 come from the counts, which are written once. References have one row a language.
 
-Defined cases: null and empty texts have no words, so the base rule rejects them; a
-null language is one without a list; repeated rows each get their row; an empty table
-gives none. Columns that have an output's name are replaced.
+Defined cases: null and empty texts have no words, so the base rule rejects them; texts
+of a null or empty language may be of any, so they are judged by the base rule alone;
+repeated rows each get their row; an empty table gives none. Columns that have an
+output's name are replaced.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 #: Least characters and words for a judgement by classes and by common words.
 MIN_CHARS, MIN_JUDGED_WORDS = 400, 50
+#: Least documents that make a reference of a language without a list.
+MIN_DOCS = 20
 #: Limits of the distances: the first number plus the second over the root of the length.
 CLASS_LIMIT, WORD_LIMIT = (0.14, 3.4), (0.24, 1.2)
 #: Documents this far from the first references do not count in the second.
@@ -115,7 +119,7 @@ def counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", carry: Se
         (F.length("rest") - F.length(F.regexp_replace("rest", "[#*$%&|<>]+", ""))).cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         repeat_words(F.col("words")).alias("n_repeat_words"),
-        F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(F.lit("")).alias("lang"),
+        F.nullif("lang", F.lit("")).alias("lang"),
         classes.alias("classes"),
         _common(F.col("words"), F.col("lang")).alias("common"),
     )
@@ -136,34 +140,30 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
 
 
-def references(found: DataFrame) -> dict[str, dict[str, list[float]]]:
-    """Mean shares by language, over all documents that are long enough; one row a language."""
+def references(found: DataFrame) -> DataFrame:
+    """Number of documents and mean shares by language, over all that are long enough; one row a language."""
     long_enough = found.where((F.col("n_words") >= MIN_JUDGED_WORDS) & (F.col("word_chars") >= MIN_CHARS) & ~F.col("base_failed"))
     n_common = len(next(iter(COMMON_WORDS.values()))) + 1
-    row = long_enough.select("lang", _shares(F.col("classes")).alias("c"), _shares(F.col("common")).alias("w"))
-    means = row.groupBy("lang").agg(
-        F.array(*[F.avg(F.col("c")[i]) for i in range(6)]).alias("classes"),
-        F.array(*[F.avg(F.get("w", F.lit(i))) for i in range(n_common)]).alias("common"),
+    row = long_enough.where("lang is not null").select("lang", _shares(F.col("classes")).alias("c"), _shares(F.col("common")).alias("w"))
+    return row.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.array(*[F.avg(F.col("c")[i]) for i in range(6)]).alias("mean_classes"),
+        F.array(*[F.avg(F.get("w", F.lit(i))) for i in range(n_common)]).alias("mean_common"),
     )
-    return {r["lang"]: {"classes": r["classes"], "common": r["common"]} for r in means.collect()}
 
 
-def _judged(found: DataFrame, known: dict[str, dict[str, list[float]]]) -> DataFrame:
-    """Distances from the references; null where the text is too short to judge."""
+def _judged(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Distances from the references; null where the text is too short to judge or has no reference."""
+    found = found.join(F.broadcast(known.drop("n_docs")), "lang", "left")
 
     def distance(bins: str, judged: Column) -> Column:
-        out = F.lit(None).cast("double")
-        for name in sorted(known):
-            if bins == "common" and name == "":
-                continue
-            reference = F.lit([float(x) for x in known[name][bins]])
-            out = F.when(judged & (F.col("lang") == name), js_distance(_shares(F.col(bins)), reference)).otherwise(out)
-        return out
+        reference = F.col(f"mean_{bins}")
+        return F.when(judged & reference.isNotNull(), js_distance(_shares(F.col(bins)), reference))
 
     return found.withColumns({
         "class_distance": distance("classes", F.col("word_chars") >= MIN_CHARS),
-        "word_distance": distance("common", F.col("n_words") >= MIN_JUDGED_WORDS),
-    })
+        "word_distance": distance("common", (F.col("n_words") >= MIN_JUDGED_WORDS) & F.col("lang").isin(*COMMON_WORDS)),
+    }).drop("mean_classes", "mean_common")
 
 
 def _limit(limit: tuple[float, float], n: Column) -> Column:
@@ -177,8 +177,10 @@ def judge(
     found = materialise(counts(docs, text=text, lang=lang, carry=carry))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     found = found.withColumn("base_failed", base_failed)
-    judged = _judged(found, references(found))
-    judged = _judged(found, references(judged.where(F.coalesce(F.col("class_distance") < MAX_OUTLIER, F.lit(True)))))
+    known = materialise(references(found).where(F.col("lang").isin(*COMMON_WORDS) | (F.col("n_docs") >= MIN_DOCS)))
+    judged = _judged(found, known)
+    second = references(judged.where(F.coalesce(F.col("class_distance") < MAX_OUTLIER, F.lit(True))))
+    judged = _judged(found, materialise(second.join(F.broadcast(known.select("lang")), "lang", "left_semi")))
     rejected = (
         F.col("base_failed")
         | F.coalesce(F.col("class_distance") > _limit(CLASS_LIMIT, F.col("word_chars")), F.lit(False))

@@ -81,6 +81,24 @@ def test_js_distance(spark):
     assert tuple(row) == pytest.approx((want, 0, 1))
 
 
+def test_languages_without_a_list_are_judged_by_their_own(spark):
+    r = random.Random(3)
+
+    def text(letters):
+        return " ".join("".join(r.choice(letters) for _ in range(r.randrange(3, 9))) for _ in range(150)) + "."
+
+    latin, cyrillic, kana = "abcdefgilmnoprstuvz", "абвгдежзиклмнопрсту", "あいうえおかきくけこさしすせそ"
+    rows = [("it", latin)] * 60 + [("ru", cyrillic)] * 25 + [("ja", kana)] * 4 + [(None, latin)] * 40 + [(None, kana)] * 3 + [("", kana)] * 3
+    docs = [(i, text(a), lang) for i, (lang, a) in enumerate(rows)]
+    odd = [(1000, text("#*$%&|<>0123456789"), "it"), (1001, text("#*$%&|<>0123456789"), "ru"), (1002, text(latin), "ru")]
+    d = spark.createDataFrame(docs + odd, "doc_id int, text string, lang string")
+    found = {x["doc_id"]: x for x in quality.judge(d).collect()}
+    assert [i for i, *_ in docs if not found[i]["kept"]] == []
+    assert [i for i, *_ in odd if found[i]["kept"]] == []
+    judged = {lang: {found[i]["class_distance"] is not None for i, _, x in docs if x == lang} for _, _, lang in docs}
+    assert judged == {"it": {True}, "ru": {True}, "ja": {False}, None: {False}, "": {False}}
+
+
 def test_luhn_and_mod97(spark):
     d = spark.createDataFrame([("4111111111111111", "GB82WEST12345698765432"), ("4111111111111112", "GB82WEST12345698765431")], "c string, i string")
     assert [tuple(r) for r in d.select(pii.luhn(F.col("c")), pii.mod97(F.col("i"))).collect()] == [(True, True), (False, False)]
