@@ -37,7 +37,7 @@ _TAG = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _SPACE = re.compile(r"\s+")
 
 # Elements that break lines, that hold no article, whose content is raw, and that have no end.
@@ -61,20 +61,23 @@ _HEADER = re.compile(r"(?:^|[\s_-])headers?(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog toolbar".split())
 
 
-def _apart(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element never holds the article's text."""
+def _apart(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element never holds the article's text, and whether its class or id says so."""
     if tag in _APART or tag == "header" and not inside:
-        return True
+        return True, False
     if tag in ("html", "body", "main") or not attributes:
-        return False
+        return False, False
+    marked = False
     for m in _ATTRIBUTE.finditer(attributes):
         value = next((g for g in m.groups()[1:] if g is not None), "")
         name = m[1].lower()
         if name == "hidden" or name == "role" and value.lower() in _ROLES:
-            return True
-        if name in ("class", "id") and (_MARKED.search(value) or not inside and _HEADER.search(value)):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id") and tag in _ARTICLE:
+            marked |= any(_MARKED.fullmatch(c) or not inside and _HEADER.fullmatch(c) for c in value.split())
+        elif name in ("class", "id"):
+            marked |= bool(_MARKED.search(value) or not inside and _HEADER.search(value))
+    return False, marked
 
 
 #: Elements that an opening block of the same kind closes, and how far it looks for them.
@@ -86,10 +89,10 @@ _LISTS = frozenset("ul ol dl table tbody thead tfoot article main section div bo
 
 
 class _Lines:
-    """Lines of a page: text, length outside links, in an article, apart."""
+    """Lines of a page: text, length outside links, in an article, apart, numbers of the marked elements around."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, bool, bool]] = []
+        self.rows: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
         self._parts: list[str] = []
         self._plain = 0
 
@@ -98,24 +101,27 @@ class _Lines:
         if not linked:
             self._plain += len(text)
 
-    def end(self, article: bool, apart: bool) -> None:
+    def end(self, article: bool, apart: bool, marks: list[int]) -> None:
         if self._parts:
             text = _SPACE.sub(" ", "".join(self._parts)).strip()
             if text:
-                self.rows.append((text, min(self._plain, len(text)), article, apart))
+                self.rows.append((text, min(self._plain, len(text)), article, apart, tuple(marks)))
             self._parts.clear()
             self._plain = 0
 
 
-def _strip(page: str) -> list[tuple[str, int, bool, bool]]:
+def _strip(page: str) -> list[tuple[str, int, bool, bool, tuple[int, ...]]]:
     lines = _Lines()
-    stack: list[tuple[str, bool, bool]] = []  # tag, apart, article
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, apart, article, marked
+    marks: list[int] = []
     open_: Counter[str] = Counter()
     apart = article = links = at = 0
 
     def pop() -> None:
         nonlocal apart, article, links
-        tag, a, b = stack.pop()
+        tag, a, b, marked = stack.pop()
+        if marked:
+            marks.pop()
         open_[tag] -= 1
         apart -= a
         article -= b
@@ -136,7 +142,7 @@ def _strip(page: str) -> list[tuple[str, int, bool, bool]]:
             lines.add(" ", links > 0)
             continue
         if tag in _BLOCKS or tag in _APART:
-            lines.end(article > 0, apart > 0)
+            lines.end(article > 0, apart > 0, marks)
         if tag in _VOID:
             continue
         if closing:
@@ -159,16 +165,18 @@ def _strip(page: str) -> list[tuple[str, int, bool, bool]]:
         if m[4].endswith("/") and tag not in _BLOCKS:
             continue
         inside = article > 0
-        is_apart = _apart(tag, m[4], inside)
+        is_apart, is_marked = _apart(tag, m[4], inside)
         is_article = tag in _ARTICLE and not is_apart
-        stack.append((tag, is_apart, is_article))
+        stack.append((tag, is_apart, is_article, is_marked))
+        if is_marked:
+            marks.append(at)
         open_[tag] += 1
         apart += is_apart
         article += is_article
         links += tag == "a"
     if at < len(page):
         lines.add(html.unescape(page[at:]), links > 0)
-    lines.end(article > 0, apart > 0)
+    lines.end(article > 0, apart > 0, marks)
     return lines.rows
 
 
@@ -221,9 +229,29 @@ def _runs(rows: list[tuple[str, int, bool, bool]]) -> list[list[int]]:
     return runs
 
 
+def _unmarked(rows: list[tuple[str, int, bool, bool, tuple[int, ...]]]) -> list[tuple[str, int, bool, bool]]:
+    """Lines with those of marked elements apart, but for the elements around the page's
+    fullest window, if they hold an article or no other window surges, and no article is
+    declared elsewhere."""
+    free: frozenset[int] = frozenset()
+    if any(marks for *_, marks in rows) and not any(a and not x and not marks for _, _, a, x, marks in rows):
+        fullest: dict[tuple[bool, tuple[int, ...]], int] = {}
+        for k in range(len(rows)):
+            _, _, article, apart, marks = rows[k]
+            if not apart:
+                near = rows[max(0, k - WINDOW + 1) : k + 1]
+                total = sum(n for _, n, _, x, other in near if not x and other == marks)
+                fullest[article, marks] = max(fullest.get((article, marks), 0), total)
+        outside = max((n for (_, marks), n in fullest.items() if not marks), default=0)
+        (article, marks), total = max(fullest.items(), key=lambda f: f[1], default=((False, ()), 0))
+        if total > outside and (article or outside < SURGE):
+            free = frozenset(marks)
+    return [(t, n, a, x or not free.issuperset(marks)) for t, n, a, x, marks in rows]
+
+
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by newlines."""
-    rows = _strip(page or "")
+    rows = _unmarked(_strip(page or ""))
     declared = any(article and not apart for _, _, article, apart in rows)
     kept: list[int] = []
     fullest: tuple[int, list[int]] = (0, [])

@@ -61,6 +61,24 @@ PAGES = {
 }
 
 
+_BODY = "Long text of a page. " * 6
+MARKED_PAGES = {
+    "article": "<article class='post has-sidebar'><p>{0}</p></article><p>Other text.</p>",
+    "open comments": "<article class='comments-open'><p>{0}</p><div id=comments><p>Nice!</p></div></article>",
+    "wrapper": "<div class='content-sidebar-wrap'><article><p>{0}</p></article><div class=sidebar><p>s</p></div></div><p>Other.</p>",
+    "section": "<section class='legal'><p>{0}</p><div class=share>Share</div></section>",
+    "quoted hidden": "<article><p title='a hidden gem'>{0}</p></article>",
+    "quoted data": "<div><div data-x='the hidden'><p>{0}</p></div></div>",
+    "side": "<div><p>{0}</p></div><div class='sidebar'><p>{0}</p></div>",
+    "teasers aside": "<div><p>{0}</p></div><div class='related-posts'><article><p>Read this.</p></article></div>",
+}
+
+
+@pytest.mark.parametrize("name", MARKED_PAGES)
+def test_marked_elements_do_not_empty_a_page(name):
+    assert html.main_text(MARKED_PAGES[name].format(_BODY)) == _BODY.strip()
+
+
 @pytest.mark.parametrize("name", PAGES)
 def test_html(name):
     page, text = PAGES[name]
