@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsewide.llm import chat, decontaminate, html, jaccard, licenses, lines, mixing, pii, quality, urls
+from pulsewide.llm import alignment, chat, decontaminate, embeddings, html, jaccard, licenses, lines, mixing, pii, quality, urls
 from pulsewide.llm.oracles import ORACLES  # noqa: F401 - the queries' SQL, beside them
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,14 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_register
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@_register
+def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))

@@ -181,3 +181,93 @@ def targets(sizes, weights=(5, 2, 1), repeats=3):
             fixed[s] = repeats * sizes[s]
         free -= set(above)
     return fixed
+
+
+def alignment(texts, a, b):
+    """Contract rows of all texts; ``a`` and ``b`` give a text's (id, bytes) list."""
+    rows, counts = [], Counter()
+    for text in texts:
+        both = [tok(text) for tok in (a, b)] if text else [[], []]
+        if any(b"".join(x for _, x in t) != b" " + (text or "").encode() for t in both):
+            both = [[], []]
+        placed = []
+        for tokens in both:
+            at, out = 0, []
+            for i, x in tokens:
+                out.append((i, at, at + len(x)))
+                at += len(x)
+            placed.append(out)
+        links = [(i, j) for i, s, e in placed[0] for j, u, v in placed[1] if s < v and u < e]
+        counts.update(links)
+        common = sorted({e for *_, e in placed[0]} & {e for *_, e in placed[1]})
+        groups, before = [], 0
+        for end in common:
+            groups.append("|".join(",".join(str(i) for i, s, e in p if before <= s and e <= end) for p in placed))
+            before = end
+        rows.append((len(placed[0]), len(placed[1]), len(common), links, sha(";".join(groups)) if groups else ""))
+    best = defaultdict(int)
+    for (_, j), n in counts.items():
+        best[j] = max(best[j], n)
+    return [
+        (n_a, n_b, n_groups, len(links), sum(counts[x] == best[x[1]] for x in links), sum(counts[x] for x in links), digest)
+        for n_a, n_b, n_groups, links, digest in rows
+    ]
+
+
+def tokenizers():
+    """Token lists with bytes from the public tokenizers, by their libraries' own decoding."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    a.encode_special_tokens = True
+    alphabet = {}
+    code = 256
+    for n in range(256):
+        if 33 <= n <= 126 or 161 <= n <= 172 or n >= 174:
+            alphabet[chr(n)] = n
+        else:
+            alphabet[chr(code)] = n
+            code += 1
+    b = sentencepiece.SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
+
+    def first(text):
+        e = a.encode(" " + text, add_special_tokens=False)
+        return [(i, bytes(alphabet[c] for c in t)) for i, t in zip(e.ids, e.tokens)]
+
+    def second(text):
+        ids = b.encode(text)
+        return [(i, bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode()) for i, p in zip(ids, map(b.id_to_piece, ids))]
+
+    return first, second
+
+
+def vectors(rows, threshold=0.9):
+    """rows: (id, vector or None) -> list of (n_links, component) in their order."""
+    def unit(v):
+        if v is None or not v or any(x is None or x != x or abs(x) == float("inf") for x in v) or not any(v):
+            return None
+        size = sum(float(x) ** 2 for x in v) ** 0.5
+        return [float(x) / size for x in v]
+
+    units = [unit(v) if i is not None else None for i, v in rows]
+    parent, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            p, q = units[x], units[y]
+            if p and q and len(p) == len(q) and sum(c * d for c, d in zip(p, q)) >= threshold:
+                links[x] += 1
+                links[y] += 1
+                parent[find(x)] = find(y)
+    least = {}
+    for x, (i, _) in enumerate(rows):
+        if i is not None:
+            r = find(x)
+            least[r] = min(least.get(r, i), i)
+    return [(links[x], least[find(x)] if rows[x][0] is not None else None) for x in range(len(rows))]
