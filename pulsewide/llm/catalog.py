@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsewide.llm import alignment, chat, decontaminate, embeddings, html, jaccard, licenses, lines, mixing, pii, quality, urls
+from pulsewide.llm import alignment, chat, decontaminate, embeddings, html, jaccard, licenses, lines, mixing, pii, quality, trie, urls
 from pulsewide.llm.oracles import ORACLES  # noqa: F401 - the queries' SQL, beside them
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+@_register
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 @_register
 def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))

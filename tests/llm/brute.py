@@ -271,3 +271,39 @@ def vectors(rows, threshold=0.9):
             r = find(x)
             least[r] = min(least.get(r, i), i)
     return [(links[x], least[find(x)] if rows[x][0] is not None else None) for x in range(len(rows))]
+
+
+def trie(rows):
+    """rows: (conv, turn, role, text) -> sorted contract rows."""
+    import zlib
+
+    def digest(t):
+        return hashlib.md5(f"{len(t[0])}:{t[0]}{t[1]}".encode()).digest()
+
+    convs = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            convs[c].append((turn is not None, turn or 0, role or "", text or ""))
+    for c, turns in convs.items():
+        convs[c] = [t[2:] for t in sorted(turns, key=lambda t: (*t[:2], digest(t[2:])))]
+    built = {}
+    for c in list(convs):
+        h = zlib.crc32(str(c).encode()) % 6
+        rest = abs(c) % 100 * (1 if c > 0 else -1)
+        built[c] = tuple(convs.get(c - rest, [])[:h] + convs[c][h:])
+    members = defaultdict(list)
+    for c, turns in sorted(built.items()):
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(c)
+    kids = Counter(n[:-1] for n in members if n)
+    leaves, saved = Counter(), Counter()
+    for n in members:
+        cost = (len(members[n]) - 1) * len(n[-1][1]) if n else 0
+        for d in range(len(n) + 1):
+            leaves[n[:d]] += not kids[n]
+            saved[n[:d]] += cost
+    return sorted(
+        (m[0], len(n), members[n[:-1]][0] if n else None, len(m), kids[n], leaves[n], saved[n],
+         sha(",".join(str(c) for c in m if len(built[c]) == len(n))))
+        for n, m in members.items()
+    )
