@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsewide.llm.batches import add_columns, lean, quoted, texts_of
+from pulsewide.llm.batches import lean, quoted, texts_of
 from pulsewide.session import materialise
 
 FOLDER = "/opt/tokenizers"
@@ -46,17 +46,24 @@ HOT_PAIRS = 1 << 20
 #: Steps of the count histogram for each doubling.
 STEPS = 16
 #: Pairs that a task counts before it passes them on.
-TABLE = 1 << 21
+TABLE = 1 << 19
 _CHUNK_BYTES = 1 << 18
+#: Rows that are worked on together.
+_ROWS = 256
 _SHIFT = 32
 
+#: Written for each text: both id lists as little-endian numbers, the digest and three sizes.
+_WRITTEN = T.StructType([
+    T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("groups_sha256", T.StringType()),
+    T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("n_groups", T.LongType()),
+])
 GROUP = T.StructType([T.StructField("n_a", T.IntegerType()), T.StructField("n_b", T.IntegerType())])
-ALIGNED = T.StructType([
+LISTS = T.StructType([
     T.StructField("a_ids", T.ArrayType(T.IntegerType())), T.StructField("b_ids", T.ArrayType(T.IntegerType())),
-    T.StructField("groups", T.ArrayType(GROUP)), T.StructField("groups_sha256", T.StringType()),
-    T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("n_groups", T.LongType()),
+    T.StructField("groups", T.ArrayType(GROUP)),
 ])
-OUTPUTS = (*ALIGNED.names, "n_links", "n_best", "count_sum")
+NUMBERS = ("groups_sha256", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+OUTPUTS = (*LISTS.names, *NUMBERS)
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -106,10 +113,10 @@ def _reader(path: str) -> type:
     return ByteBpe if path.endswith(".json") else PieceBpe
 
 
-def common_groups(a_lengths: Sequence[int], b_lengths: Sequence[int]) -> tuple[list[int], list[int]]:
+def common_groups(a_lengths: np.ndarray, b_lengths: np.ndarray) -> tuple[list[int], list[int]]:
     """How many tokens of each list have ended at each end that both have."""
-    a = dict(zip(itertools.accumulate(a_lengths), itertools.count(1)))
-    b = dict(zip(itertools.accumulate(b_lengths), itertools.count(1)))
+    a = dict(zip(np.cumsum(a_lengths).tolist(), itertools.count(1)))
+    b = dict(zip(np.cumsum(b_lengths).tolist(), itertools.count(1)))
     common = sorted(a.keys() & b.keys())
     return [a[e] for e in common], [b[e] for e in common]
 
@@ -145,66 +152,104 @@ def _files(docs: DataFrame, paths: Sequence[str]):
 
 
 def _encoded(docs: DataFrame, text: str, files, readers: Sequence[type], carry: Sequence[str]) -> DataFrame:
-    """Both id lists, group sizes and the digest of the groups of every text."""
+    """Both id lists, the digest of the groups and the numbers of tokens and groups of every text."""
+    schema = T.StructType([*[T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)], *_WRITTEN.fields])
 
-    def start():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         first, second = (reader(file) for reader, file in zip(readers, files.value))
-        a_len, b_len = ([len(x) for x in t.bytes] for t in (first, second))
+        a_len, b_len = (np.array([len(x) for x in t.bytes], np.int64) for t in (first, second))
         printer = Printer(max(len(a_len), len(b_len)))
-        nothing = np.zeros(0, np.int32)
+        kinds = [_width(len(t.bytes)) for t in (first, second)]
 
         def aligned(raw: bytes, a: list[int], b: list[int]) -> tuple:
             whole = b" " + raw
             if b"".join([first.bytes[i] for i in a]) != whole or b"".join([second.bytes[i] for i in b]) != whole:
-                return nothing, nothing, nothing, nothing, ""
-            a_ends, b_ends = common_groups([a_len[i] for i in a], [b_len[i] for i in b])
-            a, b, a_ends, b_ends = (np.array(x, np.int32) for x in (a, b, a_ends, b_ends))
+                return _NOTHING
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            a_ends, b_ends = (np.array(x, np.int64) for x in common_groups(a_len[a], b_len[b]))
             digest = hashlib.sha256(printer.text(a, b, a_ends, b_ends).encode()).hexdigest()
-            return a, b, np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0), digest
+            return a.astype(kinds[0]).tobytes(), b.astype(kinds[1]).tobytes(), digest, len(a), len(b), len(a_ends)
 
         def chunk(texts: list[bytes]) -> Iterator[tuple]:
             plain = [t.decode("utf-8", "replace") for t in texts]
-            yield from map(aligned, texts, first.encode(plain), second.encode(plain))
-
-        def work(columns):
-            found, held, size = [], [], 0
-            for t in texts_of(columns[0]):
-                if not t:
-                    found.extend(chunk(held))
+            return map(aligned, texts, first.encode(plain), second.encode(plain))
+
+        def rows(texts: list[bytes | None]) -> list[tuple]:
+            out, held, size = [], [], 0
+            for t in texts:
+                if t:
+                    held.append(t)
+                    size += len(t)
+                if not t or size >= _CHUNK_BYTES:
+                    out.extend(chunk(held))
                     held, size = [], 0
-                    found.append((nothing, nothing, nothing, nothing, ""))
-                    continue
-                held.append(t)
-                size += len(t)
-                if size >= _CHUNK_BYTES:
-                    found.extend(chunk(held))
-                    held, size = [], 0
-            found.extend(chunk(held))
-            a, b, n_a, n_b, digests = zip(*found) if found else ((), (), (), (), ())
-            sizes = [_int_lists(list(n)) for n in (n_a, n_b)]
-            both = pa.StructArray.from_arrays([s.values for s in sizes], fields=[pa.field("n_a", pa.int32()), pa.field("n_b", pa.int32())])
-            counts = [pa.array([len(x) for x in lists], pa.int64()) for lists in (a, b, n_a)]
-            groups = pa.ListArray.from_arrays(sizes[0].offsets, both)
-            return [_int_lists(list(a)), _int_lists(list(b)), groups, pa.array(digests, pa.string()), *counts]
+                if not t:
+                    out.append(_NOTHING)
+            out.extend(chunk(held))
+            return out
+
+        for batch in batches:
+            for b in _slices(batch):
+                made = list(zip(*rows(list(texts_of(b.column(len(carry)))))))
+                kinds_of = (pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns[: len(carry)], *[pa.array(c, k) for c, k in zip(made, kinds_of)]], names=schema.names)
 
-        return work
+    sent = [quoted(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    return docs.select(*sent, quoted(text).cast("string").alias("t")).mapInArrow(run, schema)
 
-    return add_columns(docs, [quoted(text).cast("string")], ALIGNED, start, carry)
 
+_NOTHING = (b"", b"", "", 0, 0, 0)
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    return values, np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
+
+def _width(size: int) -> str:
+    """The narrowest number that holds every id."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def _ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of id lists, and how many each row has."""
+    lists = column.to_pylist()
+    sizes = np.array([len(x) for x in lists], np.int64) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(lists), kind).astype(np.int64), sizes
 
 
 def links(a: pa.Array, b: pa.Array, lengths: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All links of a batch as ``a << 32 | b``, and the row of each. The two lists of a row
-    have the same bytes, so rows can be laid end to end."""
-    (a, row), (b, _) = _flat(a), _flat(b)
+    have the same bytes, so rows can be laid end to end: each end closes a stretch of bytes
+    that one token of either list covers."""
+    (a, n_a), (b, _) = (_ids(c, _width(len(size))) for c, size in zip((a, b), lengths))
     a_ends, b_ends = np.cumsum(lengths[0][a]), np.cumsum(lengths[1][b])
     ends = np.union1d(a_ends, b_ends)
     first = np.searchsorted(a_ends, ends)
-    return a[first].astype(np.int64) << _SHIFT | b[np.searchsorted(b_ends, ends)], row[first]
+    return a[first] << _SHIFT | b[np.searchsorted(b_ends, ends)], np.repeat(np.arange(len(n_a)), n_a)[first]
+
+
+def _listed(encoded: DataFrame, lengths) -> DataFrame:
+    """The id lists and group sizes as arrays, in place of the written numbers."""
+    others = [c for c in encoded.columns if c not in ("a", "b")]
+    names = [f"c{i}" for i in range(len(others))]
+    schema = T.StructType([*[T.StructField(n, encoded.schema[c].dataType) for n, c in zip(names, others)], *LISTS.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in batches:
+            for b in _slices(batch):
+                (first, n_a), (second, n_b) = (_ids(b.column(k), _width(len(lengths.value[k]))) for k in (0, 1))
+                sizes = []
+                for x, y in zip(np.split(first, np.cumsum(n_a)[:-1]), np.split(second, np.cumsum(n_b)[:-1])):
+                    ends = common_groups(lengths.value[0][x], lengths.value[1][y])
+                    sizes.append([np.diff(np.array(e, np.int32), prepend=np.int32(0)) for e in ends])
+                own, other = (_int_lists([s[k] for s in sizes]) for k in (0, 1))
+                both = pa.StructArray.from_arrays([own.values, other.values], fields=[pa.field("n_a", pa.int32()), pa.field("n_b", pa.int32())])
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(v, pa.int32()))
+                         for v, n in ((first, n_a), (second, n_b))]
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns[2:], *lists, pa.ListArray.from_arrays(own.offsets, both)], names=schema.names)
+
+    out = encoded.select("a", "b", *[quoted(c).alias(n) for n, c in zip(names, others)]).mapInArrow(run, schema)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, others)], *LISTS.names)
 
 
 def _lengths(files, readers: Sequence[type]):
@@ -212,8 +257,6 @@ def _lengths(files, readers: Sequence[type]):
     return [np.array([len(x) for x in t.bytes], np.int64) for t in made]
 
 
-#: Rows whose links are expanded together.
-_ROWS = 512
 _PAIR = T.StructType([T.StructField("pair", T.LongType()), T.StructField("n", T.LongType())])
 
 
@@ -250,7 +293,7 @@ def pair_counts(encoded: DataFrame, lengths) -> DataFrame:
         if held:
             yield record(merged())
 
-    return encoded.select("a_ids", "b_ids").mapInArrow(run, _PAIR).groupBy("pair").agg(F.sum("n").alias("n"))
+    return encoded.select("a", "b").mapInArrow(run, _PAIR).groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 _SCORE = T.StructType([
@@ -310,7 +353,7 @@ def _scores(encoded: DataFrame, pairs: DataFrame, lengths, hot_pairs: int) -> Da
                      pa.array(np.bincount(row, is_best[place], n).astype(np.int64)), pa.array(sums),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists)], names=_SCORE.names)
 
-    scored = encoded.select("row", "a_ids", "b_ids").mapInArrow(run, _SCORE)
+    scored = encoded.select("row", "a", "b").mapInArrow(run, _SCORE)
     if taken == sum(histogram.values()):
         return scored.drop("rare")
     scored = materialise(scored)
@@ -328,18 +371,21 @@ def _scores(encoded: DataFrame, pairs: DataFrame, lengths, hot_pairs: int) -> Da
 
 def align(
     docs: DataFrame, *, text: str = "text", first: str = BYTE_BPE, second: str = PIECE_BPE,
-    carry: Sequence[str] | None = None, hot_pairs: int = HOT_PAIRS,
+    carry: Sequence[str] | None = None, hot_pairs: int = HOT_PAIRS, lists: bool = True,
 ) -> DataFrame:
-    """Texts with both id lists and their lengths, group sizes, the digest of the groups, ``n_links``,
-    ``n_best`` (links whose pair's count is the highest of its second id) and ``count_sum``
-    (counts added over the links). ``.json`` files are byte-level BPE, others piece models."""
+    """Texts with the digest of the groups, numbers of tokens, groups and links, ``n_best``
+    (links whose pair's count is the highest of its second id) and ``count_sum`` (counts
+    added over the links); with ``lists`` also both id lists and the size of each group.
+    ``.json`` files are byte-level BPE, others piece models."""
     readers = [_reader(p) for p in (first, second)]
     files = _files(docs, (first, second))
     lengths = docs.sparkSession.sparkContext.broadcast(_lengths(files, readers))
     kept = [c for c in (docs.columns if carry is None else carry) if c not in OUTPUTS]
-    encoded = _encoded(docs, text, files, readers, kept).withColumn("row of text", F.monotonically_increasing_id())
-    encoded = materialise(encoded)
-    slim = encoded.select(F.col("row of text").alias("row"), "a_ids", "b_ids")
+    encoded = materialise(_encoded(docs, text, files, readers, kept).withColumn("row", F.monotonically_increasing_id()))
+    slim = encoded.select("row", "a", "b")
     pairs = materialise(pair_counts(slim, lengths))
-    scores = _scores(slim, pairs, lengths, hot_pairs).withColumnRenamed("row", "row of text")
-    return encoded.join(scores, "row of text").select(*kept, *OUTPUTS)
+    scores = _scores(slim, pairs, lengths, hot_pairs)
+    if lists:
+        encoded = _listed(encoded, lengths)
+    out = encoded.join(scores, "row")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *[c for c in OUTPUTS if lists or c in NUMBERS])

@@ -95,7 +95,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = alignment.align(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    out = alignment.align(_table(spark, sf_dir, "documents"), carry=["doc_id"], lists=False)
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 

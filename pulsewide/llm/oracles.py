@@ -101,4 +101,45 @@ SELECT s.doc_id, s.size, p.source_size, p.target,
        s.size * (p.whole + CASE WHEN s.hash < coalesce(c.threshold, 0) THEN 1 ELSE 0 END) AS taken
 FROM s JOIN plans p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source"""
 
-ORACLES = {"op6_jaccard": OP6, "op7_decontaminate": OP7, "op8_lines": OP8, "op9_chat": OP9, "op10_mixing": OP10}
+OP12 = """
+WITH t AS (
+  SELECT conv_id, turn, length(coalesce(text, '')) AS n_chars,
+         md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, list(g ORDER BY turn NULLS FIRST, g) AS gs, list(n_chars ORDER BY turn NULLS FIRST, g) AS ns,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h
+  FROM t GROUP BY conv_id),
+built AS (
+  SELECT o.conv_id, list_concat(coalesce(b.gs[1:o.h], []), o.gs[o.h + 1:]) AS gs, list_concat(coalesce(b.ns[1:o.h], []), o.ns[o.h + 1:]) AS ns
+  FROM own o LEFT JOIN own b ON b.conv_id = o.base),
+prefixes AS (SELECT conv_id, gs, ns, unnest(range(0, len(gs) + 1)) AS d FROM built),
+nodes AS (
+  SELECT array_to_string(gs[1:d], '/') || '/' AS node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         any_value(CASE WHEN d > 1 THEN array_to_string(gs[1:d - 1], '/') || '/' WHEN d = 1 THEN '/' END) AS above, coalesce(any_value(ns[d]), 0) AS n_chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = len(gs)), '')) AS ends_sha256
+  FROM prefixes GROUP BY node, depth),
+kids AS (SELECT above, count(*) AS n FROM nodes WHERE above IS NOT NULL GROUP BY above),
+counted AS (SELECT v.*, coalesce(k.n, 0) AS n_children FROM nodes v LEFT JOIN kids k ON k.above = v.node),
+sums AS (
+  SELECT v.node, count(*) FILTER (WHERE w.n_children = 0) AS n_leaves, CAST(sum((w.n_convs - 1) * w.n_chars) AS BIGINT) AS saved_tokens
+  FROM counted v JOIN counted w ON v.depth = 0 OR starts_with(w.node, v.node) GROUP BY v.node)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM counted v JOIN sums s ON s.node = v.node LEFT JOIN counted p ON p.node = v.above"""
+
+OP13 = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+good AS (
+  SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS size FROM e
+  WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(v, v) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+many AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM e JOIN least ON least.a = e.vec_id LEFT JOIN many ON many.a = e.vec_id"""
+
+ORACLES = {"op6_jaccard": OP6, "op7_decontaminate": OP7, "op8_lines": OP8, "op9_chat": OP9, "op10_mixing": OP10,
+           "op12_trie": OP12, "op13_embeddings": OP13}

@@ -197,13 +197,20 @@ def alignment(texts, a, b):
                 out.append((i, at, at + len(x)))
                 at += len(x)
             placed.append(out)
-        links = [(i, j) for i, s, e in placed[0] for j, u, v in placed[1] if s < v and u < e]
+        covers = [[k for k, (_, s, e) in enumerate(p) for _ in range(s, e)] for p in placed]  # a token for each byte
+        links = [(placed[0][x][0], placed[1][y][0]) for x, y in dict.fromkeys(zip(*covers))]
         counts.update(links)
         common = sorted({e for *_, e in placed[0]} & {e for *_, e in placed[1]})
-        groups, before = [], 0
+        groups, done = [], [0, 0]
         for end in common:
-            groups.append("|".join(",".join(str(i) for i, s, e in p if before <= s and e <= end) for p in placed))
-            before = end
+            parts = []
+            for k in (0, 1):
+                own = []
+                while done[k] < len(placed[k]) and placed[k][done[k]][2] <= end:
+                    own.append(str(placed[k][done[k]][0]))
+                    done[k] += 1
+                parts.append(",".join(own))
+            groups.append("|".join(parts))
         rows.append((len(placed[0]), len(placed[1]), len(common), links, sha(";".join(groups)) if groups else ""))
     best = defaultdict(int)
     for (_, j), n in counts.items():
@@ -244,33 +251,36 @@ def tokenizers():
 
 def vectors(rows, threshold=0.9):
     """rows: (id, vector or None) -> list of (n_links, component) in their order."""
+    import numpy as np
+
     def unit(v):
-        if v is None or not v or any(x is None or x != x or abs(x) == float("inf") for x in v) or not any(v):
+        if not v or any(x is None or x != x or abs(x) == float("inf") for x in v) or not any(v):
             return None
-        size = sum(float(x) ** 2 for x in v) ** 0.5
-        return [float(x) / size for x in v]
+        v = np.array(v, float)
+        v = v / abs(v).max()
+        return v / (v @ v) ** 0.5
 
     units = [unit(v) if i is not None else None for i, v in rows]
-    parent, links = list(range(len(rows))), [0] * len(rows)
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for x in range(len(rows)):
-        for y in range(x):
-            p, q = units[x], units[y]
-            if p and q and len(p) == len(q) and sum(c * d for c, d in zip(p, q)) >= threshold:
-                links[x] += 1
-                links[y] += 1
-                parent[find(x)] = find(y)
-    least = {}
-    for x, (i, _) in enumerate(rows):
-        if i is not None:
-            r = find(x)
-            least[r] = min(least.get(r, i), i)
-    return [(links[x], least[find(x)] if rows[x][0] is not None else None) for x in range(len(rows))]
+    links, component = [0] * len(rows), [i for i, _ in rows]
+    near = {}
+    for size in {len(u) for u in units if u is not None}:
+        own = [x for x, u in enumerate(units) if u is not None and len(u) == size]
+        close = np.array([units[x] for x in own]) @ np.array([units[x] for x in own]).T >= threshold
+        for x, row in zip(own, close):
+            near[x] = [own[y] for y in np.flatnonzero(row) if own[y] != x]
+            links[x] = len(near[x])
+    seen = set()
+    for x in near:
+        group, todo = [], [x]
+        while todo:
+            y = todo.pop()
+            if y not in seen:
+                seen.add(y)
+                group.append(y)
+                todo += near[y]
+        for y in group:
+            component[y] = min(rows[z][0] for z in group)
+    return list(zip(links, component))
 
 
 def trie(rows):

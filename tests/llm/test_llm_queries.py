@@ -22,8 +22,8 @@ def by_id(found):
     return out
 
 
-def test_ten_queries():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+def test_numbered_queries():
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
 
 
 def test_html(spark, sf, table):
