@@ -1,15 +1,17 @@
 """Quality rules: base counts, and divergence from language references.
 
 A document's characters fall into classes and its words into the language's common
-words and the rest. Each histogram is held against its language's reference, the mean
-histogram of all documents of the language, by the Jensen-Shannon distance (base 2, so
-0 to 1). Documents whose distance is above the limit are rejected, if they are long
-enough for the histogram to say something. Languages without a list of common words
-have references of classes of their own and are not judged by words; with fewer than
-``MIN_DOCS`` documents to make a reference of, they are judged by the base rule alone.
+words and the rest. Each histogram is held against its language's reference by the
+Jensen-Shannon distance (base 2, so 0 to 1). Documents whose distance is above the limit
+are rejected, if they are long enough for the histogram to say something. A reference is
+the mean histogram of those documents of the language that lie nearest to its medians
+(:func:`references`), so junk must be the larger half of a language to shift it. Languages
+without a list of common words are not judged by words; a language with fewer than
+``MIN_DOCS`` documents to make a reference of is judged by the base rule alone.
 
 One pass over the texts makes all counts, in SQL expressions; references and verdicts
 come from the counts, which are written once. References have one row a language.
+A very long text is one row of words and window hashes, in memory together.
 
 Defined cases: null and empty texts have no words, so the base rule rejects them; texts
 of a null or empty language may be of any, so they are judged by the base rule alone;
@@ -39,12 +41,13 @@ MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 #: Least characters and words for a judgement by classes and by common words.
 MIN_CHARS, MIN_JUDGED_WORDS = 400, 50
-#: Least documents that make a reference of a language without a list.
+#: Least documents that make a language's references.
 MIN_DOCS = 20
+#: Of the medians: their rank is off by less than one part in this many.
+ACCURACY = 1000
+N_CLASSES = 6
 #: Limits of the distances: the first number plus the second over the root of the length.
 CLASS_LIMIT, WORD_LIMIT = (0.14, 3.4), (0.24, 1.2)
-#: Documents this far from the first references do not count in the second.
-MAX_OUTLIER = 0.3
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 OUTPUTS = (*BASE, "base_failed", "class_distance", "word_distance", "kept")
@@ -126,7 +129,7 @@ def counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", carry: Se
 
 
 def _shares(bins: Column) -> Column:
-    total = F.aggregate(bins, F.lit(0).cast("bigint"), lambda a, x: a + x).cast("double")
+    total = F.aggregate(bins, F.lit(0.0), lambda a, x: a + x)
     return let(total, lambda n: F.transform(bins, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
 
 
@@ -140,21 +143,51 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
 
 
-def references(found: DataFrame) -> DataFrame:
-    """Number of documents and mean shares by language, over all that are long enough; one row a language."""
-    long_enough = found.where((F.col("n_words") >= MIN_JUDGED_WORDS) & (F.col("word_chars") >= MIN_CHARS) & ~F.col("base_failed"))
+def _middle(value: Column) -> Column:
+    return F.percentile_approx(value, F.lit(0.5), F.lit(ACCURACY))
+
+
+def _means(rows: DataFrame) -> DataFrame:
     n_common = len(next(iter(COMMON_WORDS.values()))) + 1
-    row = long_enough.where("lang is not null").select("lang", _shares(F.col("classes")).alias("c"), _shares(F.col("common")).alias("w"))
-    return row.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.array(*[F.avg(F.col("c")[i]) for i in range(6)]).alias("mean_classes"),
+    return rows.groupBy("lang").agg(
+        F.array(*[F.avg(F.col("c")[i]) for i in range(N_CLASSES)]).alias("mean_classes"),
         F.array(*[F.avg(F.get("w", F.lit(i))) for i in range(n_common)]).alias("mean_common"),
     )
 
 
+def _nearer_half(rows: DataFrame, bins: str, centers: DataFrame, center: str) -> DataFrame:
+    """The rows that are no farther from their language's center than its middle row; a
+    language without a center for these bins keeps all."""
+    far = F.when(F.col(center)[0].isNotNull() & F.col(bins).isNotNull(), js_distance(F.col(bins), F.col(center)))
+    # one row a language
+    held = rows.join(F.broadcast(centers.select("lang", center)), "lang").withColumn("far", far)
+    cuts = materialise(held.groupBy("lang").agg(_middle(F.col("far")).alias("cut")))
+    near = held.join(F.broadcast(cuts), "lang").where(F.coalesce(F.col("far") <= F.col("cut"), F.lit(True)))
+    return near.select(*rows.columns)
+
+
+def references(found: DataFrame) -> DataFrame:
+    """Mean shares by language over documents that are surely of its kind; one row a language.
+
+    The first center is the median of each class's share, which a minority of odd documents
+    cannot move out of the range of the others. The half of the documents nearest to it
+    gives mean shares of common words, and the half of these that is nearest in words gives
+    the references. So less than half of a language's documents, however odd and alike,
+    do not draw its reference to themselves.
+    """
+    long_enough = found.where((F.col("n_words") >= MIN_JUDGED_WORDS) & (F.col("word_chars") >= MIN_CHARS) & ~F.col("base_failed"))
+    rows = long_enough.where("lang is not null").select("lang", _shares(F.col("classes")).alias("c"), _shares(F.col("common")).alias("w"))
+    centers = rows.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.array(*[_middle(F.col("c")[i]) for i in range(N_CLASSES)]).alias("medians"))
+    centers = materialise(centers.where(F.col("n_docs") >= MIN_DOCS).select("lang", _shares(F.col("medians")).alias("center")))
+    near = _nearer_half(rows, "c", centers, "center")
+    near = _nearer_half(near, "w", materialise(_means(near)), "mean_common")
+    return _means(near)
+
+
 def _judged(found: DataFrame, known: DataFrame) -> DataFrame:
     """Distances from the references; null where the text is too short to judge or has no reference."""
-    found = found.join(F.broadcast(known.drop("n_docs")), "lang", "left")
+    found = found.join(F.broadcast(known), "lang", "left")
 
     def distance(bins: str, judged: Column) -> Column:
         reference = F.col(f"mean_{bins}")
@@ -177,10 +210,7 @@ def judge(
     found = materialise(counts(docs, text=text, lang=lang, carry=carry))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     found = found.withColumn("base_failed", base_failed)
-    known = materialise(references(found).where(F.col("lang").isin(*COMMON_WORDS) | (F.col("n_docs") >= MIN_DOCS)))
-    judged = _judged(found, known)
-    second = references(judged.where(F.coalesce(F.col("class_distance") < MAX_OUTLIER, F.lit(True))))
-    judged = _judged(found, materialise(second.join(F.broadcast(known.select("lang")), "lang", "left_semi")))
+    judged = _judged(found, materialise(references(found)))
     rejected = (
         F.col("base_failed")
         | F.coalesce(F.col("class_distance") > _limit(CLASS_LIMIT, F.col("word_chars")), F.lit(False))

@@ -322,3 +322,32 @@ def test_word_splits_agree():
     text = "Aé-b\tC\x0b1\x85  x\x1fY"
     assert [w.decode() for w in batches.folded_words(text.encode())] == brute.folded(text)
     assert [w.decode() for w in batches.spaced_words(text.encode())] == brute.SPACED.findall(text.translate(brute.LOWER))
+
+
+ODD = {
+    "symbols": "#*$%&|<>0123456789abc", "mild": "#*$%abcdefghijklmn", "digits": "0123456789", "no common words": "abcdefgilmnoprstuv",
+}
+
+
+@pytest.mark.parametrize("share", [10, 25, 40])
+def test_junk_does_not_move_the_references(spark, share):
+    """A language with up to 40 % of alike junk loses no clean text, long or short, and keeps no junk."""
+    r = random.Random(share)
+
+    def letters(alphabet):
+        return "".join(r.choice(alphabet) for _ in range(r.randrange(3, 9)))
+
+    def clean(lang, n):
+        words = [r.choice(quality.COMMON_WORDS[lang]) if r.random() < 0.45 else letters("abcdefgilmnoprstuv") for _ in range(n)]
+        return " ".join(w.capitalize() if k % 12 == 0 else w for k, w in enumerate(words)) + "."
+
+    docs = []
+    for lang, alphabet in zip(quality.COMMON_WORDS, ODD.values()):
+        for i in range(100):
+            odd = i < share
+            n = r.choice([150, 1000] if odd else [150, 3000])
+            docs.append((len(docs), " ".join(letters(alphabet) for _ in range(n)) if odd else clean(lang, n), lang, odd))
+    d = spark.createDataFrame(docs, "doc_id int, text string, lang string, odd boolean").repartition(8)
+    found = quality.judge(d).collect()
+    assert [(x["lang"], x["n_words"]) for x in found if not x["odd"] and not x["kept"]] == []
+    assert [(x["lang"], x["n_words"]) for x in found if x["odd"] and x["kept"]] == []
