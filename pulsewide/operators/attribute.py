@@ -70,18 +70,23 @@ def make_explainer(spark: SparkSession, classifier: Classifier) -> Explainer:
     """Explainer of a binary classifier; the node rows come from its saved form."""
     if classifier.mode != BINARY:
         raise ValueError("attribution needs the binary model")
-    path = scratch_path(spark)
-    classifier.model.write().save(path)
-    rows = spark.read.parquet(path + "/data").select("treeID", "nodeData.*").collect()
-    by_tree: dict[int, dict[int, object]] = {}
-    for r in rows:
-        by_tree.setdefault(r["treeID"], {})[r["id"]] = r
+    by_tree = _nodes(spark, classifier)
     slots = classifier.matrix.layout.slots
     weights = classifier.model.treeWeights
     trees = tuple(_tree(by_tree[t], slots, 2.0 * weights[t]) for t in sorted(by_tree))
     return Explainer(tuple(classifier.matrix.layout.columns), trees)
 
 
+def _nodes(spark: SparkSession, classifier: Classifier) -> dict[int, dict[int, object]]:
+    """The node rows of every tree, from the model's saved form."""
+    path = scratch_path(spark)
+    classifier.model.write().save(path)
+    by_tree: dict[int, dict[int, object]] = {}
+    for r in spark.read.parquet(path + "/data").select("treeID", "nodeData.*").collect():
+        by_tree.setdefault(r["treeID"], {})[r["id"]] = r
+    return by_tree
+
+
 def _tree(nodes: dict[int, object], slots: Sequence[int], scale: float) -> Tree:
     """Paths of one tree; MLlib's log-odds are twice the weighted sum of tree outputs."""
     splits: list[Split] = []
@@ -221,6 +226,65 @@ def attribute(
     return ready.mapInArrow(run, schema)
 
 
+#: Columns whose coalitions are enumerated at most.
+MAX_ENUMERATED = 12
+
+
+def attribute_by_enumeration(
+    df: DataFrame, classifier: Classifier, keep: Sequence[str], name: str = SHAP
+) -> DataFrame:
+    """The same contributions by the definition, for few columns.
+
+    Every coalition of columns has a worth: the log-odds expected of a row of which these
+    columns alone are known, walking each tree and weighing both sides of a split on an
+    unknown column by their training weights. A contribution is the Shapley average of what
+    its column adds to the worth of all coalitions of the others. The cost doubles with
+    every column; it is there to check :func:`attribute`, with which it shares no formula.
+    """
+    d = len(classifier.matrix.layout.columns)
+    if d > MAX_ENUMERATED:
+        raise ValueError(f"{d} columns have too many coalitions; at most {MAX_ENUMERATED}")
+    weights, slots = classifier.model.treeWeights, classifier.matrix.layout.slots
+    by_tree = _nodes(df.sparkSession, classifier)
+
+    def plain(nodes: dict[int, object], at: int) -> tuple:
+        """A leaf's value, or (slot, threshold, left levels, left weight share, left, right)."""
+        n = nodes[at]
+        if n["leftChild"] < 0:
+            return (n["prediction"],)
+        given, share = list(n["split"]["leftCategoriesOrThreshold"]), nodes[n["leftChild"]]["impurityStats"][0] / n["impurityStats"][0]
+        test = (None, given) if n["split"]["numCategories"] >= 0 else (given[0], None)
+        return (n["split"]["featureIndex"], *test, share, plain(nodes, n["leftChild"]), plain(nodes, n["rightChild"]))
+
+    trees = [(2.0 * weights[t], plain(by_tree[t], 0)) for t in sorted(by_tree)]
+    ready = classifier.matrix.transform(df).select(*keep, vector_to_array(FEATURES).alias("__x"))
+    schema = ready.drop("__x").schema.add(name, T.ArrayType(T.DoubleType()))
+
+    def expected(node: tuple, x: np.ndarray, coalition: int):
+        if len(node) == 1:
+            return node[0]
+        slot, threshold, levels, share, left, right = node
+        one, other = expected(left, x, coalition), expected(right, x, coalition)
+        if coalition >> slots[slot] & 1:
+            return np.where(x[slot] <= threshold if levels is None else np.isin(x[slot], levels), one, other)
+        return share * one + (1 - share) * other
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(len(keep)).flatten().to_numpy().reshape(b.num_rows, -1).T
+            worth = [sum(w * expected(tree, x, s) for w, tree in trees) + np.zeros(b.num_rows) for s in range(1 << d)]
+            phi = np.zeros((b.num_rows, d))
+            for s in range(1 << d):
+                k = s.bit_count()
+                for i in range(d):
+                    if not s >> i & 1:
+                        phi[:, i] += (worth[s | 1 << i] - worth[s]) * math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, phi.size + 1, d, dtype=np.int32)), pa.array(phi.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], lists], names=schema.names)
+
+    return ready.mapInArrow(run, schema)
+
+
 def long_attributions(attributed: DataFrame, explainer: Explainer, keep: Sequence[str], name: str = SHAP) -> DataFrame:
     """One row per row and column: ``(keep..., feature, shap)``."""
     cells = F.array(*[

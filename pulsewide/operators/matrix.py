@@ -4,13 +4,16 @@ Tables keep NULL as "nothing recorded". Only here, where MLlib trees accept no
 missing value, a nullable number becomes two inputs: the value with an
 out-of-range low stand-in, and a 0/1 mark of absence, so that a tree can send
 missing rows to either side. The stand-ins are part of the saved pipeline.
+
+Text columns of up to ``MAX_LEVELS`` levels become category codes. Wider ones become shares
+of the label's classes by level, which need the label and an order of the training rows.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
@@ -20,23 +23,26 @@ from pyspark.sql import types as T
 
 from pulsewide import schema as S
 from pulsewide.functions import columns as C
+from pulsewide.operators.levels import WideText, encode_new, encode_ordered, fit_wide_text
 from pulsewide.operators.profile import level_counts
 from pulsewide.operators.salting import join_distinct
 
 FEATURES = "features"
 LABEL = "label"
-#: Levels that a text column among the features may have.
+#: Levels of a text column that MLlib splits as categories; all of them go to the driver.
 MAX_LEVELS = 1000
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Which columns feed the model, and which original column each input slot belongs to."""
+    """Which columns feed the model, which original column each input slot belongs to, and
+    the classes of the columns that are wide texts."""
 
     columns: list[str]
     types: list[str]
     slots: list[int]
     max_levels: int
+    wide: dict[str, list[int]] = field(default_factory=dict)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -52,21 +58,43 @@ class Matrix:
 
     layout: Layout
     pipeline: PipelineModel
+    wide: tuple[WideText, ...] = ()
 
     def transform(self, df: DataFrame) -> DataFrame:
+        """Encode new rows."""
+        aligned = align(df, self.layout, keep_other=True)
+        for w in self.wide:
+            aligned = encode_new(aligned, w)
+        return self._assembled(aligned)
+
+    def transform_training(self, df: DataFrame, label: str, order: Sequence[str]) -> DataFrame:
+        """Encode the rows that the encoding was learned from: no row's input depends on
+        its own label or on that of a later row."""
+        aligned = align(df, self.layout, keep_other=True)
+        for w in self.wide:
+            aligned = encode_ordered(aligned, w, label, order)
+        return self._assembled(aligned)
+
+    def _assembled(self, aligned: DataFrame) -> DataFrame:
         helpers = {c for stage in self.pipeline.stages for c in _made_by(stage)}
-        out = self.pipeline.transform(align(df, self.layout, keep_other=True))
+        out = self.pipeline.transform(aligned)
         return out.drop(*[c for c in helpers if c != FEATURES])
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.pipeline.write().overwrite().save(path + "/pipeline")
+        for i, w in enumerate(self.wide):
+            w.levels.write.mode("overwrite").parquet(f"{path}/levels/{i}")
         row = spark.createDataFrame([(self.layout.to_json(),)], "layout string")
         row.coalesce(1).write.mode("overwrite").parquet(path + "/layout")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Matrix:
         layout = Layout.from_json(spark.read.parquet(path + "/layout").first()["layout"])
-        return Matrix(layout, PipelineModel.load(path + "/pipeline"))
+        wide = tuple(
+            WideText(c, tuple(classes), spark.read.parquet(f"{path}/levels/{i}"))
+            for i, (c, classes) in enumerate(layout.wide.items())
+        )
+        return Matrix(layout, PipelineModel.load(path + "/pipeline"), wide)
 
 
 def _filled(c: str) -> str:
@@ -110,20 +138,23 @@ def _need(df: DataFrame, target: str) -> None:
         raise KeyError(f"no column '{target}' to learn from")
 
 
-def _check_levels(df: DataFrame, texts: Sequence[str], most: int) -> None:
-    """Raise on a text column with more levels than a tree can split; all levels go to the driver."""
+def _wide_columns(df: DataFrame, texts: Sequence[str], most: int) -> dict[str, int]:
+    """The text columns with more levels than MLlib should split as categories."""
     if not texts:
-        return
+        return {}
     counted = level_counts(df, texts).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-    wide = {r["column"]: r["n"] for r in counted.where(F.col("n") > most).collect()}
-    if wide:
-        raise ValueError(f"more than {most} levels in text columns {wide}; leave them out or group their levels")
+    found = {r["column"]: r["n"] for r in counted.where(F.col("n") > most).collect()}
+    return {c: found[c] for c in texts if c in found}
 
 
-def fit_matrix(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS) -> Matrix:
-    """Learn stand-ins and category codes from the training rows.
+def fit_matrix(
+    df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS,
+    label: str | None = None, classes: Sequence[int] = (0, 1),
+) -> Matrix:
+    """Learn stand-ins, category codes and levels' shares from the training rows.
 
-    No level is dropped: a text column with more than ``max_levels`` is an error.
+    No level is dropped. A text column with more than ``max_levels`` is encoded by the
+    ``classes`` of ``label``; without a label it is an error.
     """
     fields = [df.schema[c] for c in columns]
     numbers = [f.name for f in fields if S.is_numeric(f) or isinstance(f.dataType, T.BooleanType)]
@@ -150,6 +181,11 @@ def fit_matrix(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVE
             pieces.append(f"cast({value} is null as double) AS `{_absent(c)}`")
             inputs.append(_absent(c))
             slots.append(list(columns).index(c))
+    wide_names = _wide_columns(df, texts, max_levels)
+    if wide_names and label is None:
+        raise ValueError(f"more than {max_levels} levels in text columns {wide_names}; give a label to encode them by")
+    wide = tuple(fit_wide_text(df, c, label, classes) for c in wide_names)
+    texts = [c for c in texts if c not in wide_names]
     stages = []
     if pieces:
         stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(pieces)} FROM __THIS__"))
@@ -159,14 +195,18 @@ def fit_matrix(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVE
         ))
         inputs += [_coded(c) for c in texts]
         slots += [list(columns).index(c) for c in texts]
+    for w in wide:
+        inputs += w.outputs
+        slots += [list(columns).index(w.column)] * len(w.outputs)
     stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES))
-    _check_levels(df, texts, max_levels)
-    pipeline = Pipeline(stages=stages).fit(df)
+    with_shares = df.withColumns({o: F.lit(0.0) for w in wide for o in w.outputs})  # their names are all that is learned
+    pipeline = Pipeline(stages=stages).fit(with_shares)
     levels = [len(l) for s in pipeline.stages if hasattr(s, "labelsArray") for l in s.labelsArray]
     layout = Layout(
-        list(columns), [f.dataType.simpleString() for f in fields], slots, max(levels, default=0)
+        list(columns), [f.dataType.simpleString() for f in fields], slots, max(levels, default=0),
+        {w.column: list(w.classes) for w in wide},
     )
-    return Matrix(layout, pipeline)
+    return Matrix(layout, pipeline, wide)
 
 
 def align(df: DataFrame, layout: Layout, keep_other: bool = False) -> DataFrame:

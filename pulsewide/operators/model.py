@@ -11,23 +11,27 @@ import json
 import math
 import statistics
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
+    LogisticRegression,
+    LogisticRegressionModel,
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsewide import schema as S
 from pulsewide.operators.evaluate import class_weights, log_loss
 from pulsewide.operators.matrix import FEATURES, LABEL, Matrix, fit_matrix
-from pulsewide.operators.split import expanding_folds
+from pulsewide.operators.split import expanding_folds, oot_mark
 from pulsewide.session import materialise, shared_dir
 
 BINARY, MULTI = "binary", "multi"
@@ -133,6 +137,13 @@ class Classifier:
         return Classifier(mode, Matrix.load(spark, path + "/matrix"), kind.load(path + "/model"))
 
 
+def _training_rows(matrix: Matrix, df: DataFrame, order: Sequence[str]) -> DataFrame:
+    if matrix.wide and not order:
+        hashed = df.withColumn("__order", F.xxhash64(*[F.col(c) for c in matrix.layout.columns]))
+        return matrix.transform_training(hashed, LABEL, ["__order"])
+    return matrix.transform_training(df, LABEL, order)
+
+
 def train(
     df: DataFrame,
     columns: Sequence[str],
@@ -140,23 +151,127 @@ def train(
     mode: str = MULTI,
     rounds: int = FINAL_ROUNDS,
     seed: int = SEED,
+    order: Sequence[str] = (),
 ) -> Classifier:
     """Fit the final classifier on a table with a ``label`` column.
 
     Two classes are weighted to balance; three are not, which keeps their
     probabilities usable as such. The assembled matrix is written once to the
-    shared folder, because every boosting round reads it.
+    shared folder, because every boosting round reads it. ``order`` names the date and
+    tie columns that text columns of very many levels are encoded along; without it rows
+    are taken in the order of a hash.
     """
     check_mode(mode)
     shared_dir(df.sparkSession)
-    matrix = fit_matrix(df, columns)
-    ready = matrix.transform(df).select(F.col(LABEL).cast("double").alias(LABEL), FEATURES)
+    matrix = fit_matrix(df, columns, label=LABEL, classes=codes_of(mode))
+    ready = _training_rows(matrix, df, order).select(F.col(LABEL).cast("double").alias(LABEL), FEATURES)
     if mode == BINARY:
         ready = with_balanced_weight(ready)
     model = build(mode, params, rounds, matrix.layout.max_levels, seed).fit(materialise(ready))
     return Classifier(mode, matrix, model)
 
 
+# --- boosting for three classes ------------------------------------------------------
+
+_MARGINS, _LATE = "__margins", "__late"
+#: Newest share of the training rows that decides the calibration and grows no tree.
+CALIBRATION_SHARE = 0.2
+
+
+@dataclass(frozen=True)
+class BoostedClasses:
+    """One boosted model for each class against the rest, and what makes their margins
+    probabilities that add up to one. Scoring is a narrow transform of each row."""
+
+    matrix: Matrix
+    models: tuple[GBTClassificationModel, ...]
+    calibration: LogisticRegressionModel
+
+    @property
+    def codes(self) -> list[int]:
+        return list(range(len(self.models)))
+
+    def score(self, df: DataFrame, name: str = PROBABILITY, keep_features: bool = False) -> DataFrame:
+        """Add the array of class probabilities."""
+        held = _with_margins(self.matrix.transform(df), self.models)
+        out = self.calibration.transform(held).withColumn(name, vector_to_array("probability"))
+        extra = ["rawPrediction", "probability", "prediction", _MARGINS]
+        return out.drop(*extra, *([] if keep_features else [FEATURES]))
+
+    def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        """Add the likeliest class."""
+        scored = self.score(df, "__p")
+        return scored.withColumn(name, (F.array_position("__p", F.array_max("__p")) - 1).cast("int")).drop("__p")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.matrix.save(spark, path + "/matrix")
+        for code, model in enumerate(self.models):
+            model.write().overwrite().save(f"{path}/class/{code}")
+        self.calibration.write().overwrite().save(path + "/calibration")
+        row = spark.createDataFrame([(json.dumps({"classes": len(self.models)}),)], "state string")
+        row.coalesce(1).write.mode("overwrite").parquet(path + "/state")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> BoostedClasses:
+        n = json.loads(spark.read.parquet(path + "/state").first()["state"])["classes"]
+        models = tuple(GBTClassificationModel.load(f"{path}/class/{code}") for code in range(n))
+        return BoostedClasses(Matrix.load(spark, path + "/matrix"), models, LogisticRegressionModel.load(path + "/calibration"))
+
+
+def _with_margins(df: DataFrame, models: Sequence[GBTClassificationModel]) -> DataFrame:
+    """Add the vector of the models' log-odds."""
+    for code, model in enumerate(models):
+        raw = f"__raw_{code}"
+        model.setRawPredictionCol(raw).setProbabilityCol(f"__probability_{code}").setPredictionCol(f"__decided_{code}")
+        df = model.transform(df).drop(f"__probability_{code}", f"__decided_{code}")
+    raws = [f"__raw_{code}" for code in range(len(models))]
+    return df.withColumn(_MARGINS, array_to_vector(F.array(*[vector_to_array(r)[1] for r in raws]))).drop(*raws)
+
+
+def train_boosted_classes(
+    df: DataFrame,
+    columns: Sequence[str],
+    params: Mapping[str, float],
+    order: Sequence[str],
+    rounds: int = FINAL_ROUNDS,
+    seed: int = SEED,
+    calibration_share: float = CALIBRATION_SHARE,
+) -> BoostedClasses:
+    """Boost each class of ``label`` against the rest and couple the results.
+
+    All models read one matrix, which is written once, and are fitted side by side. Trees
+    grow on the older rows; on the newest, by ``order`` (a date and ties), a multinomial
+    regression of the class on the margins gives calibrated probabilities. It sees one row
+    more for each class, so a class that is absent there stays possible.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    codes = codes_of(MULTI)
+    date_col, *tie = order
+    matrix = fit_matrix(df, columns, label=LABEL, classes=codes)
+    marked = oot_mark(df, date_col, tie, calibration_share, "__early")
+    rows = matrix.transform_training(marked, LABEL, order)
+    ready = materialise(rows.select(F.col(LABEL).cast("double").alias(LABEL), FEATURES, (~F.col("__early")).alias(_LATE)))
+
+    @inheritable_thread_target(spark)
+    def fit(code: int) -> GBTClassificationModel:
+        # a pool of its own, where the cluster schedules fairly
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"class {code}")
+        early = ready.where(~F.col(_LATE)).select((F.col(LABEL) == code).cast("double").alias(LABEL), FEATURES)
+        estimator = build(BINARY, params, rounds, matrix.layout.max_levels, seed)
+        estimator.clear(estimator.weightCol)  # balanced weights would shift the probabilities
+        return estimator.fit(early)
+
+    with ThreadPoolExecutor(len(codes)) as pool:
+        models = tuple(pool.map(fit, codes))
+    late = _with_margins(ready.where(_LATE), models).select(LABEL, _MARGINS)
+    anchors = spark.createDataFrame(
+        [(float(c), [1.0 if k == c else -1.0 for k in codes]) for c in codes], "label double, m array<double>"
+    ).select(F.col("label").alias(LABEL), array_to_vector("m").alias(_MARGINS))
+    regression = LogisticRegression(family="multinomial", featuresCol=_MARGINS, labelCol=LABEL, regParam=1e-3)
+    return BoostedClasses(matrix, models, regression.fit(materialise(late.unionByName(anchors))))
+
+
 # --- parameter search -----------------------------------------------------------
 
 
@@ -234,10 +349,10 @@ def search_params(
     """
     check_mode(mode)
     codes = codes_of(mode)
-    matrix = fit_matrix(df, columns)
+    matrix = fit_matrix(df, columns, label=LABEL, classes=codes)
     folded = expanding_folds(df, date_col, tie, folds)
     ready = materialise(
-        matrix.transform(folded).select(F.col(LABEL).cast("double").alias(LABEL), "fold", FEATURES)
+        matrix.transform_training(folded, LABEL, [date_col, *tie]).select(F.col(LABEL).cast("double").alias(LABEL), "fold", FEATURES)
     )
     pasts = {k: ready.where(F.col("fold") < k) for k in range(1, folds + 1)}
     if mode == BINARY:

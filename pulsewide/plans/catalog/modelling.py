@@ -84,6 +84,34 @@ def k1_feature_matrix(spark, sf_dir):
     return rounded(slots, "s1", "s3")
 
 
+_WIDE_NAME = "CASE WHEN row_id % 11 <> 0 THEN 'c' || CAST(cust_id AS VARCHAR) END"
+
+
+@query("k1_wide_text", f"""
+WITH {FEATURES}, {_OOT},
+named AS (
+  SELECT *, coalesce('=' || {_WIDE_NAME}, '') AS level,
+         CAST((coalesce(delay_days > 365, false) OR coalesce(qty_sum > 150, false)) <> (row_id * 48271 % 10 = 0) AS INTEGER) AS label
+  FROM parted),
+older AS (
+  SELECT row_id, count(*) OVER before AS seen, coalesce(sum(label) OVER before, 0) AS ones FROM named WHERE is_train
+  WINDOW before AS (PARTITION BY level ORDER BY obs_date, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (SELECT level, count(*) AS seen, sum(label) AS ones FROM named WHERE is_train GROUP BY level),
+newer AS (
+  SELECT row_id, coalesce(seen, 0) AS seen, coalesce(ones, 0) AS ones FROM named LEFT JOIN levels USING (level) WHERE NOT is_train)
+SELECT row_id, total_price AS s0, {r('(ones + 0.5) / (seen + 1.0)', 's1')}
+FROM named JOIN (SELECT * FROM older UNION ALL SELECT * FROM newer) USING (row_id)""")
+def k1_wide_text(spark, sf_dir):
+    """Model inputs with a text column of very many levels: older rows see what came before
+    them, newer rows all older ones."""
+    name = F.when(F.col("row_id") % 11 != 0, F.concat(F.lit("c"), F.col("cust_id").cast("string")))
+    older, newer = oot_split(V.model_rows(spark, sf_dir).withColumn("name", name), "obs_date", KEY)
+    matrix = fit_matrix(older, ["total_price", "name"], max_levels=5, label=LABEL)
+    encoded = matrix.transform_training(older, LABEL, ["obs_date", *KEY]).unionByName(matrix.transform(newer))
+    inputs = vector_to_array("features")
+    return rounded(encoded.select("row_id", inputs[0].alias("s0"), inputs[1].alias("s1")), "s1")
+
+
 @query("m2_gbt")
 def m2_gbt(spark, sf_dir):
     classifier, _ = fitted(spark, sf_dir)
@@ -128,17 +156,78 @@ def k2_saved_scores(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("before") - F.col("after"))).alias("largest_gap"), F.lit(same).alias("same_columns"))
 
 
+def _three_classes(spark, sf_dir):
+    """Older and newer rows of three classes by delay (none, moderate, severe or unknown), of
+    which every tenth is moved on by one."""
+    kind = F.when(F.col("delay_days") <= 0, 0).when(F.col("delay_days") <= V.SEVERE_DAYS, 1).otherwise(2)
+    moved = (F.col("row_id") * 48271 % 10 == 0).cast("int")
+    rows = V.model_rows(spark, sf_dir).withColumn(LABEL, ((kind + moved) % 3).cast("int"))
+    return oot_split(rows, "obs_date", KEY)
+
+
+@lru_cache(maxsize=8)
+def _three_fitted(application: str, kind: str, spark, sf_dir):
+    """A three-class model and the written class probabilities of the newer rows."""
+    older, newer = _three_classes(spark, sf_dir)
+    if kind == "boost":
+        classifier = M.train_boosted_classes(older, COLUMNS, PARAMS_MULTI, ["obs_date", *KEY], ROUNDS)
+    else:
+        classifier = M.train(older, COLUMNS, PARAMS_MULTI, M.MULTI, ROUNDS)
+    return classifier, materialise(classifier.score(newer).select("row_id", LABEL, "p"))
+
+
+def _three(kind, spark, sf_dir):
+    return _three_fitted(spark.sparkContext.applicationId, kind, spark, sf_dir)
+
+
+def _multi_loss(kind, spark, sf_dir) -> float:
+    _, scored = _three(kind, spark, sf_dir)
+    spread = scored.select(LABEL, *[F.col("p")[k].alias(f"p{k}") for k in range(3)])
+    return E.log_loss(spread, LABEL, ["p0", "p1", "p2"]).first()["logloss"]
+
+
 @query("m3_rf")
 def m3_rf(spark, sf_dir):
-    """Three classes by delay: none, moderate, severe or unknown."""
-    rows = V.model_rows(spark, sf_dir).withColumn(
-        LABEL,
-        F.when(F.col("delay_days") <= 0, 0).when(F.col("delay_days") <= V.SEVERE_DAYS, 1).otherwise(2),
-    )
-    older, newer = oot_split(rows, "obs_date", KEY)
-    classifier = M.train(older, COLUMNS, PARAMS_MULTI, M.MULTI, ROUNDS)
-    scored = E.with_expected_score(classifier.score(newer), "p", classifier.codes)
-    return P.score_summary(scored, "expected_score")
+    """Summary of the expected score by the forest."""
+    classifier, scored = _three("forest", spark, sf_dir)
+    return P.score_summary(E.with_expected_score(scored, "p", classifier.codes), "expected_score")
+
+
+@query("m3_boost")
+def m3_boost(spark, sf_dir):
+    """Summary of the expected score by boosting, one class against the rest."""
+    classifier, scored = _three("boost", spark, sf_dir)
+    return P.score_summary(E.with_expected_score(scored, "p", classifier.codes), "expected_score")
+
+
+_THREE = f"""{FEATURES}, {_OOT},
+three AS (
+  SELECT CAST((CASE WHEN delay_days <= 0 THEN 0 WHEN delay_days <= {V.SEVERE_DAYS} THEN 1 ELSE 2 END
+               + CASE WHEN row_id * 48271 % 10 = 0 THEN 1 ELSE 0 END) % 3 AS INTEGER) AS label FROM parted WHERE NOT is_train)"""
+
+
+def _three_check(kind, spark, sf_dir, better):
+    _, scored = _three(kind, spark, sf_dir)
+    whole = F.abs(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9
+    return scored.groupBy(LABEL).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~whole | (F.size("p") != 3) | (F.array_min("p") < 0)).alias("n_odd")
+    ).withColumn("beats", F.lit(better))
+
+
+@query("m3_rf_check", f"""
+WITH {_THREE} SELECT label, count(*) AS n, CAST(0 AS BIGINT) AS n_odd, true AS beats FROM three GROUP BY label""")
+def m3_rf_check(spark, sf_dir):
+    """Rows of each class on the newer side, probabilities that are none, and whether the
+    forest's log-loss is below that of three equal chances."""
+    return _three_check("forest", spark, sf_dir, _multi_loss("forest", spark, sf_dir) < math.log(3))
+
+
+@query("m3_boost_check", f"""
+WITH {_THREE} SELECT label, count(*) AS n, CAST(0 AS BIGINT) AS n_odd, true AS beats FROM three GROUP BY label""")
+def m3_boost_check(spark, sf_dir):
+    """The same for boosting, whose log-loss must be below the forest's too."""
+    loss = _multi_loss("boost", spark, sf_dir)
+    return _three_check("boost", spark, sf_dir, loss < math.log(3) and loss < _multi_loss("forest", spark, sf_dir))
 
 
 @query("m4_search")
@@ -238,6 +327,27 @@ def x1_local_accuracy(spark, sf_dir):
     return rounded(both.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(total - logit)).alias("largest_gap")), "largest_gap")
 
 
+@query("x1_shap_check", f"""
+WITH {_LIVE}
+SELECT unnest([{", ".join(f"'{c}'" for c in COLUMNS)}]) AS feature, (SELECT count(*) FROM live) AS n,
+       CAST(0 AS DOUBLE) AS largest_gap, CAST(0 AS DOUBLE) AS importance_gap""")
+def x1_shap_check(spark, sf_dir):
+    """Every contribution of every Live row against the enumeration of all coalitions, and
+    each column's importance from either."""
+    classifier, explainer = fitted(spark, sf_dir)
+    rows = live(spark, sf_dir)
+    both = A.attribute(rows, classifier, explainer, KEY).join(
+        A.attribute_by_enumeration(rows, classifier, KEY, "listed"), KEY)
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(A.SHAP)[i].alias("one"), F.col("listed")[i].alias("other"))
+        for i, c in enumerate(explainer.columns)
+    ])
+    gap = F.abs(F.avg(F.abs(F.col("one"))) - F.avg(F.abs(F.col("other"))))
+    found = both.select(F.inline(cells)).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("one") - F.col("other"))).alias("largest_gap"), gap.alias("importance_gap"))
+    return rounded(found, "largest_gap", "importance_gap")
+
+
 @query("x3_importance")
 def x3_importance(spark, sf_dir):
     return A.top_importance(*_attributed(spark, sf_dir), k=15)
