@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import os
 from collections.abc import Iterator, Sequence
 
@@ -74,8 +75,19 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+#: Splits a text as the byte-level pre-tokenizer does (fixed value: the published pattern).
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts whose characters every version of the Unicode tables classes alike, and of a length
+#: for which the pattern needs little memory.
+_PLAIN_BELOW, _PLAIN_CHARS = "\u0250", 1 << 17
+
+
 class ByteBpe:
-    """Tokens and their bytes of a byte-level BPE in one JSON file."""
+    """Tokens and their bytes of a byte-level BPE in one JSON file.
+
+    Merging by rank in ``tiktoken`` gives the same tokens in a fifth of the time. It takes
+    the plain texts, if the file is a byte-level BPE whose ids follow its merges.
+    """
 
     def __init__(self, file: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs tasks side by side
@@ -88,9 +100,31 @@ class ByteBpe:
         self.bytes = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             self.bytes[i] = bytes(value[c] for c in entry) if all(c in value for c in entry) else entry.encode()
+        self._by_rank = self._ranked(json.loads(file), value)
+
+    @staticmethod
+    def _ranked(spec: dict, value: dict[str, int]):
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        order = [model["vocab"][a + b] for a, b in merges]
+        plain = (
+            model.get("type", "BPE") == "BPE" and not spec.get("normalizer") and split.get("type") == "ByteLevel"
+            and split.get("use_regex", True) and not split.get("add_prefix_space") and not model.get("ignore_merges")
+            and not model.get("dropout") and order == sorted(order)
+        )
+        if not plain:
+            return None
+        import tiktoken
+
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(value[c] for c in entry): i for entry, i in model["vocab"].items() if entry not in special}
+        return tiktoken.Encoding("ranks", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        plain = [self._by_rank is not None and len(t) <= _PLAIN_CHARS and max(t, default="") < _PLAIN_BELOW for t in texts]
+        others = [" " + t for t, p in zip(texts, plain) if not p]
+        rest = iter(self._tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else ())
+        return [self._by_rank.encode_ordinary(" " + t) if p else next(rest).ids for t, p in zip(texts, plain)]
 
 
 class PieceBpe:
