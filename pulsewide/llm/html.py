@@ -1,27 +1,33 @@
 """Main text of a web page by line-block distribution.
 
 Markup is stripped into lines, one for each block of text. A line's length counts its
-characters outside links; lines of elements that never hold the article (menus,
-headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles)
-count as a gap. Over these lengths slide windows of ``WINDOW`` lines. A surge is where
-a window's sum reaches a threshold, a dive where the lines run into a gap or the windows
-into zero; the text from the surge's first line to the dive stays whole. Lines inside a
-declared article surge with any text, so that short articles and short paragraphs stay;
-without one, a run must hold ``SURGE`` characters in a window, and if none does, the
-fullest run is taken.
+characters outside links; lines of elements that never hold the article (menus, headers,
+footers, sidebars, notices, adverts, forms, comments, scripts and styles) are left out. Over
+the lengths slide windows of ``WINDOW`` lines. A surge is where a window's sum reaches
+``SURGE``, a dive where the windows run into zero or the lines into a gap; the text from the
+surge's first line to the dive stays whole. A gap is a left-out element, unless the text goes
+on in the same container behind it: an advert inside an article parts nothing.
+
+Tags are weights. Where the fullest window inside declared articles, ``ARTICLE_WEIGHT``
+times, is at least that outside, the declaration holds: any text in it surges and the rest
+is a gap, so that short articles and short paragraphs stay. Where the text outside is fuller,
+as with a story beside teaser cards, the declared articles are left out instead. If no
+window surges, the fullest run is taken.
 
 Defined cases: null, empty and markup-free pages (text without tags is one article);
 unclosed and misnested tags end where their parent ends; an unterminated tag or comment
 at the end holds no text; repeated rows each get their row; an empty table gives none.
-Texts are read whole, in one pass. Columns that have an output's name are replaced.
+Pages are read whole, in one pass, with a few numbers for each line and element, however
+deep they nest. Columns that have an output's name are replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +37,7 @@ from pulsewide.llm.batches import add_columns
 
 WINDOW = 3
 SURGE = 80
+ARTICLE_WEIGHT = 4
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -51,32 +58,48 @@ _APART = frozenset((
 _RAW = frozenset("script style textarea title noscript template iframe svg noframes xmp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ARTICLE = frozenset(("article", "main"))
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adbox|sponsor(?:ed)?|promo(?:tion)?s?|banners?|"
-    r"sidebars?|side|widgets?|aside|rail|nav|navbar|navigation|menus?|breadcrumbs?|toolbar|topbar|pagination|pager|"
-    r"footers?|foot|masthead|comments?|disqus|respond|replies|reply|reactions?|discussion|"
-    r"cookies?|consent|gdpr|notices?|notification|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|signup|"
-    r"login|share|sharing|social|related|recommended|recommendations|copyright|legal|skip)(?:$|[\s_-])", re.I)
-_HEADER = re.compile(r"(?:^|[\s_-])headers?(?:$|[\s_-])", re.I)
+_HEADINGS = frozenset(("h1", "h2", "h3"))
+_CONTAINERS = frozenset("article aside blockquote body center div figure footer form header main section td th".split())
+#: What a class or id names: its last word, or the one before words of layout.
+_MARKS = frozenset((
+    "ad ads advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored promo promos promotion promotions "
+    "banner banners sidebar sidebars side widget widgets aside rail nav navbar navigation menu menus breadcrumb breadcrumbs toolbar topbar "
+    "pagination pager footer footers foot masthead comment comments disqus respond replies reply reaction reactions discussion cookie "
+    "cookies consent gdpr notice notices notification alert alerts popup popups modal overlay newsletter subscribe subscription signup "
+    "login share sharing social related recommended recommendations copyright legal skip").split())
+_LAYOUT = frozenset((
+    "area articles bar block body bottom box button buttons cell column container content form group holder icons inner item items left link "
+    "links list main outer panel posts region right row section slot stories text top unit wrap wrapper zone").split())
+_NEGATIONS = frozenset("has is no non with without".split())
+_HEADER = frozenset(("header", "headers"))
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog toolbar".split())
 
 
+def _named(name: str) -> str:
+    """The word that says what a class or id is for; empty where it says what is not there."""
+    words = [w for w in re.split(r"[\s_-]+", name.lower()) if w]
+    while len(words) > 1 and (words[-1] in _LAYOUT or words[-1].isdigit()):
+        words.pop()
+    return words[-1] if words and words[0] not in _NEGATIONS else ""
+
+
 def _apart(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     """Whether an element never holds the article's text, and whether its class or id says so."""
     if tag in _APART or tag == "header" and not inside:
         return True, False
-    if tag in ("html", "body", "main") or not attributes:
+    if tag in ("html", "body") or not attributes:
         return False, False
     marked = False
     for m in _ATTRIBUTE.finditer(attributes):
         value = next((g for g in m.groups()[1:] if g is not None), "")
         name = m[1].lower()
-        if name == "hidden" or name == "role" and value.lower() in _ROLES:
+        if name == "hidden" or name == "role" and value.lower() in _ROLES or name == "style" and _HIDDEN.search(value):
             return True, False
-        if name in ("class", "id") and tag in _ARTICLE:
-            marked |= any(_MARKED.fullmatch(c) or not inside and _HEADER.fullmatch(c) for c in value.split())
-        elif name in ("class", "id"):
-            marked |= bool(_MARKED.search(value) or not inside and _HEADER.search(value))
+        if name in ("class", "id") and tag != "main":
+            for c in value.split():
+                word = c.lower() if tag in _ARTICLE else _named(c)
+                marked |= word in _MARKS or not inside and word in _HEADER
     return False, marked
 
 
@@ -88,11 +111,21 @@ _ENDED_BY = {
 _LISTS = frozenset("ul ol dl table tbody thead tfoot article main section div body".split())
 
 
-class _Lines:
-    """Lines of a page: text, length outside links, in an article, apart, numbers of the marked elements around."""
+class _Line(NamedTuple):
+    text: str
+    plain: int  # characters outside links
+    article: bool
+    apart: bool
+    mark: int  # number of the innermost marked element around, 0 for none
+    home: int  # number of the innermost container
+
+
+class _Page:
+    """Lines of a page, and the parents of its marked elements and containers by number."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
+        self.lines: list[_Line] = []
+        self.marks, self.homes = [0], [0]
         self._parts: list[str] = []
         self._plain = 0
 
@@ -101,48 +134,50 @@ class _Lines:
         if not linked:
             self._plain += len(text)
 
-    def end(self, article: bool, apart: bool, marks: list[int]) -> None:
+    def end(self, article: bool, apart: bool, mark: int, home: int) -> None:
         if self._parts:
             text = _SPACE.sub(" ", "".join(self._parts)).strip()
             if text:
-                self.rows.append((text, min(self._plain, len(text)), article, apart, tuple(marks)))
+                self.lines.append(_Line(text, min(self._plain, len(text)), article, apart, mark, home))
             self._parts.clear()
             self._plain = 0
 
 
-def _strip(page: str) -> list[tuple[str, int, bool, bool, tuple[int, ...]]]:
-    lines = _Lines()
+def _strip(page: str) -> _Page:
+    lines = _Page()
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, apart, article, marked
-    marks: list[int] = []
     open_: Counter[str] = Counter()
-    apart = article = links = at = 0
+    apart = article = links = headings = mark = home = at = 0
 
     def pop() -> None:
-        nonlocal apart, article, links
+        nonlocal apart, article, links, headings, mark, home
         tag, a, b, marked = stack.pop()
         if marked:
-            marks.pop()
+            mark = lines.marks[mark]
+        if tag in _CONTAINERS:
+            home = lines.homes[home]
         open_[tag] -= 1
         apart -= a
         article -= b
         links -= tag == "a"
+        headings -= tag in _HEADINGS
 
     for m in _tags(page):
         if m.start() > at:
             if apart == 0 or page[at : m.start()].strip():
-                lines.add(html.unescape(page[at : m.start()]), links > 0)
+                lines.add(html.unescape(page[at : m.start()]), links > 0 and not headings)
         at = m.end()
         if m[1] is not None:
-            lines.add(m[1], links > 0)
+            lines.add(m[1], links > 0 and not headings)
             continue
         if m[3] is None:
             continue
         closing, tag = m[2] == "/", m[3].lower()
         if tag == "br":
-            lines.add(" ", links > 0)
+            lines.add(" ", links > 0 and not headings)
             continue
         if tag in _BLOCKS or tag in _APART:
-            lines.end(article > 0, apart > 0, marks)
+            lines.end(article > 0, apart > 0, mark, home)
         if tag in _VOID:
             continue
         if closing:
@@ -169,20 +204,26 @@ def _strip(page: str) -> list[tuple[str, int, bool, bool, tuple[int, ...]]]:
         is_article = tag in _ARTICLE and not is_apart
         stack.append((tag, is_apart, is_article, is_marked))
         if is_marked:
-            marks.append(at)
+            lines.marks.append(mark)
+            mark = len(lines.marks) - 1
+        if tag in _CONTAINERS:
+            lines.homes.append(home)
+            home = len(lines.homes) - 1
         open_[tag] += 1
         apart += is_apart
         article += is_article
         links += tag == "a"
+        headings += tag in _HEADINGS
     if at < len(page):
-        lines.add(html.unescape(page[at:]), links > 0)
-    lines.end(article > 0, apart > 0, marks)
-    return lines.rows
+        lines.add(html.unescape(page[at:]), links > 0 and not headings)
+    lines.end(article > 0, apart > 0, mark, home)
+    return lines
 
 
 def _tags(page: str):
     """Tags in order; the content of raw elements is skipped to their end tag."""
     at, n = 0, len(page)
+    endless: set[str] = set()  # raw elements without an end tag from here on
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
@@ -191,7 +232,9 @@ def _tags(page: str):
         at = m.end()
         tag = (m[3] or "").lower()
         if tag in _RAW and m[2] != "/" and not (m[4] or "").endswith("/"):
-            end = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            end = None if tag in endless else re.compile(rf"</{tag}\b", re.I).search(page, at)
+            if end is None:
+                endless.add(tag)
             stop = end.start() if end else n
             if tag not in ("noscript", "template", "svg") or end:
                 yield _Skip(at, stop)
@@ -214,65 +257,97 @@ class _Skip:
         return None
 
 
-def _runs(rows: list[tuple[str, int, bool, bool]]) -> list[list[int]]:
-    """Stretches of lines between gaps."""
-    runs: list[list[int]] = []
-    open_ = False
-    for i, (_, _, _, apart) in enumerate(rows):
-        if apart:
-            open_ = False
-        elif open_:
-            runs[-1].append(i)
-        else:
-            runs.append([i])
-            open_ = True
-    return runs
+def _fullest(lines: list[_Line]) -> int:
+    """The largest sum of ``WINDOW`` lines in a row that are not apart."""
+    best, near = 0, deque(maxlen=WINDOW)
+    for line in lines:
+        near.append(0 if line.apart else line.plain)
+        best = max(best, sum(near))
+    return best
 
 
-def _unmarked(rows: list[tuple[str, int, bool, bool, tuple[int, ...]]]) -> list[tuple[str, int, bool, bool]]:
+def _unmarked(page: _Page) -> list[_Line]:
     """Lines with those of marked elements apart, but for the elements around the page's
     fullest window, if they hold an article or no other window surges, and no article is
     declared elsewhere."""
-    free: frozenset[int] = frozenset()
-    if any(marks for *_, marks in rows) and not any(a and not x and not marks for _, _, a, x, marks in rows):
-        fullest: dict[tuple[bool, tuple[int, ...]], int] = {}
-        for k in range(len(rows)):
-            _, _, article, apart, marks = rows[k]
-            if not apart:
-                near = rows[max(0, k - WINDOW + 1) : k + 1]
-                total = sum(n for _, n, _, x, other in near if not x and other == marks)
-                fullest[article, marks] = max(fullest.get((article, marks), 0), total)
-        outside = max((n for (_, marks), n in fullest.items() if not marks), default=0)
-        (article, marks), total = max(fullest.items(), key=lambda f: f[1], default=((False, ()), 0))
+    lines = page.lines
+    free = {0}
+    if any(x.mark for x in lines) and not any(x.article and not x.apart and not x.mark for x in lines):
+        groups: dict[tuple[bool, int], list[_Line]] = {}
+        for x in lines:
+            if not x.apart:
+                groups.setdefault((x.article, x.mark), []).append(x)
+        fullest = {key: _fullest(group) for key, group in groups.items()}
+        outside = max((n for (_, mark), n in fullest.items() if not mark), default=0)
+        (article, mark), total = max(fullest.items(), key=lambda f: f[1], default=((False, 0), 0))
         if total > outside and (article or outside < SURGE):
-            free = frozenset(marks)
-    return [(t, n, a, x or not free.issuperset(marks)) for t, n, a, x, marks in rows]
+            while mark:
+                free.add(mark)
+                mark = page.marks[mark]
+    return [x if x.mark in free else x._replace(apart=True) for x in lines]
+
+
+def _runs(lines: list[_Line], homes: list[int]) -> list[list[int]]:
+    """Stretches of lines between gaps. Text goes on behind a left-out element in the same
+    container, or in one beside it inside a common one."""
+    runs: list[list[int]] = []
+    last, gap = None, False
+    for i, line in enumerate(lines):
+        if line.apart:
+            gap = True
+            continue
+        a, b = (0, 0) if last is None else (lines[last].home, line.home)
+        around = homes[a] if homes[a] == homes[b] and homes[homes[a]] else 0  # the page's own body is none
+        if last is None or gap and a != b and not around:
+            runs.append([])
+        runs[-1].append(i)
+        last, gap = i, False
+    return runs
+
+
+def _stretches(lengths: list[int], surge: int) -> list[tuple[int, int]]:
+    """From each surge's first line to the last line before its dive."""
+    n, found, k = len(lengths), [], 0
+    sums = [sum(lengths[max(0, i - WINDOW + 1) : i + 1]) for i in range(n)]
+    start = 0  # lines before it belong to the stretch before
+    while k < n:
+        if sums[k] < surge:
+            k += 1
+            continue
+        first = next(i for i in range(max(start, k - WINDOW + 1), k + 1) if lengths[i])
+        while first > start and lengths[first - 1]:
+            first -= 1
+        while k < n and sums[k]:
+            k += 1
+        last = k - 1
+        while not lengths[last]:
+            last -= 1
+        found.append((first, last))
+        start = last + 1
+    return found
 
 
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by newlines."""
-    rows = _unmarked(_strip(page or ""))
-    declared = any(article and not apart for _, _, article, apart in rows)
+    stripped = _strip(page or "")
+    lines = _unmarked(stripped)
+    inside = _fullest([x._replace(plain=len(x.text)) for x in lines if x.article])
+    declared = inside > 0 and ARTICLE_WEIGHT * inside >= _fullest([x for x in lines if not x.article])
+    if declared:
+        lines = [x._replace(plain=len(x.text), apart=x.apart or not x.article) for x in lines]
+    else:
+        lines = [x._replace(apart=x.apart or x.article) for x in lines]
     kept: list[int] = []
     fullest: tuple[int, list[int]] = (0, [])
-    for run in _runs([(t, n, a, x or declared and not a) for t, n, a, x in rows]):
-        lengths = [rows[i][1] if not declared else len(rows[i][0]) for i in run]
-        sums = [sum(lengths[max(0, k - WINDOW + 1) : k + 1]) for k in range(len(run))]
-        surge = next((k for k, s in enumerate(sums) if s >= (1 if declared else SURGE)), None)
+    for run in _runs(lines, stripped.homes):
+        lengths = [lines[i].plain for i in run]
         if sum(lengths) > fullest[0]:
             fullest = (sum(lengths), run)
-        if surge is None:
-            continue
-        first = next(k for k in range(max(0, surge - WINDOW + 1), len(run)) if lengths[k] or declared)
-        while first and lengths[first - 1]:
-            first -= 1
-        dive = max(k for k, s in enumerate(sums) if s)
-        while dive > first and not lengths[dive]:
-            dive -= 1
-        kept.extend(run[first : dive + 1])
-    if not kept and not declared:
-        kept = [i for i in fullest[1] if rows[i][1]]
-    return "\n".join(rows[i][0] for i in kept)
+        for first, last in _stretches(lengths, 1 if declared else SURGE):
+            kept.extend(run[first : last + 1])
+    if not kept:
+        kept = [i for i in fullest[1] if lines[i].plain]
+    return "\n".join(lines[i].text for i in kept)
 
 
 _OUT = T.StructType([T.StructField("main_text", T.StringType()), T.StructField("n_main_chars", T.LongType())])
