@@ -18,7 +18,8 @@ misses at most tau = n - ceil(percent * n / 100) tokens of its own in the other.
 Documents with equal sets are collapsed first. Index entries that one set alone has
 drop out by a filter of once-seen and twice-seen entries, which a constant bounds. Of
 an entry's sets each is compared with one center only, the set with the fewest odd
-tokens, by exact overlap of the whole sets. Sets that are linked with one center need no
+tokens: first by bitmaps of their tokens, which bound the overlap and rule most pairs out,
+then by exact overlap of the whole sets. A center of very many sets is split into blocks. Sets that are linked with one center need no
 comparison among themselves; the others meet where an entry holds sets of several
 centers. Not compared are sets that cannot be linked by their sizes, by the place of the
 entry in their order, or by how much their distances to the center differ. An entry that
@@ -45,6 +46,7 @@ from pyspark.sql import types as T
 
 from pulsewide.llm.batches import fold, lean, quoted, texts_of
 from pulsewide.llm.components import components
+from pulsewide.operators.salting import join_distinct
 from pulsewide.session import materialise
 
 WORDS, PERCENT = 4, 85
@@ -53,6 +55,8 @@ BUCKETS_LOG2 = 20
 FREQUENT = 64
 SMALL = 80
 BAND = 4
+#: Pairs of one id that meet in a block of their own.
+BLOCK_PAIRS = 256
 #: Bits of the filter for each index entry, and its bound.
 ENTRY_BITS, MAX_BITS = 8, 1 << 29
 #: Texts are hashed together up to about so many bytes, which stay in the processor's cache.
@@ -166,6 +170,25 @@ def _odd(seen: np.ndarray) -> int:
     return int((2 * seen < np.median(seen)).sum())
 
 
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """Two to four bits for each token, at places given by the tokens' low bits."""
+    bits = 1 << max(6, (2 * len(tokens) - 1).bit_length())
+    marks = np.zeros(bits, bool)
+    marks[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
+def _most_common(n: int, m: int, one: bytes, other: bytes) -> int:
+    """A bound of two sets' overlap: each mark that only one has is a token that only it has."""
+    a, b = (np.frombuffer(x, "<u8") for x in (one, other))
+    if len(a) > len(b):
+        a, n, b, m = b, m, a, n
+    only_a = int(np.bitwise_count(a & ~np.bitwise_or.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+    wide = np.tile(a, len(b) // len(a))  # every place whose low bits have a mark
+    only_b = int(np.bitwise_count(b & ~wide).sum())
+    return min(n - only_a, m - only_b)
+
+
 def _entries(tokens: np.ndarray, seen: np.ndarray, limit: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index entries of a set, hashes of rare tokens and of pairs of frequent ones, and
     for each how many tokens the set has from there on in the common order."""
@@ -227,13 +250,13 @@ def _features(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
     schema = T.StructType([
         T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("odd", T.LongType()),
         T.StructField("same", T.BinaryType()), T.StructField("entries", T.ArrayType(T.LongType())),
-        T.StructField("rests", T.ArrayType(T.IntegerType())),
+        T.StructField("rests", T.ArrayType(T.IntegerType())), T.StructField("bits", T.BinaryType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for b in batches:
-            sizes, odd, same, entries, rests = [], [], [], [], []
+            sizes, odd, same, entries, rests, bits = [], [], [], [], [], []
             for tokens in token_sets(texts_of(b.column(1)), words):
                 seen = _seen(tokens, shared.value)
                 sizes.append(len(tokens))
@@ -242,11 +265,13 @@ def _features(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
                 own, rest = _entries(tokens, seen, limit, percent) if len(tokens) else (tokens, tokens)
                 entries.append(own.view(np.int64))
                 rests.append(rest.astype(np.int32))
+                bits.append(_bitmap(tokens))
             ends = pa.array(np.cumsum([0, *map(len, entries)], dtype=np.int32), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x or [np.zeros(0)]), t))
                      for x, t in ((entries, pa.int64()), (rests, pa.int32()))]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(odd, pa.int64()), pa.array(same, pa.binary()), *lists],
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array(odd, pa.int64()), pa.array(same, pa.binary()), *lists,
+                 pa.array(bits, pa.binary())],
                 names=schema.names,
             )
 
@@ -323,12 +348,57 @@ def _shared_entries(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("id", "n", "entries", "odd", "rests").mapInArrow(run, schema)
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """Pairs with the Jaccard ``distance`` of their whole sets and whether they are
-    ``linked``. Texts come by two joins on the id; only texts of documents in some pair,
-    by a filter of their ids, are moved."""
+def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs with a block of their second id, and the number of blocks of each such id: one
+    with very many partners is split, and its text goes once to each block."""
+    blocks = materialise(pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / BLOCK_PAIRS).cast("int").alias("blocks")))
+    dealt = join_distinct(pairs, blocks, "v", "inner").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")))
+    return materialise(dealt.select("u", "v", F.col("block").cast("int").alias("block"))), blocks
+
+
+def _to_blocks(table: DataFrame, blocks: DataFrame) -> DataFrame:
+    """A table with ids ``v``, once for each block of the id."""
+    return table.join(blocks, "v").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+
+def _bounded(dealt: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with the least ``distance`` that their sizes and bitmaps leave possible; zero
+    for an id of several texts."""
+    one = sets.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("bits").alias("bits")).where("k = 1").drop("k")
+    first = one.withColumnsRenamed({"id": "u", "bits": "bu"})
+    second = _to_blocks(one.withColumnsRenamed({"id": "v", "n": "m", "bits": "bv"}), blocks)
+    held = dealt.join(first, "u", "left").join(second, ["v", "block"], "left").select("u", "v", "block", "n", "m", "bu", "bv")
+    schema = T.StructType([*dealt.select("u", "v", "block").schema.fields, T.StructField("distance", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for b in batches:
+            least = []
+            for n, m, one, other in zip(*[b.column(k).to_pylist() for k in range(3, 7)]):
+                most = None if one is None or other is None else _most_common(n, m, one, other)
+                least.append(0.0 if most is None else 1 - most / (n + m - most))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(least, pa.float64())], names=schema.names)
+
+    return held.mapInArrow(run, schema)
+
+
+def _compared(
+    pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int
+) -> DataFrame:
+    """Pairs with bounds ``low`` and ``high`` of the Jaccard distance of their whole sets and
+    whether they are ``linked``. Pairs whose bitmaps rule a link out are done; of the others
+    the texts are compared, and both bounds are the distance. Texts come by two joins on the
+    id; only texts of documents in some pair, by a filter of their ids, are moved."""
+    dealt, blocks = _dealt(pairs)
+    bounded = materialise(_bounded(dealt, blocks, sets))
+    possible = F.col("distance") <= 1 - percent / 100 + 1e-9
+    ruled_out = bounded.where(~possible).select(
+        "u", "v", F.col("distance").alias("low"), F.lit(1.0).alias("high"), F.lit(False).alias("linked"))
+    chosen = bounded.where(possible)
     kind = docs.schema[key].dataType
-    n_bits = 1 << 23
+    n_bits, total = 1 << 20, chosen.count()
+    while n_bits < MAX_BITS and n_bits < ENTRY_BITS * total:
+        n_bits *= 2
 
     def start(arrays):
         def update(columns):
@@ -341,31 +411,32 @@ def _compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int
         for x, y in zip(a, b):
             x |= y
 
-    hashed = pairs.select(F.xxhash64("u").alias("hu"), F.xxhash64("v").alias("hv"))
+    hashed = chosen.select(F.xxhash64("u").alias("hu"), F.xxhash64("v").alias("hv"))
     found = fold(hashed, ["hu", "hv"], ["uint8", "uint8"], n_bits // 8, start, merge, keep=[0, 1])
     wanted = {side: docs.sparkSession.sparkContext.broadcast(f) for side, f in zip(("u", "v"), found)}
     schema = T.StructType([T.StructField("id", kind), T.StructField("t", T.StringType())])
 
     def texts(side: str) -> DataFrame:
-        chosen = wanted[side]
+        sought = wanted[side]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lean()
             for b in batches:
                 p = _places(b.column(0).to_numpy(zero_copy_only=False), n_bits)[0]
-                rows = pa.array(np.flatnonzero((chosen.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1))
+                rows = pa.array(np.flatnonzero((sought.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1))
                 yield pa.RecordBatch.from_arrays([b.column(1).take(rows), b.column(2).take(rows)], names=["id", "t"])
 
         source = docs.where(quoted(key).isNotNull()).select(
             F.xxhash64(quoted(key)).alias("h"), quoted(key).alias("id"), quoted(text).cast("string").alias("t"))
-        return source.mapInArrow(run, schema)
+        return source.mapInArrow(run, schema).withColumnsRenamed({"id": side, "t": f"t{side}"})
 
     both = (
-        pairs.join(texts("u").withColumnsRenamed({"id": "u", "t": "tu"}), "u")
-        .join(texts("v").withColumnsRenamed({"id": "v", "t": "tv"}), "v")
+        chosen.join(texts("u"), "u").join(_to_blocks(texts("v"), blocks), ["v", "block"])
         .select("u", "v", "tu", "tv")
     )
-    out = T.StructType([T.StructField("u", kind), T.StructField("v", kind), T.StructField("distance", T.DoubleType()), T.StructField("linked", T.BooleanType())])
+    out = T.StructType([
+        T.StructField("u", kind), T.StructField("v", kind), T.StructField("low", T.DoubleType()),
+        T.StructField("high", T.DoubleType()), T.StructField("linked", T.BooleanType())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -379,13 +450,13 @@ def _compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int
                 union = len(mine) + len(last) - common
                 distance.append(1 - common / max(union, 1))
                 linked.append(bool(common) and 100 * common >= percent * union)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], names=out.names)
+            distance = pa.array(distance, pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), distance, distance, pa.array(linked, pa.bool_())], names=out.names)
 
-    return both.mapInArrow(compare, out)
+    return both.mapInArrow(compare, out).union(ruled_out)
 
 
-def _links(shared: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+def _links(shared: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """Links ``(u, v)``, enough to make all components, from the sets of each entry.
 
     First every set meets its entry's center. ``part`` is then the smallest center that a
@@ -406,20 +477,20 @@ def _links(shared: DataFrame, docs: DataFrame, key: str, text: str, words: int,
     members = rows.where(F.col("id") != F.col("center"))
     stars = members.join(other(rows.where(F.col("id") == F.col("center"))), "entry").where(fits)
     stars = materialise(stars.select(F.col("id").alias("u"), "v").distinct())
-    met = materialise(_compared(stars, docs, key, text, words, percent))
+    met = materialise(_compared(stars, sets, docs, key, text, words, percent))
 
     parts = met.where("linked").groupBy(F.col("u").alias("id")).agg(F.min("v").alias("part"))
-    distances = met.groupBy(F.col("u").alias("id"), F.col("v").alias("center")).agg(F.min("distance").alias("distance"))
+    distances = met.groupBy(F.col("u").alias("id"), F.col("v").alias("center")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
     members = members.join(parts, "id", "left").join(distances, ["id", "center"], "left").select(
         "entry", "id", "n", "rest", F.coalesce("part", "id").alias("part"),
-        F.coalesce("distance", F.lit(0.0)).alias("low"), F.coalesce("distance", F.lit(1.0)).alias("high"))
+        F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
     several = members.groupBy("entry").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first != last")
     members = materialise(members.join(several.select("entry"), "entry"))
     pairs = members.join(other(members, "part", "low", "high"), "entry").where(
         (F.col("id") > F.col("v")) & (F.col("part") != F.col("part_v")) & fits
         & (F.col("low") - F.col("high_v") <= far) & (F.col("low_v") - F.col("high") <= far))
     pairs = materialise(pairs.select(F.col("id").alias("u"), "v").distinct())
-    rest = _compared(pairs, docs, key, text, words, percent)
+    rest = _compared(pairs, sets, docs, key, text, words, percent)
     return materialise(met.union(rest).where("linked").select("u", "v"))
 
 
@@ -434,9 +505,9 @@ def near_duplicate_groups(
     linked = features.where("n > 0 and id is not null")
     sets = materialise(linked.groupBy("same").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("odd").alias("odd"),
-        F.first("entries").alias("entries"), F.first("rests").alias("rests")))
+        F.first("entries").alias("entries"), F.first("rests").alias("rests"), F.first("bits").alias("bits")))
     shared = materialise(_shared_entries(sets, percent))
-    edges = _links(shared, docs, key, text, words, percent)
+    edges = _links(shared, sets, docs, key, text, words, percent)
     named = sets.select("same", F.col("id").alias("first"))
     # rows of equal id are one document: all its sets are linked
     several = linked.groupBy("id").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a != b").select("id")

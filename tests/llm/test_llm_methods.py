@@ -351,3 +351,16 @@ def test_junk_does_not_move_the_references(spark, share):
     found = quality.judge(d).collect()
     assert [(x["lang"], x["n_words"]) for x in found if not x["odd"] and not x["kept"]] == []
     assert [(x["lang"], x["n_words"]) for x in found if x["odd"] and x["kept"]] == []
+
+
+def test_bitmaps_never_rule_out_a_common_token():
+    r = np.random.default_rng(11)
+    for n, m in ((1, 1), (5, 300), (64, 65), (400, 420), (400, 5000), (3000, 3100)):
+        for share in (0.0, 0.3, 0.9, 1.0):
+            common = r.integers(0, 1 << 64, int(share * min(n, m)), np.uint64)
+            a, b = (np.unique(np.concatenate([common, r.integers(0, 1 << 64, k - len(common), np.uint64)])) for k in (n, m))
+            most = jaccard._most_common(len(a), len(b), jaccard._bitmap(a), jaccard._bitmap(b))
+            assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+            assert most == jaccard._most_common(len(b), len(a), jaccard._bitmap(b), jaccard._bitmap(a))
+    a, b = (np.unique(r.integers(0, 1 << 64, 400, np.uint64)) for _ in range(2))
+    assert jaccard._most_common(400, 400, jaccard._bitmap(a), jaccard._bitmap(b)) < 330  # texts that have nothing in common
