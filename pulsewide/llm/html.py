@@ -268,8 +268,8 @@ def _fullest(lines: list[_Line]) -> int:
 
 def _unmarked(page: _Page) -> list[_Line]:
     """Lines with those of marked elements apart, but for the elements around the page's
-    fullest window, if they hold an article or no other window surges, and no article is
-    declared elsewhere."""
+    fullest window, if they hold an article, or their window alone surges, or there is no
+    other text, and no article is declared elsewhere."""
     lines = page.lines
     free = {0}
     if any(x.mark for x in lines) and not any(x.article and not x.apart and not x.mark for x in lines):
@@ -280,7 +280,7 @@ def _unmarked(page: _Page) -> list[_Line]:
         fullest = {key: _fullest(group) for key, group in groups.items()}
         outside = max((n for (_, mark), n in fullest.items() if not mark), default=0)
         (article, mark), total = max(fullest.items(), key=lambda f: f[1], default=((False, 0), 0))
-        if total > outside and (article or outside < SURGE):
+        if total > outside and (article or outside < SURGE <= total or not outside):
             while mark:
                 free.add(mark)
                 mark = page.marks[mark]
