@@ -254,10 +254,15 @@ def links(a: pa.Array, b: pa.Array, lengths: Sequence[np.ndarray]) -> tuple[np.n
     have the same bytes, so rows can be laid end to end: each end closes a stretch of bytes
     that one token of either list covers."""
     (a, n_a), (b, _) = (_ids(c, _width(len(size))) for c, size in zip((a, b), lengths))
-    a_ends, b_ends = np.cumsum(lengths[0][a]), np.cumsum(lengths[1][b])
-    ends = np.union1d(a_ends, b_ends)
-    first = np.searchsorted(a_ends, ends)
-    return a[first] << _SHIFT | b[np.searchsorted(b_ends, ends)], np.repeat(np.arange(len(n_a)), n_a)[first]
+    ends = [np.cumsum(size[ids]) for size, ids in zip(lengths, (a, b))]
+    if not len(a):
+        return a, a
+    marks = np.zeros((2, ends[0][-1] + 1), bool)
+    marks[0, ends[0]] = marks[1, ends[1]] = True
+    closed = np.flatnonzero(marks[0] | marks[1])
+    # the token that covers the stretch is the one after all that have ended before
+    first, second = (np.cumsum(marks[k], dtype=np.int32)[closed] - marks[k][closed] for k in (0, 1))
+    return a[first] << _SHIFT | b[second], np.repeat(np.arange(len(n_a)), n_a)[first]
 
 
 def _listed(encoded: DataFrame, lengths) -> DataFrame:
