@@ -97,7 +97,8 @@ def test_three_classes_boosted(spark, tmp_path):
     rows = [(i, float(v), float(rng.random()), int(k)) for i, (v, k) in enumerate(zip(x, label))]
     df = spark.createDataFrame(rows, "id int, x double, noise double, label int")
     params = {"learning_rate": 0.1, "num_leaves": 8, "min_child_samples": 20, "colsample_bytree": 1.0}
-    model = M.train_boosted_classes(df, ["x", "noise"], params, ["id"], rounds=5)
+    df = df.withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") / 10).cast("int")))
+    model = M.train_boosted_classes(df, ["x", "noise"], params, ["day", "id"], rounds=5)
     assert model.codes == [0, 1, 2]
     model.save(spark, str(tmp_path / "m"))
     back = M.BoostedClasses.load(spark, str(tmp_path / "m"))
@@ -119,5 +120,6 @@ def test_a_class_without_late_rows_stays_possible(spark):
     rows = [(i, float(i % 10), 0 if i >= 240 else i % 3) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, x double, label int")
     params = {"learning_rate": 0.1, "num_leaves": 4, "min_child_samples": 5, "colsample_bytree": 1.0}
-    model = M.train_boosted_classes(df, ["x"], params, ["id"], rounds=2)
+    df = df.withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), F.col("id")))
+    model = M.train_boosted_classes(df, ["x"], params, ["day", "id"], rounds=2)
     assert all(len(r["p"]) == 3 and min(r["p"]) > 0 for r in model.score(df).collect())
