@@ -268,7 +268,7 @@ def train_boosted_classes(
     anchors = spark.createDataFrame(
         [(float(c), [1.0 if k == c else -1.0 for k in codes]) for c in codes], "label double, m array<double>"
     ).select(F.col("label").alias(LABEL), array_to_vector("m").alias(_MARGINS))
-    regression = LogisticRegression(family="multinomial", featuresCol=_MARGINS, labelCol=LABEL, regParam=1e-3)
+    regression = LogisticRegression(family="multinomial", featuresCol=_MARGINS, labelCol=LABEL, regParam=1e-5)
     return BoostedClasses(matrix, models, regression.fit(materialise(late.unionByName(anchors))))
 
 
