@@ -97,6 +97,17 @@ def c4_pairs(spark, sf_dir):
     return rounded(K.strong_pairs(K.spearman(V.features(spark, sf_dir), _NUM, ["row_id"])), "rho")
 
 
+@query("l7_ranked_pairs", f"""
+WITH {_SPEARMAN}
+SELECT CAST(row_number() OVER (ORDER BY abs(rho) DESC, col_a, col_b) AS INTEGER) AS place, col_a, col_b, {r('rho', 'rho')}
+FROM matrix WHERE abs(rho) > 0.2""")
+def l7_ranked_pairs(spark, sf_dir):
+    """The places of strong pairs in the order that the operator gives; a row for a pair of columns."""
+    ranked = K.strong_pairs(K.spearman(V.features(spark, sf_dir), _NUM, ["row_id"]), 0.2).collect()
+    placed = [(i + 1, x["col_a"], x["col_b"], x["rho"]) for i, x in enumerate(ranked)]
+    return rounded(spark.createDataFrame(placed, "place int, col_a string, col_b string, rho double"), "rho")
+
+
 def _drops_sql(priority: list[str], spearman: str = _SPEARMAN, threshold: float = 0.85) -> str:
     listed = ", ".join(f"'{p}'" for p in priority) or "''"
     return f"""
