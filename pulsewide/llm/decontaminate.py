@@ -18,7 +18,8 @@ document is shuffled, and no key can be hot.
 Defined cases: a null or empty text has no words and is never contaminated; an item
 without words has no window; items with equal id count once; an item whose id is
 null marks words, but is neither listed nor counted; repeated documents each get
-their row; with an empty benchmark nothing is hit. Columns of the documents that
+their row; with an empty benchmark nothing is hit; a very long text is one list of
+words at a time. Columns of the documents that
 have an output's name are replaced.
 """
 
@@ -116,14 +117,14 @@ def contamination(
 ) -> DataFrame:
     """Documents with ``n_words``, ``n_hit``, ``hit_spans`` (word positions, end
     exclusive, disjoint) and ``hit_items`` (ids as strings, sorted)."""
-    spark = docs.sparkSession
+    spark, source = docs.sparkSession, docs
     items = benchmark.select(quoted(item_id).cast("string").alias("item"), quoted(item_text).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-chars // block_chars))
     for block in range(n_blocks):
         here = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
         windows = _windows([(r["item"], r["text"].encode() if r["text"] else None) for r in here.collect()], window)
-        counts = _word_counts(docs, text, frozenset(w for win in windows for w in win))
+        counts = _word_counts(source, text, frozenset(w for win in windows for w in win))
         index: dict[bytes, list] = {}
         for win, owners in windows.items():
             offset = min(range(len(win)), key=lambda i: (counts.get(win[i], 0), win[i], i))

@@ -62,6 +62,8 @@ _SEED = 20240713
 #: Vectors that are decoded together.
 _SLICE = 128
 _DIM_SHIFT = 40
+#: Rows that are passed on together.
+_OUT_ROWS = 1 << 14
 
 
 def _cap_shares(dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,12 +285,16 @@ def _members(decoded: DataFrame, blocks: np.ndarray) -> DataFrame:
                 owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
                 n = shared.value[_hashed(filters)]
                 deal = np.array([xxhash.xxh3_64_intdigest(s) >> 33 for s in b.column(0).to_pylist()], np.int64)
-                own = np.repeat((deal[owner] % n).astype(np.int32), n)
-                other = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-                filters, rows = np.repeat(filters, n), pa.array(np.repeat(owner, n))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(filters), pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other)),
-                     pa.array(own > other), *[b.column(k).take(rows) for k in range(4)]], names=_MEMBER.names)
+                block = (deal[owner] % n).astype(np.int32)
+                # a filter of very many blocks is passed on in parts
+                for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // _OUT_ROWS)) + 1):
+                    times = n[part]
+                    own = np.repeat(block[part], times)
+                    other = (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
+                    rows = pa.array(np.repeat(owner[part], times))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(filters[part], times)), pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other)),
+                         pa.array(own > other), *[b.column(k).take(rows) for k in range(4)]], names=_MEMBER.names)
 
     return decoded.select("same", "rows", "vector", "filters").mapInArrow(run, _MEMBER)
 

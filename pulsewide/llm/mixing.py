@@ -15,7 +15,8 @@ that level is computed directly from sources sorted by size over weight.
 
 Defined cases: null and empty texts have size 0 and take 0; a source without words has
 target 0; null is a source, apart from the empty string; rows of equal ``key`` are taken
-or left together (a null key hashes as the empty string); an empty table gives none.
+or left together (a null key hashes as the empty string); a very long text counts by its
+size like any other; an empty table gives none.
 Histograms have at most 2^10 rows a source, whatever a source's size. Columns that have
 an output's name are replaced.
 """

@@ -15,8 +15,8 @@ All of it is SQL expressions in one narrow pass; a kind's pattern runs only on t
 with a character it needs. The patterns are written so that a failed match is not
 tried again inside itself, with the same matches as the plain forms in ``PATTERNS``.
 
-Defined cases: a null or empty text has no spans; repeated rows each get their row; an
-empty table gives none. Columns that have an output's name are replaced.
+Defined cases: a null or empty text has no spans; a very long text is searched
+whole, as one row; repeated rows each get their row; an empty table gives none. Columns that have an output's name are replaced.
 """
 
 from __future__ import annotations

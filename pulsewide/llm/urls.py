@@ -16,8 +16,9 @@ Counts are taken over all URLs. They come to the driver as at most 2 x 32^3 numb
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no
 rule and scores nothing: it is allowed; with no accepted or no rejected URLs every
-URL without a rule is allowed; repeated rows count each; an empty table gives none.
-Columns that have an output's name are replaced.
+URL without a rule is allowed; a very long URL is one row of as many contexts as it has
+characters; repeated rows count each; an empty table gives none. Columns that have an
+output's name are replaced.
 """
 
 from __future__ import annotations
