@@ -270,14 +270,14 @@ def _need_unique(df: DataFrame, row_key: Sequence[str]) -> None:
         raise ValueError(f"rows repeat the key {list(row_key)}")
 
 
-def _products(
+def _joined_ranks(
     df: DataFrame, cols: Sequence[str], masks: _Masks, table: DataFrame, row_key: Sequence[str], hot_share: float
 ) -> DataFrame:
-    """Rank products with the rank table joined to the cells, for tables of any size.
+    """``(__k1, __k2, pos, r)`` from the rank table joined to the cells, for tables of any size.
 
     A value that holds more than ``hot_share`` of the cells is joined by
     broadcast (there can be at most 1 / ``hot_share`` of those), the rest by
-    key, so no task receives a hot value. Cells then meet again by row.
+    key, so no task receives a hot value.
     """
     n_masks = len(masks.representative)
     rank_cols = [f"r{m}" for m in range(n_masks)]
@@ -297,16 +297,20 @@ def _products(
     cold = met.where(F.col("__h").isNull()).drop("__h").join(
         packed.where(F.col("n") <= n_cells * hot_share).drop("n"), ["pos", "value"]
     )
+    return hot.select("__k1", "__k2", "pos", "__r").unionByName(cold.select("__k1", "__k2", "pos", "__r"))
+
+
+def _products(placed: DataFrame, k: int, masks: _Masks) -> DataFrame:
+    """Rank products of each pair of the ``k`` columns; cells meet again by row."""
+    n_masks = len(masks.representative)
     rows = (
-        hot.select("__k1", "__k2", "pos", "__r").unionByName(cold.select("__k1", "__k2", "pos", "__r"))
-        .groupBy("__k1", "__k2")
+        placed.groupBy("__k1", "__k2")
         # at most one cell per column
         .agg(F.collect_list(F.struct(F.col("pos").alias("i"), F.col("__r").alias("r"))).alias("cells"))
         .select("cells")
     )
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(cols)
         total = np.zeros((k, k))
         for batch in batches:
             cells = batch.column(0)
@@ -329,25 +333,202 @@ def _products(
     return rows.mapInArrow(multiply, "i int, j int, sab double")
 
 
+# --- ranks where the cells lie ---------------------------------------------------
+
+_PART = "__part"
+# mask classes told in one whole number
+_WORD = 62
+
+
+def _presence_words(df: DataFrame, cols: Sequence[str], masks: _Masks) -> list[Column]:
+    """Which mask classes are present in a row, as bits of whole numbers."""
+    present = [
+        (F.col(cols[rep]).isNotNull() & ~F.isnan(F.col(cols[rep]).cast("double"))).cast("bigint")
+        for rep in masks.representative
+    ]
+    words = []
+    for w in range(0, len(present), _WORD):
+        bits = F.lit(0).cast("bigint")
+        for i, p in enumerate(present[w : w + _WORD]):
+            bits = bits + F.shiftleft(p, i)
+        words.append(bits)
+    return words
+
+
+def _bits(words: Sequence[np.ndarray], n_masks: int) -> np.ndarray:
+    """Rows by mask classes, 1 where present."""
+    spread = [(w[:, None] >> np.arange(_WORD)) & 1 for w in words]
+    return np.hstack(spread)[:, :n_masks]
+
+
+def _counter(n_words: int, n_masks: int, sign: int, name: str):
+    """For batches sorted by column and value: add to each cell's balance ``sign`` times the
+    rows of its column and partition that came with an earlier value, per mask class."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, upto, before = None, np.zeros(n_masks, np.int64), np.zeros(n_masks, np.int64)
+        for b in batches:
+            if not len(b):
+                continue
+            pos, value = b.column("pos").to_numpy(), b.column("value").to_numpy()
+            here = _bits([b.column(f"w{i}").to_numpy() for i in range(n_words)], n_masks)
+            starts = np.ones(len(b), bool)
+            starts[1:] = (pos[1:] != pos[:-1]) | (value[1:] != value[:-1])
+            starts[0] = key is None or pos[0] != key[0] or value[0] != key[1]
+            at = np.flatnonzero(starts)
+            column = np.ones(len(b), bool)
+            column[1:] = pos[1:] != pos[:-1]
+            column[0] = key is None or pos[0] != key[0]
+            inclusive = np.cumsum(here, axis=0)
+            own = inclusive[at] - here[at] + upto  # before each block, all columns of the batch
+            opened = np.flatnonzero(column)
+            base = inclusive[opened] - here[opened] + upto  # the same where its column began
+            of_column = np.searchsorted(opened, at, side="right") - 1
+            own = own - np.where((of_column >= 0)[:, None], base[np.maximum(of_column, 0)] if len(base) else 0, 0)
+            blocks = np.cumsum(starts) - 1
+            seen = np.where((blocks >= 0)[:, None], own[np.maximum(blocks, 0)] if len(own) else before, before)
+            before = seen[-1]
+            upto = inclusive[-1] + upto - (base[-1] if len(base) else 0)
+            key = pos[-1], value[-1]
+            out = sign * seen
+            if name in b.schema.names:
+                out = out + b.column(name).flatten().to_numpy().reshape(-1, n_masks)
+                columns = [b.column(c) for c in b.schema.names if c != name]
+                names = [c for c in b.schema.names if c != name]
+            else:
+                columns, names = b.columns, b.schema.names
+            lists = pa.ListArray.from_arrays(np.arange(len(b) + 1, dtype=np.int32) * n_masks, pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*columns, lists], names=[*names, name])
+
+    return count
+
+
+def _ranged_cells(df: DataFrame, cols: Sequence[str], masks: _Masks, row_key: Sequence[str]) -> DataFrame:
+    """Cells in ranges of column and value, with the balance of smaller less larger cells of
+    their own range: ``(__part, __k1, __k2, pos, value, w.., balance)``, written.
+
+    One exchange: a range is sorted upwards and downwards where it lies, so neither way
+    looks ahead and both sorts spill. The row's hash is part of the range's bound, so a
+    value that holds a third of all cells is spread over ranges.
+    """
+    words = _presence_words(df, cols, masks)
+    n_words, n_masks = len(words), len(masks.representative)
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("pos"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value"))
+        for i, c in enumerate(cols)
+    ])
+    long = df.select(
+        F.xxhash64(F.lit(1), *row_key).alias("__k1"), F.xxhash64(F.lit(2), *row_key).alias("__k2"),
+        *[w.alias(f"w{i}") for i, w in enumerate(words)], F.inline(cells),
+    ).where(F.col("value").isNotNull())
+    schema = (
+        f"{_PART} int, __k1 bigint, __k2 bigint, " + ", ".join(f"w{i} bigint" for i in range(n_words))
+        + ", pos int, value double, balance array<bigint>"
+    )
+    held = [F.spark_partition_id().alias(_PART), "__k1", "__k2", *[f"w{i}" for i in range(n_words)], "pos", "value"]
+    ranged = long.repartitionByRange("pos", "value", "__k1").select(*held)
+    upwards = ranged.sortWithinPartitions("pos", "value").mapInArrow(_counter(n_words, n_masks, 1, "balance"), schema)
+    downwards = upwards.sortWithinPartitions(F.desc("pos"), F.desc("value"))
+    return materialise(downwards.mapInArrow(_counter(n_words, n_masks, -1, "balance"), schema))
+
+
+def _range_offsets(cells: DataFrame, n_masks: int) -> list[tuple]:
+    """What the other ranges add to the balances: ``(__part, pos, lo, hi, inner, at_lo, at_hi, only)``.
+
+    One row comes to the driver for each range and column it holds. Rows between the ends
+    of a range have all cells of the ranges before it below them and all of the ranges after
+    it above; rows at an end do not count the cells of neighbours that hold the same value.
+    """
+    m = range(n_masks)
+    bit = [F.shiftright(F.col(f"w{i // _WORD}"), i % _WORD).bitwiseAND(F.lit(1)) for i in m]
+    balance = [F.get("balance", F.lit(i)) for i in m]
+    ends = cells.groupBy(_PART, "pos").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"),
+        F.array(*[F.sum(b) for b in bit]).alias("total"),
+        # the balance is lowest at the smallest value: what it does not count is the end itself
+        F.array(*[F.min(b) for b in balance]).alias("lowest"), F.array(*[F.max(b) for b in balance]).alias("highest"),
+    ).orderBy("pos", _PART).collect()
+    out = []
+    for pos in sorted({e["pos"] for e in ends}):
+        mine = [e for e in ends if e["pos"] == pos]
+        totals = np.array([e["total"] for e in mine])
+        first = totals + np.array([e["lowest"] for e in mine])    # cells equal to lo
+        last = totals - np.array([e["highest"] for e in mine])    # cells equal to hi
+        below = np.cumsum(totals, axis=0) - totals
+        above = totals.sum(axis=0) - below - totals
+        # cells of earlier ranges that equal this range's lo, and of later ones that equal its hi
+        tied_lo, tied_hi = np.zeros_like(totals), np.zeros_like(totals)
+        for i in range(1, len(mine)):
+            if mine[i - 1]["hi"] == mine[i]["lo"]:
+                whole = mine[i - 1]["lo"] == mine[i - 1]["hi"]
+                tied_lo[i] = last[i - 1] + (tied_lo[i - 1] if whole else 0)
+        for i in range(len(mine) - 2, -1, -1):
+            if mine[i + 1]["lo"] == mine[i]["hi"]:
+                whole = mine[i + 1]["lo"] == mine[i + 1]["hi"]
+                tied_hi[i] = first[i + 1] + (tied_hi[i + 1] if whole else 0)
+        for e, b, a, tl, th in zip(mine, below, above, tied_lo, tied_hi):
+            inner = b - a
+            out.append((e[_PART], pos, e["lo"], e["hi"], *[x.tolist() for x in (inner, inner - tl, inner + th, inner - tl + th)]))
+    return out
+
+
+def _placed(cells: DataFrame, n_masks: int) -> DataFrame:
+    """``(__k1, __k2, pos, r)``: centred average ranks per mask class, 0 where it is absent.
+
+    The mean of the ranks of tied cells, less the mean rank, is half of the cells below
+    less the cells above.
+    """
+    listed = cells.sparkSession.createDataFrame(
+        _range_offsets(cells, n_masks),
+        f"{_PART} int, pos int, lo double, hi double, inner array<bigint>, at_lo array<bigint>, at_hi array<bigint>, only array<bigint>",
+    )
+    low, high = F.col("value") == F.col("lo"), F.col("value") == F.col("hi")
+    offset = F.when(low & high, F.col("only")).when(low, F.col("at_lo")).when(high, F.col("at_hi")).otherwise(F.col("inner"))
+
+    def rank(m: int) -> Column:
+        there = F.shiftright(F.col(f"w{m // _WORD}"), m % _WORD).bitwiseAND(F.lit(1)) == 1
+        return F.when(there, (F.get("balance", F.lit(m)) + F.get("__offset", F.lit(m))) / 2.0).otherwise(0.0)
+
+    # at most one row for each range and column
+    met = cells.join(F.broadcast(listed), [_PART, "pos"]).withColumn("__offset", offset)
+    return met.select("__k1", "__k2", "pos", F.array(*[rank(m) for m in range(n_masks)]).alias("__r"))
+
+
+def _sums_of_squares(placed: DataFrame, n_masks: int) -> dict:
+    """Sum of squared centred ranks per column and mask class."""
+    rank = [F.get("__r", F.lit(m)) for m in range(n_masks)]
+    rows = placed.groupBy("pos").agg(*[F.sum(r * r).alias(f"r{m}") for m, r in enumerate(rank)]).collect()
+    return {(row["pos"], m): row[f"r{m}"] for row in rows for m in range(n_masks)}
+
+
 def spearman(
-    df: DataFrame, cols: Sequence[str], row_key: Sequence[str], hot_share: float = HOT_SHARE
+    df: DataFrame, cols: Sequence[str], row_key: Sequence[str], hot_share: float | None = None
 ) -> DataFrame:
     """Spearman correlation of every pair over its complete rows: ``(col_a, col_b, rho, n)``.
 
     The ranks of a column depend only on which rows of the *other* column are
     present, so columns with the same missingness share one ranking. Tied
     values get their average rank. ``row_key`` identifies a row; a repeated key
-    is an error. ``hot_share`` says from which share of all cells a value is
-    joined by broadcast; it does not change the result.
+    is an error.
+
+    Cells are ranked where one exchange by ranges of column and value puts them, and meet
+    again by row in a second one. With ``hot_share`` the ranks come from a table of distinct
+    values instead, joined by key, or by broadcast for values above that share of all cells;
+    that moves less where columns hold few distinct values. The result is the same.
     """
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, rho double, n bigint")
     _need_unique(df, row_key)
     masks = _mask_classes(df, cols)
     n_masks = len(masks.representative)
-    table = materialise(_rank_table(df, cols, masks))
-    squares = _rank_sums_of_squares(table, n_masks)
-    products = _products(df, cols, masks, table, row_key, hot_share)
+    if hot_share is None:
+        placed = _placed(_ranged_cells(df, cols, masks, row_key), n_masks)
+        squares = _sums_of_squares(placed, n_masks)
+    else:
+        table = materialise(_rank_table(df, cols, masks))
+        squares = _rank_sums_of_squares(table, n_masks)
+        placed = _joined_ranks(df, cols, masks, table, row_key, hot_share)
+    products = _products(placed, len(cols), masks)
     norms = [
         (i, j, float(squares.get((i, masks.of_column[j])) or 0.0),
          float(squares.get((j, masks.of_column[i])) or 0.0), int(masks.complete[i, j]))

@@ -70,11 +70,56 @@ def test_pearson(table, data):
     same(as_dict(K.pearson(table, COLS)), brute(data, "pearson"))
 
 
-@pytest.mark.parametrize("hot_share", [K.HOT_SHARE, 1.0])
+@pytest.mark.parametrize("hot_share", [None, K.HOT_SHARE, 1.0])
 def test_spearman(table, data, hot_share):
     same(as_dict(K.spearman(table, COLS, ["id"], hot_share)), brute(data, "spearman"))
 
 
+@pytest.mark.parametrize("partitions", ["1", "3", "29"])
+def test_ranks_in_any_number_of_ranges(spark, table, data, partitions):
+    """A value of two fifths of the rows covers several whole ranges."""
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        same(as_dict(K.spearman(table, COLS, ["id"])), brute(data, "spearman"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
+def test_ranks_over_small_batches(spark, table, data):
+    """Blocks of ties go on from batch to batch."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        same(as_dict(K.spearman(table, COLS, ["id"])), brute(data, "spearman"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_more_columns_than_bits_of_a_word(spark):
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 5, (40, 66)).astype(float)
+    values[rng.random(values.shape) < 0.3] = np.nan
+    names = [f"c{i}" for i in range(66)]
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(values)]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{c} double" for c in names))
+    got = as_dict(K.spearman(df, names, ["id"]))
+    for a, b in [(0, 1), (0, 65), (61, 62), (63, 64)]:
+        both = ~np.isnan(values[:, a]) & ~np.isnan(values[:, b])
+        x, y = average_ranks(values[both, a]), average_ranks(values[both, b])
+        assert got[names[a], names[b]] == (pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9), both.sum())
+
+
+def test_cells_are_exchanged_twice(spark, table):
+    """Once by ranges, once by row; nothing else moves them."""
+    masks = K._mask_classes(table, COLS)
+    placed = K._placed(K._ranged_cells(table, COLS, masks, ["id"]), len(masks.representative))
+    plan = K._products(placed, len(COLS), masks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
 def test_repeated_row_key_is_an_error(spark):
     df = spark.createDataFrame([(1, 1.0, 2.0), (1, 2.0, 4.0), (2, 3.0, 1.0)], "id int, x double, y double")
     with pytest.raises(ValueError, match="repeat the key"):
