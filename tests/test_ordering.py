@@ -1,4 +1,5 @@
 import datetime
+import math
 
 import numpy as np
 import pytest
@@ -167,3 +168,23 @@ def test_extremes_of_several_ranks_at_once(spark):
     assert O.rows_at_ranks(df, ["a", "b"], [0, 9, 10, 55, 99]) == [[0, 0], [0, 9], [1, 10], [5, 55], [9, 99]]
     with pytest.raises(ValueError):
         O.rows_at_ranks(df, ["a", "b"], [100])
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e12])
+def test_density_equals_the_sum_over_all_values(spark, spread):
+    rng = np.random.default_rng(9)
+    x = np.append(rng.normal(size=4000), [30.0, spread])
+    got = P.kernel_density({"a": spark.createDataFrame([(float(v),) for v in x], "x double")}, "x", points=50).orderBy("k").collect()
+    h = x.std(ddof=1) * len(x) ** -0.2
+    for r in got:
+        want = np.exp(-0.5 * ((r["x"] - x) / h) ** 2).sum() / (len(x) * h * math.sqrt(2 * math.pi))
+        assert r["density"] == pytest.approx(want, rel=1e-11, abs=1e-14 / h)
+
+
+def test_density_of_a_constant_population_is_told(spark):
+    frames = {"a": spark.createDataFrame([(float(v),) for v in range(9)], "x double"),
+              "flat": spark.createDataFrame([(2.0,)] * 4, "x double"), "none": spark.createDataFrame([(None,)], "x double")}
+    out = P.kernel_density(frames, "x", points=10).collect()
+    assert sorted((r["population"], r["k"], r["x"], r["density"]) for r in out if r["population"] != "a") == [
+        ("flat", None, None, None), ("none", None, None, None)]
+    assert sum(r["population"] == "a" for r in out) == 10
