@@ -45,6 +45,10 @@ COLSAMPLE_RANGE = (0.6, 1.0)
 SEARCH_TRIALS, SEARCH_ROUNDS, SEARCH_FOLDS = 20, 400, 3
 PRUNE_AFTER_TRIALS, PRUNE_AFTER_FOLDS = 5, 1
 FINAL_ROUNDS, SEED = 600, 42
+#: Newest rows that grow no tree, as :func:`train_boosted_classes` and early stops use them.
+_LATE = "__late"
+#: Gain of a round, as a fraction of the loss, below which boosting may end early.
+STOP_BELOW = 1e-3
 
 
 def check_mode(mode: str) -> None:
@@ -152,9 +156,15 @@ def train(
     rounds: int = FINAL_ROUNDS,
     seed: int = SEED,
     order: Sequence[str] = (),
+    stop_share: float | None = None,
+    stop_below: float = STOP_BELOW,
 ) -> Classifier:
     """Fit the final classifier on a table with a ``label`` column.
 
+    With ``stop_share`` boosting ends early: that newest share of the rows by ``order``
+    grows no tree, and once a round betters its loss by less than the fraction
+    ``stop_below``, the rounds up to the best one are kept; ``rounds`` is then the most.
+
     Two classes are weighted to balance; three are not, which keeps their
     probabilities usable as such. The assembled matrix is written once to the
     shared folder, because every boosting round reads it. ``order`` names the date and
@@ -163,17 +173,29 @@ def train(
     """
     check_mode(mode)
     shared_dir(df.sparkSession)
+    if stop_share is not None and (mode != BINARY or not order):
+        raise ValueError("ending early needs two classes and the date and tie columns of the rows")
     matrix = fit_matrix(df, columns, label=LABEL, classes=codes_of(mode))
-    ready = _training_rows(matrix, df, order).select(F.col(LABEL).cast("double").alias(LABEL), FEATURES)
+    kept = [F.col(LABEL).cast("double").alias(LABEL), FEATURES]
+    if stop_share is None:
+        rows = _training_rows(matrix, df, order)
+    else:
+        date_col, *tie = order
+        rows = _training_rows(matrix, oot_mark(df, date_col, tie, stop_share, "__early"), order)
+        kept.append((~F.col("__early")).alias(_LATE))
+    ready = rows.select(*kept)
     if mode == BINARY:
         ready = with_balanced_weight(ready)
-    model = build(mode, params, rounds, matrix.layout.max_levels, seed).fit(materialise(ready))
-    return Classifier(mode, matrix, model)
+    estimator = build(mode, params, rounds, matrix.layout.max_levels, seed)
+    if stop_share is not None:
+        estimator.setValidationIndicatorCol(_LATE)
+        estimator.set(estimator.validationTol, stop_below)
+    return Classifier(mode, matrix, estimator.fit(materialise(ready)))
 
 
 # --- boosting for three classes ------------------------------------------------------
 
-_MARGINS, _LATE = "__margins", "__late"
+_MARGINS = "__margins"
 #: Newest share of the training rows that decides the calibration and grows no tree.
 CALIBRATION_SHARE = 0.2
 
@@ -331,6 +353,50 @@ def _falls_behind(trial: Trial, finished: Sequence[Trial]) -> bool:
     return best > statistics.median(t.running(folds) for t in finished)
 
 
+def _as_if_in_turn(trials: Sequence[Trial], finished: Sequence[Trial]) -> list[Trial]:
+    """The trials as they would have come out one after the other: folds past the one at
+    which a trial falls behind are taken back."""
+    done = list(finished)
+    for t in sorted(trials, key=lambda t: t.number):
+        losses, t.fold_losses = t.fold_losses, []
+        for k, loss in enumerate(losses, start=1):
+            t.fold_losses.append(loss)
+            if k < len(losses) and _falls_behind(t, [d for d in done if not d.pruned]):
+                t.pruned = True
+                break
+        done.append(t)
+    return done
+
+
+class _TrialTable:
+    """Fold losses of a search, one small file each, below a folder of the shared store.
+
+    A search that starts again with the same settings reads them and fits only the rest.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, settings: Mapping[str, object]):
+        self.spark, self.path = spark, path
+        text = json.dumps(settings, sort_keys=True)
+        known = self._read(f"{path}/settings", "settings string")
+        if not known:
+            spark.createDataFrame([(text,)], "settings string").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+        elif known[0]["settings"] != text:
+            raise ValueError(f"'{path}' holds the trials of another search: {known[0]['settings']}")
+        found = self._read(f"{path}/losses", "loss double, trial int, fold int")
+        self.losses = {(r["trial"], r["fold"]): r["loss"] for r in found}
+
+    def _read(self, path: str, schema: str) -> list:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            return []
+        return self.spark.read.schema(schema).parquet(path).collect()
+
+    def add(self, trial: int, fold: int, loss: float) -> None:
+        # a folder of its own, so that trials side by side commit apart
+        row = self.spark.createDataFrame([(loss,)], "loss double").coalesce(1)
+        row.write.mode("overwrite").parquet(f"{self.path}/losses/trial={trial}/fold={fold}")
+
+
 def search_params(
     df: DataFrame,
     columns: Sequence[str],
@@ -341,13 +407,24 @@ def search_params(
     rounds: int = SEARCH_ROUNDS,
     folds: int = SEARCH_FOLDS,
     seed: int = SEED,
+    parallel: int = 1,
+    path: str | None = None,
 ) -> Search:
     """Seeded random search under expanding time folds, scored by mean fold log-loss.
 
     The matrix is assembled and written once; every fold of every trial is a
-    Spark fit on a filter of it. Only the losses come back to this loop.
+    Spark fit on a filter of it. Only the losses come back to the driver.
+
+    ``parallel`` trials run side by side, each in a scheduler pool of its own. Whether a
+    trial is pruned is decided as if they had run in turn, so the result is that of one
+    after the other; the first trials, which are never pruned, lose nothing by it, a later
+    one may run folds in vain. With ``path``, a folder of the shared store, every fold's
+    loss is written as it comes, and a search that was cut off goes on from there.
     """
     check_mode(mode)
+    if parallel < 1:
+        raise ValueError(f"no number of trials side by side: {parallel!r}")
+    spark = df.sparkSession
     codes = codes_of(mode)
     matrix = fit_matrix(df, columns, label=LABEL, classes=codes)
     folded = expanding_folds(df, date_col, tie, folds)
@@ -358,20 +435,53 @@ def search_params(
     if mode == BINARY:
         # the weights are counted once per fold, not per trial
         pasts = {k: with_balanced_weight(past) for k, past in pasts.items()}
+    table = None
+    if path is not None:
+        # the rows count by what is fitted on them: blocks, labels and input columns
+        blocks = ready.groupBy("fold", LABEL).count().orderBy("fold", LABEL).collect()
+        settings = {
+            "columns": list(columns), "mode": mode, "rounds": rounds, "folds": folds, "seed": seed,
+            "blocks": [[r["fold"], r[LABEL], r["count"]] for r in blocks],
+        }
+        table = _TrialTable(spark, path, settings)
+
+    def loss_of(trial: Trial, k: int) -> float:
+        if table and (trial.number, k) in table.losses:
+            return table.losses[trial.number, k]
+        fitted = build(mode, trial.params, rounds, matrix.layout.max_levels, seed).fit(pasts[k])
+        p = vector_to_array("probability")
+        columns_of_p = [f"__p{c}" for c in codes]
+        scored = fitted.transform(ready.where(F.col("fold") == k))
+        spread = scored.select(LABEL, *[p[c].alias(n) for c, n in zip(codes, columns_of_p)])
+        loss = log_loss(spread, LABEL, columns_of_p).first()["logloss"]
+        if table:
+            table.add(trial.number, k, loss)
+        return loss
+
     rng = np.random.default_rng(seed)
+    drawn = [Trial(number, draw_params(rng)) for number in range(trials)]
     done: list[Trial] = []
-    for number in range(trials):
-        trial = Trial(number, draw_params(rng))
-        estimator = build(mode, trial.params, rounds, matrix.layout.max_levels, seed)
+
+    def run(trial: Trial) -> Trial:
         for k in range(1, folds + 1):
-            scored = estimator.fit(pasts[k]).transform(ready.where(F.col("fold") == k))
-            p = vector_to_array("probability")
-            columns_of_p = [f"__p{c}" for c in codes]
-            spread = scored.select(LABEL, *[p[c].alias(n) for c, n in zip(codes, columns_of_p)])
-            trial.fold_losses.append(log_loss(spread, LABEL, columns_of_p).first()["logloss"])
-            if k < folds and _falls_behind(trial, [t for t in done if not t.pruned]):
+            trial.fold_losses.append(loss_of(trial, k))
+            # with others beside it, what it is held against is known only afterwards
+            if parallel == 1 and k < folds and _falls_behind(trial, [t for t in done if not t.pruned]):
                 trial.pruned = True
                 break
-        done.append(trial)
-    return Search(done)
+        return trial
 
+    if parallel == 1:
+        for trial in drawn:
+            done.append(run(trial))
+        return Search(done)
+
+    @inheritable_thread_target(spark)
+    def run_beside(trial: Trial) -> Trial:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial {trial.number}")
+        return run(trial)
+
+    with ThreadPoolExecutor(parallel) as pool:
+        for first in range(0, trials, parallel):
+            done = _as_if_in_turn(list(pool.map(run_beside, drawn[first : first + parallel])), done)
+    return Search(done)

@@ -235,6 +235,64 @@ def test_pruning_rule():
     assert not M._falls_behind(trial(0.9, 0.9), earlier[:4])        # too few finished trials
 
 
+def test_trials_side_by_side_come_out_as_in_turn():
+    rng = np.random.default_rng(2)
+    losses = rng.uniform(0.3, 0.9, (20, 3)).tolist()
+    in_turn = []
+    for number, all_folds in enumerate(losses):
+        trial = M.Trial(number, {})
+        for k, loss in enumerate(all_folds, start=1):
+            trial.fold_losses.append(loss)
+            if k < 3 and M._falls_behind(trial, [t for t in in_turn if not t.pruned]):
+                trial.pruned = True
+                break
+        in_turn.append(trial)
+    assert any(t.pruned for t in in_turn)
+    for width in (2, 6, 20):
+        done = []
+        for first in range(0, 20, width):
+            some = [M.Trial(n, {}, list(losses[n])) for n in range(first, min(20, first + width))]
+            done = M._as_if_in_turn(some, done)
+        assert done == in_turn
+
+
+def test_search_side_by_side_and_again(spark, sf, tmp_path, monkeypatch):
+    """A search that breaks off goes on from its trial table, with the result of one in turn."""
+    older, _ = oot_split(V.model_rows(spark, sf), "obs_date", ["row_id"])
+    ask = lambda **more: M.search_params(older, ["delay_days", "status"], "obs_date", ["row_id"], M.BINARY, trials=3, rounds=1, **more)
+    want = ask()
+    path, add, lost = str(tmp_path / "trials"), M._TrialTable.add, []
+
+    def break_off(table, trial, fold, loss):
+        if (trial, fold) == (2, 2):
+            raise RuntimeError("driver lost")
+        add(table, trial, fold, loss)
+        lost.append((trial, fold))
+
+    monkeypatch.setattr(M._TrialTable, "add", break_off)
+    with pytest.raises(RuntimeError, match="driver lost"):
+        ask(parallel=3, path=path)
+    fitted_again = []
+    monkeypatch.setattr(M._TrialTable, "add", lambda table, *what: (fitted_again.append(what[:2]), add(table, *what)))
+    found = ask(parallel=3, path=path)
+    assert not set(fitted_again) & set(lost) and (2, 2) in fitted_again
+    assert [t.params for t in found.trials] == [t.params for t in want.trials]
+    for a, b in zip(found.trials, want.trials):
+        assert a.fold_losses == pytest.approx(b.fold_losses, abs=1e-9)
+    with pytest.raises(ValueError, match="another search"):
+        M.search_params(older, ["delay_days"], "obs_date", ["row_id"], M.BINARY, trials=1, rounds=1, path=path)
+
+
+def test_boosting_ends_early(spark, sf):
+    older, _ = oot_split(V.model_rows(spark, sf), "obs_date", ["row_id"])
+    order = ["obs_date", "row_id"]
+    params = {**Q.PARAMS, "learning_rate": 0.5}
+    stopped = M.train(older, ["delay_days", "qty_sum"], params, M.BINARY, 30, order=order, stop_share=0.2, stop_below=0.02)
+    assert 1 <= stopped.model.getNumTrees < 30
+    with pytest.raises(ValueError, match="date and tie"):
+        M.train(older, ["delay_days"], params, M.BINARY, 2, stop_share=0.2)
+
+
 def test_modes():
     with pytest.raises(ValueError):
         M.check_mode("ternary")
