@@ -20,8 +20,8 @@ def join_distinct(
     shuffle partitions unless given: more tasks for a hot key on a larger
     cluster, at the price of more copies of the keys. A following aggregation by
     the key cannot reuse that placement, so it reduces the rows map-side before
-    they meet. Adaptive execution still broadcasts the keys when they are small
-    at run time.
+    they meet. The copies are merged and never broadcast: Spark would judge by the
+    size of the keys' file, of which the driver would hold every copy.
     """
     if salts is None:
         partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -29,4 +29,4 @@ def join_distinct(
     # the place is the same whenever the split is read again
     spread = rows.withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
     copies = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [key, "__salt"], how).drop("__salt")
+    return spread.join(copies.hint("merge"), [key, "__salt"], how).drop("__salt")

@@ -123,3 +123,14 @@ def test_a_class_without_late_rows_stays_possible(spark):
     df = df.withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), F.col("id")))
     model = M.train_boosted_classes(df, ["x"], params, ["day", "id"], rounds=2)
     assert all(len(r["p"]) == 3 and min(r["p"]) > 0 for r in model.score(df).collect())
+
+
+def test_levels_in_a_small_file_are_not_broadcast(spark, tmp_path):
+    """The copies for the salts are many times what the file's size says."""
+    base = spark.range(2000).select("id", F.concat(F.lit("c"), F.col("id") % 500).alias("name"), (F.col("id") % 2).cast("int").alias("label"))
+    base.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    wide = L.fit_wide_text(df, "name", "label", [0, 1])
+    encoded = L.encode_new(df, wide)
+    assert "Broadcast" not in encoded._jdf.queryExecution().executedPlan().toString()
+    assert encoded.count() == 2000 and encoded.where(F.col(wide.outputs[0]).isNull()).count() == 0
