@@ -32,7 +32,7 @@ from pulsewide import schema as S
 from pulsewide.operators.evaluate import class_weights, log_loss
 from pulsewide.operators.matrix import FEATURES, LABEL, Matrix, fit_matrix
 from pulsewide.operators.split import expanding_folds, oot_mark
-from pulsewide.session import materialise, shared_dir
+from pulsewide.session import materialise_dealt, scratch_path, shared_dir
 
 BINARY, MULTI = "binary", "multi"
 PROBABILITY = "p"
@@ -49,6 +49,8 @@ FINAL_ROUNDS, SEED = 600, 42
 _LATE = "__late"
 #: Gain of a round, as a fraction of the loss, below which boosting may end early.
 STOP_BELOW = 1e-3
+#: Training rows that a task holds in memory at most.
+ROWS_PER_TASK = 250_000
 
 
 def check_mode(mode: str) -> None:
@@ -84,7 +86,8 @@ def build(mode: str, params: Mapping[str, float], rounds: int, max_levels: int,
         featureSubsetStrategy=str(float(params["colsample_bytree"])),
         maxBins=max(64, max_levels + 2),
         seed=seed,
-        cacheNodeIds=True,
+        # trees are shallow: walking them costs less than a table of nodes for every level
+        cacheNodeIds=False,
         checkpointInterval=10,
     )
     if mode == BINARY:
@@ -190,7 +193,7 @@ def train(
     if stop_share is not None:
         estimator.setValidationIndicatorCol(_LATE)
         estimator.set(estimator.validationTol, stop_below)
-    return Classifier(mode, matrix, estimator.fit(materialise(ready)))
+    return Classifier(mode, matrix, estimator.fit(materialise_dealt(ready, ROWS_PER_TASK)))
 
 
 # --- boosting for three classes ------------------------------------------------------
@@ -273,7 +276,8 @@ def train_boosted_classes(
     matrix = fit_matrix(df, columns, label=LABEL, classes=codes)
     marked = oot_mark(df, date_col, tie, calibration_share, "__early")
     rows = matrix.transform_training(marked, LABEL, order)
-    ready = materialise(rows.select(F.col(LABEL).cast("double").alias(LABEL), FEATURES, (~F.col("__early")).alias(_LATE)))
+    ready = materialise_dealt(
+        rows.select(F.col(LABEL).cast("double").alias(LABEL), FEATURES, (~F.col("__early")).alias(_LATE)), ROWS_PER_TASK)
 
     @inheritable_thread_target(spark)
     def fit(code: int) -> GBTClassificationModel:
@@ -287,11 +291,13 @@ def train_boosted_classes(
     with ThreadPoolExecutor(len(codes)) as pool:
         models = tuple(pool.map(fit, codes))
     late = _with_margins(ready.where(_LATE), models).select(LABEL, _MARGINS)
-    anchors = spark.createDataFrame(
+    anchors = ready.sparkSession.createDataFrame(
         [(float(c), [1.0 if k == c else -1.0 for k in codes]) for c in codes], "label double, m array<double>"
     ).select(F.col("label").alias(LABEL), array_to_vector("m").alias(_MARGINS))
     regression = LogisticRegression(family="multinomial", featuresCol=_MARGINS, labelCol=LABEL, regParam=1e-5)
-    return BoostedClasses(matrix, models, regression.fit(materialise(late.unionByName(anchors))))
+    margins = scratch_path(spark)
+    late.unionByName(anchors).write.parquet(margins)
+    return BoostedClasses(matrix, models, regression.fit(spark.read.parquet(margins)))
 
 
 # --- parameter search -----------------------------------------------------------
@@ -428,8 +434,9 @@ def search_params(
     codes = codes_of(mode)
     matrix = fit_matrix(df, columns, label=LABEL, classes=codes)
     folded = expanding_folds(df, date_col, tie, folds)
-    ready = materialise(
-        matrix.transform_training(folded, LABEL, [date_col, *tie]).select(F.col(LABEL).cast("double").alias(LABEL), "fold", FEATURES)
+    ready = materialise_dealt(
+        matrix.transform_training(folded, LABEL, [date_col, *tie]).select(F.col(LABEL).cast("double").alias(LABEL), "fold", FEATURES),
+        ROWS_PER_TASK,
     )
     pasts = {k: ready.where(F.col("fold") < k) for k in range(1, folds + 1)}
     if mode == BINARY:

@@ -80,6 +80,23 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_dealt(df: DataFrame, rows: int) -> DataFrame:
+    """Like :func:`materialise`, for passes that keep rows in memory: no task gets more than ``rows``.
+
+    A file holds at most so many rows and is read by a task of its own, however small it
+    is. Files are packed by a setting of the session, so the table belongs to a session
+    beside the caller's, with the same context.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
+    beside = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        beside.conf.set(key, spark.conf.get(key))
+    beside.conf.set("spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return beside.read.schema(df.schema).parquet(path)
+
+
 _landed: dict[tuple[str, str], DataFrame] = {}
 
 

@@ -303,3 +303,21 @@ def test_positive_score_needs_two_classes(fitted):
     classifier, _ = fitted
     with pytest.raises(ValueError):
         A.make_explainer(None, M.Classifier(M.MULTI, classifier.matrix, classifier.model))
+
+
+def test_training_rows_are_dealt_and_no_level_is_kept(spark, monkeypatch):
+    """However few files a pass would be packed into, a task gets a bounded number of rows."""
+    df = spark.range(0, 4000, 1, 2).select(
+        "id", (F.col("id") * 7 % 100).cast("double").alias("x"), F.col("id").cast("double").alias("z"),
+        (F.col("id") * 7 % 100 > 40).cast("int").alias("label"))
+    params = {"learning_rate": 0.1, "num_leaves": 8, "min_child_samples": 5, "colsample_bytree": 1.0}
+    seen, fit, dealt = [], M.GBTClassifier.fit, M.materialise_dealt
+    monkeypatch.setattr(M, "materialise_dealt", lambda rows, n: seen.append(dealt(rows, 500)) or seen[-1])
+    model = M.train(df, ["x", "z"], params, M.BINARY, rounds=2)
+    sizes = [r["n"] for r in seen[0].groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 500
+    estimator = M.build(M.BINARY, params, 2, 0)
+    assert not estimator.getCacheNodeIds()
+    kept = fit(estimator.setCacheNodeIds(True), seen[0])
+    trees = lambda m: m.toDebugString.split("\n", 1)[1]
+    assert trees(kept) == trees(model.model)
