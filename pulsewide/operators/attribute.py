@@ -226,8 +226,31 @@ def attribute(
     return ready.mapInArrow(run, schema)
 
 
-#: Columns whose coalitions are enumerated at most.
-MAX_ENUMERATED = 12
+#: Columns whose coalitions are enumerated at most, and rows for which that is done at once.
+MAX_ENUMERATED, ENUMERATED_ROWS = 12, 2048
+
+
+def tree_worths(node: tuple, x: np.ndarray, slots: Sequence[int]) -> tuple[int, dict]:
+    """A tree's expected value for every coalition of the columns it tests: ``(their bits, {bits known: value})``.
+
+    ``node`` is a leaf's value, or (slot, threshold, left levels, left weight share, left,
+    right). A part of the tree depends only on the columns that it tests itself, so it is
+    walked once for each coalition of those and not of all columns.
+    """
+    if len(node) == 1:
+        return 0, {0: node[0]}
+    slot, threshold, levels, share, left, right = node
+    (left_mask, one), (right_mask, other) = tree_worths(left, x, slots), tree_worths(right, x, slots)
+    own = 1 << slots[slot]
+    mask = left_mask | right_mask | own
+    goes_left = x[slot] <= threshold if levels is None else np.isin(x[slot], levels)
+    found, s = {}, mask
+    while True:
+        a, b = one[s & left_mask], other[s & right_mask]
+        found[s] = np.where(goes_left, a, b) if s & own else share * a + (1 - share) * b
+        if s == 0:
+            return mask, found
+        s = (s - 1) & mask  # the next smaller subset
 
 
 def attribute_by_enumeration(
@@ -260,27 +283,24 @@ def attribute_by_enumeration(
     ready = classifier.matrix.transform(df).select(*keep, vector_to_array(FEATURES).alias("__x"))
     schema = ready.drop("__x").schema.add(name, T.ArrayType(T.DoubleType()))
 
-    def expected(node: tuple, x: np.ndarray, coalition: int):
-        if len(node) == 1:
-            return node[0]
-        slot, threshold, levels, share, left, right = node
-        one, other = expected(left, x, coalition), expected(right, x, coalition)
-        if coalition >> slots[slot] & 1:
-            return np.where(x[slot] <= threshold if levels is None else np.isin(x[slot], levels), one, other)
-        return share * one + (1 - share) * other
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b.column(len(keep)).flatten().to_numpy().reshape(b.num_rows, -1).T
-            worth = [sum(w * expected(tree, x, s) for w, tree in trees) + np.zeros(b.num_rows) for s in range(1 << d)]
-            phi = np.zeros((b.num_rows, d))
-            for s in range(1 << d):
-                k = s.bit_count()
-                for i in range(d):
-                    if not s >> i & 1:
-                        phi[:, i] += (worth[s | 1 << i] - worth[s]) * math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, phi.size + 1, d, dtype=np.int32)), pa.array(phi.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], lists], names=schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ENUMERATED_ROWS):
+                b = whole.slice(at, ENUMERATED_ROWS)
+                x = b.column(len(keep)).flatten().to_numpy().reshape(b.num_rows, -1).T
+                worth = [0.0] * (1 << d)
+                for w, tree in trees:
+                    mask, known = tree_worths(tree, x, slots)
+                    worth = [total + w * known[s & mask] for s, total in enumerate(worth)]
+                worth = [total + np.zeros(b.num_rows) for total in worth]
+                phi = np.zeros((b.num_rows, d))
+                for s in range(1 << d):
+                    k = s.bit_count()
+                    for i in range(d):
+                        if not s >> i & 1:
+                            phi[:, i] += (worth[s | 1 << i] - worth[s]) * math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, phi.size + 1, d, dtype=np.int32)), pa.array(phi.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], lists], names=schema.names)
 
     return ready.mapInArrow(run, schema)
 

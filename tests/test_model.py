@@ -321,3 +321,33 @@ def test_training_rows_are_dealt_and_no_level_is_kept(spark, monkeypatch):
     kept = fit(estimator.setCacheNodeIds(True), seen[0])
     trees = lambda m: m.toDebugString.split("\n", 1)[1]
     assert trees(kept) == trees(model.model)
+
+
+def test_parts_of_a_tree_are_walked_once_for_the_columns_they_test(monkeypatch):
+    rng = np.random.default_rng(6)
+    slots = [0, 0, 1, 2, 3, 4, 5, 6, 7]
+
+    def grow(depth):
+        if depth == 0:
+            return (float(rng.normal()),)
+        slot = int(rng.integers(len(slots)))
+        test = (None, [0.0, 2.0]) if slot == 2 else (float(rng.normal()), None)
+        return (slot, *test, float(rng.uniform(0.2, 0.8)), grow(depth - 1), grow(depth - 1))
+
+    def expected(node, x, coalition):
+        if len(node) == 1:
+            return node[0]
+        slot, threshold, levels, share, left, right = node
+        one, other = expected(left, x, coalition), expected(right, x, coalition)
+        if coalition >> slots[slot] & 1:
+            return plain(x[slot] <= threshold if levels is None else np.isin(x[slot], levels), one, other)
+        return share * one + (1 - share) * other
+
+    plain, calls = np.where, []
+    tree, x = grow(6), rng.normal(size=(len(slots), 50))
+    x[2] = rng.integers(0, 4, 50)
+    monkeypatch.setattr(A.np, "where", lambda *a: calls.append(1) or plain(*a))
+    mask, found = A.tree_worths(tree, x, slots)
+    assert len(calls) < 63 * 256 / 2 / 3  # all columns for every split would be 63 * 128
+    for s in range(256):
+        assert np.array_equal(np.zeros(50) + found[s & mask], np.zeros(50) + expected(tree, x, s))
