@@ -144,6 +144,16 @@ class Classifier:
         return Classifier(mode, Matrix.load(spark, path + "/matrix"), kind.load(path + "/model"))
 
 
+def _side_by_side(ready: DataFrame, wanted: int) -> int:
+    """How many of ``wanted`` fits run at once: all, or one where it has tasks for every core.
+
+    A fit holds its rows in memory. Where one keeps all cores busy, more beside it gain no
+    time and hold as many times the rows.
+    """
+    cores = ready.sparkSession.sparkContext.defaultParallelism
+    return wanted if ready.count() < ROWS_PER_TASK * cores else 1
+
+
 def _training_rows(matrix: Matrix, df: DataFrame, order: Sequence[str]) -> DataFrame:
     if matrix.wide and not order:
         hashed = df.withColumn("__order", F.xxhash64(*[F.col(c) for c in matrix.layout.columns]))
@@ -264,10 +274,11 @@ def train_boosted_classes(
 ) -> BoostedClasses:
     """Boost each class of ``label`` against the rest and couple the results.
 
-    All models read one matrix, which is written once, and are fitted side by side. Trees
-    grow on the older rows; on the newest, by ``order`` (a date and ties), a multinomial
-    regression of the class on the margins gives calibrated probabilities. It sees one row
-    more for each class, so a class that is absent there stays possible.
+    All models read one matrix, which is written once, and are fitted side by side, or in
+    turn where one alone keeps all cores busy. Trees grow on the older rows; on the newest,
+    by ``order`` (a date and ties), a multinomial regression of the class on the margins
+    gives calibrated probabilities. It sees one row more for each class, so a class that is
+    absent there stays possible.
     """
     spark = df.sparkSession
     shared_dir(spark)
@@ -288,7 +299,7 @@ def train_boosted_classes(
         estimator.clear(estimator.weightCol)  # balanced weights would shift the probabilities
         return estimator.fit(early)
 
-    with ThreadPoolExecutor(len(codes)) as pool:
+    with ThreadPoolExecutor(_side_by_side(ready, len(codes))) as pool:
         models = tuple(pool.map(fit, codes))
     late = _with_margins(ready.where(_LATE), models).select(LABEL, _MARGINS)
     anchors = ready.sparkSession.createDataFrame(

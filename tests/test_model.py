@@ -351,3 +351,29 @@ def test_parts_of_a_tree_are_walked_once_for_the_columns_they_test(monkeypatch):
     assert len(calls) < 63 * 256 / 2 / 3  # all columns for every split would be 63 * 128
     for s in range(256):
         assert np.array_equal(np.zeros(50) + found[s & mask], np.zeros(50) + expected(tree, x, s))
+
+
+@pytest.fixture
+def pools(monkeypatch):
+    """How many fits each pool may run at once; every training table is written once."""
+    widths, pool, tables, dealt = [], M.ThreadPoolExecutor, [], M.materialise_dealt
+    monkeypatch.setattr(M, "ThreadPoolExecutor", lambda n: widths.append(n) or pool(n))
+    monkeypatch.setattr(M, "materialise_dealt", lambda rows, n: tables[0] if tables else tables.append(dealt(rows, 500)) or tables[0])
+    return widths
+
+
+def _dated(spark):
+    return spark.range(0, 3000, 1, 2).select(
+        "id", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") / 10).cast("int")).alias("day"),
+        (F.col("id") * 7 % 100).cast("double").alias("x"), (F.col("id") * 7 % 100 / 34).cast("int").alias("label"))
+
+
+def test_classes_are_boosted_in_turn_where_one_keeps_all_cores_busy(spark, pools, monkeypatch):
+    params = {"learning_rate": 0.1, "num_leaves": 8, "min_child_samples": 5, "colsample_bytree": 0.7}
+    ask = lambda: M.train_boosted_classes(_dated(spark), ["x", "id"], params, ["day", "id"], rounds=3)
+    beside = ask()
+    monkeypatch.setattr(M, "ROWS_PER_TASK", 1)
+    in_turn = ask()
+    assert pools == [3, 1]
+    trees = lambda m: [k.toDebugString.split("\n", 1)[1] for k in m.models]
+    assert trees(beside) == trees(in_turn)
