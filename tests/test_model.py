@@ -377,3 +377,54 @@ def test_classes_are_boosted_in_turn_where_one_keeps_all_cores_busy(spark, pools
     assert pools == [3, 1]
     trees = lambda m: [k.toDebugString.split("\n", 1)[1] for k in m.models]
     assert trees(beside) == trees(in_turn)
+
+
+def test_patterns_of_leaves_are_worked_out_once_for_a_block(monkeypatch):
+    """Not for every leaf, nor for every slice; leaves of more columns than a byte has bits take theirs apart."""
+    rng = np.random.default_rng(7)
+
+    def grow(depth, path, splits, leaves):
+        if depth == 0:
+            leaves.append(A._leaf(float(rng.normal()), path))
+            return
+        n, slot = len(splits), int(rng.integers(12))
+        splits.append(A.Split(slot, float(rng.normal()), (0.0, 2.0) if slot == 2 else None))
+        share = float(rng.uniform(0.2, 0.8))
+        for left, part in ((True, share), (False, 1 - share)):
+            grow(depth - 1, [*path, (slot, n, left, part)], splits, leaves)
+
+    def plain(x, explainer):
+        """Every leaf and row by itself: the Shapley sum over all coalitions of its other columns."""
+        total = np.zeros((len(explainer.columns), len(x)))
+        for tree in explainer.trees:
+            for leaf in tree.leaves:
+                d = len(leaf.players)
+                passed = np.array([[all((r[tree.splits[n].slot] <= tree.splits[n].threshold if tree.splits[n].left_levels is None
+                                         else r[tree.splits[n].slot] in tree.splits[n].left_levels) == side for n, side in tests)
+                                    for tests in leaf.tests] for r in x], dtype=float)
+                for i, player in enumerate(leaf.players):
+                    others = [j for j in range(d) if j != i]
+                    for size in range(d):
+                        for known in itertools.combinations(others, size):
+                            weight = math.factorial(size) * math.factorial(d - size - 1) / math.factorial(d)
+                            worth = np.prod([passed[:, j] if j in known else np.full(len(x), leaf.cover[j]) for j in others], axis=0)
+                            total[player] += leaf.value * weight * worth * (passed[:, i] - leaf.cover[i])
+        return total
+
+    trees = []
+    for depth in (4, 5):
+        splits, leaves = [], []
+        grow(depth, [], splits, leaves)
+        trees.append(A.Tree(tuple(splits), tuple(leaves)))
+    long = [(i, i, True, 0.5) for i in range(10)]
+    trees.append(A.Tree(tuple(A.Split(i, 0.5, None) for i in range(10)), (A._leaf(1.5, long),)))
+    explainer = A.Explainer(tuple(f"c{i}" for i in range(12)), tuple(trees))
+    x = rng.normal(size=(40, 12))
+    x[:, 2] = rng.integers(0, 4, 40)
+    calls, found = [], A.contributions
+    monkeypatch.setattr(A, "contributions", lambda *a: calls.append(1) or found(*a))
+    whole = A.attribute_block(x, explainer)
+    assert np.allclose(whole, plain(x, explainer), atol=1e-12)
+    assert len(calls) <= 4 + 5 + 1  # one for each number of columns and tree, one for the long leaf; 49 leaves
+    monkeypatch.setattr(A, "SLICE_ROWS", 7)
+    assert np.array_equal(A.attribute_block(x, explainer), whole)
