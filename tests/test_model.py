@@ -379,6 +379,18 @@ def test_classes_are_boosted_in_turn_where_one_keeps_all_cores_busy(spark, pools
     assert trees(beside) == trees(in_turn)
 
 
+def test_trials_run_in_turn_where_one_keeps_all_cores_busy(spark, pools, monkeypatch):
+    df = _dated(spark).withColumn("label", (F.col("label") > 0).cast("int"))
+    ask = lambda: M.search_params(df, ["x", "id"], "day", ["id"], M.BINARY, trials=2, rounds=1, folds=2, parallel=2)
+    beside = ask()
+    assert pools == [2]
+    monkeypatch.setattr(M, "ROWS_PER_TASK", 1)
+    in_turn = ask()
+    assert pools == [2]  # no other pool
+    for a, b in zip(beside.trials, in_turn.trials):
+        assert a.params == b.params and a.fold_losses == pytest.approx(b.fold_losses, abs=1e-9)
+
+
 def test_patterns_of_leaves_are_worked_out_once_for_a_block(monkeypatch):
     """Not for every leaf, nor for every slice; leaves of more columns than a byte has bits take theirs apart."""
     rng = np.random.default_rng(7)
