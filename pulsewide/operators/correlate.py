@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ _PAIR_MOMENTS = "i int, j int, " + ", ".join(f"{c} double" for c in (*_MOMENTS,
 _SLICE = 256
 # a value with more than this share of all cells is joined by broadcast (so at most 1024 are)
 HOT_SHARE = 1 / 1024
+# numbers that the ranks every task holds may take in all (8 MB)
+HELD_NUMBERS = 1 << 20
 
 
 def candidates(df: DataFrame, exclude: Sequence[str] = S.META_COLS) -> list[str]:
@@ -195,6 +198,27 @@ def _mask_classes(df: DataFrame, cols: Sequence[str]) -> _Masks:
     return _Masks(of_column, representative, complete)
 
 
+def _cells(cols: Sequence[str], at: Sequence[int]) -> Column:
+    """The values of the columns at these places, as ``(pos, value)``; NaN counts as missing."""
+    return F.inline(F.array(*[
+        F.struct(
+            F.lit(i).alias("pos"),
+            F.nanvl(F.col(cols[i]).cast("double"), F.lit(None).cast("double")).alias("value"),
+        )
+        for i in at
+    ]))
+
+
+def _value_counts(df: DataFrame, cols: Sequence[str], masks: _Masks, at: Sequence[int]) -> DataFrame:
+    """``(pos, value, m0..mM)``: in how many rows a value stands, per mask class present there."""
+    present = [F.col(cols[rep]).isNotNull() & ~F.isnan(F.col(cols[rep]).cast("double"))
+               for rep in masks.representative]
+    long = df.select(
+        *[p.cast("int").alias(f"m{m}") for m, p in enumerate(present)], _cells(cols, at)
+    ).where(F.col("value").isNotNull())
+    return long.groupBy("pos", "value").agg(*[F.sum(f"m{m}").alias(f"m{m}") for m in range(len(present))])
+
+
 def _rank_table(df: DataFrame, cols: Sequence[str], masks: _Masks) -> DataFrame:
     """Centred average ranks ``(pos, value, n, r0..rM)`` of each distinct value of a column.
 
@@ -202,20 +226,8 @@ def _rank_table(df: DataFrame, cols: Sequence[str], masks: _Masks) -> DataFrame:
     minus the mean rank. One aggregation counts every distinct value once per
     mask class, so equal values never travel as separate rows.
     """
-    present = [F.col(cols[rep]).isNotNull() & ~F.isnan(F.col(cols[rep]).cast("double"))
-               for rep in masks.representative]
-    cells = F.array(*[
-        F.struct(
-            F.lit(i).alias("pos"),
-            F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value"),
-        )
-        for i, c in enumerate(cols)
-    ])
-    long = df.select(
-        *[p.cast("int").alias(f"m{m}") for m, p in enumerate(present)], F.inline(cells)
-    ).where(F.col("value").isNotNull())
-    measures = [f"m{m}" for m in range(len(present))]
-    counts = materialise(long.groupBy("pos", "value").agg(*[F.sum(m).alias(m) for m in measures]))
+    measures = [f"m{m}" for m in range(len(masks.representative))]
+    counts = materialise(_value_counts(df, cols, masks, range(len(cols))))
     running = running_totals(counts, "pos", "value", measures)
 
     def centred(m: int):
@@ -229,15 +241,7 @@ def _rank_table(df: DataFrame, cols: Sequence[str], masks: _Masks) -> DataFrame:
     # a value of a column counts once in the column's own mask class
     own_class = F.get(F.array(*[F.lit(m) for m in masks.of_column]), F.col("pos"))
     n = F.get(F.array(*measures), own_class).alias("n")
-    return running.select("pos", "value", n, *measures, *[centred(m) for m in range(len(present))])
-
-
-def _rank_sums_of_squares(table: DataFrame, n_masks: int) -> dict:
-    """Sum of squared centred ranks per column and mask class, from the rank table alone."""
-    rows = table.groupBy("pos").agg(*[
-        F.sum(F.col(f"m{m}") * F.col(f"r{m}") * F.col(f"r{m}")).alias(f"r{m}") for m in range(n_masks)
-    ]).collect()
-    return {(r["pos"], m): r[f"r{m}"] for r in rows for m in range(n_masks)}
+    return running.select("pos", "value", n, *measures, *[centred(m) for m in range(len(measures))])
 
 
 def _cross_products(ranks: list[np.ndarray], masks: _Masks) -> np.ndarray:
@@ -256,13 +260,6 @@ def _cross_products(ranks: list[np.ndarray], masks: _Masks) -> np.ndarray:
     return total
 
 
-def _emit(total: np.ndarray) -> pa.RecordBatch:
-    i, j = np.triu_indices(total.shape[0])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "sab"]
-    )
-
-
 def _need_unique(df: DataFrame, row_key: Sequence[str]) -> None:
     """Raise if two rows share a key: their cells would be taken for one row's."""
     again = df.groupBy(*row_key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
@@ -270,6 +267,10 @@ def _need_unique(df: DataFrame, row_key: Sequence[str]) -> None:
         raise ValueError(f"rows repeat the key {list(row_key)}")
 
 
+def _row_hash(row_key: Sequence[str]) -> list[Column]:
+    return [F.xxhash64(F.lit(i), *row_key).alias(f"__k{i}") for i in (1, 2)]
+
+
 def _joined_ranks(
     df: DataFrame, cols: Sequence[str], masks: _Masks, table: DataFrame, row_key: Sequence[str], hot_share: float
 ) -> DataFrame:
@@ -284,14 +285,7 @@ def _joined_ranks(
     packed = table.select("pos", "value", "n", F.array(*rank_cols).alias("__r"))
     n_cells = float(np.trace(masks.complete))
     hot_rows = packed.where(F.col("n") > n_cells * hot_share)
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("pos"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value"))
-        for i, c in enumerate(cols)
-    ])
-    long = df.select(
-        F.xxhash64(F.lit(1), *row_key).alias("__k1"), F.xxhash64(F.lit(2), *row_key).alias("__k2"),
-        F.inline(cells),
-    ).where(F.col("value").isNotNull())
+    long = df.select(*_row_hash(row_key), _cells(cols, range(len(cols)))).where(F.col("value").isNotNull())
     met = long.join(F.broadcast(hot_rows.withColumnRenamed("__r", "__h").drop("n")), ["pos", "value"], "left")
     hot = met.where(F.col("__h").isNotNull()).withColumnRenamed("__h", "__r")
     cold = met.where(F.col("__h").isNull()).drop("__h").join(
@@ -300,37 +294,112 @@ def _joined_ranks(
     return hot.select("__k1", "__k2", "pos", "__r").unionByName(cold.select("__k1", "__k2", "pos", "__r"))
 
 
-def _products(placed: DataFrame, k: int, masks: _Masks) -> DataFrame:
-    """Rank products of each pair of the ``k`` columns; cells meet again by row."""
+@dataclass(frozen=True)
+class _Held:
+    """Ranks of columns with few distinct values, which every task looks up in place."""
+
+    at: list[int]                                      # places of the columns
+    ranks: list[tuple[np.ndarray, np.ndarray]]         # sorted values, and their ranks per mask class
+
+
+def _few_valued(df: DataFrame, cols: Sequence[str], n_masks: int) -> list[int]:
+    """Places of the columns with the fewest distinct values, as far as those values and their
+    ranks per mask class take at most ``HELD_NUMBERS`` numbers together, by estimated counts."""
+    distinct = _plain(df, cols).agg(*[F.approx_count_distinct(f"c{i}") for i in range(len(cols))]).first()
+    few, numbers = [], 0
+    for i in sorted(range(len(cols)), key=lambda i: distinct[i]):
+        numbers += distinct[i] * (n_masks + 1)
+        if numbers > HELD_NUMBERS:
+            break
+        few.append(i)
+    return sorted(few)
+
+
+def _held_ranks(df: DataFrame, cols: Sequence[str], masks: _Masks, at: list[int]) -> _Held:
+    """Centred average ranks of all values of the columns at these places."""
+    if not at:
+        return _Held([], [])
+    # bounded by HELD_NUMBERS
+    counts = _value_counts(df, cols, masks, at).toArrow()
+    pos, value = counts["pos"].to_numpy(), counts["value"].to_numpy()
+    own = np.column_stack([counts[f"m{m}"].to_numpy() for m in range(len(masks.representative))]).astype(float)
+    ranks = []
+    for i in at:
+        mine = np.flatnonzero(pos == i)
+        mine = mine[np.argsort(value[mine])]
+        n = own[mine]
+        ranks.append((value[mine], np.cumsum(n, axis=0) - n / 2 - n.sum(axis=0) / 2))
+    return _Held(at, ranks)
+
+
+def _held_values(df: DataFrame, cols: Sequence[str], held: _Held, row_key: Sequence[str]) -> DataFrame:
+    """Each row's values of the held columns in the form of a cell, at place -1."""
+    values = [F.nanvl(F.col(cols[i]).cast("double"), F.lit(None).cast("double")) for i in held.at]
+    return df.select(*_row_hash(row_key), F.lit(-1).alias("pos"), F.array(*values).alias("__r"))
+
+
+def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same cells, cut so that no row goes on in the next batch."""
+    rest = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        if rest is not None:
+            (batch,) = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()
+        k1, k2 = batch.column("__k1").to_numpy(), batch.column("__k2").to_numpy()
+        cut = int(np.argmax((k1 == k1[-1]) & (k2 == k2[-1])))
+        rest = batch.slice(cut)
+        if cut:
+            yield batch.slice(0, cut)
+    if rest is not None:
+        yield rest
+
+
+def _products(placed: DataFrame, k: int, masks: _Masks, held: _Held = _Held([], [])) -> DataFrame:
+    """Rank products of each pair of the ``k`` columns, and the squares of either side:
+    ``(i, j, sab, saa, sbb)``. Cells meet again by row, unless a row's values are all held."""
     n_masks = len(masks.representative)
-    rows = (
-        placed.groupBy("__k1", "__k2")
-        # at most one cell per column
-        .agg(F.collect_list(F.struct(F.col("pos").alias("i"), F.col("__r").alias("r"))).alias("cells"))
-        .select("cells")
-    )
+    if len(held.at) < k:
+        placed = placed.repartition("__k1", "__k2").sortWithinPartitions("__k1", "__k2")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k, k))
-        for batch in batches:
-            cells = batch.column(0)
-            lengths = np.diff(cells.offsets.to_numpy())
-            flat = cells.flatten()
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            column = flat.field("i").to_numpy(zero_copy_only=False)
-            value = flat.field("r").flatten().to_numpy(zero_copy_only=False).reshape(-1, n_masks)
-            here = np.zeros((len(lengths), k), dtype=bool)
-            here[row, column] = True
-            ranks = []
+        total, squares = np.zeros((k, k)), np.zeros((k, n_masks))
+        for batch in _by_row(batches):
+            k1, k2 = batch.column("__k1").to_numpy(), batch.column("__k2").to_numpy()
+            starts = np.ones(len(batch), bool)
+            starts[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            row = np.cumsum(starts) - 1
+            column = batch.column("pos").to_numpy()
+            lists = batch.column("__r")
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            whole = column < 0
+            of_whole = np.repeat(whole, np.diff(lists.offsets.to_numpy()))
+            here = np.zeros((row[-1] + 1, k), dtype=bool)
+            ranks = [np.zeros(here.shape) for _ in range(n_masks)]
+
+            def place(rows, columns, values):
+                here[rows, columns] = True
+                for m in range(n_masks):
+                    ranks[m][rows, columns] = values[:, m]
+
+            place(row[~whole], column[~whole], flat[~of_whole].reshape(-1, n_masks))
+            values = flat[of_whole].reshape(-1, max(1, len(held.at)))
+            for x, (i, (known, known_ranks)) in enumerate(zip(held.at, held.ranks)):
+                there = ~np.isnan(values[:, x])
+                place(row[whole][there], i, known_ranks[np.searchsorted(known, values[there, x])])
             for m, rep in enumerate(masks.representative):
-                r = np.zeros(here.shape)
-                r[row, column] = value[:, m]
-                r[~here[:, rep]] = 0.0
-                ranks.append(r)
+                ranks[m][~here[:, rep]] = 0.0
+                squares[:, m] += (ranks[m] * ranks[m]).sum(axis=0)
             total += _cross_products(ranks, masks)
-        yield _emit(total)
+        i, j = np.triu_indices(k)
+        of = np.array(masks.of_column)
+        sums = [total[i, j], squares[i, of[j]], squares[j, of[i]]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(x) for x in sums]],
+            names=["i", "j", "sab", "saa", "sbb"],
+        )
 
-    return rows.mapInArrow(multiply, "i int, j int, sab double")
+    return placed.mapInArrow(multiply, "i int, j int, sab double, saa double, sbb double")
 
 
 # --- ranks where the cells lie ---------------------------------------------------
@@ -357,8 +426,7 @@ def _presence_words(df: DataFrame, cols: Sequence[str], masks: _Masks) -> list[C
 
 def _bits(words: Sequence[np.ndarray], n_masks: int) -> np.ndarray:
     """Rows by mask classes, 1 where present."""
-    spread = [(w[:, None] >> np.arange(_WORD)) & 1 for w in words]
-    return np.hstack(spread)[:, :n_masks]
+    return np.column_stack([(words[m // _WORD] >> (m % _WORD)) & 1 for m in range(n_masks)])
 
 
 def _counter(n_words: int, n_masks: int, sign: int, name: str):
@@ -403,8 +471,10 @@ def _counter(n_words: int, n_masks: int, sign: int, name: str):
     return count
 
 
-def _ranged_cells(df: DataFrame, cols: Sequence[str], masks: _Masks, row_key: Sequence[str]) -> DataFrame:
-    """Cells in ranges of column and value, with the balance of smaller less larger cells of
+def _ranged_cells(
+    df: DataFrame, cols: Sequence[str], masks: _Masks, row_key: Sequence[str], at: Sequence[int] | None = None
+) -> DataFrame:
+    """Cells, of all columns or those at these places, in ranges of column and value, with the balance of smaller less larger cells of
     their own range: ``(__part, __k1, __k2, pos, value, w.., balance)``, written.
 
     One exchange: a range is sorted upwards and downwards where it lies, so neither way
@@ -413,13 +483,9 @@ def _ranged_cells(df: DataFrame, cols: Sequence[str], masks: _Masks, row_key: Se
     """
     words = _presence_words(df, cols, masks)
     n_words, n_masks = len(words), len(masks.representative)
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("pos"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value"))
-        for i, c in enumerate(cols)
-    ])
     long = df.select(
-        F.xxhash64(F.lit(1), *row_key).alias("__k1"), F.xxhash64(F.lit(2), *row_key).alias("__k2"),
-        *[w.alias(f"w{i}") for i, w in enumerate(words)], F.inline(cells),
+        *_row_hash(row_key), *[w.alias(f"w{i}") for i, w in enumerate(words)],
+        _cells(cols, range(len(cols)) if at is None else at),
     ).where(F.col("value").isNotNull())
     schema = (
         f"{_PART} int, __k1 bigint, __k2 bigint, " + ", ".join(f"w{i} bigint" for i in range(n_words))
@@ -494,13 +560,6 @@ def _placed(cells: DataFrame, n_masks: int) -> DataFrame:
     return met.select("__k1", "__k2", "pos", F.array(*[rank(m) for m in range(n_masks)]).alias("__r"))
 
 
-def _sums_of_squares(placed: DataFrame, n_masks: int) -> dict:
-    """Sum of squared centred ranks per column and mask class."""
-    rank = [F.get("__r", F.lit(m)) for m in range(n_masks)]
-    rows = placed.groupBy("pos").agg(*[F.sum(r * r).alias(f"r{m}") for m, r in enumerate(rank)]).collect()
-    return {(row["pos"], m): row[f"r{m}"] for row in rows for m in range(n_masks)}
-
-
 def spearman(
     df: DataFrame, cols: Sequence[str], row_key: Sequence[str], hot_share: float | None = None
 ) -> DataFrame:
@@ -511,32 +570,31 @@ def spearman(
     values get their average rank. ``row_key`` identifies a row; a repeated key
     is an error.
 
-    Cells are ranked where one exchange by ranges of column and value puts them, and meet
-    again by row in a second one. With ``hot_share`` the ranks come from a table of distinct
-    values instead, joined by key, or by broadcast for values above that share of all cells;
-    that moves less where columns hold few distinct values. The result is the same.
+    Columns with few distinct values are ranked from the counts of these, which every task
+    holds (``HELD_NUMBERS``). Cells of the others are ranked where one exchange by ranges of
+    column and value puts them, and meet their row's held values in a second one. With
+    ``hot_share`` all ranks come from a table of distinct values instead, joined by key, or by
+    broadcast for values above that share of all cells. The result is the same.
     """
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, rho double, n bigint")
     _need_unique(df, row_key)
-    masks = _mask_classes(df, cols)
+    k, masks = len(cols), _mask_classes(df, cols)
     n_masks = len(masks.representative)
     if hot_share is None:
-        placed = _placed(_ranged_cells(df, cols, masks, row_key), n_masks)
-        squares = _sums_of_squares(placed, n_masks)
+        held = _held_ranks(df, cols, masks, _few_valued(df, cols, n_masks))
+        rest = [i for i in range(k) if i not in held.at]
+        parts = [_held_values(df, cols, held, row_key)] if held.at else []
+        if rest:
+            parts.append(_placed(_ranged_cells(df, cols, masks, row_key, rest), n_masks))
+        products = _products(reduce(DataFrame.unionByName, parts), k, masks, held)
     else:
         table = materialise(_rank_table(df, cols, masks))
-        squares = _rank_sums_of_squares(table, n_masks)
-        placed = _joined_ranks(df, cols, masks, table, row_key, hot_share)
-    products = _products(placed, len(cols), masks)
-    norms = [
-        (i, j, float(squares.get((i, masks.of_column[j])) or 0.0),
-         float(squares.get((j, masks.of_column[i])) or 0.0), int(masks.complete[i, j]))
-        for i in range(len(cols)) for j in range(i + 1, len(cols))
-    ]
-    pairs = df.sparkSession.createDataFrame(norms, "i int, j int, saa double, sbb double, n bigint")
+        products = _products(_joined_ranks(df, cols, masks, table, row_key, hot_share), k, masks)
+    complete = [(i, j, int(masks.complete[i, j])) for i in range(k) for j in range(i + 1, k)]
+    pairs = df.sparkSession.createDataFrame(complete, "i int, j int, n bigint")
     # one row per pair of columns
-    summed = products.groupBy("i", "j").agg(F.sum("sab").alias("sab"))
+    summed = products.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("sab", "saa", "sbb")])
     joined = pairs.join(F.broadcast(summed), ["i", "j"], "left")
     rho = F.try_divide(F.col("sab"), F.sqrt("saa") * F.sqrt("sbb"))
     return _named(joined, cols).select("col_a", "col_b", _bounded(rho).alias("rho"), "n")

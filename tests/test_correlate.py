@@ -120,6 +120,56 @@ def test_cells_are_exchanged_twice(spark, table):
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
 
 
+@pytest.mark.parametrize("numbers, ranged", [(0, ["a", "b", "c", "d", "e", "flat"]), (600, ["a", "b", "d"])])
+def test_only_columns_of_many_values_are_ranged(table, data, monkeypatch, numbers, ranged):
+    """Ranks of the others are held; both kinds meet by row."""
+    seen, ranged_cells = [], K._ranged_cells
+
+    def spied(*args):
+        seen.append(ranged_cells(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(K, "_ranged_cells", spied)
+    monkeypatch.setattr(K, "HELD_NUMBERS", numbers)
+    same(as_dict(K.spearman(table, COLS, ["id"])), brute(data, "spearman"))
+    assert {COLS[r["pos"]] for r in seen[0].select("pos").distinct().collect()} == set(ranged)
+
+
+def test_few_values_are_not_exchanged_cell_by_cell(table, data, monkeypatch):
+    monkeypatch.setattr(K, "_ranged_cells", lambda *args: pytest.fail("ranged"))
+    few = ["c", "e", "flat", "empty"]
+    want = {p: v for p, v in brute(data, "spearman").items() if set(p) <= set(few)}
+    same(as_dict(K.spearman(table, few, ["id"])), want)
+
+
+def test_held_and_ranged_cells_over_small_batches(spark, table, data, monkeypatch):
+    """Rows go on from batch to batch, and blocks of ties."""
+    monkeypatch.setattr(K, "HELD_NUMBERS", 600)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        same(as_dict(K.spearman(table, COLS, ["id"])), brute(data, "spearman"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("numbers", [0, 1 << 20])
+def test_infinite_and_signed_zero_values(spark, monkeypatch, numbers):
+    monkeypatch.setattr(K, "HELD_NUMBERS", numbers)
+    inf = float("inf")
+    x, y = [0.0, -0.0, inf, -inf, 3.0, None], [1.0, 2.0, 5.0, 0.0, 4.0, 9.0]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(x, y))], "id int, x double, y double")
+    (r,) = K.spearman(df, ["x", "y"], ["id"]).collect()
+    want = np.corrcoef([2.5, 2.5, 5, 1, 4], [2, 3, 5, 1, 4])[0, 1]
+    assert r["n"] == 5 and r["rho"] == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("numbers", [0, 1 << 20])
+def test_more_columns_than_bits_of_a_word_either_way(spark, monkeypatch, numbers):
+    monkeypatch.setattr(K, "HELD_NUMBERS", numbers)
+    test_more_columns_than_bits_of_a_word(spark)
+
+
 def test_repeated_row_key_is_an_error(spark):
     df = spark.createDataFrame([(1, 1.0, 2.0), (1, 2.0, 4.0), (2, 3.0, 1.0)], "id int, x double, y double")
     with pytest.raises(ValueError, match="repeat the key"):
