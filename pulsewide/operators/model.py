@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsewide import schema as S
-from pulsewide.operators.evaluate import class_weights, log_loss
+from pulsewide.operators import boosting as B
+from pulsewide.operators.evaluate import _EPS, class_weights, log_loss
 from pulsewide.operators.matrix import FEATURES, LABEL, Matrix, fit_matrix
 from pulsewide.operators.split import expanding_folds, oot_mark
 from pulsewide.session import materialise_dealt, scratch_path, shared_dir
@@ -51,6 +52,10 @@ _LATE = "__late"
 STOP_BELOW = 1e-3
 #: Training rows that a task holds in memory at most.
 ROWS_PER_TASK = 250_000
+#: Rows in bins that take no more memory than one of MLlib's: about 20 bytes each.
+BINNED = 10
+#: Rows of a search, as codes of a few bytes, that one task boosts on by itself at most.
+ROWS_PER_FIT = 1_000_000
 
 
 def check_mode(mode: str) -> None:
@@ -144,14 +149,14 @@ class Classifier:
         return Classifier(mode, Matrix.load(spark, path + "/matrix"), kind.load(path + "/model"))
 
 
-def _side_by_side(ready: DataFrame, wanted: int) -> int:
+def _side_by_side(ready: DataFrame, wanted: int, n: int | None = None) -> int:
     """How many of ``wanted`` fits run at once: all, or one where it has tasks for every core.
 
-    A fit holds its rows in memory. Where one keeps all cores busy, more beside it gain no
-    time and hold as many times the rows.
+    A fit holds its rows in memory, in bins. Where one keeps all cores busy, more beside it
+    gain no time and hold as many times the rows. ``n`` is the number of rows, if it is known.
     """
     cores = ready.sparkSession.sparkContext.defaultParallelism
-    return wanted if ready.count() < ROWS_PER_TASK * cores else 1
+    return wanted if (ready.count() if n is None else n) < ROWS_PER_TASK * BINNED * cores else 1
 
 
 def _training_rows(matrix: Matrix, df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -290,14 +295,24 @@ def train_boosted_classes(
     ready = materialise_dealt(
         rows.select(F.col(LABEL).cast("double").alias(LABEL), FEATURES, (~F.col("__early")).alias(_LATE)), ROWS_PER_TASK)
 
+    def estimator_of() -> GBTClassifier:
+        estimator = build(BINARY, params, rounds, matrix.layout.max_levels, seed)
+        estimator.clear(estimator.weightCol)  # balanced weights would shift the probabilities
+        return estimator
+
+    # cut points do not depend on the class that is told from the rest
+    early = ready.where(~F.col(_LATE))
+    found = B.find_binning(early.select((F.col(LABEL) == codes[0]).cast("double").alias(LABEL), FEATURES), estimator_of())
+    rows = B.packed(early, found, LABEL, FEATURES)
+
     @inheritable_thread_target(spark)
     def fit(code: int) -> GBTClassificationModel:
         # a pool of its own, where the cluster schedules fairly
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"class {code}")
-        early = ready.where(~F.col(_LATE)).select((F.col(LABEL) == code).cast("double").alias(LABEL), FEATURES)
-        estimator = build(BINARY, params, rounds, matrix.layout.max_levels, seed)
-        estimator.clear(estimator.weightCol)  # balanced weights would shift the probabilities
-        return estimator.fit(early)
+        estimator = estimator_of()
+        one = rows.map(lambda r: (r[0], (r[1] == code).astype(np.int8), r[2]))
+        trees, _ = B.boost(found, B.settings_of(estimator, found), one)
+        return B.to_model(spark, estimator, trees)
 
     with ThreadPoolExecutor(_side_by_side(ready, len(codes))) as pool:
         models = tuple(pool.map(fit, codes))
@@ -414,6 +429,36 @@ class _TrialTable:
         row.write.mode("overwrite").parquet(f"{self.path}/losses/trial={trial}/fold={fold}")
 
 
+class _Folds:
+    """The rows of one fold and those before it in bins, and the loss of a fit on these.
+
+    With ``alone`` they are sent to every task that fits, a few bytes for each of at most
+    ``ROWS_PER_FIT`` rows; otherwise they stay where they are.
+    """
+
+    def __init__(self, ready: DataFrame, past: DataFrame, k: int, estimator: GBTClassifier, alone: bool):
+        weights = {r[LABEL]: r["weight"] for r in class_weights(past, LABEL).collect()}
+        weight = F.lit(1.0)
+        for label, w in weights.items():
+            weight = F.when(F.col(LABEL) == label, F.lit(w)).otherwise(weight)
+        self.context = ready.sparkSession.sparkContext
+        self.weights = (weights.get(0.0, 1.0), weights.get(1.0, 1.0))
+        self.found = B.find_binning(past.withColumn(WEIGHT, weight), estimator)
+        marked = ready.where(F.col("fold") <= k).withColumn(_LATE, F.col("fold") == k)
+        self.rows = B.packed(marked, self.found, LABEL, FEATURES, _LATE)
+        self.sent = self.context.broadcast(self.rows.collect()) if alone else None
+
+    def loss(self, estimator: GBTClassifier) -> float | None:
+        found, settings = self.found, B.settings_of(estimator, self.found, self.weights)
+        if self.sent is None:
+            _, (total, n) = B.boost(found, settings, self.rows, _EPS)
+        else:
+            sent, floor = self.sent, _EPS
+            one = self.context.parallelize([settings], 1).map(lambda s: B.boost_here(found, s, sent.value, floor))
+            total, n = one.first()
+        return total / n if n else None
+
+
 def search_params(
     df: DataFrame,
     columns: Sequence[str],
@@ -430,7 +475,9 @@ def search_params(
     """Seeded random search under expanding time folds, scored by mean fold log-loss.
 
     The matrix is assembled and written once; every fold of every trial is a
-    Spark fit on a filter of it. Only the losses come back to the driver.
+    fit on a filter of it. Only the losses come back to the driver. Two classes are boosted
+    on rows that are cut into bins once for each fold: inside one task for each fit where the
+    table has fewer than ``ROWS_PER_FIT`` rows, as a job for each level of a tree beyond that.
 
     ``parallel`` trials run side by side, each in a scheduler pool of its own, or in turn
     where one alone keeps all cores busy. Whether a trial is pruned is decided as if they had
@@ -449,11 +496,17 @@ def search_params(
         matrix.transform_training(folded, LABEL, [date_col, *tie]).select(F.col(LABEL).cast("double").alias(LABEL), "fold", FEATURES),
         ROWS_PER_TASK,
     )
-    parallel = _side_by_side(ready, parallel)
+    n = ready.count()
+    parallel = _side_by_side(ready, parallel, n)
     pasts = {k: ready.where(F.col("fold") < k) for k in range(1, folds + 1)}
-    if mode == BINARY:
-        # the weights are counted once per fold, not per trial
-        pasts = {k: with_balanced_weight(past) for k, past in pasts.items()}
+    rng = np.random.default_rng(seed)
+    drawn = [Trial(number, draw_params(rng)) for number in range(trials)]
+    boosted = {}
+    if mode == BINARY and drawn:
+        # weights, cut points and bins are worked out once per fold, not per trial
+        alone = n < ROWS_PER_FIT and _side_by_side(ready, 2, n) > 1  # the fits side by side keep the cores busy
+        some = build(mode, drawn[0].params, rounds, matrix.layout.max_levels, seed)
+        boosted = {k: _Folds(ready, pasts[k], k, some, alone) for k in pasts}
     table = None
     if path is not None:
         # the rows count by what is fitted on them: blocks, labels and input columns
@@ -467,18 +520,19 @@ def search_params(
     def loss_of(trial: Trial, k: int) -> float:
         if table and (trial.number, k) in table.losses:
             return table.losses[trial.number, k]
-        fitted = build(mode, trial.params, rounds, matrix.layout.max_levels, seed).fit(pasts[k])
-        p = vector_to_array("probability")
-        columns_of_p = [f"__p{c}" for c in codes]
-        scored = fitted.transform(ready.where(F.col("fold") == k))
-        spread = scored.select(LABEL, *[p[c].alias(n) for c, n in zip(codes, columns_of_p)])
-        loss = log_loss(spread, LABEL, columns_of_p).first()["logloss"]
+        estimator = build(mode, trial.params, rounds, matrix.layout.max_levels, seed)
+        if boosted:
+            loss = boosted[k].loss(estimator)
+        else:
+            p = vector_to_array("probability")
+            columns_of_p = [f"__p{c}" for c in codes]
+            scored = estimator.fit(pasts[k]).transform(ready.where(F.col("fold") == k))
+            spread = scored.select(LABEL, *[p[c].alias(n) for c, n in zip(codes, columns_of_p)])
+            loss = log_loss(spread, LABEL, columns_of_p).first()["logloss"]
         if table:
             table.add(trial.number, k, loss)
         return loss
 
-    rng = np.random.default_rng(seed)
-    drawn = [Trial(number, draw_params(rng)) for number in range(trials)]
     done: list[Trial] = []
 
     def run(trial: Trial) -> Trial:
